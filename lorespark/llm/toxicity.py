@@ -103,7 +103,6 @@ def fit_chain(texts: list[set[str]], lengths: list[int], labels: dict[str, list[
     for i, t in enumerate(texts):
         x[i, [place[w] for w in t if w in place]] = 1
     size = np.log1p(np.array(lengths, float))[:, None] / 10
-    fold = np.arange(n) % FOLDS
     earlier = np.zeros((n, 0))
     for category, y in targets.items():
         if n < 2 * FOLDS or not 0 < y.sum() < n:
@@ -118,7 +117,9 @@ def fit_chain(texts: list[set[str]], lengths: list[int], labels: dict[str, list[
             def frame(rows: np.ndarray, chosen: np.ndarray, earlier=earlier) -> np.ndarray:
                 return np.hstack([x[rows][:, chosen], size[rows], earlier[rows]])
 
-            out = np.zeros(n)
+            out, fold = np.zeros(n), np.zeros(n, int)
+            for value in (0, 1):  # each fold gets its share of both classes
+                fold[y == value] = np.arange((y == value).sum()) % FOLDS
             for f in range(FOLDS):
                 train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 if not 0 < y[train].sum() < len(train):
