@@ -6,7 +6,8 @@ categories before it. A later link trains on earlier probabilities that were pre
 of fold, so it sees them as uncertain as they will be on new texts.
 
 The fit is bounded: at most ``sample_rows`` labelled rows, the first by a hash of their id,
-with at most ``words_per_link`` words a link, chosen by chi-square on the training rows. The
+with at most ``words_per_link`` words a link, chosen by chi-square on the training rows from
+the ``CANDIDATES`` best of the sample, which executors count. The
 model is a few thousand numbers; scoring is one pass over all rows, without a shuffle. Each
 category's cut is the one with the best F1 on the out-of-fold predictions.
 
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import enable_workers, text_of
+from .common import Work, enable_workers, text_of
 
 WORD = re.compile(r"\w+")
-FOLDS, MIN_DOCUMENTS, CANDIDATES, L2 = 5, 3, 4000, 1.0
+FOLDS, MIN_DOCUMENTS, CANDIDATES, L2 = 5, 3, 1500, 1.0
 
 
 def words_of(text: str) -> set[str]:
@@ -160,16 +161,35 @@ def score(model: dict, text: str | None) -> list[float]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, words_per_link: int = 300) -> dict:
     """The chain low_quality, toxic, toxic_and_low from a bounded sample of labelled rows."""
     spark = docs.sparkSession
+    work = Work(spark, "toxicity")
     chosen = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t"))
     chosen = chosen.where("label_id is not null and q is not null and t is not null").orderBy(F.xxhash64("label_id"), "label_id", "q", "t").limit(sample_rows)
     # the limit bounds what is broadcast
     ids = spark.createDataFrame(chosen.collect(), chosen.schema)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
-    rows = rows.select("doc_id", F.length("text").alias("n"), "q", "t", _word_sets(F.col("text")).alias("words")).toPandas()
-    rows = rows.assign(h=[hash((int(i), 17)) for i in rows.doc_id]).sort_values(["h", "doc_id", "q", "t", "n"], ignore_index=True).head(sample_rows)
-    low, toxic = (rows.q == 0).astype(int), (rows.t == 1).astype(int)
-    chain = {"low_quality": low.tolist(), "toxic": toxic.tolist(), "toxic_and_low": (low & toxic).tolist()}
-    return fit_chain([set(w) for w in rows.words], rows.n.tolist(), chain, words_per_link)
+    low, toxic = (F.col("q") == 0).cast("int"), (F.col("t") == 1).cast("int")
+    rows = rows.select("doc_id", F.length("text").alias("n"), low.alias("low"), toxic.alias("toxic"), (low * toxic).alias("both"), _word_sets(F.col("text")).alias("words"))
+    sample = work.save(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "low", "toxic", "n").limit(sample_rows), "sample")
+    # the candidate words are chosen on the executors; the driver gets those and which row has which
+    total = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("low", "toxic", "both")]).first()
+    counts = sample.select(F.explode("words").alias("w"), "low", "toxic", "both").groupBy("w").agg(F.count("*").alias("c"), *[F.sum(c).alias(c) for c in ("low", "toxic", "both")])
+    counts = counts.where((F.col("c") >= MIN_DOCUMENTS) & (F.col("c") < total.n))
+    chi2 = [(F.col(c) - F.col("c") * (total[c] / total.n)) ** 2 / (F.col("c") * (1 - F.col("c") / total.n)) / (total[c] * (1 - total[c] / total.n)) for c in ("low", "toxic", "both") if total[c] and total[c] < total.n]
+    words = [r.w for r in counts.orderBy(F.greatest(*chi2, F.lit(0.0), F.lit(0.0)).desc(), "w").limit(CANDIDATES).collect()]
+    found = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "low", "toxic", "n").select("n", "low", "toxic", "both", _places(words)(F.col("words")).alias("at")).collect()
+    work.drop("sample")
+    chain = {"low_quality": [r.low for r in found], "toxic": [r.toxic for r in found], "toxic_and_low": [r.both for r in found]}
+    return fit_chain([{words[i] for i in r["at"]} for r in found], [r.n for r in found], chain, words_per_link)
+
+
+def _places(words: list[str]):
+    place = {w: i for i, w in enumerate(words)}
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([[place[w] for w in r if w in place] for r in rows], dtype=object)
+
+    return run
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
