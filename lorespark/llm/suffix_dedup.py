@@ -43,7 +43,7 @@ from .common import Work, text_of
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)  # every difference modulo 31 occurs in the cover
-BATCH_BYTES, PACK_ANCHORS, BLOCK_BYTES = 1 << 21, 1_500_000, 3 << 20
+BATCH_BYTES, PACK_ANCHORS, BLOCK_BYTES = 1 << 21, 700_000, 2 << 20
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
 _TABLE = np.random.Generator(np.random.PCG64(8)).integers(0, 2**64, 256, dtype=_U)
