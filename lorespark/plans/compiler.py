@@ -47,6 +47,10 @@ def number(v: Val) -> Column:
     return F.lit(None).cast("double")
 
 
+def whole_number(v: Val) -> Column:
+    return tail(v.col).isin(INTEGER) if v.kind == "term" else F.lit(v.kind == "int")
+
+
 def string(v: Val) -> Column:
     if v.kind == "term":
         return lexical(v.col)
@@ -367,8 +371,14 @@ class Compiler:
             return Val(args[0].kind if args[0].kind == "int" else "num", -number(args[0]))
         if e.op in ("+", "-", "*", "/"):
             a, b = map(number, args)
-            kind = "int" if e.op != "/" and {x.kind for x in args} == {"int"} else "num"
-            return Val(kind, {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a.cast("double"), b.cast("double"))}[e.op])
+            if e.op == "/":
+                return Val("num", F.try_divide(a.cast("double"), b.cast("double")))
+            made = {"+": a + b, "-": a - b, "*": a * b}[e.op]
+            if {x.kind for x in args} <= {"int", "num"}:
+                return Val("int" if {x.kind for x in args} == {"int"} else "num", made)
+            # whole numbers stay whole; which they are shows only in the terms
+            whole = whole_number(args[0]) & whole_number(args[1])
+            return Val("term", F.when(whole, term(Val("int", made.cast("bigint")))).otherwise(term(Val("num", made.cast("double")))))
         if e.op == "cast":
             return self.cast(e.extra["to"], args[0])
         return self.call(e.extra["name"], args)

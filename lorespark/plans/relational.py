@@ -43,7 +43,7 @@ MAPPING: dict[str, tuple[list[str], dict]] = {
         {TERM + "customer": lambda: iri(node("customer", "o_custkey")), TERM + "priority": lambda: literal(F.col("o_orderpriority")), TERM + "year": lambda: literal(gyear(F.year("o_orderdate")), XSD + "gYear")},
     ),
     "lineitem": (
-        ["l_orderkey", "l_linenumber"],
+        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],  # the line number alone is not unique
         {TERM + "order": lambda: iri(node("orders", "l_orderkey")), TERM + "part": lambda: iri(node("part", "l_partkey")), TERM + "quantity": lambda: whole("l_quantity")},
     ),
     "documents": (["doc_id"], {TERM + "lang": lambda: literal(F.col("lang")), TERM + "source": lambda: literal(F.col("source"))}),

@@ -74,7 +74,7 @@ asked(
 asked(
     "optional_nested", "orders lineitem part",
     'SELECT ?o ?l ?brand WHERE { ?o d:priority "1-URGENT" OPTIONAL { ?l d:order ?o ; d:quantity ?q FILTER(?q > 40) OPTIONAL { ?l d:part ?p . ?p d:brand ?brand ; d:size ?s FILTER(?s < 25) } } }',
-    f"""SELECT '{D}orders/' || o_orderkey AS o, '{D}lineitem/' || l_orderkey || '-' || l_linenumber AS l, p_brand AS brand
+    f"""SELECT '{D}orders/' || o_orderkey AS o, '{D}lineitem/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS l, p_brand AS brand
     FROM orders LEFT JOIN (lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25) ON l_orderkey = o_orderkey AND l_quantity > 40 WHERE o_orderpriority = '1-URGENT'""",
 )
 asked(
@@ -273,7 +273,7 @@ def descriptor_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "group", "term_a", "term_b", "file_a", "file_b")
 
 
-_ROSTER = "r(name) AS (VALUES ('Theatre with'), ('Zyx'), ('of'), ('the-end'), ('Avec Plaisir'), ('qq ww'), ('in. To'))"
+_ROSTER = "r(name) AS (VALUES ('Theatre with'), ('Zyx'), ('of'), ('the-end'), ('Avec Plaisir'), ('qq ww'), ('in of'))"
 
 
 @query(
@@ -282,7 +282,7 @@ _ROSTER = "r(name) AS (VALUES ('Theatre with'), ('Zyx'), ('of'), ('the-end'), ('
 )
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a roster that no document mentions."""
-    roster = spark.createDataFrame([("Theatre with",), ("Zyx",), ("of",), ("the-end",), ("Avec Plaisir",), ("qq ww",), ("in. To",)], "name string")
+    roster = spark.createDataFrame([("Theatre with",), ("Zyx",), ("of",), ("the-end",), ("Avec Plaisir",), ("qq ww",), ("in of",)], "name string")
     return roster.join(T.mentioned(roster, table(spark, sf_dir, "documents")), "name", "left_anti")
 
 
@@ -342,13 +342,13 @@ def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("b.k") == F.col("a.k") + 1)).select(F.col("a.uri").alias("x"), F.col("b.uri").alias("y"), F.col("a.k").alias("k"))
     names = F.array(*[F.lit(r) for r in V.RELATIONS])
     one = pairs.select("x", F.get(names, F.col("k") % 5).alias("rel"), "y")
-    two = pairs.where("k % 4 = 0").select(F.col("y").alias("x"), F.lit("follows").alias("rel"), F.col("x").alias("y"))
+    two = pairs.where("k % 2 = 0").select(F.col("y").alias("x"), F.lit("follows").alias("rel"), F.col("x").alias("y"))
     rel = one.union(two)
     return graph_union(*[triples(rel.where(F.col("rel") == r), F.col("x"), p, iri(F.col("y"))) for r, p in V.RELATIONS.items()])
 
 
 _RELATED = f"""{_SPANS}, pr AS (SELECT a.uri AS x, b.uri AS y, a.k FROM e a JOIN e b ON a.t = b.t AND b.k = a.k + 1),
- rel AS (SELECT x AS a, ['follows', 'precedes', 'overlaps', 'includes', 'included_in'][k % 5 + 1] AS rel, y AS b FROM pr UNION SELECT y, 'follows', x FROM pr WHERE k % 4 = 0),
+ rel AS (SELECT x AS a, ['follows', 'precedes', 'overlaps', 'includes', 'included_in'][k % 5 + 1] AS rel, y AS b FROM pr UNION SELECT y, 'follows', x FROM pr WHERE k % 2 = 0),
  bef AS (SELECT b AS x, a AS y FROM rel WHERE rel = 'follows' UNION SELECT a, b FROM rel WHERE rel = 'precedes')"""
 
 
