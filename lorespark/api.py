@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.ingest import Build, build
 from .operators.rules import Context, Report, discover, run_rules, select
-from .operators.status import State, aggregate, next_actions
+from .operators.status import Action, State, aggregate, next_actions
 from .plans.compiler import sparql
 from .sources.project import Config, read_files
 from .vocabulary import PREFIXES
@@ -48,3 +50,31 @@ def success(**fields: object) -> str:
 def failure(code: str, message: str, details: object = None) -> str:
     """A one-line JSON document of an error."""
     return json.dumps({"status": "error", "code": code, "message": message} | ({"details": details} if details is not None else {}), ensure_ascii=False, separators=(",", ":"), default=str) + "\n"
+
+
+def table(df: DataFrame, limit: int = 1000) -> str:
+    """Query rows as text in aligned columns; an unbound cell is empty. For reading, so at most limit rows."""
+    rows = [df.columns, *[["" if v is None else str(v) for v in r] for r in df.limit(limit).collect()]]
+    wide = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in rows) + "\n"
+
+
+def render(report: Report, scope: str | None = None, severity: str = "info") -> str:
+    """Findings grouped by rule, then what was not judged, as text. The filters touch findings only."""
+    shown = report.payload(scope, severity)
+    out = []
+    for name, found in shown["validators"].items():
+        out += [f"{name}:", *[f"  {f['severity']}: {f['message']}" + (f" ({f['source']})" if f["source"] else "") for f in found]]
+    out += [f"not evaluated: {n['validator']}: {n['reason']}" for n in shown["not_evaluated"]]
+    out += [f"error: {name}: {message}" for name, message, _ in shown["errors"]]
+    out.append(", ".join(f"{n} {s}" for s, n in shown["counts"].items()))
+    return "\n".join(out) + "\n"
+
+
+def status_document(state: State, actions: list[Action], cache: str | Path | None = None) -> str:
+    """The status as one line of JSON; the same bytes go to the cache file, if one is named."""
+    text = success(state=asdict(state), next_actions=[asdict(a) for a in actions])
+    if cache:
+        Path(cache).parent.mkdir(parents=True, exist_ok=True)
+        Path(cache).write_text(text, "utf-8")
+    return text

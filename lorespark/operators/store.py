@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
 
 
+def write_back(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Writes df as Parquet and reads it back; the shuffle files behind it are removed."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """A folder of phase results below the shared folder."""
 
@@ -30,12 +41,5 @@ class Store:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Writes df and reads it back; the shuffle files behind it are removed."""
         self.n += 1
-        path, conf, before = f"{self.root}/{self.n}", self.spark.conf, self.spark.conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write_back(self.spark, df, f"{self.root}/{self.n}")

@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from lorespark import vocabulary as V
-from lorespark.api import failure, query, status, success, validate
+from lorespark.api import failure, query, render, status, status_document, success, table, validate
 from lorespark.functions.text import make_slug
 from lorespark.operators.ingest import IngestError, build
 from lorespark.operators.rules import RULES, Context, NotEvaluated, Report, discover, run_rules, select, voice
@@ -109,10 +109,15 @@ def test_rules(project):
     assert {(n[0], n[3]) for n in report.not_evaluated} == {("character_unknown_mentions", "undeclared_characters"), ("focalization", "head_hopping"), ("focalization", "first_person_recall")}
     assert report.ordered(scope="manuscript").count() == 2 and report.ordered(severity="error").count() == 2
     assert report.payload()["counts"] == {"error": 2, "warning": 7, "info": 0}
+    text = render(report, severity="error")
+    assert text.startswith("character_presence:\n  error: ") and text.endswith("2 error, 7 warning, 0 info\n") and "orphan beat" not in text
 
 
-def test_status(project):
+def test_status(project, tmp_path):
     state, actions = status(*project)
+    assert (tmp_path / "s.json").exists() is False
+    assert status_document(state, actions, tmp_path / "s.json") == (tmp_path / "s.json").read_text("utf-8")
+    assert table(query(project[0].graph, "SELECT ?l ?q { ?s a golem:G9_Narrative_Unit ; rdfs:label ?l OPTIONAL { ?s bw:open ?q } } ORDER BY ?l LIMIT 1")) == "l      q\nAlone\n"
     assert [q[0] for q in state.open_questions] == ["q1", "f3"]
     assert state.low_reliability == [("f2", "baja", "bible/research/sea.md")]
     assert [(p, c, list(x)) for p, c, _, x in state.unresolved_anchors] == [("f2", "timeline", ["under_reliable"]), ("f3", "Nowhere", ["missing_target", "unsourced"])]
