@@ -80,7 +80,7 @@ def locator(source: Column) -> tuple[Column, Column]:
 
 
 # Line ends: those of Python's splitlines.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BLOCK_PREFIX = "(?U)^(?:#{1,6}\\s+|\\s*[-*+>]\\s+|\\s*[—–―]\\s*)+"
 PLACEHOLDER = r"(?iU)^\s*\[pending\b[^\]]*\]\s*$"
 DIALOGUE = "^[—–\\-\"«“'‘]"
