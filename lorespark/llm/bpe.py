@@ -10,10 +10,11 @@ until both sides of the join end at white space. There the tokenizer's state is
 (its normaliser, its added tokens and its word pattern never cross white space), so the
 result agrees exactly with encoding the whole text.
 
-Inside a chunk, each white-space-free run is encoded once too. Both stores are bounded: a
-store holds at most two generations of ``CACHE_WORDS`` / ``CACHE_CHUNKS`` entries and drops
-the older one when the newer is full; an entry that is dropped is only encoded again. They
-live in the Python worker, so a lost executor loses nothing but the stores.
+Inside a chunk, each white-space-free run is encoded once too. Texts are taken in runs of
+``BATCH_CHARS``, whose new words go to the tokenizer in one call. Both stores are bounded:
+beyond ``CACHE_WORDS`` words only those that came again stay, and chunks are kept in two
+generations of ``CACHE_CHUNKS``; what is dropped is only encoded again. The stores live in
+the Python worker, so a lost executor loses nothing but them.
 
 Defined cases: null text is empty: no ids, empty decoded text; each row of a repeated id
 gives its own row; an empty table gives an empty result; texts of any length are encoded
@@ -27,6 +28,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ from .common import enable_workers, text_of
 
 WINDOW = 16
 MASK = 0x1FF  # 512 bytes a chunk on average
-CACHE_WORDS, CACHE_CHUNKS, LONG_WORD = 200_000, 12_000, 200
+CACHE_WORDS, CACHE_CHUNKS, LONG_WORD, BATCH_CHARS = 60_000, 3_000, 200, 500_000
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # the tokenizer's \s; not \x1c-\x1f
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _PACK = struct.pack
@@ -101,84 +103,109 @@ class Encoder:
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = {i: name for name, i in vocabulary.items()}
-        self.words, self.chunks = _Store(CACHE_WORDS), _Store(CACHE_CHUNKS)
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.often: set[str] = set()  # words that were there when they came again
+        self.chunks = _Store(CACHE_CHUNKS)
 
     def _encode_words(self, words: list[str]) -> None:
-        names = self.names
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
+        """Encodes new words, many to a text: white space parts them exactly, and offsets tell whose token is whose."""
+        names, known = self.names, self.words
+        parts = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for part, e in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = list(accumulate(len(w) + 1 for w in part))
+            edges = np.searchsorted([a for a, _ in e.offsets], ends).tolist() if ids else [0] * len(part)
+            lo = 0
+            for word, hi in zip(part, edges, strict=True):
+                own = ids[lo:hi]
+                lo = hi
                 # the file names no decoder, so decoding joins the tokens by a space
-                value = (_PACK(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids]))
-                self.fresh[word] = value
-                if len(word) <= LONG_WORD:
-                    self.words[word] = value
-
-    def _look_up(self, words: list[str]) -> list[tuple[bytes, str]]:
-        new, fresh = self.words.new.get, self.fresh
-        found = [new(w) for w in words]
-        if None in found:
-            found = [x or self.words.get(w) or fresh.get(w) for x, w in zip(found, words, strict=True)]
-            if None in found:
-                self._encode_words(list(dict.fromkeys(w for x, w in zip(found, words, strict=True) if x is None)))
-                found = [x or fresh[w] for x, w in zip(found, words, strict=True)]
-        return found
-
-    def _join(self, words: list[str]) -> tuple[bytes, str]:
-        found = self._look_up(words)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
-
-    def _chunk(self, data: bytes) -> tuple[str | None, bytes, str, str]:
-        """(left end, ids, decoded, right end); left end None: no white space at all."""
-        kept = self.chunks.get(data)
-        if kept is None:
-            text = data.decode("utf-8", "surrogateescape")
-            first = SPACE.search(text)
-            if first is None:
-                kept = (None, b"", "", text)
-            else:
-                body = text[first.end() :]
-                words = split_words(body)
-                # the last run is open unless white space follows it
-                open_end = words.pop() if words and not SPACE.match(body[-1]) else ""
-                kept = (text[: first.start()], *self._join(words), open_end)
-            if len(data) <= 8 * (MASK + 1):
-                self.chunks[data] = kept
-        return kept
+                known[word] = (_PACK(f"<{len(own)}I", *own), " ".join([names[i] for i in own]))
+
+    def _part(self, data: bytes) -> tuple[str | None, list[str], str]:
+        """(left end, words between, right end) of a chunk; left end None: no white space at all."""
+        text = data.decode("utf-8", "surrogateescape")
+        first = SPACE.search(text)
+        if first is None:
+            return None, [], text
+        body = text[first.end() :]
+        words = split_words(body)
+        # the last run is open unless white space follows it
+        open_end = words.pop() if words and not SPACE.match(body[-1]) else ""
+        return text[: first.start()], words, open_end
+
+    def encode_many(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
+        known, kept, fresh = self.words, self.chunks, {}
+        plans: list[list] = []
+        wanted: set[str] = set()
+        for text in texts:
+            data, at, open_end, plan = (text or "").encode(), 0, [""], []
+
+            def close(right: str, open_end: list[str], plan: list) -> None:
+                """The repaired join: both ends, and all between without white space, as one run of text."""
+                if word := "".join([*open_end, right]):
+                    # a cut may have parted one character's bytes
+                    word = word.encode("utf-8", "surrogateescape").decode()
+                    wanted.add(word)
+                    plan.append(word)
+
+            for end in cuts(data):
+                chunk, at = data[at:end], end
+                done = fresh.get(chunk) or kept.get(chunk)
+                if done is None:
+                    left, words, right = self._part(chunk)
+                    wanted.update(words)
+                    done = fresh[chunk] = [left, words, right, None]
+                if done[0] is None:
+                    open_end.append(done[2])
+                    continue
+                close(done[0], open_end, plan)
+                plan.append(done)
+                open_end = [done[2]]
+            close("", open_end, plan)
+            plans.append(plan)
+        again = {w for w in wanted if w in known}
+        self.often |= again
+        new = list(wanted - again)
+        if new:
+            self._encode_words(new)
+        for chunk, done in fresh.items():
+            found = [known[w] for w in done[1]]
+            done[3] = (b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]))
+            done[1] = ()
+            if len(chunk) <= 8 * (MASK + 1):
+                kept[chunk] = done
+        out = []
+        for plan in plans:
+            parts = [known[x] if type(x) is str else x[3] for x in plan]
+            out.append((b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[0]])))
+        if len(known) > CACHE_WORDS:  # the words that came again stay
+            if len(self.often) > CACHE_WORDS // 2:
+                self.often = again
+            self.words = {w: known[w] for w in self.often if w in known and len(w) <= LONG_WORD}
+        else:
+            for w in new:
+                if len(w) > LONG_WORD:
+                    del known[w]
+        return out
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
-        """ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        data = (text or "").encode()
-        self.fresh: dict = {}
-        ids: list[bytes] = []
-        decoded: list[str] = []
-        open_end, at = [""], 0
-
-        def close(right: str) -> None:
-            """The repaired join: both ends as one run of text."""
-            word = "".join([*open_end, right])
-            if word:
-                # a cut may have parted one character's bytes
-                word = word.encode("utf-8", "surrogateescape").decode()
-                add(*self._join([word]))
-
-        def add(more: bytes, said: str) -> None:
-            if more:
-                ids.append(more)
-                decoded.append(said)
-
-        for end in cuts(data):
-            left, core, said, right = self._chunk(data[at:end])
-            at = end
-            if left is None:
-                open_end.append(right)
-                continue
-            close(left)
-            add(core, said)
-            open_end = [right]
-        close("")
-        return b"".join(ids), " ".join(decoded)
+        return self.encode_many([text])[0]
+
+
+def batches_of(texts: list[str], size: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """Texts in runs of about size characters."""
+    part: list[str] = []
+    n = 0
+    for text in texts:
+        part.append(text)
+        n += len(text or "")
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -200,12 +227,12 @@ def encoded(text: Column, path: str, with_ids: bool = False) -> Column:
         enc = encoder(path)
         for batch in batches:
             rows = []
-            for text in batch:
-                ids, said = enc.encode(text)
+            for ids, said in (x for part in batches_of(batch.tolist()) for x in enc.encode_many(part)):
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode("utf-8")).hexdigest()]
                 rows.append([*row, np.frombuffer(ids, "<u4").astype("int32"), said] if with_ids else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]]
             yield pd.DataFrame(rows, columns=names)
+        enc.chunks.old = {}  # an idle worker keeps one generation
 
     return run(text_of(text))
 
