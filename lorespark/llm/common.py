@@ -14,30 +14,24 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..operators.store import shared_dir, write_back
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def enable_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it is used from a checkout."""
+    """Readies Python workers: they can import this package from a checkout, and batches are small.
+
+    Texts may be long, and a worker holds its batch several times over, so where the session
+    has Spark's default of 64 MB a batch, it becomes 8 MB.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a folder of its own; a cluster has none that
-    could be guessed, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+    if spark.conf.get(BATCH_BYTES).lower().removesuffix("b") in (str(64 << 20), "64m"):
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 class Work:
@@ -50,14 +44,7 @@ class Work:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back; the shuffle files behind it are removed."""
-        path = f"{self.root}/{name}"
-        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
-        try:
-            df.write.mode("overwrite").parquet(path)
-        finally:
-            conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write_back(self.spark, df, f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         """Removes results that no later phase reads."""
