@@ -7,7 +7,8 @@ a class, forward and backward, are compared with each other, and better neighbou
 Only classes whose lists changed are joined again. A list whose last entry is still above
 the threshold is saturated and keeps twice as many entries.
 
-The edges above the threshold then give components, and each component is completed:
+The search moves vectors in half precision. The edges that may reach the threshold then give
+components, and each component is completed:
 its vectors are compared with each other in blocks of ``BLOCK`` in double precision, where
 links are counted, not listed. So a dense group of any size costs rows in proportion to its
 members and blocks, never one row a pair, and no list length caps the links. Links below the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, components
 
-BLOCK, WINDOW, LIST, SLACK = 2048, 48, 12, 1e-5
+BLOCK, WINDOW, LIST, SLACK = 2048, 48, 12, 4e-3  # the search holds half-precision vectors
 
 
 def _numbers(col: pa.Array) -> list[np.ndarray | None]:
@@ -106,7 +107,7 @@ def _codes(tables: int, seed: int):
                     planes[dim] = np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, 32 * tables))
                 x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), dim)
                 side = (x @ planes[dim] > 0).reshape(len(at), tables, 32) @ bits
-                small = [row.tobytes() for row in x.astype(np.float32)]
+                small = [row.tobytes() for row in x.astype(np.float16)]
                 ids = np.asarray(batch.column(0))[at]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -141,6 +142,10 @@ def _best(x: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = Non
     return ids[row[good]], ids[at[good]], sims[good]
 
 
+def _wide(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+
+
 def _window_neighbours(k: int):
     """Neighbours from blocks of 2 * WINDOW rows in sorted order, overlapping by half."""
 
@@ -152,7 +157,7 @@ def _window_neighbours(k: int):
 
         def flush() -> None:
             if len(ids) > 1:
-                for x, y in zip((a, b, s), _best(np.frombuffer(b"".join(rows), np.float32).reshape(len(ids), -1), np.array(ids, np.int64), k), strict=True):
+                for x, y in zip((a, b, s), _best(_wide(rows), np.array(ids, np.int64), k), strict=True):
                     x.append(y)
 
         for batch in batches:
@@ -184,8 +189,7 @@ def _local_join(k: int):
             for at in range(0, len(ids), 4 * WINDOW):
                 part = slice(at, at + 4 * WINDOW)
                 if len(ids[part]) > 1:
-                    x = np.frombuffer(b"".join(rows[part]), np.float32).reshape(len(ids[part]), -1)
-                    found = _best(x, np.array(ids[part], np.int64), k, np.array(least[part], np.float32))
+                    found = _best(_wide(rows[part]), np.array(ids[part], np.int64), k, np.array(least[part], np.float32))
                     for have, more in zip((a, b, s), found, strict=True):
                         have.append(more)
                     n += len(found[0])
@@ -275,7 +279,7 @@ def descend(work: Work, points: DataFrame, threshold: float, tables: int, rounds
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        small = [np.frombuffer(u, np.float64).astype(np.float32).tobytes() for u in batch.column(1).to_pylist()]
+        small = [np.frombuffer(u, np.float64).astype(np.float16).tobytes() for u in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["m", "u"])
 
 
