@@ -20,8 +20,10 @@ from ..operators.reach import closure
 from ..terms import RDF, XSD, datatype_of, is_literal, language_of, lexical, object_code, split_code, tail
 from .parser import Const, Expr, Group, Path, Pattern, QueryError, Select, Var, parse
 
-NUMERIC = [f"^^{XSD}{t}" for t in ("integer", "decimal", "double", "float", "int", "long", "short", "nonNegativeInteger", "positiveInteger", "gYear")]
-INTEGER = [f"^^{XSD}{t}" for t in ("integer", "int", "long", "short", "nonNegativeInteger", "positiveInteger")]
+_WHOLE = "integer|int|long|short|nonNegativeInteger|positiveInteger"
+_TYPED = r'(?s)^".*"\^\^' + XSD.replace(".", r"\.")
+WHOLE_CODE = f"{_TYPED}(?:{_WHOLE})$"
+NUMBER_CODE = f"{_TYPED}(?:{_WHOLE}|decimal|double|float)$"
 
 
 @dataclass
@@ -43,12 +45,12 @@ def number(v: Val) -> Column:
     if v.kind in ("num", "int"):
         return v.col
     if v.kind == "term":
-        return F.when(tail(v.col).isin([t for t in NUMERIC if not t.endswith("gYear")]), lexical(v.col).try_cast("double"))
+        return F.when(v.col.rlike(NUMBER_CODE), F.regexp_extract(v.col, r'(?s)^"(.*)"', 1).try_cast("double"))
     return F.lit(None).cast("double")
 
 
 def whole_number(v: Val) -> Column:
-    return tail(v.col).isin(INTEGER) if v.kind == "term" else F.lit(v.kind == "int")
+    return v.col.rlike(WHOLE_CODE) if v.kind == "term" else F.lit(v.kind == "int")
 
 
 def string(v: Val) -> Column:
@@ -68,7 +70,7 @@ def truth(v: Val) -> Column:
     return (
         F.when(~is_literal(v.col), F.lit(None).cast("boolean"))
         .when(t == f"^^{XSD}boolean", lexical(v.col).isin("true", "1"))
-        .when(t.isin(NUMERIC), F.coalesce(lexical(v.col).try_cast("double") != 0, F.lit(False)))
+        .when(v.col.rlike(NUMBER_CODE), F.coalesce(lexical(v.col).try_cast("double") != 0, F.lit(False)))
         .when((t == "") | F.startswith(t, F.lit("@")), F.length(lexical(v.col)) > 0)
     )
 
@@ -487,7 +489,7 @@ class Compiler:
         n = number(v)
         if name == "AVG":
             return Val("num", F.coalesce(F.try_divide(F.sum_distinct(n), F.count_distinct(n)) if distinct else F.avg(n), F.lit(0.0)))
-        whole = F.coalesce(F.min(tail(c).isin(INTEGER)), F.lit(True))
+        whole = F.coalesce(F.min(c.rlike(WHOLE_CODE)), F.lit(True))
         exact = lexical(c).try_cast("bigint")
         total = F.sum_distinct if distinct else F.sum
         code = F.when(whole, F.concat(F.lit('"'), F.coalesce(total(exact), F.lit(0)).cast("string"), F.lit(f'"^^{XSD}integer')))
