@@ -39,7 +39,7 @@ from .common import enable_workers, text_of
 
 WINDOW = 16
 MASK = 0x1FF  # 512 bytes a chunk on average
-CACHE_WORDS, CACHE_CHUNKS, LONG_WORD, BATCH_CHARS = 60_000, 3_000, 200, 500_000
+CACHE_WORDS, CACHE_CHUNKS, LONG_WORD, BATCH_CHARS = 120_000, 6_000, 200, 1_000_000
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # the tokenizer's \s; not \x1c-\x1f
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _PACK = struct.pack
