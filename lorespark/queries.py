@@ -289,7 +289,7 @@ def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- time
 
 
-def _spans(spark: SparkSession, sf_dir: str, least: float = 250.0) -> DataFrame:
+def _spans(spark: SparkSession, sf_dir: str, least: float = 60.0) -> DataFrame:
     """(uri, begin, end): first and last day of each user's dear events of a type."""
     e = table(spark, sf_dir, "events").where(F.col("value") > least)
     uri = F.concat(F.lit(f"{B}event/"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type"))
@@ -310,7 +310,7 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_union(*out)
 
 
-_SPANS = f"""e AS (SELECT '{B}event/' || user_id || '-' || event_type AS uri, user_id AS k, event_type AS t, min(day(ts))::INTEGER AS b, max(day(ts))::INTEGER AS z FROM events WHERE value > 250 GROUP BY user_id, event_type),
+_SPANS = f"""e AS (SELECT '{B}event/' || user_id || '-' || event_type AS uri, user_id AS k, event_type AS t, min(day(ts))::INTEGER AS b, max(day(ts))::INTEGER AS z FROM events WHERE value > 60 GROUP BY user_id, event_type),
  s AS (SELECT uri, k, t, CASE WHEN k % 5 <> 0 THEN b END AS begin, CASE WHEN k % 3 <> 0 THEN z END AS "end" FROM e)"""
 
 
