@@ -8,7 +8,9 @@ Only classes whose lists changed are joined again. A list whose last entry is st
 the threshold is saturated and keeps twice as many entries.
 
 The search moves vectors in half precision. The edges that may reach the threshold then give
-components, and each component is completed:
+components. Lists that are full of links may hide links to another component: both ends of
+such a link lie in components of more than ``LIST`` classes, which are compared with each
+other exactly and joined where they link (``bridges``). Then each component is completed:
 its vectors are compared with each other in blocks of ``BLOCK`` in double precision, where
 links are counted, not listed. So a dense group of any size costs rows in proportion to its
 members and blocks, never one row a pair, and no list length caps the links. Links below the
@@ -239,7 +241,7 @@ def _merge(found: DataFrame, threshold: float) -> DataFrame:
     """Lists (id, nb, sim, born): the best LIST of each id, twice as many where those are all links."""
     one = found.groupBy("id", "nb").agg(F.max("sim").alias("sim"), F.min("born").alias("born"))
     ranked = one.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("d"), "nb", "born"))).alias("l"))
-    saturated = (F.size("l") > LIST) & (F.get("l", F.lit(LIST - 1))["d"] <= -threshold)
+    saturated = (F.size("l") > LIST) & (F.get("l", F.lit(LIST - 1))["d"] <= SLACK - threshold)
     kept = ranked.select("id", F.explode(F.slice("l", 1, F.when(saturated, 2 * LIST).otherwise(LIST))).alias("x"))
     return kept.select("id", "x.nb", (-F.col("x.d")).alias("sim"), "x.born")
 
@@ -283,9 +285,89 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["m", "u"])
 
 
+def _angle(x: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x, -1, 1))
+
+
+def _from_pivot(reach: float | None):
+    """Of rows (key, id, side, w, u, p, r): those within reach + r of the pivot p, or, without reach, (key, angle) of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, p = batch.column("u").to_pylist(), batch.column("p").to_pylist()
+            angle = _angle(np.array([np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64) for x, y in zip(u, p, strict=True)], np.float64))
+            if reach is None:
+                yield pa.RecordBatch.from_arrays([batch.column("component"), pa.array(angle, pa.float64())], names=["component", "r"])
+            else:
+                near = pa.array(angle <= reach + np.asarray(batch.column("r")), pa.bool_())
+                yield batch.select(["a", "b", "side", "id", "w", "u"]).filter(near)
+
+    return run
+
+
+def _near_pivots(reach: float):
+    """Of one pair of blocks of pivots: the pairs of components within reach plus both radii."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), (side, ids, r, rows) in groups(batches, 3):
+            ids, r, side = np.array(ids, np.int64), np.array(r), np.array(side)
+            x = np.frombuffer(b"".join(rows), np.float64).reshape(len(ids), -1)
+            for at in range(0, len(ids), 256):
+                part = slice(at, at + 256)
+                near = (_angle(x[part] @ x.T) <= reach + r[part, None] + r[None, :]) & (ids[part, None] < ids[None, :])
+                if i != j:
+                    near &= side[part, None] != side[None, :]
+                a, b = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part][a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def bridges(work: Work, points: DataFrame, member: DataFrame, threshold: float, tag: str) -> DataFrame | None:
+    """Links (a, b) between components of more than LIST classes, at least one of each two that link; None without two such.
+
+    A component's least class is its pivot. By the triangle inequality of angles two components
+    can only link where their pivots are within the threshold's angle and both radii, and there
+    only members that near the other's pivot; those are compared in blocks, all of them.
+    """
+    reach = float(np.arccos(threshold)) + 1e-6
+    big = work.save(member.groupBy("component").count().where(F.col("count") > LIST).select("component"), f"{tag}big")
+    if len(big.take(2)) < 2:
+        return None
+    inside = member.join(big, "component", "left_semi").join(points.withColumnRenamed("id", "node"), "node")
+    inside = work.save(inside.select("component", "node", "w", "u"), f"{tag}inside")
+    pivot = inside.where("node = component").select("component", F.col("u").alias("p"))
+    radius = inside.select("component", "u").join(pivot, "component").mapInArrow(_from_pivot(None), "component long, r double")
+    pivots = work.save(pivot.join(radius.groupBy("component").agg(F.max("r").alias("r")), "component"), f"{tag}pivots")
+    n = -(-pivots.count() // BLOCK)
+    cells = pivots.select(F.length("p").alias("size"), F.pmod(F.xxhash64("component"), F.lit(n)).cast("int").alias("i"), "component", "r", "p")
+    cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = cells.select("size", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("side"), "component", "r", "p")
+    cells = cells.repartition("size", "x", "y").sortWithinPartitions("size", "x", "y")
+    pairs = work.save(cells.mapInArrow(_near_pivots(reach), "a long, b long"), f"{tag}pairs")
+    sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("component"), F.col("b").alias("other"))
+    sides = sides.union(pairs.select("a", "b", F.lit(1), F.col("b"), F.col("a")))
+    there = inside.join(sides, "component").join(pivots.withColumnRenamed("component", "other"), "other")
+    there = there.select("a", "b", "side", F.col("node").alias("id"), "w", "u", "p", "r")
+    there = work.save(there.mapInArrow(_from_pivot(reach), "a long, b long, side int, id long, w long, u binary"), f"{tag}there")
+    blocks = lambda s: F.ceil(F.sum((F.col("side") == s).cast("int")) / BLOCK).cast("int")
+    sizes = there.groupBy("a", "b").agg(blocks(0).alias("m"), blocks(1).alias("n")).where("m > 0 and n > 0")
+    placed = there.join(work.save(sizes, f"{tag}bridged"), ["a", "b"])
+    mine, others = F.when(F.col("side") == 0, F.col("m")).otherwise(F.col("n")), F.when(F.col("side") == 0, F.col("n")).otherwise(F.col("m"))
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("id"), mine).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), others - 1)))
+    i, j = (F.when(F.col("side") == s, F.col("at")).otherwise(F.col("to")) for s in (0, 1))
+    placed = placed.select(F.struct("a", "b").alias("component"), i.alias("i"), (-1 - j).alias("j"), "side", "id", "w", "u")
+    placed = placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    linked = placed.mapInArrow(_count_block(threshold), "id long, n long, low long").where("id <> low")
+    return work.save(linked.select(F.col("id").alias("a"), F.col("low").alias("b")), f"{tag}bridges")
+
+
 def complete(work: Work, points: DataFrame, edges: DataFrame, threshold: float, tag: str) -> tuple[DataFrame, DataFrame]:
     """(id, n_links) and (node, component) of every class in a component of the edges, exact within it."""
     member = work.save(components(work, edges), f"{tag}member")
+    across = bridges(work, points, member, threshold, tag)
+    if across is not None and across.take(1):
+        member = work.save(components(work, edges.union(across)), f"{tag}member1")
     sizes = work.save(member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), f"{tag}sizes")
     placed = member.join(sizes, "component").join(points.withColumnRenamed("id", "node"), "node")
     placed = placed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -448,6 +448,27 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert got == [(i, int(n[i]), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
 
 
+def clumps(groups=5, each=120, d=32, apart=0.15):
+    """Tight groups, each vector nearer to its own than to the others, all of them linked."""
+    rng = np.random.default_rng(4)
+    x = np.zeros((groups * each, d))
+    x[:, 0] = 1
+    x[np.arange(len(x)), 1 + np.arange(len(x)) % groups] = apart
+    return x + 1e-3 * rng.standard_normal(x.shape)
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_full_lists_hide_no_links(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    x = np.concatenate([clumps(), -clumps(2, 30, apart=0.5), vectors(60, 32)])  # the middle two groups do not link
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    n, label = brute_links(x)
+    assert n[:600].min() == 599 and len(set(label[600:660].tolist())) == 2
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(d).collect())
+    assert got == [(i, int(n[i]), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [3.0, 0.1]), (9, [0.0, 1.0])]
     d = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, n_links int")
