@@ -469,6 +469,31 @@ def test_full_lists_hide_no_links(spark, monkeypatch, block):
     assert got == [(i, int(n[i]), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
 
 
+def test_audit_weighs_queries_not_links(spark):
+    rng = np.random.default_rng(6)
+    hot, far = rng.standard_normal(32) + 1e-3 * rng.standard_normal((300, 32)), np.repeat(rng.standard_normal((60, 32)), 2, 0) + 1e-3 * rng.standard_normal((120, 32))
+    x = np.concatenate([hot, far])
+    points = spark.createDataFrame([(i, 1, embeddings.unit(v).tobytes()) for i, v in enumerate(x)], "id long, w long, u binary")
+    found = lambda n: (spark.createDataFrame([(i, 299 if i < 300 else 1) for i in range(n)], "id long, n_links long"), spark.createDataFrame([(i, 0 if i < 300 else i - i % 2) for i in range(n)], "node long, component long"))
+    assert embeddings.audit(points, *found(420), 0.95) == 1
+    assert embeddings.audit(points, *found(300), 0.95) == 0  # all pairs outside the hot group are missed
+    none = spark.createDataFrame([], "id long, n_links long"), spark.createDataFrame([], "node long, component long")
+    assert embeddings.audit(points, *none, 0.95) == 0
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "audit", lambda *a: 0.5)
+    d = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        embeddings.near_duplicates(d)
+
+
+def test_the_hot_group_does_not_end_the_descent(spark):
+    lists = [(i, 100 + j, 0.99, 0) for i in range(50) for j in range(24)] + [(900, 901, 0.97, 2), (901, 900, 0.97, 2), (902, 903, 0.5, 1)]
+    df = spark.createDataFrame(lists, "id long, nb long, sim double, born int")
+    assert not embeddings._settled(df, 0.95, 2) and embeddings._settled(df, 0.95, 3)
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [3.0, 0.1]), (9, [0.0, 1.0])]
     d = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, n_links int")
