@@ -6,7 +6,9 @@ walks the tree as a browser lays it out: what scripts, styles, metadata, hidden
 ``display:none`` elements hold is not visible; all other text is. White space collapses
 except in preformatted text; blocks stand on lines of their own, paragraphs and headings
 with a blank line between; list items get their bullet or number and their indent; a
-table's cells are padded so that columns align.
+table's cells are padded so that columns align. What a table holds outside of its cells and
+caption moves before it, a cell outside of a row gets a row, and a form between table parts is
+transparent, as browsers do.
 
 Defined cases: null or empty html gives the empty text; broken markup never fails: unknown
 end tags are dropped and open elements end with the text; nesting beyond ``MAX_DEPTH``
@@ -36,7 +38,7 @@ WHITE = re.compile(r"[ \t\n\r\f]+")
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg annotation annotation-xml datalist area base link meta param source track".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -59,6 +61,15 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "a": ({"a"}, {"table", "td", "th"}),
 }
+# Parts of a table: the open elements that may hold each, and what else may stand in a table.
+PARTS = {
+    **dict.fromkeys(("td", "th"), frozenset("tr tbody thead tfoot table".split())),
+    "tr": frozenset("tbody thead tfoot table".split()),
+    "col": frozenset("colgroup table".split()),
+    **dict.fromkeys("tbody thead tfoot caption colgroup".split(), frozenset({"table"})),
+}
+FRAMES = frozenset("table tbody thead tfoot tr colgroup".split())
+IN_TABLE = frozenset("script style template form".split())
 LIMITS = frozenset("table td th caption html button object".split())
 
 
@@ -91,9 +102,18 @@ def parse(html: str) -> Node:
             if stack[i].name in stop:
                 return
 
+    def put(kid: Node | str) -> None:
+        """Adds to the open element; before its table what no part of a table may hold."""
+        if stack[-1].name in FRAMES and (not WHITE.fullmatch(kid) if isinstance(kid, str) else kid.name not in PARTS and kid.name not in IN_TABLE):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == "table":
+                    stack[i - 1].kids.insert(len(stack[i - 1].kids) - 1, kid)  # an open element is the last child
+                    return
+        stack[-1].kids.append(kid)
+
     def add_text(text: str) -> None:
         if text:
-            stack[-1].kids.append(entities.unescape(text) if "&" in text else text)
+            put(entities.unescape(text) if "&" in text else text)
 
     while True:
         i = html.find("<", at)
@@ -119,9 +139,9 @@ def parse(html: str) -> Node:
         name = m[2].lower()
         if m[1]:
             if name == "br":
-                stack[-1].kids.append(Node("br", {}))
+                put(Node("br", {}))
             elif name == "p" and not any(n.name == "p" for n in stack):
-                stack[-1].kids.append(Node("p", {}))
+                put(Node("p", {}))
             elif name not in ("html", "body"):
                 close({name}, {"table"} if name not in ("table", "caption") and name in IMPLIED else ({"td", "th"} if name not in ("tr", "tbody", "thead", "tfoot", "table") else frozenset()))
             continue
@@ -141,8 +161,22 @@ def parse(html: str) -> Node:
             close({"p"}, LIMITS)
         if name[0] == "h" and len(name) == 2 and name[1].isdigit() and stack[-1].name[0] == "h" and stack[-1].name[1:].isdigit():
             stack.pop()
+        framed = stack[-1].name in FRAMES or name in PARTS
+        if framed and any(n.name == "table" for n in stack):
+            if name in PARTS:
+                while stack[-1].name not in PARTS[name]:
+                    stack.pop()
+                if name in ("td", "th") and stack[-1].name != "tr" and len(stack) < MAX_DEPTH:
+                    stack[-1].kids.append(Node("tr", {}))
+                    stack.append(stack[-1].kids[-1])
+            elif name == "table":
+                close({"table"}, frozenset())
+            elif name == "form":
+                continue
+            elif stack[-1].name == "colgroup":
+                stack.pop()
         node = Node(name, _attributes(m[3]))
-        stack[-1].kids.append(node)
+        put(node)
         if name in VOID:
             continue
         if name in RAW:

@@ -85,6 +85,26 @@ def test_rendering(html, want):
     assert html_text.render(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+        ("<table><form><tr><td>a</td><td>b</td></tr></form></table>", "a  b"),
+        ("<table><tbody><td>x</td></tbody></table>", "x"),
+        ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><tr>loose<td>a</td></tr></table>", "loose\n\na"),
+        ("<table><tr><b>bold <td>a</td><a href=x>link</a></tr></table>", "bold link\n\na"),
+        ("<table><tbody><p>para</p><tr><td>a<tr><td>b</tbody>tail</table>", "para\n\ntail\n\na\nb"),
+        ("<table><tr hidden>shown<td>not</td></tr><tr><td>a</table>", "shown\n\na"),
+        ("<table><colgroup>odd<col></colgroup><caption>cap</caption><tr><td>a</table>", "odd\n\ncap\na"),
+        ("<table><tr><td>a<table><tr><td>in</table><td>b<tr><table><td>q</table>", "a   b\nin\n\nq"),
+        ("<p>x <math><mi>y</mi><annotation>no</annotation></math> z", "x y z"),
+    ],
+)
+def test_tables_lose_no_text(html, want):
+    assert html_text.render(html) == want
+
+
 def test_pages(spark):
     d = spark.createDataFrame([(1, "<p>a", "q"), (2, None, "q"), (1, "<p>a", "q")], "page_id long, html string, visible_text string")
     assert rows_of(html_text.extract(d).select("page_id", "visible_text")) == [(1, "a"), (1, "a"), (2, "")]
