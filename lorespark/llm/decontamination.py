@@ -7,7 +7,7 @@ all pieces finds these hits in a single pass over a text, and Myers' bit-paralle
 verifies each place: the least edits between the item and any passage there.
 
 Both sides are compared in lower case with white-space runs as one space. An item of fewer
-than ``min_chars`` such characters never matches: it could stand anywhere by chance.
+than ``min_chars`` such characters matches letter by letter only, and between word bounds.
 
 The items are sent to every executor only in blocks of at most ``MAX_BLOCK_CHARS``
 characters, whose size is measured first; a larger benchmark takes one pass a block.
@@ -19,6 +19,7 @@ match; texts of any length are searched whole.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,6 +37,15 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _in_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_" or unicodedata.category(text[at])[0] == "M")
+
+
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] cuts no word."""
+    return not (_in_word(text, start - 1) and _in_word(text, start)) and not (_in_word(text, end - 1) and _in_word(text, end))
+
+
 def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     """(distance, end) of the passage of text nearest to pattern, the first such; None if over budget.
 
@@ -67,12 +77,13 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """Finds the items that a text holds within their error budgets."""
+    """Finds the items that a text holds within their error budgets; those under min_chars whole and without errors."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int = 0):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items]
+        self.items = [(i, t, int(len(t) * error_rate) if len(t) >= min_chars else 0) for i, t in items]
+        self.min_chars = min_chars
         pieces: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text, budget) in enumerate(self.items):
             edges = [round(len(text) * p / (budget + 1)) for p in range(budget + 2)]
@@ -96,6 +107,11 @@ class Matcher:
         for at, starts in places.items():
             item, pattern, budget = self.items[at]
             best, windows = None, []
+            if len(pattern) < self.min_chars:  # its only piece is the item
+                start = min((x for x in starts if _whole(text, x, x + len(pattern))), default=None)
+                if start is not None:
+                    out.append((item, 0, start, start + len(pattern)))
+                continue
             for start in sorted(starts):
                 a, b = max(0, start - budget), min(len(text), start + len(pattern) + budget)
                 if windows and a <= windows[-1][0] + 2 * budget:  # one window takes near places together
@@ -118,22 +134,22 @@ class Matcher:
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.lower(text_of(text)).alias("t")).where("i is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // MAX_BLOCK_CHARS) or 1
     for block in range(n):
         rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block)).collect()
-        yield sorted({(r.i, t) for r in rows if len(t := normal(r.t)) >= min_chars})
+        yield sorted({(r.i, t) for r in rows if (t := normal(r.t))})
 
 
-def _finder(sent, error_rate: float):
+def _finder(sent, error_rate: float, min_chars: int):
     @F.pandas_udf(MATCHES)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = hash((tuple(sent.value), error_rate))
+        key = hash((tuple(sent.value), error_rate, min_chars))
         if key not in _MATCHERS:
             _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(sent.value, error_rate)
+            _MATCHERS[key] = Matcher(sent.value, error_rate, min_chars)
         matcher = _MATCHERS[key]
         for batch in batches:
             yield pd.Series([[dict(zip(("item_id", "distance", "start", "end"), x, strict=True)) for x in matcher.find(t)] for t in batch], dtype=object)
@@ -144,7 +160,7 @@ def _finder(sent, error_rate: float):
 def item_matches(spark, benchmark: DataFrame, error_rate: float = 0.08, min_chars: int = 32, item_id: str = "item_id", text: str = "text"):
     """A function from a text column to the column of its matches."""
     enable_workers(spark)
-    columns = [_finder(spark.sparkContext.broadcast(items), error_rate) for items in _blocks(benchmark, item_id, text, min_chars)]
+    columns = [_finder(spark.sparkContext.broadcast(items), error_rate, min_chars) for items in _blocks(benchmark, item_id, text)]
 
     def of(column: Column) -> Column:
         return reduce(F.concat, [f(text_of(column)) for f in columns])

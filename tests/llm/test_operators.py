@@ -61,6 +61,14 @@ def test_contaminated_documents(spark):
     assert none.where(F.size("benchmark_matches") > 0).count() == 0
 
 
+def test_short_items_match_whole(spark):
+    items = [(1, "What is  pi?"), (2, "cat"), (3, ""), (4, None), (5, "cat")]
+    docs = [(1, "So: WHAT is\npi? Three."), (2, "concat cats cat\u0301"), (3, "what is pie?"), (4, "concat, cat!"), (5, "")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    found = {r.doc_id: [tuple(m) for m in r.benchmark_matches] for r in got.collect()}
+    assert found == {1: [(1, 0, 4, 15)], 2: [], 3: [], 4: [(2, 0, 8, 11), (5, 0, 8, 11)], 5: []}
+
+
 # --- 2 html
 
 
