@@ -8,8 +8,7 @@ log10 guesses. A value that costs at least ``min_log10_guesses`` is a ``guess``
 
 Defined cases: a null text is empty and has no span; offsets are code points, ends are
 exclusive; spans of one kind never overlap; a repeated row gives its result twice; an empty
-table gives an empty result; a value longer than ``MAX_VALUE`` characters is judged by
-brute force alone over its whole length, which is linear.
+table gives an empty result; values of any length are segmented, in time linear in it.
 """
 
 from __future__ import annotations
@@ -37,7 +36,6 @@ CONTEXT = re.compile(
 )
 HINT = re.compile(r"pass|pwd|secret|token|credential|key|auth", re.A | re.I)
 HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth")
-MAX_VALUE = 512
 
 # Frequent password words, most frequent first; their place is their rank.
 COMMON_WORDS = (
@@ -72,55 +70,46 @@ def _alphabet(value: str) -> int:
 def guess_cost(value: str, rank: dict[str, int] = RANK) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs.
 
-    best[i] is the least cost of value[:i]; a span j..i adds its own log10 guesses and, for
-    the choice of one more segment, log10(2).
+    best[i] is the least cost of value[i:]; a span i..j adds its own log10 guesses and, for
+    the choice of one more segment, log10(2). Places are taken from the last to the first, so
+    that where a run ends follows from the place after it.
     """
     n, brute = len(value), math.log10(_alphabet(value))
-    if n > MAX_VALUE:
-        return n * brute
     low = value.lower()
     plain = low.translate(LEET)
-    spans: list[tuple[int, int, float]] = []
     longest = max(LONGEST, max(map(len, rank), default=0)) if rank is not RANK else LONGEST
-    for i in range(n):
+    best = [0.0] * (n + 1)
+    same = walk = steps = n  # ends of the runs that start at i: one character, neighbouring keys, steps of one sign
+    ahead = [0] * 17  # by period: how many characters from i on equal those a period later
+    step = 0
+    for i in range(n - 1, -1, -1):
+        spans: list[tuple[int, float]] = []
         for j in range(i + 3, min(n, i + longest) + 1):
             if r := rank.get(low[i:j]) or rank.get(plain[i:j]):
                 cased = value[i:j]
                 extra = (0 if cased == low[i:j] else 1) + (0 if low[i:j] == plain[i:j] else 1)
-                spans.append((i, j, math.log10(r + 1) + extra * math.log10(2) + 1))
+                spans.append((j, math.log10(r + 1) + extra * math.log10(2) + 1))
         if m := DATE.match(value, i):
-            spans.append((i, m.end(), math.log10(365 * 120 if m.end() - i > 4 else 120)))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            spans.append((i, j, brute + math.log10(j - i)))
-        for period in range(2, min(16, (n - i) // 2) + 1):
-            unit, j = value[i : i + period], i + period
-            while value.startswith(unit, j):
-                j += period
-            if j > i + period:
-                spans.append((i, j, period * brute + math.log10((j - i) // period)))
-        j = i + 1
-        while j < n and _near(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 4:
-            spans.append((i, j, math.log10(47) + (j - i - 1) * math.log10(4)))
-        if i + 2 < n and abs(step := ord(value[i + 1]) - ord(value[i])) == 1:
-            j = i + 2
-            while j < n and ord(value[j]) - ord(value[j - 1]) == step:
-                j += 1
-            if j - i >= 3:
-                spans.append((i, j, brute + math.log10(2 * (j - i))))
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in spans:
-        by_end.setdefault(j, []).append((i, cost))
-    best = [0.0] * (n + 1)
-    for i in range(1, n + 1):
-        best[i] = best[i - 1] + brute
-        for j, cost in by_end.get(i, ()):
+            spans.append((m.end(), math.log10(365 * 120 if m.end() - i > 4 else 120)))
+        if i + 1 < n:
+            same = same if value[i] == value[i + 1] else i + 1
+            walk = walk if _near(low[i], low[i + 1]) else i + 1
+            before, step = step, ord(value[i + 1]) - ord(value[i])
+            steps = steps if i + 2 < n and step == before else i + 2
+        if same - i >= 3:
+            spans.append((same, brute + math.log10(same - i)))
+        for period in range(2, min(16, n - i - 1) + 1):
+            ahead[period] = ahead[period] + 1 if value[i] == value[i + period] else 0
+            if times := ahead[period] // period:
+                spans.append((i + (times + 1) * period, period * brute + math.log10(times + 1)))
+        if walk - i >= 4:
+            spans.append((walk, math.log10(47) + (walk - i - 1) * math.log10(4)))
+        if abs(step) == 1 and steps - i >= 3:
+            spans.append((steps, brute + math.log10(2 * (steps - i))))
+        best[i] = best[i + 1] + brute
+        for j, cost in spans:
             best[i] = min(best[i], best[j] + cost + math.log10(2))
-    return best[n]
+    return best[0]
 
 
 def find_secrets(text: str | None, min_log10_guesses: float = 10.0, rank: dict[str, int] = RANK) -> list[tuple[str, int, int]]:

@@ -221,6 +221,13 @@ def test_guess_costs():
     assert cost("a" * 5000) > 0
 
 
+def test_long_values_cost_no_more_than_their_segments():
+    for value in ("*" * 513, "abcabd" * 2000, "*" * 100_000, "asdfghjkl" + "*" * 600 + "19990101"):
+        assert secrets.guess_cost(value) < 20
+        assert not secrets.find_secrets("auth: " + "*" * len(value))
+    assert secrets.guess_cost("xK9#mQ2$vL" + "*" * 600) >= 10
+
+
 def test_secret_rows(spark):
     d = spark.createDataFrame([(1, 'pwd := "xK9#mQ2$vL!z"', 0), (2, "passphrase: letmein99", 0), (3, None, 0)], DOCS + ", secret_spans int")
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secret_spans] for r in secrets.scan(d).collect()}
