@@ -1,8 +1,10 @@
 """Base tables as a graph: one branch a mapped column.
 
-The branches are disjoint and each table's keys are unique, so the view is a set as it
-stands. A pattern with a constant predicate folds all other branches away, and its filter
-and columns reach that branch's scan.
+The branches are disjoint and most tables' keys are unique, so those branches are sets as
+they stand. Nothing makes a line's key unique, so its node is named by every column that the
+view shows of it, and equal rows are one node: the distinct rows are shuffled once, and the
+branches of a query share that exchange. A pattern with a constant predicate folds all other
+branches away, and its filter and columns reach that branch's scan.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ PREFIXES = {"d": TERM, "data": DATA}
 
 
 def node(table: str, *keys: str) -> Column:
-    return F.concat(F.lit(f"{DATA}{table}/"), F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+    """A node's IRI; a missing key keeps its place."""
+    parts = [F.col(k).cast("string") for k in keys]
+    return F.concat(F.lit(f"{DATA}{table}/"), parts[0] if len(parts) == 1 else F.concat_ws("-", *[F.coalesce(x, F.lit("")) for x in parts]))
 
 
 def whole(column: str) -> dict[str, Column]:
@@ -43,13 +47,16 @@ MAPPING: dict[str, tuple[list[str], dict]] = {
         {TERM + "customer": lambda: iri(node("customer", "o_custkey")), TERM + "priority": lambda: literal(F.col("o_orderpriority")), TERM + "year": lambda: literal(gyear(F.year("o_orderdate")), XSD + "gYear")},
     ),
     "lineitem": (
-        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],  # the line number alone is not unique
+        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"],
         {TERM + "order": lambda: iri(node("orders", "l_orderkey")), TERM + "part": lambda: iri(node("part", "l_partkey")), TERM + "quantity": lambda: whole("l_quantity")},
     ),
     "documents": (["doc_id"], {TERM + "lang": lambda: literal(F.col("lang")), TERM + "source": lambda: literal(F.col("source"))}),
     "labels": (["doc_id"], {TERM + "quality": lambda: whole("quality"), TERM + "toxic": lambda: literal(F.when(F.col("toxic") == 1, "true"), XSD + "boolean")}),
 }
 
+#: Tables whose rows may repeat: the columns of a node, which all of its objects follow from.
+REPEATED = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(l_quantity as bigint) as l_quantity"]}
+
 
 def graph(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     """The graph of some tables, or of all mapped ones. A label row describes its document's node."""
@@ -57,6 +64,8 @@ def graph(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     for name in tables or MAPPING:
         keys, columns = MAPPING[name]
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name in REPEATED:
+            df = df.selectExpr(*REPEATED[name]).distinct()
         s = node("documents" if name == "labels" else name, *keys)
         if name != "labels":
             parts.append(triples(df, s, TYPE, iri(TERM + name.capitalize())))

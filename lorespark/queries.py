@@ -38,6 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 D, B = DATA, "https://example.org/book/"
+#: A line's node stands for all rows that agree in these columns.
+LINES = "(SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, trunc(l_quantity)::BIGINT AS l_quantity FROM lineitem)"
 
 # --- patterns, joins, filters, aggregates, sorts and sets in the query language
 
@@ -52,7 +54,7 @@ asked(
 asked(
     "bgp_chain", "region nation customer orders lineitem",
     "SELECT ?region (COUNT(?l) AS ?n) WHERE { ?l d:order ?o . ?o d:customer ?c . ?c d:nation ?k . ?k d:region ?r . ?r rdfs:label ?region } GROUP BY ?region",
-    """SELECT r_name AS region, count(*)::VARCHAR AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    f"""SELECT r_name AS region, count(*)::VARCHAR AS n FROM {LINES} JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
 )
 asked(
@@ -74,8 +76,8 @@ asked(
 asked(
     "optional_nested", "orders lineitem part",
     'SELECT ?o ?l ?brand WHERE { ?o d:priority "1-URGENT" OPTIONAL { ?l d:order ?o ; d:quantity ?q FILTER(?q > 40) OPTIONAL { ?l d:part ?p . ?p d:brand ?brand ; d:size ?s FILTER(?s < 25) } } }',
-    f"""SELECT '{D}orders/' || o_orderkey AS o, '{D}lineitem/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS l, p_brand AS brand
-    FROM orders LEFT JOIN (lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25) ON l_orderkey = o_orderkey AND l_quantity > 40 WHERE o_orderpriority = '1-URGENT'""",
+    f"""SELECT '{D}orders/' || o_orderkey AS o, '{D}lineitem/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity AS l, p_brand AS brand
+    FROM orders LEFT JOIN ({LINES} LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25) ON l_orderkey = o_orderkey AND l_quantity > 40 WHERE o_orderpriority = '1-URGENT'""",
 )
 asked(
     "not_exists_unlabelled", "documents labels", "SELECT ?doc WHERE { ?doc d:source ?s FILTER NOT EXISTS { ?doc d:quality ?q } }",
@@ -123,8 +125,8 @@ asked(
 asked(
     "group_having", "nation customer orders lineitem",
     "SELECT ?name (COUNT(?l) AS ?n) (SUM(?q) AS ?total) (MAX(?q) AS ?most) (COUNT(DISTINCT ?c) AS ?customers) WHERE { ?l d:order/d:customer ?c ; d:quantity ?q . ?c d:nation/rdfs:label ?name } GROUP BY ?name HAVING (COUNT(?l) > 2000 && AVG(?q) > 25)",
-    """SELECT n_name AS name, count(*)::VARCHAR AS n, sum(l_quantity)::BIGINT::VARCHAR AS total, max(l_quantity)::BIGINT::VARCHAR AS most, count(DISTINCT c_custkey)::VARCHAR AS customers
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 2000 AND avg(l_quantity) > 25""",
+    f"""SELECT n_name AS name, count(*)::VARCHAR AS n, sum(l_quantity)::BIGINT::VARCHAR AS total, max(l_quantity)::BIGINT::VARCHAR AS most, count(DISTINCT c_custkey)::VARCHAR AS customers
+    FROM {LINES} JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 2000 AND avg(l_quantity) > 25""",
 )
 asked(
     "group_concat_sample", "region nation", 'SELECT ?r (GROUP_CONCAT(?l; SEPARATOR=", ") AS ?names) (SAMPLE(?l) AS ?one) WHERE { ?n d:region ?r ; rdfs:label ?l } GROUP BY ?r',
@@ -132,7 +134,7 @@ asked(
 )
 asked(
     "order_limit_offset", "orders lineitem", "SELECT ?o (SUM(?q) AS ?n) WHERE { ?l d:order ?o ; d:quantity ?q } GROUP BY ?o ORDER BY DESC(?n) ?o LIMIT 20 OFFSET 5",
-    f"SELECT '{D}orders/' || l_orderkey AS o, sum(l_quantity)::BIGINT::VARCHAR AS n FROM lineitem GROUP BY l_orderkey ORDER BY sum(l_quantity) DESC, 1 LIMIT 20 OFFSET 5",
+    f"SELECT '{D}orders/' || l_orderkey AS o, sum(l_quantity)::BIGINT::VARCHAR AS n FROM {LINES} GROUP BY l_orderkey ORDER BY sum(l_quantity) DESC, 1 LIMIT 20 OFFSET 5",
 )
 asked(
     "scalar_functions", "part",

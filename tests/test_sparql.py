@@ -113,3 +113,16 @@ def test_terms(spark):
     made = graph_union(empty_graph(spark), *[triples(one, F.lit("s"), "p", o) for o in (literal("http://x"), iri("http://x"), literal(3), literal(2.5), literal(True), literal(True))])
     got = {(r.o, r.o_kind, r.o_dt) for r in made.collect()}
     assert got == {("http://x", "lit", None), ("http://x", "iri", None), ("3", "lit", XSD + "integer"), ("2.5", "lit", XSD + "double"), ("true", "lit", XSD + "boolean")}
+
+
+def test_rows_that_repeat_are_one_node(spark, tmp_path):
+    from lorespark.plans.relational import PREFIXES, graph
+
+    line = (1, 2, 3, 4, 10.0, 5.0)
+    rows = [line, line, (*line[:4], 20.0, 5.0), (*line[:5], 9.0), (1, 2, 3, None, 10.0, 5.0), (1, 2, None, 3, 10.0, 5.0)]
+    d = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    d.write.parquet(f"{tmp_path}/lineitem.parquet")
+    g = graph(spark, str(tmp_path), "lineitem")
+    assert g.count() == g.distinct().count()
+    got = sparql(g, "SELECT ?l ?q WHERE { ?l d:order ?o ; d:quantity ?q }", PREFIXES)
+    assert sorted((r.l.rpartition("/")[2], r.q) for r in got.collect()) == [("1-2--3-10", "10"), ("1-2-3--10", "10"), ("1-2-3-4-10", "10"), ("1-2-3-4-20", "20")]
