@@ -442,6 +442,44 @@ def test_minhash_rows_that_repeat(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_minhash_ids_with_several_texts(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "end"])
+    rows = [(0, a), (1, a), (1, b), (2, near(b)), (3, near(c)), (4, c), (4, "x y"), (5, "x y"), (5, "q"), (6, "q r s t u v w " * 9000), (7, "q r s t u v w " * 9000 + "z")]
+    want = {i: root for i, _, root, _ in minhash.brute_force_ids(rows)}
+    assert want == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 6}
+    d = spark.createDataFrame([(*r, "u", 7) for r in rows], DOCS + ", unit string, content int")
+    got = minhash.near_duplicates(d).select("doc_id", "component_id").distinct().collect()
+    assert {r[0]: r[1] for r in got} == want and len(got) == len(want)
+    # without two texts of one id, the ids apart
+    for part in (rows[1:4], rows[:2] + rows[3:5]):
+        d = spark.createDataFrame(part, DOCS)
+        assert {r[0]: r[1] for r in minhash.near_duplicates(d).select("doc_id", "component_id").collect()} == {i: root for i, _, root, _ in minhash.brute_force_ids(part)}
+    # each text by itself
+    kept = minhash.deduplicated(spark.createDataFrame([*rows, rows[2], (8, None), (8, " "), (None, a)], DOCS).withColumn("n", F.lit(1)), 80).collect()
+    assert sorted(((r.doc_id, (r.text or "").strip()[:20]) for r in kept), key=repr) == sorted([(0, a[:20]), (1, b[:20]), (3, c[:20]), (4, "x y"), (5, "q"), (6, "q r s t u v w q r s t"[:20]), (8, ""), (None, a[:20])], key=repr)
+
+
+def test_minhash_group_just_under_the_threshold(spark, tmp_path):
+    # every two members share 84 % or less of their shingles: nothing links, and no pairs are listed
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for at in rng.sample(range(5, 290, 6), 6):
+            t[at] = f"x{i}n{at}"
+        rows.append((i, " ".join(t)))
+    sets = [minhash.shingles(minhash.words_of(t)) for _, t in rows[:40]]
+    assert not any(minhash.similar(a, b, 85) for i, a in enumerate(sets) for b in sets[:i])
+    work = common.Work(spark, "test")
+    d = spark.createDataFrame([(i, minhash.hashed_shingles(minhash.words_of(t)).tobytes()) for i, t in rows], "unit long, items binary")
+    assert minhash._prefix_pairs(work, d.select("unit", F.col("unit").alias("component")), d, 85).count() == 0
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.kept for r in got) and len(got) == 400
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 900, dtype=np.uint64)
