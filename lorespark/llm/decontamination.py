@@ -8,13 +8,16 @@ verifies each place: the least edits between the item and any passage there.
 
 Both sides are compared in lower case with white-space runs as one space. An item of fewer
 than ``min_chars`` such characters matches letter by letter only, and between word bounds.
+Every place of a text that holds an item is a match; places whose windows overlap are one,
+the nearest passage of them.
 
 The items are sent to every executor only in blocks of at most ``MAX_BLOCK_CHARS``
 characters, whose size is measured first; a larger benchmark takes one pass a block.
 
 Defined cases: null texts match nothing; null items and null ids of items are left out of
-the matches; a repeated row gives its matches again; an empty table on either side gives no
-match; texts of any length are searched whole.
+the matches; equal items of different ids all match; a repeated row gives its matches again;
+an empty table on either side gives no match; texts of any length are searched whole; other
+columns stay, but for one named ``benchmark_matches``, which is replaced.
 """
 
 from __future__ import annotations
@@ -95,7 +98,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, distance, start, end) in the normal text, one a matching item, nearest and first."""
+        """(item id, distance, start, end) in the normal text of every place that holds an item."""
         text = normal(text)
         if not self.items or not text:
             return []
@@ -106,28 +109,35 @@ class Matcher:
         out = []
         for at, starts in places.items():
             item, pattern, budget = self.items[at]
-            best, windows = None, []
             if len(pattern) < self.min_chars:  # its only piece is the item
-                start = min((x for x in starts if _whole(text, x, x + len(pattern))), default=None)
-                if start is not None:
-                    out.append((item, 0, start, start + len(pattern)))
+                end = 0
+                for start in sorted(starts):
+                    if start >= end and _whole(text, start, start + len(pattern)):
+                        end = start + len(pattern)
+                        out.append((item, 0, start, end))
                 continue
+            windows: list[list[int]] = []
             for start in sorted(starts):
                 a, b = max(0, start - budget), min(len(text), start + len(pattern) + budget)
                 if windows and a <= windows[-1][0] + 2 * budget:  # one window takes near places together
                     windows[-1][1] = b
                 else:
                     windows.append([a, b])
+            last = None
             for a, b in windows:
                 exact = text.find(pattern, a, b)
                 found = (0, exact - a + len(pattern)) if exact >= 0 else myers(pattern, text[a:b], budget)
-                if found and (best is None or found[0] < best[0]):
-                    best = (found[0], a + found[1])
-            if best:
-                distance, end = best
+                if not found:
+                    continue
+                distance, end = found[0], a + found[1]
                 back = text[max(0, end - len(pattern) - budget) : end][::-1]
                 length = len(pattern) if distance == 0 else myers(pattern[::-1], back, distance)[1]
-                out.append((item, distance, end - length, end))
+                match = (item, distance, end - length, end)
+                if last is None or match[2] >= last[3]:
+                    out.append(match)
+                    last = match
+                elif distance < last[1]:  # of overlapping ones the nearest
+                    out[-1] = last = match
         return sorted(out)
 
 
@@ -154,7 +164,7 @@ def _finder(sent, error_rate: float, min_chars: int):
         for batch in batches:
             yield pd.Series([[dict(zip(("item_id", "distance", "start", "end"), x, strict=True)) for x in matcher.find(t)] for t in batch], dtype=object)
 
-    return found
+    return found.asNondeterministic()  # so that a filter on the matches does not run it once more
 
 
 def item_matches(spark, benchmark: DataFrame, error_rate: float = 0.08, min_chars: int = 32, item_id: str = "item_id", text: str = "text"):

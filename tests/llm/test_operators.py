@@ -61,6 +61,50 @@ def test_contaminated_documents(spark):
     assert none.where(F.size("benchmark_matches") > 0).count() == 0
 
 
+def test_every_place_within_the_budget_is_found():
+    """All items and texts against the edit matrix: an item is found where its distance is within its budget, and only there."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    items = [(i, t) for i in range(25) if len(t := decontamination.normal(letters(rng.randint(34, 60)))) >= 32]
+    matcher = decontamination.Matcher(items, 0.08, 32)
+    hits = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            t = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "ab"])
+            parts += [letters(rng.randint(0, 30)), "".join(t)]
+        text = decontamination.normal(" ".join(parts) + letters(9))
+        found = matcher.find(text)
+        for item, distance, start, end in found:
+            pattern = dict(items)[item]
+            assert distance <= int(len(pattern) * 0.08) and edit_infix(pattern, text[start:end]) == distance
+        for i, pattern in items:
+            best = edit_infix(pattern, text)
+            assert (best <= int(len(pattern) * 0.08)) == any(f[0] == i for f in found)
+            if best <= int(len(pattern) * 0.08):
+                assert min(f[1] for f in found if f[0] == i) == best
+                hits += 1
+    assert hits > 100
+
+
+def test_every_occurrence_is_a_match(spark):
+    rng = random.Random(2)
+    item, filler = prose(rng, 30), prose(rng, 20000)
+    text = f"{item} {filler} {item} {item}"
+    d = spark.createDataFrame([(1, text), (2, None)], DOCS)
+    matches = decontamination.contaminated(d, spark.createDataFrame([(9, item), (8, item)], "item_id long, text string"))
+    got = {r.doc_id: [tuple(m) for m in r.benchmark_matches] for r in matches.collect()}
+    n, size = len(item), len(text)
+    places = [(0, n), (size - 2 * n - 1, size - n - 1), (size - n, size)]
+    assert got == {1: [(i, 0, *p) for i in (8, 9) for p in places], 2: []}
+    assert matches.limit(0).count() == 0
+    plan = matches.select("doc_id", F.explode("benchmark_matches"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_short_items_match_whole(spark):
     items = [(1, "What is  pi?"), (2, "cat"), (3, ""), (4, None), (5, "cat")]
     docs = [(1, "So: WHAT is\npi? Three."), (2, "concat cats cat\u0301"), (3, "what is pie?"), (4, "concat, cat!"), (5, "")]
