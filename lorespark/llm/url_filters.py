@@ -12,14 +12,21 @@ fragment do not count, so such variants of one url are one node. Components come
 alternating-star rounds of joins (see ``common.components``); a hub is min-aggregated
 before it is joined, and AQE can split its rows.
 
+Rules are a table of any size: each distinct host meets them by an equi-join on its own
+suffixes, which gives the host the rules that can fit it; a url then takes the longest of
+its host's by path. Urls join the hosts' rules on the host; AQE broadcasts that table where
+it measures it small and splits a crowded host's rows otherwise. Host, path and node are
+columns that are computed once, so the generated code stays small.
+
 Defined cases: a null url or one without ``://`` has empty host and path, no rule, no node
-and is allowed; null html has no links; a repeated row gives its row again; links to urls
-outside the table count; an empty table gives an empty result.
+and is allowed; null html has no links; html of any length is searched whole; a repeated row
+gives its row again; links to urls outside the table count; equal rules count once; other
+columns stay, whatever their names, but for one named ``judged``, which is replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +34,6 @@ from .common import Work, components
 
 Rule = tuple[str, str, str]  # host, path, block or allow
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULES = 2000
 
 RULES: list[Rule] = [
     ("net", "/", "block"),
@@ -42,88 +48,88 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + F.lit(3))).otherwise(F.lit(""))
 
 
-def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
-
+def with_parts(df: DataFrame, url: str, mark: str = "") -> DataFrame:
+    """df with ``__host``, ``__path`` and ``__node`` of a url column, each computed once; the node is null where it has none."""
+    rest, host, path = (F.col(f"__{x}{mark}") for x in ("rest", "host", "path"))
+    out = df.withColumn(f"__rest{mark}", _rest(F.col(url)))
+    out = out.withColumn(f"__host{mark}", F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.lit("")))
+    out = out.withColumn(f"__path{mark}", F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")))
+    node = F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)))
+    return out.withColumn(f"__node{mark}", node).drop(f"__rest{mark}")
 
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
+RULE = "host string, path string, verdict string"
 
-def node_of(url: Column) -> Column:
-    """The url's node, null where it has none."""
-    path, query = path_of(url), F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query))
 
+def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(__host, __rules): of each distinct host the rules that fit it or a domain above it.
 
-def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """(rule, verdict) of the rule that wins, else nulls. Rules are a bounded parameter."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules are compiled into the plan")
-    order = sorted(rules, key=lambda r: (-len(r[0]) - len(r[1]), r[2] != "allow", r))
-    rule = verdict = None
-    for h, p, v in order:
-        fits = ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p))
-        rule = F.when(fits, h + p) if rule is None else rule.when(fits, h + p)
-        verdict = F.when(fits, v) if verdict is None else verdict.when(fits, v)
-    none = F.lit(None).cast("string")
-    return (none, none) if rule is None else (rule, verdict)
+    A rule is (how good, path, rule, verdict); the greatest that fits a path wins.
+    """
+    parts = F.split("__host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    asked = hosts.select("__host").where("__host <> ''").distinct().select("__host", F.explode(suffixes).alias("host"))
+    length = (F.length("host") + F.length("path")).alias("length")
+    known = rules.dropna().distinct().select("host", F.struct(length, (F.col("verdict") == "allow").alias("allow"), "path", F.concat("host", "path").alias("rule"), "verdict").alias("r"))
+    return asked.join(known, "host").groupBy("__host").agg(F.collect_list("r").alias("__rules"))
 
 
-def _resolve(page: Column, target: Column) -> Column:
-    """An absolute url for a link target."""
-    host, path = host_of(page), path_of(page)
-    return (
-        F.when(target.contains("://"), target)
-        .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(F.lit("http://"), host, target))
-        .when(F.startswith(target, F.lit("#")) | (target == ""), page)
-        .otherwise(F.concat(F.lit("http://"), host, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), target))
-    )
+def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """df, which has __host and __path, with ``__best``: the rule that wins, or null."""
+    joined = df.join(host_rules(df, rules), "__host", "left")
+    fits = F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["path"]))
+    return joined.withColumn("__best", F.array_max(fits)).drop("__rules")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url) of every canonical link and refresh redirect."""
-    tag = F.col("tag")
+    """(a, b): the nodes of every canonical link and refresh redirect. pages: url, html."""
+    tag, t, host, path = (F.col(x) for x in ("tag", "t", "__host_f", "__path_f"))
     href = F.regexp_extract(tag, r"""(?i)[\s"'/]href\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(tag, r"""(?i)[\s"'/]content\s*=\s*["']?[\s\d.;,]*url\s*=\s*['"]?([^"'\s>]+)""", 1)
     target = F.when(tag.rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?canonical\b"""), href).when(
         tag.rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), refresh
     )
-    return (
+    found = (
         pages.where(F.col("html").rlike("(?i)canonical|refresh"))
         .select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
-        .select(F.col("url").alias("from_url"), F.regexp_replace(F.replace(target, F.lit("&amp;"), F.lit("&")), r"\s", "").alias("t"))
+        .select("url", F.regexp_replace(F.replace(target, F.lit("&amp;"), F.lit("&")), r"\s", "").alias("t"))
         .where("t <> ''")
-        .select("from_url", _resolve(F.col("from_url"), F.col("t")).alias("to_url"))
     )
+    absolute = (  # of a target by its form
+        F.when(t.contains("://"), t)
+        .when(F.startswith(t, F.lit("//")), F.concat(F.lit("http:"), t))
+        .when(F.startswith(t, F.lit("/")), F.concat(F.lit("http://"), host, t))
+        .when(F.startswith(t, F.lit("#")), F.col("url"))
+        .otherwise(F.concat(F.lit("http://"), host, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), t))
+    )
+    ends = with_parts(found, "url", "_f").withColumn("to", absolute)
+    return with_parts(ends, "to", "_t").select(F.col("__node_f").alias("a"), F.col("__node_t").alias("b"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """pages with a struct column ``judged`` (host, path, rule, verdict), replacing one of that name.
 
-    pages has url and html; redirects, if given, has from_url and to_url.
+    pages has url and html; rules are (host, path, verdict); redirects, if given, has from_url and to_url.
     """
     spark = pages.sparkSession
     work = Work(spark, "urls")
+    rules = rules.select("host", "path", "verdict") if isinstance(rules, DataFrame) else spark.createDataFrame(rules, RULE)
     links = page_links(pages.select("url", "html"))
     if redirects is not None:
-        links = links.union(redirects.select("from_url", "to_url"))
-    links = links.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b"))
-    links = work.save(links.where("a is not null and b is not null and a <> b").distinct(), "links")
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rule, verdict = rule_of(host, path, rules)
-    if not links.take(1):
-        return pages.withColumn("judged", F.struct(host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict")))
-    member = work.save(components(work, links), "members")
-    url = F.concat(F.lit("http://"), F.col("node"))
-    seeds = member.where(rule_of(host_of(url), path_of(url), rules)[1] == "block").select("component").distinct()
-    seeds = work.save(seeds, "seeds")
-    blocked = work.save(member.join(seeds, "component", "left_semi").select(F.col("node").alias("blocked_node")), "blocked")
-    by_alias = F.when(F.col("blocked_node").isNotNull(), "block").otherwise("allow")
+        ends = with_parts(with_parts(redirects.select("from_url", "to_url"), "from_url", "_f"), "to_url", "_t")
+        links = links.union(ends.select("__node_f", "__node_t"))
+    member = components(work, links)  # a null end or a link to itself joins nothing
+    members = with_parts(member.select("component", F.concat(F.lit("http://"), F.col("node")).alias("url")), "url")
+    judged = work.save(with_rule(members, rules).select("component", F.col("__node").alias("node"), F.col("__best.verdict").alias("verdict")), "members")
+    seeds = work.save(judged.where("verdict = 'block'").select("component").distinct(), "seeds")
+    blocked = work.save(judged.join(seeds, "component", "left_semi").select(F.col("node").alias("__blocked")), "blocked")
+    work.drop("members", "seeds")
     names = [c for c in pages.columns if c != "judged"]
-    judged = F.struct(host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, by_alias).alias("verdict")).alias("judged")
-    return pages.join(blocked, node_of(F.col("url")) == F.col("blocked_node"), "left").select(*[pages[c] for c in names], judged)
+    numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]  # so that no name clashes
+    full = with_rule(with_parts(pages.select(*numbered, F.col("url").alias("__url")), "__url"), rules).join(blocked, F.col("__node") == F.col("__blocked"), "left")
+    by_alias = F.when(F.col("__blocked").isNotNull(), "block").otherwise("allow")
+    out = F.struct(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), by_alias).alias("verdict"))
+    return full.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], out.alias("judged"))
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -318,6 +318,46 @@ def test_url_verdicts(spark):
     assert url_filters.judge(d.limit(0), url_filters.RULES).count() == 0
 
 
+def test_url_components_against_sql(spark):
+    """Hubs, chains and rings with blocked, allowed and neutral members, one of very long html, against the SQL twin."""
+    rng = random.Random(41)
+    hosts = ["spam.net", "a.example.com", "b.example.com", "c.org", "d.info", "x.example.net"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'de'])}/{i}" + rng.choice(["", "?q=1", "#top"]) for i in range(300)]
+    canonical, refresh = '<LINK href="{}" rel=canonical>'.format, "<meta content='5;URL={}' http-equiv='refresh'>".format
+    rows = []
+    for i, u in enumerate(urls):
+        to = urls[0] if i % 3 == 0 else urls[i - 1] if i % 3 == 1 and i > 150 else rng.choice(urls) if i % 7 == 0 else None
+        html = None if i % 11 == 0 else "<p>plain" if to is None else rng.choice([canonical, refresh])(to.replace("&", "&amp;"))
+        rows.append((i, u, ("x" * 3_000_000 + html) if i == 3 else html))
+    d = spark.createDataFrame([(*r, "h", "n") for r in rows], "page_id long, url string, html string, __host string, c0 string").repartition(5)
+    out = url_filters.judge(d, url_filters.RULES)
+    assert out.columns == ["page_id", "url", "html", "__host", "c0", "judged"]
+    got = rows_of(out.select("page_id", "judged.*"))
+    c = pytest.importorskip("duckdb").connect()
+    c.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    c.executemany("insert into pages values (?, ?, ?)", rows)
+    assert sorted(c.execute(url_filters.ORACLE_SQL).fetchall(), key=repr) == got
+    by_alias = {r[4] for r in got if r[3] is None}
+    assert by_alias == {"allow", "block"} and {r[4] for r in got if r[3] is not None} == {"allow", "block"}
+
+
+def test_many_rules(spark):
+    rng = random.Random(42)
+    label = lambda: rng.choice("abcdefgh")
+    rules = list({(".".join(label() for _ in range(rng.randint(1, 3))), rng.choice(["/", "/x/", "/x/y", "/z"]), rng.choice(["allow", "block"])) for _ in range(3000)})
+    urls = ["http://" + ".".join(label() for _ in range(rng.randint(1, 5))) + rng.choice(["", "/", "/x/q", "/x/y/z?a#b", "/zz"]) for _ in range(200)]
+
+    def want(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        path = ("/" + path if "/" in url[7:] else "").split("?")[0]
+        fit = [(len(h) + len(p), v == "allow", p, h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[3:] if fit else (None, "allow")
+
+    d = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.url: (r.judged.rule, r.judged.verdict) for r in url_filters.judge(d, spark.createDataFrame(rules + rules[:9], url_filters.RULE)).collect()}
+    assert got == {u: want(u) for u in urls}
+
+
 def test_components_against_search(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(50)] + [(None, 5), (7, 7)]
