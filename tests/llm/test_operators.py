@@ -265,6 +265,18 @@ def test_guess_costs():
     assert cost("a" * 5000) > 0
 
 
+def test_guess_costs_against_every_segmentation():
+    rng = random.Random(15)
+    bits = ["monkey", "M0nkey", "dragon", "the", "aaaa", "1111", "1999", "19990101", "31/12/2001", "asdfg", "qwert", "abcd", "987", "xyxy", "Q", "9", "#", "é", "a", "a", "p@ssword"]
+    rank = secrets.dictionary()
+    for _ in range(400):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))
+        assert abs(secrets.guess_cost(value) - secrets.brute_cost(value, rank)) < 1e-9, value
+    assert len(rank) > 30_000 and rank["password"] == 1
+    assert max(map(secrets.guess_cost, ("internationalization", "photography2019", "ab" * 100, "ab" * 300))) < 10
+    assert secrets.guess_cost("correcthorsebatterystaple") < 22
+
+
 def test_long_values_cost_no_more_than_their_segments():
     for value in ("*" * 513, "abcabd" * 2000, "*" * 100_000, "asdfghjkl" + "*" * 600 + "19990101"):
         assert secrets.guess_cost(value) < 20
@@ -276,6 +288,9 @@ def test_secret_rows(spark):
     d = spark.createDataFrame([(1, 'pwd := "xK9#mQ2$vL!z"', 0), (2, "passphrase: letmein99", 0), (3, None, 0)], DOCS + ", secret_spans int")
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secret_spans] for r in secrets.scan(d).collect()}
     assert got == {1: [("guess", 8, 20)], 2: [], 3: []}
+    again = secrets.scan(d.union(d.where("doc_id = 1")).select("doc_id", "text", "secret_spans", F.lit(1).alias("kind")))
+    assert sorted((r.doc_id, len(r.secret_spans)) for r in again.collect()) == [(1, 1), (1, 1), (2, 0), (3, 0)] and "kind" in again.columns
+    assert secrets.scan(d.limit(0)).count() == 0
     assert secrets.redact("ab 12 cd", [("hex", 3, 5), ("guess", 4, 6)]) == "ab [SECRET]cd"
 
 
