@@ -6,21 +6,25 @@ categories before it. A later link trains on earlier probabilities that were pre
 of fold, so it sees them as uncertain as they will be on new texts.
 
 The fit is bounded: at most ``sample_rows`` labelled rows, the first by a hash of their id,
-with at most ``words_per_link`` words a link, chosen by chi-square on the training rows from
-the ``CANDIDATES`` best of the sample, which executors count. The
-model is a few thousand numbers; scoring is one pass over all rows, without a shuffle. Each
-category's cut is the one with the best F1 on the out-of-fold predictions.
+with at most ``words_per_link`` words a link. A row's fold is a hash of its text, so copies
+share a fold. Everything that looks at labels happens inside a fold's training rows: executors
+count each word by fold and label, the ``CANDIDATES`` best of the rows outside a fold become
+that fold's candidates, and chi-square on those rows chooses the words of a link. So a
+predicted row's own label has no part in its prediction. The model is a few thousand numbers;
+scoring is one pass over all rows, without a shuffle. Each category's cut is the one with the
+best F1 on the out-of-fold predictions.
 
 Defined cases: a null text is empty and is scored by its length alone; null labels are left
 out; an id with several labels counts each; without labelled rows, or with one class only,
-a link predicts that share for all and flags nothing; a repeated row gives its row again.
+a link predicts that share for all and flags nothing; a repeated row gives its row again; an
+empty table gives an empty result; texts of any length are read whole; other columns stay,
+but for one named ``toxicity``, which is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +45,39 @@ def words_of(text: str) -> set[str]:
 
 def _chi2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of each column's presence against y."""
-    n, pos = len(y), y.sum()
-    a = x[y == 1].sum(0)
-    total = x.sum(0)
-    expected = total * pos / n
+    return _score(x.sum(0, dtype=float), x[y == 1].sum(0, dtype=float), len(y), float(y.sum()))
+
+
+def _score(total: np.ndarray, inside: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """Chi-square of words in total rows, inside of them of the class, which has pos of all n."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        score = (a - expected) ** 2 * n**2 / (total * (n - total) * pos * (n - pos) / n)
+        score = (inside - total * pos / n) ** 2 / (total * (1 - total / n) * pos * (1 - pos / n))
     return np.nan_to_num(score, nan=0.0, posinf=0.0)
 
 
+def best_words(words: list[str], seen: np.ndarray, inside: list[np.ndarray], n: int, pos: list[float]) -> set[str]:
+    """The CANDIDATES words that tell some category's classes apart best. seen, inside: rows with each word, of all and of each category."""
+    kept = np.flatnonzero((seen >= MIN_DOCUMENTS) & (seen < n))
+    score = np.zeros(len(kept))
+    for a, p in zip(inside, pos, strict=True):
+        if 0 < p < n:
+            score = np.maximum(score, _score(seen[kept], a[kept], n, p))
+    order = sorted(range(len(kept)), key=lambda i: (-score[i], words[kept[i]]))[:CANDIDATES]
+    return {words[kept[i]] for i in order}
+
+
+def _candidates(texts: list[set[str]], targets: list[np.ndarray], rows: np.ndarray) -> set[str]:
+    """best_words of some rows of texts."""
+    place = {w: i for i, w in enumerate(sorted({w for t in rows for w in texts[t]}))}
+    seen, inside = np.zeros(len(place)), [np.zeros(len(place)) for _ in targets]
+    for t in rows:
+        at = [place[w] for w in texts[t]]
+        seen[at] += 1
+        for a, y in zip(inside, targets, strict=True):
+            a[at] += y[t]
+    return best_words(list(place), seen, inside, len(rows), [float(y[rows].sum()) for y in targets])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights, the last for the constant, by Newton steps with an L2 penalty."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
@@ -79,26 +107,20 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def fit_chain(texts: list[set[str]], lengths: list[int], labels: dict[str, list[int]], words_per_link: int = 300) -> dict:
-    """The chain over labelled texts; labels are in chain order."""
+def fit_chain(texts: list[set[str]], lengths: list[int], labels: dict[str, list[int]], words_per_link: int = 300, folds: list[int] | None = None, candidates: list[set[str]] | None = None) -> dict:
+    """The chain over labelled texts; labels are in chain order.
+
+    folds: each text's fold; candidates: for each fold the words that the rows outside of it
+    choose, then those of all rows. Where these are not given, they are made here.
+    """
     n = len(texts)
     model: dict = {"links": [], "words": {}, "out_of_fold": {}}
-    seen = Counter(w for t in texts for w in t)
-    vocabulary = sorted(w for w, c in seen.items() if MIN_DOCUMENTS <= c < n)
     targets = {c: np.array(y, float) for c, y in labels.items()}
-    if vocabulary:
-        # chi-square from counts, so that only the candidates become columns
-        score = np.zeros(len(vocabulary))
-        place = {w: i for i, w in enumerate(vocabulary)}
-        total = np.array([seen[w] for w in vocabulary], float)
-        for y in targets.values():
-            pos, a = y.sum(), np.zeros(len(vocabulary))
-            if 0 < pos < n:
-                for i in np.flatnonzero(y):
-                    a[[place[w] for w in texts[i] if w in place]] += 1
-                score = np.maximum(score, (a - total * pos / n) ** 2 / (total * (1 - total / n) * pos * (1 - pos / n)))
-        top = np.argsort(-score, kind="stable")[:CANDIDATES]
-        vocabulary = [vocabulary[i] for i in sorted(top)]
+    fold = np.random.Generator(np.random.PCG64(1)).permutation(n) % FOLDS if folds is None else np.array(folds, int)
+    if candidates is None:
+        candidates = [_candidates(texts, list(targets.values()), np.flatnonzero(fold != f)) for f in range(FOLDS + 1)]
+    vocabulary = sorted(set().union(*candidates))
+    allowed = [np.array([w in c for w in vocabulary], bool) for c in candidates]
     place = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((n, len(vocabulary)), np.float32)
     for i, t in enumerate(texts):
@@ -112,23 +134,22 @@ def fit_chain(texts: list[set[str]], lengths: list[int], labels: dict[str, list[
             out = np.full(n, share)
         else:
 
-            def columns(rows: np.ndarray, y=y) -> np.ndarray:
-                return np.sort(np.argsort(-_chi2(x[rows], y[rows]), kind="stable")[:words_per_link])
+            def columns(rows: np.ndarray, f: int, y=y) -> np.ndarray:
+                own = np.flatnonzero(allowed[f])
+                return np.sort(own[np.argsort(-_chi2(x[rows][:, own], y[rows]), kind="stable")[:words_per_link]])
 
             def frame(rows: np.ndarray, chosen: np.ndarray, earlier=earlier) -> np.ndarray:
                 return np.hstack([x[rows][:, chosen], size[rows], earlier[rows]])
 
-            out, fold = np.zeros(n), np.zeros(n, int)
-            for value in (0, 1):  # each fold gets its share of both classes
-                fold[y == value] = np.arange((y == value).sum()) % FOLDS
+            out = np.zeros(n)
             for f in range(FOLDS):
                 train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                if not 0 < y[train].sum() < len(train):
-                    out[test] = y[train].mean()
+                if not len(test) or not 0 < y[train].sum() < len(train):
+                    out[test] = y[train].mean() if len(train) else 0.0
                     continue
-                chosen = columns(train)
+                chosen = columns(train, f)
                 out[test] = _predict(frame(test, chosen), _logistic(frame(train, chosen), y[train]))
-            chosen = columns(rows := np.arange(n))
+            chosen = columns(rows := np.arange(n), FOLDS)
             w = _logistic(frame(rows, chosen), y)
             link = len(model["links"])
             for c, weight in zip(chosen, w, strict=False):
@@ -168,18 +189,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, words_per
     ids = spark.createDataFrame(chosen.collect(), chosen.schema)
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
     low, toxic = (F.col("q") == 0).cast("int"), (F.col("t") == 1).cast("int")
-    rows = rows.select("doc_id", F.length("text").alias("n"), low.alias("low"), toxic.alias("toxic"), (low * toxic).alias("both"), _word_sets(F.col("text")).alias("words"))
-    sample = work.save(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "low", "toxic", "n").limit(sample_rows), "sample")
-    # the candidate words are chosen on the executors; the driver gets those and which row has which
-    total = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("low", "toxic", "both")]).first()
-    counts = sample.select(F.explode("words").alias("w"), "low", "toxic", "both").groupBy("w").agg(F.count("*").alias("c"), *[F.sum(c).alias(c) for c in ("low", "toxic", "both")])
-    counts = counts.where((F.col("c") >= MIN_DOCUMENTS) & (F.col("c") < total.n))
-    chi2 = [(F.col(c) - F.col("c") * (total[c] / total.n)) ** 2 / (F.col("c") * (1 - F.col("c") / total.n)) / (total[c] * (1 - total[c] / total.n)) for c in ("low", "toxic", "both") if total[c] and total[c] < total.n]
-    words = [r.w for r in counts.orderBy(F.greatest(*chi2, F.lit(0.0), F.lit(0.0)).desc(), "w").limit(CANDIDATES).collect()]
-    found = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "low", "toxic", "n").select("n", "low", "toxic", "both", _places(words)(F.col("words")).alias("at")).collect()
-    work.drop("sample")
-    chain = {"low_quality": [r.low for r in found], "toxic": [r.toxic for r in found], "toxic_and_low": [r.both for r in found]}
-    return fit_chain([{words[i] for i in r["at"]} for r in found], [r.n for r in found], chain, words_per_link)
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = rows.select("doc_id", F.length("text").alias("n"), fold, low.alias("low"), toxic.alias("toxic"), (low * toxic).alias("both"), _word_sets(F.col("text")).alias("words"))
+    order = (F.xxhash64("doc_id"), "doc_id", "fold", "low", "toxic", "n")
+    sample = work.save(rows.orderBy(*order).limit(sample_rows), "sample")
+    # words are counted on the executors, by fold; the driver gets the candidates and which row has which
+    chain = ("low", "toxic", "both")
+    total = {r.fold: r for r in sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in chain]).collect()}
+    by_fold = [F.sum(F.when(F.col("fold") == f, 1 if c is None else F.col(c)).otherwise(0)).alias(f"{c or 'seen'}{f}") for f in range(FOLDS) for c in (None, *chain)]
+    counts = sample.select(F.explode("words").alias("w"), "fold", *chain).groupBy("w").agg(F.count("*").alias("c"), *by_fold)
+    counts = work.save(counts.where(F.col("c") >= MIN_DOCUMENTS).drop("c"), "counts")
+    candidates = []
+    for left_out in range(FOLDS + 1):
+        training = [f for f in range(FOLDS) if f != left_out]
+        n = sum(total[f]["n"] for f in training if f in total)
+        pos = {c: sum(total[f][c] for f in training if f in total) for c in chain}
+        said = {c: sum((F.col(f"{c}{f}") for f in training), F.lit(0)).cast("double") for c in ("seen", *chain)}
+        seen = counts.select("w", *[v.alias(c) for c, v in said.items()]).where((F.col("seen") >= MIN_DOCUMENTS) & (F.col("seen") < n))
+        chi2 = [(F.col(c) - F.col("seen") * (pos[c] / n)) ** 2 / (F.col("seen") * (1 - F.col("seen") / n)) / (pos[c] * (1 - pos[c] / n)) for c in chain if 0 < pos[c] < n]
+        candidates.append({r.w for r in seen.orderBy(F.greatest(*chi2, F.lit(0.0), F.lit(0.0)).desc(), "w").limit(CANDIDATES).collect()})
+    words = sorted(set().union(*candidates))
+    found = sample.orderBy(*order).select("n", "fold", *chain, _places(words)(F.col("words")).alias("at")).collect()
+    work.drop("sample", "counts")
+    labelled = {"low_quality": [r.low for r in found], "toxic": [r.toxic for r in found], "toxic_and_low": [r.both for r in found]}
+    return fit_chain([{words[i] for i in r["at"]} for r in found], [r["n"] for r in found], labelled, words_per_link, [r.fold for r in found], candidates)
 
 
 def _places(words: list[str]):

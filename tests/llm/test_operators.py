@@ -238,6 +238,37 @@ def test_chain_learns_and_holds_out():
     assert len(model["links"][1]["earlier"]) == 1
 
 
+def test_random_labels_are_not_predicted():
+    """Nothing of a row's label reaches its own prediction, however many words there are to choose from."""
+    auc = []
+    for seed in range(3):
+        rng = random.Random(seed)
+        sets = [{f"w{rng.randrange(12000)}" for _ in range(60)} for _ in range(900)]
+        y = [int(rng.random() < 0.4) for _ in sets]
+        out = toxicity.fit_chain(sets, [60] * len(sets), {"toxic": y})["out_of_fold"]["toxic"]
+        rank = np.argsort(np.argsort(out)) + 1
+        pos = sum(y)
+        auc.append((sum(r for r, v in zip(rank, y, strict=True) if v) - pos * (pos + 1) / 2) / (pos * (len(y) - pos)))
+    assert abs(np.mean(auc) - 0.5) < 0.04, auc
+
+
+def test_training_on_executors_equals_the_plain_chain(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 40) + " vile" * (i % 4 == 0) + " junk" * (i % 3 == 0)) for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 4 == 0)) for i, _ in rows] + [(5, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    folds = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(toxicity.FOLDS))).collect()}
+    low, toxic = [int(i % 3 == 0) for i, _ in rows], [int(i % 4 == 0) for i, _ in rows]
+    chain = {"low_quality": low, "toxic": toxic, "toxic_and_low": [a * b for a, b in zip(low, toxic, strict=True)]}
+    plain = toxicity.fit_chain([toxicity.words_of(t or "") for _, t in rows], [len(t or "") for _, t in rows], chain, folds=[folds[i] for i, _ in rows])
+    for _, t in rows:
+        assert np.allclose(toxicity.score(model, t), toxicity.score(plain, t), atol=1e-6)
+    got = toxicity.classify(docs.union(docs.where("doc_id = 0")), labels, model).select("doc_id", "text", "toxicity.*").collect()
+    assert len(got) == 303 and all(r.toxic == ("vile" in (r.text or "")) for r in got)
+    assert toxicity.classify(docs.limit(0), labels, model).count() == 0
+
+
 def test_chain_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "x"), (1, "a b", "x")], DOCS + ", toxicity string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
