@@ -138,18 +138,14 @@ def digest_of(words: list[bytes]) -> bytes | None:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, items): the distinct shingles of a text in order, as the bytes of 64-bit numbers.
-
-    Rows are (unit, text, content). An id may have several texts: the digest tells which is meant.
-    """
+    """(unit, content, items) of (id, text): the digest of the words, and the distinct shingles in order as the bytes of 64-bit numbers."""
     for batch in batches:
-        units, items = [], []
-        for i, unit in enumerate(batch.column(0).to_pylist()):  # one text at a time
-            words = words_of(batch.column(1)[i].as_py())
-            if digest_of(words) == batch.column(2)[i].as_py():
-                units.append(unit)
-                items.append(hashed_shingles(words).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(items, pa.binary())], names=["unit", "items"])
+        content, items = [], []
+        for text in batch.column(1):  # one text at a time
+            words = words_of(text.as_py())
+            content.append(digest_of(words))
+            items.append(hashed_shingles(words).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(items, pa.binary())], names=["unit", "content", "items"])
 
 
 def _verifier(percent: int):
@@ -272,13 +268,19 @@ def link(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str =
     pairs = work.save(members.where("unit <> leader").select(F.col("leader").alias("a"), F.col("unit").alias("b")).distinct(), "pairs0")
     involved = work.save(pairs.select(F.col("a").alias("unit")).union(pairs.select(F.col("b").alias("unit"))).distinct(), "involved")
     wanted = work.save(units.select("unit", "doc_id", "content", "rows").join(involved, "unit"), "wanted")
-    held = docs.join(wanted.select("unit", "doc_id", "content"), "doc_id").select("unit", "text", "content")
-    sets = work.save(held.mapInArrow(_sets, "unit long, items binary"), "sets")
+    ids = involved.select(F.col("unit").alias("doc_id"))
+    if own.take(1):  # an id may have several texts: the digest tells which is meant
+        ids = work.save(wanted.select("doc_id").distinct(), "ids")
+    held = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "unit long, content binary, items binary")
+    if own.take(1):
+        mine = wanted.select(F.col("doc_id").alias("id"), F.col("content").alias("c"), F.col("unit").alias("u"))
+        held = held.join(mine, (F.col("unit") == F.col("id")) & (F.col("content") == F.col("c"))).select(F.col("u").alias("unit"), "items")
+    sets = work.save(held.select("unit", "items"), "sets")
     again = wanted.where("rows > 1").select("unit")
     if again.take(1):  # rows that repeat an id and its words give equal sets
         once = sets.join(again, "unit").groupBy("unit").agg(F.first("items").alias("items"))
         sets = work.save(sets.join(again, "unit", "left_anti").union(once), "sets_once")
-    work.drop("wanted", "involved")
+    work.drop("wanted", "involved", "ids")
     found = work.save(_confirm(pairs, sets, percent), "links0")
     links = found
     if by_id:
