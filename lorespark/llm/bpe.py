@@ -1,24 +1,26 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A text's UTF-8 bytes are cut where a rolling hash of the last ``WINDOW`` bytes has its low
-bits zero, so equal passages give equal chunks in whatever document they stand. A chunk is
-encoded once and kept: the ids and decoded text between its first and last white space, plus
-its two open ends. The ends are not final, for a cut may part a word, a composed character
-or a special token. Each join is therefore repaired: the left end and the right end are
-re-encoded together, and while the right chunk has no white space the join grows over it,
-until both sides of the join end at white space. There the tokenizer's state is empty
-(its normaliser, its added tokens and its word pattern never cross white space), so the
-result agrees exactly with encoding the whole text.
-
-Inside a chunk, each white-space-free run is encoded once too. Texts are taken in runs of
-``BATCH_CHARS``, whose new words go to the tokenizer in one call. Both stores are bounded:
-beyond ``CACHE_WORDS`` words only those that came again stay, and chunks are kept in two
-generations of ``CACHE_CHUNKS``; what is dropped is only encoded again. The stores live in
-the Python worker, so a lost executor loses nothing but them.
+A text's UTF-8 bytes are cut, between characters, where a rolling hash of the last ``WINDOW``
+bytes has its low bits zero, so equal passages give equal chunks in whatever document they
+stand. A chunk is encoded once and kept. Its encoding covers the whole words between its
+first and last white space; its two ends are open, for a cut may part a word, a composed
+character or a special token. Each join of two chunks is then repaired: the tokenizer
+re-encodes the open ends together with one whole word of either chunk, its guards. The join
+is closed where the ids of both guards come out exactly as the chunks have them: the
+tokenizer's state is empty at white space, so what lies outside of the guards agrees too.
+Until they agree the guards grow, at last to the whole text. A chunk without a whole word
+lies open in its join. Joins are kept like chunks, so a shared passage costs one encoding.
+
+Inside a chunk, each word is encoded once too: the tokenizer alone, chunk by chunk, would need
+a half more time. Texts are taken in runs of ``BATCH_CHARS``, whose new words and joins go to
+the tokenizer in one call each. The stores are bounded: beyond ``CACHE_WORDS`` words only those
+that came again stay, chunks and joins are kept in two generations of ``CACHE_CHUNKS``; what is
+dropped is only encoded again. They live in the Python worker, so a lost executor loses nothing
+but them; ``Encoder.counts`` tells how often they served.
 
 Defined cases: null text is empty: no ids, empty decoded text; each row of a repeated id
 gives its own row; an empty table gives an empty result; texts of any length are encoded
-whole.
+whole; other columns stay, but for one named ``bpe``, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import hashlib
 import os
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -38,8 +41,9 @@ from pyspark.sql import functions as F
 from .common import enable_workers, text_of
 
 WINDOW = 16
-MASK = 0x1FF  # 512 bytes a chunk on average
-CACHE_WORDS, CACHE_CHUNKS, LONG_WORD, BATCH_CHARS = 120_000, 6_000, 200, 1_000_000
+MASK = 0x3FF  # 1024 bytes a chunk on average
+CACHE_WORDS, CACHE_CHUNKS, LONG_WORD, BATCH_CHARS = 120_000, 3_000, 200, 1_000_000
+GUARDS = 2  # whole words of either chunk that a join may grow over
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # the tokenizer's \s; not \x1c-\x1f
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _PACK = struct.pack
@@ -67,7 +71,12 @@ def cuts(data: bytes) -> list[int]:
         width *= 2
     low = (h >> np.uint64(WINDOW - 1)) & np.uint64(MASK)
     at = np.flatnonzero(low[WINDOW:] == 0) + WINDOW + 1
-    out = at.tolist()
+    out = []
+    for end in at.tolist():
+        while end < n and data[end] & 0xC0 == 0x80:  # inside a character
+            end += 1
+        if not out or end > out[-1]:
+            out.append(end)
     if not out or out[-1] != n:
         out.append(n)
     return out
@@ -91,6 +100,24 @@ class _Store:
         self.new[key] = value
 
 
+class Chunk:
+    """An encoded chunk: its open ends, its first and last whole words, and what they and all between encode to."""
+
+    __slots__ = ("head", "head_ids", "ids", "left", "right", "said", "tail", "tail_ids", "words")
+
+    def __init__(self, left: str, words: list[str], right: str):
+        self.left, self.words, self.right = left, words, right
+        self.head, self.tail = tuple(words[:GUARDS]), tuple(words[-GUARDS:])
+        self.ids, self.said = b"", ""
+        self.head_ids = self.tail_ids = ()
+
+    def settle(self, known: dict[str, tuple[bytes, str]]) -> None:
+        found = [known[w] for w in self.words]
+        self.ids, self.said = b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
+        self.head_ids, self.tail_ids = tuple(x[0] for x in found[:GUARDS]), tuple(x[0] for x in found[-GUARDS:])
+        self.words = []
+
+
 class Encoder:
     """Encodes and decodes whole texts exactly as the tokenizer file's own library does."""
 
@@ -105,7 +132,8 @@ class Encoder:
         self.names = {i: name for name, i in vocabulary.items()}
         self.words: dict[str, tuple[bytes, str]] = {}
         self.often: set[str] = set()  # words that were there when they came again
-        self.chunks = _Store(CACHE_CHUNKS)
+        self.chunks, self.joins = _Store(CACHE_CHUNKS), _Store(CACHE_CHUNKS)
+        self.counts: Counter[str] = Counter()
 
     def _encode_words(self, words: list[str]) -> None:
         """Encodes new words, many to a text: white space parts them exactly, and offsets tell whose token is whose."""
@@ -122,17 +150,41 @@ class Encoder:
                 # the file names no decoder, so decoding joins the tokens by a space
                 known[word] = (_PACK(f"<{len(own)}I", *own), " ".join([names[i] for i in own]))
 
-    def _part(self, data: bytes) -> tuple[str | None, list[str], str]:
-        """(left end, words between, right end) of a chunk; left end None: no white space at all."""
-        text = data.decode("utf-8", "surrogateescape")
+    def _open(self, text: str) -> Chunk | None:
+        """The chunk with its whole words, still to be encoded; None where it has none."""
         first = SPACE.search(text)
         if first is None:
-            return None, [], text
-        body = text[first.end() :]
-        words = split_words(body)
-        # the last run is open unless white space follows it
-        open_end = words.pop() if words and not SPACE.match(body[-1]) else ""
-        return text[: first.start()], words, open_end
+            return None
+        words = split_words(text[first.end() :])
+        right = words.pop() if words and not SPACE.match(text[-1]) else ""  # open unless white space follows
+        return Chunk(text[: first.start()], words, right) if words else None
+
+    def _whole(self, text: str) -> tuple[bytes, str]:
+        """The tokenizer's own encoding of a text."""
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return _PACK(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
+
+    def _close(self, wanted: dict[tuple, tuple]) -> dict[tuple, tuple[bytes, str] | None]:
+        """Repairs joins (left guards, open text, right guards), given with the ids of their guards; None where these do not agree."""
+        out: dict[tuple, tuple[bytes, str] | None] = {}
+        keys = list(wanted)
+        found = self.tokenizer.encode_batch([" ".join([*left, mid, *right]) for left, mid, right in keys], add_special_tokens=False) if keys else []
+        self.counts["joins_encoded"] += len(keys)
+        for key, e in zip(keys, found, strict=True):
+            before, after = wanted[key]
+            ids = e.ids
+            data, lo = _PACK(f"<{len(ids)}I", *ids), len(before)
+            hi = len(data) - len(after)
+            if lo <= hi and data[:lo] == before and data[hi:] == after:
+                out[key] = (data[lo:hi], " ".join([self.names[i] for i in ids[lo // 4 : hi // 4]]))
+            else:
+                out[key] = None
+        return out
+
+    def _agree(self, left: Chunk | None, mid: str, right: Chunk | None, guards: int) -> tuple[tuple, tuple]:
+        """A join's key with so many guards on either side, and the ids these have in their chunks."""
+        key = (left.tail[-guards:] if left else (), mid, right.head[:guards] if right else ())
+        return key, (b"".join(left.tail_ids[-guards:]) if left else b"", b"".join(right.head_ids[:guards]) if right else b"")
 
     def encode_many(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
@@ -140,45 +192,69 @@ class Encoder:
         plans: list[list] = []
         wanted: set[str] = set()
         for text in texts:
-            data, at, open_end, plan = (text or "").encode(), 0, [""], []
-
-            def close(right: str, open_end: list[str], plan: list) -> None:
-                """The repaired join: both ends, and all between without white space, as one run of text."""
-                if word := "".join([*open_end, right]):
-                    # a cut may have parted one character's bytes
-                    word = word.encode("utf-8", "surrogateescape").decode()
-                    wanted.add(word)
-                    plan.append(word)
-
+            data, at, mid, last, plan = (text or "").encode(), 0, [], None, []
             for end in cuts(data):
-                chunk, at = data[at:end], end
-                done = fresh.get(chunk) or kept.get(chunk)
-                if done is None:
-                    left, words, right = self._part(chunk)
-                    wanted.update(words)
-                    done = fresh[chunk] = [left, words, right, None]
-                if done[0] is None:
-                    open_end.append(done[2])
-                    continue
-                close(done[0], open_end, plan)
-                plan.append(done)
-                open_end = [done[2]]
-            close("", open_end, plan)
+                piece, at = data[at:end], end
+                self.counts["chunks"] += 1
+                chunk = fresh.get(piece) or kept.get(piece)
+                if chunk is None:
+                    said = piece.decode()
+                    chunk = self._open(said)
+                    if chunk is None:
+                        mid.append(said)
+                        continue
+                    self.counts["chunks_encoded"] += 1
+                    fresh[piece] = chunk
+                    wanted.update(chunk.words)
+                plan.append((last, "".join([*mid, chunk.left]), chunk))
+                mid, last = [chunk.right], chunk
+            plan.append((last, "".join(mid), None))
             plans.append(plan)
         again = {w for w in wanted if w in known}
         self.often |= again
         new = list(wanted - again)
         if new:
             self._encode_words(new)
-        for chunk, done in fresh.items():
-            found = [known[w] for w in done[1]]
-            done[3] = (b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]))
-            done[1] = ()
-            if len(chunk) <= 8 * (MASK + 1):
-                kept[chunk] = done
-        out = []
+        for piece, chunk in fresh.items():
+            chunk.settle(known)
+            if len(piece) <= 8 * (MASK + 1):
+                kept[piece] = chunk
+        closed: dict[tuple, tuple[bytes, str] | None] = {}
+        ask: dict[tuple, tuple] = {}
         for plan in plans:
-            parts = [known[x] if type(x) is str else x[3] for x in plan]
+            for i, (left, mid, right) in enumerate(plan):
+                if mid and not SPACE.fullmatch(mid):
+                    key, ids = self._agree(left, mid, right, 1)
+                    plan[i] = (left, key, right)
+                    self.counts["joins"] += 1
+                    if key not in closed and key not in ask:
+                        if done := self.joins.get(key):
+                            closed[key] = done
+                        else:
+                            ask[key] = ids
+                else:
+                    plan[i] = (left, None, right)
+        for key, done in self._close(ask).items():
+            closed[key] = done
+            if done and len(key[1]) <= LONG_WORD:
+                self.joins[key] = done
+        out = []
+        for text, plan in zip(texts, plans, strict=True):
+            parts: list[tuple[bytes, str]] = []
+            for left, join, right in plan:
+                if join:
+                    done, guards = closed[join], 1
+                    while done is None and guards < GUARDS:  # until both sides agree
+                        guards *= 2
+                        key, ids = self._agree(left, join[1], right, guards)
+                        done = self._close({key: ids})[key]
+                        self.counts["grown"] += 1
+                    if done is None:
+                        parts = [self._whole(text)]
+                        break
+                    parts.append(done)
+                if right:
+                    parts.append((right.ids, right.said))
             out.append((b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[0]])))
         if len(known) > CACHE_WORDS:  # the words that came again stay
             if len(self.often) > CACHE_WORDS // 2:
@@ -232,7 +308,7 @@ def encoded(text: Column, path: str, with_ids: bool = False) -> Column:
                 rows.append([*row, np.frombuffer(ids, "<u4").astype("int32"), said] if with_ids else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]]
             yield pd.DataFrame(rows, columns=names)
-        enc.chunks.old = {}  # an idle worker keeps one generation
+        enc.chunks.old, enc.joins.old = {}, {}  # an idle worker keeps one generation
 
     return run(text_of(text))
 

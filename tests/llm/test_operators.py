@@ -191,6 +191,38 @@ def test_bpe_stores_are_bounded_and_exact(monkeypatch):
     assert len(enc.words) <= 3 + 300 and len(enc.chunks.new) <= 2
 
 
+def test_bpe_shared_passages_are_encoded_once():
+    rng = random.Random(30)
+    passage = " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(3000))
+    texts = [f"{prose(rng, 20)} {i} {passage} {i} {prose(rng, 20)}" for i in range(50)]
+    enc = bpe.Encoder(bpe.default_path())
+    for i in range(0, 50, 10):
+        for text, (ids, _) in zip(texts[i : i + 10], enc.encode_many(texts[i : i + 10]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    inside = len(bpe.cuts(passage.encode()))
+    assert inside > 30 and enc.counts["chunks"] > 50 * (inside - 1)
+    assert enc.counts["chunks_encoded"] < inside + 50 * 3  # the passage's once, and each text's own
+    assert enc.counts["joins_encoded"] < inside + 50 * 4 < enc.counts["joins"]
+
+
+def test_bpe_joins_grow_until_they_agree(monkeypatch):
+    """Guards that come out otherwise than in their chunks make the join grow, at last to the whole text."""
+    enc = bpe.Encoder(bpe.default_path())
+    text = " ".join(f"{w} {i}" for i, w in enumerate(prose(random.Random(1), 3000).split()))
+    want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+    close, tries = enc._close, []
+
+    def doubtful(wanted):
+        tries.append(len(wanted))
+        return {k: None if len(k[0]) + len(k[2]) < 2 * len_needed else v for k, v in close(wanted).items()}
+
+    monkeypatch.setattr(enc, "_close", doubtful)
+    for len_needed in (2, 9):
+        tries.clear()
+        assert np.frombuffer(enc.encode(text)[0], "<u4").tolist() == want
+        assert len(tries) > 1 and enc.counts["grown"] > 0
+
+
 def test_bpe_rows(spark):
     d = spark.createDataFrame([(1, "A b", 1), (1, "A b", 1), (None, None, 2)], DOCS + ", bpe int")
     got = bpe.encode(d, bpe.default_path()).select("doc_id", "bpe.n_tokens", "bpe.decoded", "bpe.ids_sha256")
@@ -198,6 +230,7 @@ def test_bpe_rows(spark):
     assert [(r[0], r[1], r[2]) for r in got.collect()][2] == (None, 0, "")
     assert got.collect()[2][3] == none and got.collect()[0][2] == "a</w> b</w>"
     assert bpe.encode(d.limit(0), bpe.default_path()).count() == 0
+    assert bpe.encode(d.withColumn("ids", F.lit(1)), bpe.default_path()).columns == ["doc_id", "text", "bpe", "ids"]
 
 
 def test_counts_equal_the_library():
