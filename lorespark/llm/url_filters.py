@@ -74,9 +74,12 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return asked.join(known, "host").groupBy("__host").agg(F.collect_list("r").alias("__rules"))
 
 
-def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """df, which has __host and __path, with ``__best``: the rule that wins, or null."""
-    joined = df.join(host_rules(df, rules), "__host", "left")
+def with_rule(work: Work, df: DataFrame, rules: DataFrame, name: str) -> DataFrame:
+    """df, which has __host and __path, with ``__best``: the rule that wins, or null.
+
+    The hosts' rules are a table of their own, so a crowded host's rows meet them without a shuffle or on one that AQE can split.
+    """
+    joined = df.join(work.save(host_rules(df, rules), name), "__host", "left")
     fits = F.filter("__rules", lambda r: F.startswith(F.col("__path"), r["path"]))
     return joined.withColumn("__best", F.array_max(fits)).drop("__rules")
 
@@ -120,13 +123,13 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame
         links = links.union(ends.select("__node_f", "__node_t"))
     member = components(work, links)  # a null end or a link to itself joins nothing
     members = with_parts(member.select("component", F.concat(F.lit("http://"), F.col("node")).alias("url")), "url")
-    judged = work.save(with_rule(members, rules).select("component", F.col("__node").alias("node"), F.col("__best.verdict").alias("verdict")), "members")
+    judged = work.save(with_rule(work, members, rules, "member_hosts").select("component", F.col("__node").alias("node"), F.col("__best.verdict").alias("verdict")), "members")
     seeds = work.save(judged.where("verdict = 'block'").select("component").distinct(), "seeds")
     blocked = work.save(judged.join(seeds, "component", "left_semi").select(F.col("node").alias("__blocked")), "blocked")
-    work.drop("members", "seeds")
+    work.drop("members", "seeds", "member_hosts")
     names = [c for c in pages.columns if c != "judged"]
     numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]  # so that no name clashes
-    full = with_rule(with_parts(pages.select(*numbered, F.col("url").alias("__url")), "__url"), rules).join(blocked, F.col("__node") == F.col("__blocked"), "left")
+    full = with_rule(work, with_parts(pages.select(*numbered, F.col("url").alias("__url")), "__url"), rules, "hosts").join(blocked, F.col("__node") == F.col("__blocked"), "left")
     by_alias = F.when(F.col("__blocked").isNotNull(), "block").otherwise("allow")
     out = F.struct(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), by_alias).alias("verdict"))
     return full.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], out.alias("judged"))
