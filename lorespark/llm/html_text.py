@@ -2,25 +2,34 @@
 
 A tree builder reads tags with the implied ones of the format (a paragraph ends before a
 block, an item before the next item, a cell before the next cell or row), and a renderer
-walks the tree as a browser lays it out: what scripts, styles, metadata, hidden or
-``display:none`` elements hold is not visible; all other text is. White space collapses
-except in preformatted text; blocks stand on lines of their own, paragraphs and headings
-with a blank line between; list items get their bullet or number and their indent; a
-table's cells are padded so that columns align. What a table holds outside of its cells and
-caption moves before it, a cell outside of a row gets a row, and a form between table parts is
-transparent, as browsers do.
+walks the tree as a browser lays it out: what scripts, styles, metadata or hidden elements
+hold is not visible; all other text is. White space collapses except in preformatted text;
+blocks stand on lines of their own, paragraphs and headings with a blank line between; list
+items get their bullet or number and their indent; a table's cells are placed on a grid, by
+their column and row spans, and padded so that columns align. What a table holds outside of
+its cells and caption moves before it, a cell outside of a row gets a row, and a form between
+table parts is transparent, as browsers do.
+
+``display`` and ``visibility`` come from style attributes and from the page's own style
+sheets, by importance, specificity and order: rules of elements, classes, ids and attributes,
+of descendants and children, for a screen of ``SCREEN`` pixels. ``display: none`` hides all
+below; ``visibility`` is inherited, and a visible element inside a hidden one shows. Other
+selectors (states, siblings) and sheets of other files do not count.
+
+The tree is built and walked with explicit stacks, so nesting of any depth is rendered.
 
 Defined cases: null or empty html gives the empty text; broken markup never fails: unknown
-end tags are dropped and open elements end with the text; nesting beyond ``MAX_DEPTH``
-stays at that depth; a repeated row gives its row again; an empty table gives an empty
-result; pages of any length are rendered whole.
+end tags are dropped and open elements end with the text; a repeated row gives its row again;
+an empty table gives an empty result; pages of any length are rendered whole; other columns
+stay, but for one named ``visible_text``, which is replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,11 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import enable_workers, text_of
 
-MAX_DEPTH = 200
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")  # where a quote is never closed
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARATION = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMPOUND = re.compile(r"""(\*|[a-zA-Z][\w-]*)?((?:[.\#][\w-]+|\[\s*[\w-]+\s*(?:[~|^$*]?=\s*(?:"[^"]*"|'[^']*'|[^\]\s]+)\s*)?\])*)""", re.X)
+SIMPLE = re.compile(r"""([.\#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]""", re.X)
+WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)px\s*\)", re.I)
+SCREEN = 1280
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
 # Element classes of the HTML standard.
@@ -93,22 +105,33 @@ def parse(html: str) -> Node:
     """The element tree of a page."""
     root = Node("html", {})
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # of the open elements, by name
 
-    def close(names: set[str], stop: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in stop:
-                return
+    def push(node: Node) -> None:
+        places.setdefault(node.name, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        """Closes all open elements from place i on."""
+        while len(stack) > i:
+            places[stack.pop().name].pop()
+
+    def nearest(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(names: Iterable[str], stop: Iterable[str]) -> bool:
+        i = nearest(names)
+        if not i or nearest(stop) > i:
+            return False
+        cut(i)
+        return True
 
     def put(kid: Node | str) -> None:
         """Adds to the open element; before its table what no part of a table may hold."""
         if stack[-1].name in FRAMES and (not WHITE.fullmatch(kid) if isinstance(kid, str) else kid.name not in PARTS and kid.name not in IN_TABLE):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "table":
-                    stack[i - 1].kids.insert(len(stack[i - 1].kids) - 1, kid)  # an open element is the last child
-                    return
+            if i := nearest(("table",)):
+                stack[i - 1].kids.insert(len(stack[i - 1].kids) - 1, kid)  # an open element is the last child
+                return
         stack[-1].kids.append(kid)
 
     def add_text(text: str) -> None:
@@ -140,41 +163,38 @@ def parse(html: str) -> Node:
         if m[1]:
             if name == "br":
                 put(Node("br", {}))
-            elif name == "p" and not any(n.name == "p" for n in stack):
+            elif name == "p" and not places.get("p"):
                 put(Node("p", {}))
             elif name not in ("html", "body"):
                 close({name}, {"table"} if name not in ("table", "caption") and name in IMPLIED else ({"td", "th"} if name not in ("tr", "tbody", "thead", "tfoot", "table") else frozenset()))
             continue
         if stack[-1].name == "head" and name not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if name in ("html", "body"):
             (root if name == "html" else stack[-1]).attrs.update({k: v for k, v in _attributes(m[3]).items() if k not in stack[-1].attrs})
             continue
         if name in IMPLIED:
             names, stop = IMPLIED[name]
-            while any(n.name in names for n in stack[1:]):
-                before = len(stack)
-                close(names, stop)
-                if len(stack) == before:
-                    break
+            while close(names, stop):
+                pass
         if name in ENDS_P:
             close({"p"}, LIMITS)
         if name[0] == "h" and len(name) == 2 and name[1].isdigit() and stack[-1].name[0] == "h" and stack[-1].name[1:].isdigit():
-            stack.pop()
+            cut(len(stack) - 1)
         framed = stack[-1].name in FRAMES or name in PARTS
-        if framed and any(n.name == "table" for n in stack):
+        if framed and places.get("table"):
             if name in PARTS:
                 while stack[-1].name not in PARTS[name]:
-                    stack.pop()
-                if name in ("td", "th") and stack[-1].name != "tr" and len(stack) < MAX_DEPTH:
+                    cut(len(stack) - 1)
+                if name in ("td", "th") and stack[-1].name != "tr":
                     stack[-1].kids.append(Node("tr", {}))
-                    stack.append(stack[-1].kids[-1])
+                    push(stack[-1].kids[-1])
             elif name == "table":
                 close({"table"}, frozenset())
             elif name == "form":
                 continue
             elif stack[-1].name == "colgroup":
-                stack.pop()
+                cut(len(stack) - 1)
         node = Node(name, _attributes(m[3]))
         put(node)
         if name in VOID:
@@ -186,21 +206,166 @@ def parse(html: str) -> Node:
             close_at = html.find(">", stop_at)
             at = len(html) if end is None or close_at < 0 else close_at + 1
             continue
-        if len(stack) < MAX_DEPTH and not m[3].endswith("/"):
-            stack.append(node)
-        elif len(stack) < MAX_DEPTH and name not in ("svg", "math", "path"):
-            stack.append(node)  # a slash does not end an element of the format
+        if not m[3].endswith("/") or name not in ("svg", "math", "path"):
+            push(node)  # a slash does not end an element of the format
+
+
+class Sheet:
+    """The rules of a page's style sheets on display and visibility."""
 
+    def __init__(self, root: Node):
+        self.by: dict[tuple[str, str], list[tuple]] = {}
+        self.order = 0
+        for text in _sheets(root):
+            self._read(re.sub(r"/\*.*?(?:\*/|$)", " ", text, flags=re.S))
 
-def visible(node: Node) -> bool:
-    if node.name in UNSEEN:
+    def _read(self, css: str) -> None:
+        at = 0
+        while (opened := css.find("{", at)) >= 0:
+            closed = css.find("}", at)
+            if 0 <= closed < opened:  # the end of a block around
+                at = closed + 1
+                continue
+            head = css[at:opened].rpartition(";")[2].strip()
+            if head.startswith("@"):
+                word = head[1:].split(None, 1)[0].lower() if len(head) > 1 else ""
+                if word in ("supports", "layer", "container") or (word == "media" and applies(head[6:])):
+                    at = opened + 1
+                else:
+                    at = _after_block(css, opened)
+                continue
+            end = css.find("}", opened)
+            body = css[opened : end if end >= 0 else len(css)]
+            at = end + 1 if end >= 0 else len(css)
+            said = _declared(body)
+            if said:
+                for selector in head.split(","):
+                    self._add(selector.strip(), said)
+
+    def _add(self, selector: str, said: dict[str, tuple[str, bool]]) -> None:
+        steps: list[tuple] = []
+        child = False
+        for part in re.sub(r"\s*>\s*", " > ", selector).split():
+            if part == ">":
+                child = True
+                continue
+            m = COMPOUND.fullmatch(part)
+            if not m:
+                return
+            tests = [(t[1] or "[", (t[2] or t[3]), t[4], next((v for v in t.groups()[4:] if v is not None), "")) for t in SIMPLE.finditer(m[2])]
+            steps.append(((m[1] or "*").lower(), tests, child))
+            child = False
+        if not steps or child:
+            return
+        ids = sum(t[0] == "#" for _, tests, _ in steps for t in tests)
+        classes = sum(t[0] != "#" for _, tests, _ in steps for t in tests)
+        self.order += 1
+        weight = (ids, classes, sum(name != "*" for name, _, _ in steps), self.order)
+        name, tests, _ = steps[-1]
+        key = next(((k, v) for kind in "#." for k, v, *_ in tests if k == kind), ("", name))
+        self.by.setdefault(key, []).append((steps, weight, said))
+
+    def of(self, node: Node, path: list[Node]) -> dict[str, str]:
+        """The node's own display and visibility; path: the elements around it, outermost first."""
+        best: dict[str, tuple] = {}
+        attrs = node.attrs
+        if self.by:
+            keys = [("", node.name), ("", "*")]
+            if attrs:
+                keys += [(".", c) for c in dict.fromkeys(attrs.get("class", "").split())] + [("#", attrs.get("id", ""))]
+            for key in keys:
+                for steps, weight, said in self.by.get(key, ()):
+                    if _matches(steps, node, path):
+                        for name, (value, important) in said.items():
+                            best[name] = max(best.get(name, ((),)), ((important, 0, *weight), value))
+        if style := attrs.get("style", ""):
+            for name, (value, important) in _declared(style).items():
+                best[name] = max(best.get(name, ((),)), ((important, 1), value))
+        return {name: value for name, (_, value) in best.items()}
+
+
+def applies(query: str) -> bool:
+    """Whether a media query holds for a screen of SCREEN pixels."""
+    for part in query.lower().split(","):
+        rest = WIDTH.sub("", part)
+        words = set(re.findall(r"[a-z-]+", rest))
+        if words <= {"all", "screen", "only", "and"} and "(" not in rest:
+            if all(float(n) <= SCREEN if kind == "min" else float(n) >= SCREEN for kind, n in WIDTH.findall(part)):
+                return True
+    return False
+
+
+def _after_block(css: str, opened: int) -> int:
+    depth = 0
+    for m in re.compile("[{}]").finditer(css, opened):
+        depth += 1 if m[0] == "{" else -1
+        if depth == 0:
+            return m.end()
+    return len(css)
+
+
+def _declared(body: str) -> dict[str, tuple[str, bool]]:
+    """Property to (value, whether important); the last one counts, an important one before others."""
+    out: dict[str, tuple[str, bool]] = {}
+    if "isplay" in body or "isibility" in body or "ISPLAY" in body or "ISIBILITY" in body:
+        for name, value, important in DECLARATION.findall(body):
+            if important or not out.get(name.lower(), ("", False))[1]:
+                out[name.lower()] = (value.lower(), bool(important))
+    return out
+
+
+def _fits(step: tuple, node: Node) -> bool:
+    name, tests, _ = step
+    if name not in ("*", node.name):
         return False
-    a = node.attrs
-    if not a:
-        return node.name != "dialog"
-    if "hidden" in a or HIDING.search(a.get("style", "")):
+    for kind, key, op, value in tests:
+        if kind == "#":
+            ok = node.attrs.get("id") == key
+        elif kind == ".":
+            ok = key in node.attrs.get("class", "").split()
+        else:
+            have = node.attrs.get(key.lower())
+            ok = have is not None and {
+                None: lambda: True,
+                "=": lambda: have == value,
+                "~=": lambda: value in have.split(),
+                "|=": lambda: have == value or have.startswith(value + "-"),
+                "^=": lambda: bool(value) and have.startswith(value),
+                "$=": lambda: bool(value) and have.endswith(value),
+                "*=": lambda: bool(value) and value in have,
+            }[op]()
+        if not ok:
+            return False
+    return True
+
+
+def _matches(steps: list[tuple], node: Node, path: list[Node]) -> bool:
+    """Whether the last step fits the node and the others the elements around it, tried from the innermost."""
+    if not _fits(steps[-1], node):
         return False
-    return not (node.name == "dialog" and "open" not in a) and not (node.name == "input" and a.get("type", "").lower() == "hidden")
+    tries = [(len(steps) - 2, len(path) - 1)]  # a step, and the innermost place it may take
+    while tries:
+        step, at = tries.pop()
+        if step < 0:
+            return True
+        if at < 0:
+            continue
+        if not steps[step + 1][2]:
+            tries.append((step, at - 1))
+        if _fits(steps[step], path[at]):
+            tries.append((step - 1, at - 1))
+    return False
+
+
+def _sheets(root: Node) -> Iterator[str]:
+    left = [root]
+    while left:
+        node = left.pop()
+        if node.name == "style":
+            if applies(node.attrs.get("media") or "all"):
+                yield "".join(k for k in node.kids if isinstance(k, str))
+        else:
+            left += [k for k in reversed(node.kids) if isinstance(k, Node)]
 
 
 class _Lines:
@@ -255,96 +420,182 @@ class _Lines:
         return "\n".join(x.rstrip() for x in "".join(self.out).split("\n")).strip("\n")
 
 
-def _rows(table: Node) -> Iterator[Node]:
-    for kid in table.kids:
-        if isinstance(kid, Node) and visible(kid):
-            if kid.name == "tr":
-                yield kid
-            elif kid.name in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid)
-
-
 def _number(attrs: dict[str, str], name: str, default: int) -> int:
     return int(attrs[name]) if re.fullmatch(r"-?\d{1,6}", attrs.get(name, "").strip()) else default
 
 
-def _table(node: Node, lines: _Lines, depth: int) -> None:
-    """Cells in aligned columns; a cell of several lines takes as many lines of its row."""
-    rows: list[list[list[str]]] = []
-    for row in _rows(node):
-        cells: list[list[str]] = []
-        for kid in row.kids:
-            if isinstance(kid, Node) and kid.name in ("td", "th") and visible(kid):
-                inner = _Lines()
-                _walk(kid.kids, inner, depth + 1, False)
-                cells.append(inner.done().split("\n"))
-                cells += [[""]] * (min(_number(kid.attrs, "colspan", 1), 1000) - 1)
-        if cells:
-            rows.append(cells)
-    wide = [max((len(x) for r in rows if c < len(r) for x in r[c]), default=0) for c in range(max(map(len, rows), default=0))]
-    for kid in node.kids:  # what stands in a table but in no row keeps its place before it
-        if isinstance(kid, str) or kid.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            _walk([kid], lines, depth + 1, False)
-            lines.block(False)
-    for row in rows:
-        for i in range(max(map(len, row))):
-            said = "  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, wide, strict=False)).rstrip()
-            lines.block(False)
-            if said:
-                lines.raw(said)
+BLOCKS = frozenset("block flex grid list-item table flow-root".split())
+INLINES = frozenset("inline inline-block inline-flex inline-grid contents".split())
+# The widest spans of the format.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
-def _walk(kids: list, lines: _Lines, depth: int, pre: bool) -> None:
-    for kid in kids:
-        if isinstance(kid, str):
-            lines.raw(kid) if pre else lines.text(kid)
-            continue
-        name = kid.name
-        if not visible(kid):
-            continue
-        if name == "br":
-            lines.line()
-            continue
-        if name == "img":
-            if alt := kid.attrs.get("alt", ""):
-                lines.text(alt)
-            continue
-        if name == "input":
-            if kid.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset") and kid.attrs.get("value"):
-                lines.text(kid.attrs["value"])
-            continue
-        block = name in BLOCK
-        if block:
-            lines.block(name in SPACED and not (name in ("ul", "ol") and lines.indent))
-        if name == "table":
-            _table(kid, lines, depth)
-        elif name in ("ul", "ol", "menu", "dir"):
-            outer, n = lines.indent, _number(kid.attrs, "start", 1)
-            for item in kid.kids:
-                if isinstance(item, Node) and item.name == "li" and visible(item):
-                    n = _number(item.attrs, "value", n)
-                    mark = f"{n}. " if name == "ol" else "- "
-                    lines.block(False)
-                    lines.prefix, lines.indent = outer + mark, outer + " " * len(mark)
-                    _walk(item.kids, lines, depth + 1, pre)
-                    lines.prefix, lines.indent = "", outer
-                    n += 1
+class _Renderer:
+    """Lays out a tree. Its steps are generators that yield the steps below them, run on one explicit stack."""
+
+    def __init__(self, root: Node):
+        self.sheet, self.path = Sheet(root), []
+
+    def run(self, step: Generator) -> None:
+        stack = [step]
+        while stack:
+            below = next(stack[-1], None)
+            if below is None:
+                stack.pop()
+            else:
+                stack.append(below)
+
+    def look(self, node: Node, shown: bool) -> tuple[bool, bool, str]:
+        """(whether it is there, whether its own text shows, its display)."""
+        if node.name in UNSEEN:
+            return False, False, "none"
+        attrs = node.attrs
+        if not attrs and not self.sheet.by:
+            return node.name != "dialog", shown, ""
+        said = self.sheet.of(node, self.path)
+        display, visibility = said.get("display", ""), said.get("visibility", "")
+        if visibility in ("hidden", "collapse"):
+            shown = False
+        elif visibility == "visible":
+            shown = True
+        if node.name == "input" and attrs.get("type", "").lower() == "hidden":
+            return False, shown, "none"
+        if not display and ("hidden" in attrs or (node.name == "dialog" and "open" not in attrs)):
+            display = "none"
+        return display != "none", shown, display
+
+    def table(self, node: Node, lines: _Lines, shown: bool) -> Generator:
+        """Cells on a grid, in aligned columns; a cell of several lines takes as many lines of its row."""
+        rows: list[dict[int, list[str]]] = []
+        taken: dict[int, int] = {}  # columns that cells of rows above still span
+
+        def group(kids: list, shown: bool) -> Generator:
+            for kid in kids:
+                if not isinstance(kid, Node) or kid.name not in ("tr", "thead", "tbody", "tfoot"):
+                    continue
+                there, seen, _ = self.look(kid, shown)
+                if not there:
+                    continue
+                self.path.append(kid)
+                if kid.name == "tr":
+                    yield row(kid, seen)
                 else:
-                    _walk([item], lines, depth + 1, pre)
-        elif name in ("blockquote", "dd"):
-            outer = lines.indent
-            lines.indent = outer + "  "
-            _walk(kid.kids, lines, depth + 1, pre)
-            lines.indent = outer
-        else:
-            body = kid.kids
-            if name == "pre" and body and isinstance(body[0], str) and body[0].startswith("\n"):
-                body = [body[0][1:], *body[1:]]
-            if name == "details" and "open" not in kid.attrs:
-                body = [k for k in body if isinstance(k, Node) and k.name == "summary"][:1]
-            _walk(body, lines, depth + 1, pre or name in ("pre", "textarea", "xmp", "listing"))
-        if block:
-            lines.block(name in SPACED and not (name in ("ul", "ol") and lines.indent))
+                    taken.clear()
+                    yield group(kid.kids, seen)
+                    taken.clear()
+                self.path.pop()
+
+        def row(node: Node, shown: bool) -> Generator:
+            cells: dict[int, list[str]] = {}
+            new: dict[int, int] = {}
+            column = 0
+            for kid in node.kids:
+                if not isinstance(kid, Node) or kid.name not in ("td", "th"):
+                    continue
+                there, seen, _ = self.look(kid, shown)
+                if not there:
+                    continue
+                while taken.get(column):
+                    column += 1
+                inner = _Lines()
+                self.path.append(kid)
+                yield self.walk(kid.kids, inner, False, seen)
+                self.path.pop()
+                cells[column] = inner.done().split("\n")
+                wide = min(max(_number(kid.attrs, "colspan", 1), 1), MOST_COLUMNS)
+                high = _number(kid.attrs, "rowspan", 1)
+                high = MOST_ROWS if high == 0 or high > MOST_ROWS else max(high, 1)
+                if high > 1:
+                    new.update((column + i, high) for i in range(wide))
+                column += wide
+            for c in list(taken):
+                taken[c] -= 1
+                if not taken[c]:
+                    del taken[c]
+            taken.update((c, n - 1) for c, n in new.items())
+            rows.append(cells)
+
+        yield group(node.kids, shown)
+        wide: dict[int, int] = {}
+        for cells in rows:
+            for c, said in cells.items():
+                wide[c] = max(wide.get(c, 0), max(map(len, said)))
+        order = sorted(wide)
+        for kid in node.kids:  # what stands in a table but in no row keeps its place before it
+            if isinstance(kid, str) or kid.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
+                yield self.walk([kid], lines, False, shown)
+                lines.block(False)
+        for cells in rows:
+            columns = order[: bisect_right(order, max(cells, default=-1))]
+            for i in range(max(map(len, cells.values()), default=0)):
+                said = "  ".join((cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(wide[c]) for c in columns).rstrip()
+                lines.block(False)
+                if said:
+                    lines.raw(said)
+
+    def walk(self, kids: list, lines: _Lines, pre: bool, shown: bool) -> Generator:
+        for kid in kids:
+            if isinstance(kid, str):
+                if shown:
+                    lines.raw(kid) if pre else lines.text(kid)
+                continue
+            name = kid.name
+            there, seen, display = self.look(kid, shown)
+            if not there:
+                continue
+            if name == "br":
+                lines.line()
+                continue
+            if name == "img":
+                if seen and (alt := kid.attrs.get("alt", "")):
+                    lines.text(alt)
+                continue
+            if name == "input":
+                if seen and kid.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset") and kid.attrs.get("value"):
+                    lines.text(kid.attrs["value"])
+                continue
+            block = (name in BLOCK or display in BLOCKS) and display not in INLINES
+            spaced = block and name in SPACED
+            if block:
+                lines.block(spaced and not (name in ("ul", "ol") and lines.indent))
+            self.path.append(kid)
+            if name == "table":
+                yield self.table(kid, lines, seen)
+            elif name in ("ul", "ol", "menu", "dir"):
+                yield self.items(kid, lines, pre, seen)
+            elif name in ("blockquote", "dd"):
+                outer = lines.indent
+                lines.indent = outer + "  "
+                yield self.walk(kid.kids, lines, pre, seen)
+                lines.indent = outer
+            else:
+                body = kid.kids
+                if name == "pre" and body and isinstance(body[0], str) and body[0].startswith("\n"):
+                    body = [body[0][1:], *body[1:]]
+                if name == "details" and "open" not in kid.attrs:
+                    body = [k for k in body if isinstance(k, Node) and k.name == "summary"][:1]
+                if body:
+                    yield self.walk(body, lines, pre or name in ("pre", "textarea", "xmp", "listing"), seen)
+            self.path.pop()
+            if block:
+                lines.block(spaced and not (name in ("ul", "ol") and lines.indent))
+
+    def items(self, node: Node, lines: _Lines, pre: bool, shown: bool) -> Generator:
+        outer, n = lines.indent, _number(node.attrs, "start", 1)
+        for item in node.kids:
+            there, seen, _ = self.look(item, shown) if isinstance(item, Node) and item.name == "li" else (False, shown, "")
+            if there:
+                n = _number(item.attrs, "value", n)
+                mark = f"{n}. " if node.name == "ol" else "- "
+                lines.block(False)
+                lines.prefix, lines.indent = outer + mark, outer + " " * len(mark)
+                self.path.append(item)
+                yield self.walk(item.kids, lines, pre, seen)
+                self.path.pop()
+                lines.prefix, lines.indent = "", outer
+                n += 1
+            else:
+                yield self.walk([item], lines, pre, shown)
 
 
 def render(html: str | None) -> str:
@@ -353,8 +604,11 @@ def render(html: str | None) -> str:
         return ""
     lines = _Lines()
     root = parse(html.replace("\r\n", "\n").replace("\r", "\n"))
-    if visible(root):
-        _walk(root.kids, lines, 0, False)
+    renderer = _Renderer(root)
+    there, seen, _ = renderer.look(root, True)
+    if there:
+        renderer.path.append(root)
+        renderer.run(renderer.walk(root.kids, lines, False, seen))
     return lines.done()
 
 

@@ -157,9 +157,81 @@ def test_tables_lose_no_text(html, want):
     assert html_text.render(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div>" * 250 + "<p hidden>secret</p>seen", "seen"),
+        ("<b>" * 60_000 + "<p hidden>x</p>seen", "seen"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+        ("<table><tr><td>x<td rowspan=0>R<td>y<tr><td>p<td>q<tr><td>m</table>", "x  R  y\np     q\nm"),
+        ("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td colspan=2 rowspan=2>wide<td>e<tr><td>f</table>", "wide  e\n      f"),
+        ("a<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>b", "a\nyes\nb"),
+        ("a<span style='display:none'><b style='display:block;visibility:visible'>no</b></span>b", "ab"),
+        ("<style>.x, #y > b {display:none}</style>a<i class='w x'>1</i><p id=y><b>2</b><i><b>3</b></i></p>", "a\n\n3"),
+        ("<style>p {display:none} p.on {display:block} /* p.on {display:none} */</style><p>a<p class=on>b", "b"),
+        ("<style>.h{display:none!important}</style><p class=h style='display:block'>a</p>b", "b"),
+        ("<style>@media print{p{display:none}}@media (max-width:600px){p{display:none}}@media screen and (min-width:600px){i{display:none}}</style><p>a<i>b</i></p>", "a"),
+        ("<style>div p span:hover, a~b {display:none} div > p .z[data-k='1'] {visibility:hidden}</style><div><p><u><b class=z data-k=1>no</b><b class=z>yes</b></u></div>", "yes"),
+        ("<style media=print>p{display:none}</style><p>a<style>p{display:none", ""),
+        ("<p hidden style='display:block'>shown</p><b style='display:block'>x</b>y", "shown\n\nx\ny"),
+    ],
+)
+def test_visibility_and_spans(html, want):
+    assert html_text.render(html) == want
+
+
+def test_visible_words_against_a_naive_walk():
+    """Random trees: the words of elements that their own display and inherited visibility show, in order."""
+    rng = random.Random(21)
+    sheet = "<style>.gone{display:none}.dim{visibility:hidden}.lit{visibility:visible}div.gone.back{display:inline}</style>"
+    count = iter(range(10**9))
+
+    def tree(depth, there, shown):
+        html, words = "", []
+        for _ in range(rng.randint(1, 3)):
+            w = f"w{next(count)}"
+            html += f" {w} "
+            words += [w] * (there and shown)
+            if depth:
+                name, cls = rng.choice(["div", "span", "section", "b"]), rng.choice(["", "gone", "dim", "lit", "gone back"])
+                back = cls == "gone back" and name == "div"
+                inner, more = tree(depth - 1, there and (not cls.startswith("gone") or back), {"dim": False, "lit": True}.get(cls, shown))
+                html += f"<{name} class='{cls}'>{inner}</{name}>"
+                words += more
+        return html, words
+
+    for _ in range(60):
+        html, words = tree(rng.randint(0, 5), True, True)
+        assert html_text.render(sheet + html).split() == words
+
+
+def test_table_grids_against_a_naive_grid():
+    rng = random.Random(22)
+    for _ in range(200):
+        html, grid, rows = "<table>", {}, rng.randint(1, 5)
+        for r in range(rows):
+            html += "<tr>"
+            c = 0
+            for _ in range(rng.randint(1, 4)):
+                while (r, c) in grid:
+                    c += 1
+                wide, high, said = rng.randint(1, 2), rng.randint(1, 3), "x" * rng.randint(1, 4)
+                html += f"<td colspan={wide} rowspan={high}>{said}"
+                for y in range(r, r + high):
+                    for x in range(c, c + wide):
+                        grid[y, x] = said if (y, x) == (r, c) else ""
+                c += wide
+        width = [max(len(grid.get((r, c), "")) for r in range(rows)) for c in range(20)]
+        used = [c for c in range(20) if width[c]]
+        lines = ["  ".join(grid.get((r, c), "").ljust(width[c]) for c in used).rstrip() for r in range(rows)]
+        assert html_text.render(html + "</table>") == "\n".join(lines).strip("\n")
+
+
 def test_pages(spark):
     d = spark.createDataFrame([(1, "<p>a", "q"), (2, None, "q"), (1, "<p>a", "q")], "page_id long, html string, visible_text string")
     assert rows_of(html_text.extract(d).select("page_id", "visible_text")) == [(1, "a"), (1, "a"), (2, "")]
+    assert html_text.extract(d.limit(0)).count() == 0 and html_text.extract(d).columns == ["page_id", "html", "visible_text"]
 
 
 # --- 3 bpe, 4 counts
