@@ -2,29 +2,36 @@
 
 Vectors that are equal once scaled to length one are one class with a weight. Neighbour
 lists of the classes start from sorted random-hyperplane codes (a row's window in each of
-``tables`` orders) and are refined by neighbours-of-neighbours joins: the lists that meet in
-a class, forward and backward, are compared with each other, and better neighbours enter.
-Only classes whose lists changed are joined again. A list whose last entry is still above
-the threshold is saturated and keeps twice as many entries.
+``tables`` orders) and are refined by neighbours-of-neighbours joins: the nearest ``LIST`` of
+the lists that meet in a class, forward and backward, are compared with each other, and better
+neighbours enter. Only classes whose lists changed are joined again. A list that is full of
+links is saturated and is enlarged, twice at a time, up to ``MOST`` entries. Neighbours beyond
+three times the threshold's angle help no search for links and enter no list, so rows that are
+near nothing cost no more than their windows.
 
 The search moves vectors in half precision. The edges that may reach the threshold then give
 components. Lists that are full of links may hide links to another component: both ends of
 such a link lie in components of more than ``LIST`` classes, which are compared with each
-other exactly and joined where they link (``bridges``). Then each component is completed:
-its vectors are compared with each other in blocks of ``BLOCK`` in double precision, where
-links are counted, not listed. So a dense group of any size costs rows in proportion to its
-members and blocks, never one row a pair, and no list length caps the links. Links below the
-threshold never count. The descent ends when few lists that are not full of links still gain
-links. ``audit`` compares bounded sets of queries, inside and outside the largest component,
-with all rows; where the mean share of a query's links that was found is under ``min_recall``
-in either set, the descent starts again with twice the orders, and the last attempt fails.
-
-Wide rows are dealt by ranges that include a hash, so a hub or a crowded code is split.
+other exactly and joined where they link (``bridges``). Then each component is completed in
+double precision, where links are counted, not listed: one of at most ``BLOCK`` classes is
+compared with itself; of a larger one, all classes within half the threshold's angle of its
+centre link with each other by the triangle inequality and are only counted, and the others
+are compared with all in pairs of blocks. So a dense group of any size costs one copy of its
+vectors, never one row a pair, and no list length caps the links. Links below the threshold
+never count. The descent ends when few lists that are not full of links still gain links.
+``audit`` compares bounded sets of queries, inside and outside the largest component, with all
+rows; where the mean share of a query's links that was found is under ``min_recall`` in either
+set, the descent starts again with twice the orders, and the last attempt fails.
+
+Wide rows are dealt by ranges that include a hash, so a hub or a crowded code is split, and
+what meets in one class is compared in runs, none of which is held whole.
 
 Defined cases: null ids and vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component (null for a null id); vectors of
 different lengths never link; rows that repeat an id are vectors of their own that share the
-id, the larger link count and the component; an empty table gives an empty result.
+id, the larger link count and the component; of neighbours of equal similarity at the end of a
+list those of lesser ids stay, which changes no result; extra columns are not read, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, components
 
-BLOCK, WINDOW, LIST, SLACK = 2048, 48, 12, 4e-3  # the search holds half-precision vectors
+BLOCK, WINDOW, LIST, MOST, SLACK = 512, 48, 12, 48, 4e-3  # the search holds half-precision vectors
 
 
 def _numbers(col: pa.Array) -> list[np.ndarray | None]:
@@ -95,6 +102,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield key, held
 
 
+def near_enough(threshold: float) -> float:
+    """The least similarity of a neighbour that is of use: three times the threshold's angle."""
+    return float(np.cos(min(3 * np.arccos(threshold), np.pi)))
+
+
 def _codes(tables: int, seed: int):
     """(dimension, order, code) of each unit vector, tables rows a vector."""
     planes: dict[int, np.ndarray] = {}
@@ -150,7 +162,7 @@ def _wide(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
 
 
-def _window_neighbours(k: int):
+def _window_neighbours(k: int, least: float):
     """Neighbours from blocks of 2 * WINDOW rows in sorted order, overlapping by half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +173,7 @@ def _window_neighbours(k: int):
 
         def flush() -> None:
             if len(ids) > 1:
-                for x, y in zip((a, b, s), _best(_wide(rows), np.array(ids, np.int64), k), strict=True):
+                for x, y in zip((a, b, s), _best(_wide(rows), np.array(ids, np.int64), k, np.full(len(ids), least, np.float32)), strict=True):
                     x.append(y)
 
         for batch in batches:
@@ -182,25 +194,32 @@ def _window_neighbours(k: int):
 
 
 def _local_join(k: int):
-    """Compares the classes that meet in one class; blocks of at most 4 * WINDOW."""
+    """Compares the classes that meet in one class, in runs of at most 4 * WINDOW as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list = []
-        b: list = []
-        s: list = []
-        n = 0
-        for _, (_, ids, least, rows) in groups(batches, 1):
-            for at in range(0, len(ids), 4 * WINDOW):
-                part = slice(at, at + 4 * WINDOW)
-                if len(ids[part]) > 1:
-                    found = _best(_wide(rows[part]), np.array(ids[part], np.int64), k, np.array(least[part], np.float32))
-                    for have, more in zip((a, b, s), found, strict=True):
-                        have.append(more)
-                    n += len(found[0])
-            if n > 50_000:
-                yield _edges(a, b, s)
-                a, b, s, n = [], [], [], 0
-        yield _edges(a, b, s)
+        out: tuple[list, list, list] = ([], [], [])
+        last, ids, least, rows = None, [], [], []
+
+        def flush() -> None:
+            if len(ids) > 1:
+                found = _best(_wide(rows), np.array(ids, np.int64), k, np.array(least, np.float32))
+                for have, more in zip(out, found, strict=True):
+                    have.append(more)
+            for held in (ids, least, rows):
+                held.clear()
+
+        for batch in batches:
+            for c, i, low, u in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if c != last or len(ids) == 4 * WINDOW:
+                    flush()
+                    last = c
+                ids.append(i)
+                least.append(low)
+                rows.append(u)
+            yield _edges(*out)
+            out = ([], [], [])
+        flush()
+        yield _edges(*out)
 
     return run
 
@@ -240,12 +259,16 @@ def _count_block(threshold: float):
 
 
 def _merge(found: DataFrame, threshold: float) -> DataFrame:
-    """Lists (id, nb, sim, born): the best LIST of each id, twice as many where those are all links."""
+    """Lists (id, nb, sim, born, place): the best LIST of each id; where those are all links twice as many, and so on up to MOST."""
     one = found.groupBy("id", "nb").agg(F.max("sim").alias("sim"), F.min("born").alias("born"))
     ranked = one.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("d"), "nb", "born"))).alias("l"))
-    saturated = (F.size("l") > LIST) & (F.get("l", F.lit(LIST - 1))["d"] <= SLACK - threshold)
-    kept = ranked.select("id", F.explode(F.slice("l", 1, F.when(saturated, 2 * LIST).otherwise(LIST))).alias("x"))
-    return kept.select("id", "x.nb", (-F.col("x.d")).alias("sim"), "x.born")
+    links = F.size(F.filter("l", lambda x: x["d"] <= SLACK - threshold))
+    size, room = LIST, F.lit(LIST)
+    while size < MOST:
+        room = F.when(links >= size, F.lit(min(2 * size, MOST))).otherwise(room)
+        size *= 2
+    kept = ranked.select("id", F.posexplode(F.slice("l", F.lit(1), room)).alias("place", "x"))
+    return kept.select("id", "x.nb", (-F.col("x.d")).alias("sim"), "x.born", "place")
 
 
 def _settled(lists: DataFrame, threshold: float, born: int) -> bool:
@@ -262,23 +285,27 @@ def descend(work: Work, points: DataFrame, threshold: float, tables: int, rounds
     tag = f"t{tables}"
     codes = points.mapInArrow(_codes(tables, 11), "order long, code long, id long, u binary")
     codes = codes.repartitionByRange(parts, "order", "code", F.xxhash64("id")).sortWithinPartitions("order", "code", "id")
-    first = codes.mapInArrow(_window_neighbours(LIST), EDGE)
+    far = near_enough(threshold)
+    first = codes.mapInArrow(_window_neighbours(LIST, far), EDGE)
     lists = work.save(_merge(first.withColumn("born", F.lit(0)), threshold), f"{tag}lists0")
     small = work.save(points.mapInArrow(_single, "m long, u binary"), f"{tag}small")
     for i in range(1, rounds + 1):
         if i > 1 and _settled(lists, threshold, i - 1):
             break
-        fresh = lists.where(F.col("born") == i - 1)
-        ends = lists.groupBy("id").agg(F.when(F.count("*") >= LIST, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
+        nearest = lists.where(F.col("place") < LIST)
+        fresh = nearest.where(F.col("born") == i - 1)
+        if not fresh.take(1):
+            break
+        ends = lists.groupBy("id").agg(F.when(F.count("*") >= LIST, F.min("sim")).otherwise(F.lit(far)).cast("float").alias("least"))
         # classes that meet in c: c's list and the lists that hold c, where either is new
-        both = lists.select(F.col("id").alias("c"), F.col("nb").alias("m")).union(lists.select(F.col("nb").alias("c"), F.col("id").alias("m")))
+        both = nearest.select(F.col("id").alias("c"), F.col("nb").alias("m")).union(nearest.select(F.col("nb").alias("c"), F.col("id").alias("m")))
         active = fresh.select(F.col("id").alias("c")).union(fresh.select(F.col("nb").alias("c"))).distinct()
         meet = both.distinct().join(work.save(active, f"{tag}active{i}"), "c", "left_semi")
         meet = meet.join(work.save(ends.withColumnRenamed("id", "m"), f"{tag}ends{i}"), "m").join(small, "m")
         meet = meet.select("c", F.xxhash64("m").alias("h"), "m", "least", "u")
         dealt = meet.repartitionByRange(parts, "c", "h").sortWithinPartitions("c", "h")
         better = dealt.mapInArrow(_local_join(LIST // 2), EDGE).withColumn("born", F.lit(i))
-        new = work.save(_merge(lists.union(better), threshold), f"{tag}lists{i}")
+        new = work.save(_merge(lists.drop("place").union(better), threshold), f"{tag}lists{i}")
         work.drop(f"{tag}lists{i - 1}", f"{tag}active{i}", f"{tag}ends{i}")
         lists = new
     edges = lists.where(F.col("sim") >= threshold - SLACK)
@@ -368,23 +395,80 @@ def bridges(work: Work, points: DataFrame, member: DataFrame, threshold: float,
     return work.save(linked.select(F.col("id").alias("a"), F.col("low").alias("b")), f"{tag}bridges")
 
 
+def _sums(whole: bool):
+    """Of rows (component, u): the sum of each component's vectors; with whole, scaled to length one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[c] = total[c] + np.frombuffer(u, np.float64) if c in total else np.frombuffer(u, np.float64)
+        vectors = [unit(v) if whole and v.any() else v for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["component", "p"])
+
+    return run
+
+
+def _core(reach: float):
+    """Of rows (component, node, w, u, p): whether u is within reach of p."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, p = batch.column("u").to_pylist(), batch.column("p").to_pylist()
+            inside = [bool(_angle(np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)) <= reach) for x, y in zip(u, p, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.select(["component", "node", "w", "u"]).columns, pa.array(inside, pa.bool_())], names=["component", "node", "w", "u", "core"])
+
+    return run
+
+
+COUNTED = "id long, n long, low long"
+
+
+def _large(work: Work, inside: DataFrame, threshold: float, tag: str) -> DataFrame:
+    """COUNTED of the members (component, node, w, u) of components of more than BLOCK classes."""
+    sums = inside.select("component", "u").mapInArrow(_sums(False), "component long, p binary")
+    centres = work.save(sums.repartition("component").mapInArrow(_sums(True), "component long, p binary"), f"{tag}centres")
+    reach = float(np.arccos(threshold)) / 2 - 1e-6
+    told = inside.join(centres, "component").mapInArrow(_core(reach), "component long, node long, w long, u binary, core boolean")
+    told = work.save(told, f"{tag}told")
+    core, fringe = told.where("core"), told.where("not core")
+    parts = lambda name: F.ceil(F.count_if(name) / BLOCK).cast("int")
+    facts = told.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("w"))).alias("total"), F.min(F.when(F.col("core"), F.col("node"))).alias("low"), parts(F.col("core")).alias("cores"), parts(~F.col("core")).alias("fringes"))
+    facts = work.save(facts, f"{tag}facts")
+    known = core.join(facts, "component").select(F.col("node").alias("id"), (F.col("total") - F.col("w")).alias("n"), "low")
+    # the others meet each other and the core, in pairs of blocks
+    own = fringe.join(facts, "component").withColumn("at", F.pmod(F.xxhash64("node"), F.col("fringes")).cast("int"))
+    met = own.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("fringes") - 1)))
+    met = met.select("component", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), F.col("at").alias("side"), "node", "w", "u")
+    out = own.where("cores > 0").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("cores") - 1)))
+    out = out.select("component", F.col("at").alias("i"), (-1 - F.col("to")).alias("j"), F.lit(0).alias("side"), "node", "w", "u")
+    middle = core.join(facts.where("fringes > 0"), "component").withColumn("at", F.pmod(F.xxhash64("node"), F.col("cores")).cast("int"))
+    middle = middle.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("fringes") - 1)))
+    middle = middle.select("component", F.col("to").alias("i"), (-1 - F.col("at")).alias("j"), F.lit(1).alias("side"), "node", "w", "u")
+    pairs = met.union(out).union(middle).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return known.union(pairs.mapInArrow(_count_block(threshold), COUNTED))
+
+
 def complete(work: Work, points: DataFrame, edges: DataFrame, threshold: float, tag: str) -> tuple[DataFrame, DataFrame]:
     """(id, n_links) and (node, component) of every class in a component of the edges, exact within it."""
     member = work.save(components(work, edges), f"{tag}member")
     across = bridges(work, points, member, threshold, tag)
     if across is not None and across.take(1):
         member = work.save(components(work, edges.union(across)), f"{tag}member1")
-    sizes = work.save(member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), f"{tag}sizes")
-    placed = member.join(sizes, "component").join(points.withColumnRenamed("id", "node"), "node")
-    placed = placed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
-    paired = placed.select("component", "node", "w", "u", "i", other)
-    paired = paired.select("component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("i").alias("side"), F.col("node").alias("id"), "w", "u")
-    paired = paired.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    counted = work.save(paired.mapInArrow(_count_block(threshold), "id long, n long, low long"), f"{tag}counted")
+    sizes = work.save(member.groupBy("component").agg((F.count("*") > BLOCK).alias("large")), f"{tag}sizes")
+    placed = member.join(sizes, "component").join(points.withColumnRenamed("id", "node"), "node").select("component", "node", "w", "u", "large")
+    zero = F.lit(0)
+    one = placed.where("not large").select("component", zero.alias("i"), zero.alias("j"), zero.alias("side"), "node", "w", "u")
+    counted = one.repartition("component").sortWithinPartitions("component").mapInArrow(_count_block(threshold), COUNTED)
+    if sizes.where("large").take(1):
+        inside = work.save(placed.where("large").drop("large"), f"{tag}large")
+        counted = counted.union(_large(work, inside, threshold, tag))
+    counted = work.save(counted, f"{tag}counted")
     n = counted.groupBy("id").agg(F.sum("n").alias("n_links"))
     final = components(work, counted.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    return work.save(n, f"{tag}n"), work.save(final, f"{tag}final")
+    out = work.save(n, f"{tag}n"), work.save(final, f"{tag}final")
+    work.drop(*[f"{tag}{x}" for x in ("member", "member1", "sizes", "large", "centres", "told", "facts", "counted", "big", "inside", "pivots", "pairs", "there", "bridged", "bridges")])
+    return out
 
 
 def audit(points: DataFrame, counts: DataFrame, final: DataFrame, threshold: float, queries: int = 500) -> float:
@@ -440,7 +524,7 @@ def near_duplicates(
     search = points.select("id", "u")
     for attempt in range(attempts):
         t = tables * 2**attempt
-        edges = descend(work, search, threshold, t, rounds)
+        edges = work.save(descend(work, search, threshold, t, rounds).distinct(), f"t{t}edges")
         counts, final = complete(work, points, edges, threshold, f"t{t}")
         recall = audit(points, counts, final, threshold)
         if recall >= min_recall:

@@ -789,6 +789,28 @@ def test_audit_weighs_queries_not_links(spark):
     assert embeddings.audit(points, *none, 0.95) == 0
 
 
+def test_many_pairs_beside_a_hot_group(spark, monkeypatch):
+    """A dense group larger than a block, part of it far from its centre, and many pairs."""
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(24)
+    tight = centre + 0.1 * rng.standard_normal((500, 24))
+    loose = centre + 0.35 * rng.standard_normal((150, 24))
+    pairs = np.repeat(rng.standard_normal((100, 24)), 2, 0) + 1e-2 * rng.standard_normal((200, 24))
+    x = np.concatenate([pairs, tight, loose, tight[:20]])
+    d = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    n, label = brute_links(x)
+    assert (n[:200] == 1).all() and n[200:].max() > 500
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(d).collect())
+    assert got == [(i, int(n[i]), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
+
+
+def test_lists_grow_while_saturated(spark):
+    rows = [(1, j, 0.99, 0) for j in range(2, 102)] + [(200, j, 0.99 if j < 20 else 0.5, 0) for j in range(40)] + [(300, j, 0.5, 0) for j in range(40)]
+    lists = embeddings._merge(spark.createDataFrame(rows, "id long, nb long, sim float, born int"), 0.95)
+    assert {r["id"]: r["count"] for r in lists.groupBy("id").count().collect()} == {1: embeddings.MOST, 200: 2 * embeddings.LIST, 300: embeddings.LIST}
+
+
 def test_low_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "audit", lambda *a: 0.5)
     d = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(4)], "vec_id long, embedding array<double>")
