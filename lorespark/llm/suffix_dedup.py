@@ -25,7 +25,9 @@ The settled starts become byte ranges of their documents, and the texts are cut
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing; of rows that
 repeat an id, the order is that of their texts' digests, and fully equal rows count as one
-document whose result each gives; null ids come last; extra columns are not read; an empty table gives an empty result.
+document whose result each gives; null ids come last; texts of any length are read in pieces
+that overlap; extra columns are not read, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)  # every difference modulo 31 occurs in the cover
 BATCH_BYTES, PACK_ANCHORS, BLOCK_BYTES = 1 << 21, 700_000, 2 << 20
+BUCKET_BYTES, TASK_BYTES = 16 << 20, 128 << 20  # of text, a bucket of anchors and a task
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
 _TABLE = np.random.Generator(np.random.PCG64(8)).integers(0, 2**64, 256, dtype=_U)
@@ -444,10 +447,9 @@ def _numbered(work: Work, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not facts.take(1):
         docs = docs.withColumn("key", F.col("doc_id"))
         return docs, docs.select("key", "text")
-    # the rare case: distinct rows in order of id and digest are numbered, equal rows share a number
+    # the rare case: distinct rows get numbers that rise in order of id and digest, equal rows share a number
     marks = docs.select("doc_id", F.sha2("text", 256).alias("sha")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "sha")
-    numbered = marks.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("n_id long, n_sha string, key long")
-    numbered = work.save(numbered, "numbered")
+    numbered = work.save(marks.select(F.col("doc_id").alias("n_id"), F.col("sha").alias("n_sha"), F.monotonically_increasing_id().alias("key")), "numbered")
     here = docs.withColumn("sha", F.sha2("text", 256))
     docs = here.join(numbered, (F.col("sha") == F.col("n_sha")) & F.col("doc_id").eqNullSafe(F.col("n_id"))).select("doc_id", "text", "key")
     return docs, docs.select("key", "text").dropDuplicates(["key"])
@@ -460,12 +462,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     docs, once = _numbered(work, docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    marks = work.save(once.select("key", F.sha2("text", 256).alias("sha")), "marks")
+    marks = work.save(once.select("key", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")), "marks")
+    # buckets and tasks follow the bytes, so neither a bucket nor a task grows with the input
+    size = marks.agg(F.sum("size")).first()[0] or 0
+    buckets, parts = max(8 * parts, -(-size // BUCKET_BYTES)), max(parts, -(-size // TASK_BYTES))
     first = work.save(marks.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     copies = work.save(marks.join(first, "sha").where("key <> first").select("key").distinct(), "copies")
     work.drop("marks", "first")
 
-    packed = once.mapInArrow(_pack(8 * parts), PACKED)
+    packed = once.mapInArrow(_pack(buckets), PACKED)
     packed = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     known = packed.mapInArrow(_repeated, "key long, a long").join(copies, "key", "left_anti")
     known = work.save(known.groupBy("key").agg(F.collect_set("a").alias("wanted")), "known")

@@ -611,11 +611,14 @@ def test_long_texts_in_pieces(monkeypatch):
 
 def test_suffix_rows_that_repeat(spark):
     t = "z" * 40 + prose(random.Random(2), 40)
-    rows = [(1, t), (1, t), (None, t + "q"), (2, None), (1, "a" + t)]
-    got = [tuple(r) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, DOCS)).collect()]
-    assert len(got) == 5 and {r[0] for r in got} == {1, 2, None}
-    removed = sorted(r[2] for r in got if r[0] == 1)
-    assert len(removed) == 3 and sum(x > 0 for x in removed) in (1, 2)
+    rows = [(1, t), (1, t), (None, t + "q"), (2, None), (1, "a" + t), (None, "w" * 150), (None, "w" * 150), (3, "v" * 99), (-4, t[:120])]
+    # the definition over distinct rows in order of id (null last) and digest
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, sha(r[1])))
+    by_row = {r: x[1:] for r, x in zip(order, suffix_dedup.brute_force([(i, r[1]) for i, r in enumerate(order)]), strict=True)}
+    want = sorted([(r[0], *by_row[r]) for r in rows], key=repr)
+    d = spark.createDataFrame([(*r, 1, "s", 0) for r in rows], DOCS + ", key int, sha string, whole int").repartition(3)
+    assert sorted((tuple(r) for r in suffix_dedup.deduplicate(d).collect()), key=repr) == want
     assert suffix_dedup.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
 
 
