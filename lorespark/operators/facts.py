@@ -75,9 +75,8 @@ def orphan_units(graph: DataFrame) -> DataFrame:
 
 def present(graph: DataFrame, uris: DataFrame, uri_base: str, column: str = "uri") -> DataFrame:
     """The uris that are a subject of the graph, or the timeline."""
-    known = graph.select(F.col("s").alias(column)).distinct()
     timeline = graph.sparkSession.createDataFrame([(f"{uri_base}timeline",)], f"{column} string")
-    return uris.join(known.union(timeline).distinct(), column, "left_semi")
+    return uris.join(graph.select(F.col("s").alias(column)).union(timeline), column, "left_semi")
 
 
 def anchors(graph: DataFrame) -> DataFrame:
@@ -109,20 +108,37 @@ def supports(graph: DataFrame, promoted: DataFrame) -> DataFrame:
     return promoted.select("anchor", "promotes").join(backed, "promotes").select("anchor", "source").distinct()
 
 
+def best_support(backed: DataFrame, rated: DataFrame, key: str) -> DataFrame:
+    """(key, sources, best): how many sources back a key, and the best rank among them, null where none is rated."""
+    return backed.join(rated, "source", "left").groupBy(key).agg(F.count("*").alias("sources"), F.max("rank").alias("best"))
+
+
 def verdicts(promoted: DataFrame, backed: DataFrame, rated: DataFrame, minimum: str) -> DataFrame:
     """(anchor, sources, verdict): under_reliable, unrated or null. Without a source there is no verdict."""
-    best = backed.join(rated, "source", "left").groupBy("anchor").agg(F.count("*").alias("sources"), F.max("rank").alias("best"))
+    best = best_support(backed, rated, "anchor")
     least = V.RELIABILITY.index(minimum)
     said = F.when(F.col("sources").isNull(), None).when(F.col("best").isNull(), "unrated").when(F.col("best") < least, "under_reliable")
     return promoted.select("anchor").join(best, "anchor", "left").select("anchor", F.coalesce("sources", F.lit(0)).alias("sources"), said.alias("verdict"))
 
 
-def missing_facets(graph: DataFrame, backed: DataFrame, language: str) -> DataFrame:
-    """(anchor, source, facet): mandatory facets that a backing source lacks; a translation only where its language is known and foreign."""
+FACETS = [(label, p, label == "translation") for label, p in V.FACETS]
+
+
+def missing_facets(graph: DataFrame, backed: DataFrame, language: str, facets: list[tuple[str, str, bool]] = FACETS, spoken_in: str = V.BW + "originalLanguage") -> DataFrame:
+    """(anchor, source, facet, n): mandatory facets that a backing source lacks.
+
+    A facet is (label, predicate, whether only a source of a foreign language needs it); a source
+    whose language is not known needs none of the latter.
+    """
     spark = graph.sparkSession
-    facets = spark.createDataFrame([(i, label, p) for i, (label, p) in enumerate(V.FACETS)], "n int, facet string, p string")
-    has = graph.join(F.broadcast(facets), "p").select(F.col("s").alias("source"), "n").distinct()  # nine rows
-    spoken = of(graph, V.BW + "originalLanguage", "source", "language").groupBy("source").agg(F.min("language").alias("language"))
-    grid = backed.join(F.broadcast(facets.select("n", "facet")), F.lit(True)).join(spoken, "source", "left")
-    grid = grid.where((F.col("facet") != "translation") | (F.col("language").isNotNull() & (F.col("language") != language)))
+    asked = F.broadcast(spark.createDataFrame([(i, *f) for i, f in enumerate(facets)], "n int, facet string, p string, foreign boolean"))  # a fixed list
+    has = graph.join(asked.select("n", "p"), "p").select(F.col("s").alias("source"), "n")
+    spoken = of(graph, spoken_in, "source", "language").groupBy("source").agg(F.min("language").alias("language"))
+    grid = backed.select("anchor", "source").join(spoken, "source", "left").join(asked.select("n", "facet", "foreign"), F.lit(True))
+    grid = grid.where(~F.col("foreign") | (F.col("language").isNotNull() & (F.col("language") != language)))
     return grid.join(has, ["source", "n"], "left_anti").select("anchor", "source", "facet", "n")
+
+
+def problem_set(problems: dict[str, Column]) -> Column:
+    """The names of those that hold, in order."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in problems.items()])))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +20,7 @@ from .. import vocabulary as V
 from ..functions.text import gyear, make_slug, slug
 from ..sources.frontmatter import HeadError, parse_frontmatter
 from ..sources.project import Config
-from ..terms import LABEL, TYPE, XSD, empty_graph, graph_union, iri, literal, triples
+from ..terms import LABEL, TYPE, XSD, empty_graph, graph_union, iri, literal, triple_rows
 from .store import Store
 
 
@@ -282,7 +282,8 @@ class Build:
     findings: DataFrame  # uri, id, relpath
     anchors: DataFrame  # uri, promotes_id, constrains_name, relpath
     config: Config
-    counters: dict = field(default_factory=dict)
+    sequences: DataFrame | None = None  # uri, slug, name, relpath
+    files: int = 0  # those that carry data
 
     def report(self) -> dict:
         """Counters and channels; exit code 4 where a file was skipped, else 0."""
@@ -290,6 +291,7 @@ class Build:
         skipped = [tuple(r) for r in self.skipped.orderBy("relpath", "reason").collect()]
         rows = lambda df: [tuple(r) for r in df.orderBy(*df.columns).collect()]
         return {
+            "files": self.files,
             "entities": sum(n for c, n in count.items() if c not in ("source", "finding", "anchor")),
             "sources": count.get("source", 0),
             "findings": count.get("finding", 0),
@@ -314,6 +316,54 @@ def vocabulary_index(graph: DataFrame) -> DataFrame:
     return labels
 
 
+def resolve_refs(refs: DataFrame, targets: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(found, missed) of refs by the slug of their name. targets: target_slug, target."""
+    joined = refs.withColumn("ref_slug", slug(name)).join(targets, F.col("ref_slug") == F.col("target_slug"), "left")
+    return joined.where("target is not null"), joined.where("target is null")
+
+
+def collisions(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """(keys..., n, places): keys that stand at more than one place."""
+    return df.groupBy(*keys).agg(F.count_distinct(place).alias("n"), F.sort_array(F.collect_set(place)).alias("places")).where("n > 1")
+
+
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., count): keys that several rows have."""
+    return df.groupBy(*keys).count().where("count > 1")
+
+
+def first_wins(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
+    """(keys..., keep...): of each key the first row in order."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("first")).select(*keys, "first.*")
+
+
+def last_pass_wins(df: DataFrame, key: str, value: str, turn: str | Column) -> DataFrame:
+    """(key, value): of each key that of the last turn."""
+    return df.groupBy(key).agg(F.max_by(value, turn).alias(value))
+
+
+def ranked(members: DataFrame, sequence: str, order: str | Column, tie: str) -> DataFrame:
+    """members with their ordinal, from 1 and without gaps, in their sequence; without an order they come last."""
+    order = F.col(order) if isinstance(order, str) else order
+    return members.withColumn("ordinal", F.row_number().over(Window.partitionBy(sequence).orderBy(order.asc_nulls_last(), tie)))
+
+
+def assertion_rows(assertions: DataFrame, base: str) -> DataFrame:
+    """assertions (target, attribute, path, key) with the uri of their node, a hash of what they say, so a rebuild gives the same graph."""
+    return assertions.withColumn("uri", F.concat(F.lit(f"{base}assertion/"), F.sha2(F.concat_ws("|", "target", "attribute", "path", "key"), 256)))
+
+
+def assertion_triples() -> list[tuple[Column, str, dict[str, Column]]]:
+    """What each assertion row says."""
+    uri = F.col("uri")
+    return [
+        (uri, TYPE, iri(V.CLASS["assertion"])),
+        (uri, V.ASSIGNED_TO, iri(F.col("target"))),
+        (uri, V.ASSIGNED, iri(F.col("attribute"))),
+        (uri, V.USED_OBJECT, literal(F.col("path"), XSD + "string")),
+    ]
+
+
 def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] | None = None) -> Build:
     """The graph of a project's files. vocabularies: graphs by name; only active ones are used."""
     spark = files.sparkSession
@@ -329,22 +379,25 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
     of = lambda concept: good.where(F.col("concept") == concept)
     uri = lambda segment, s="slug": F.concat(F.lit(f"{base}{segment}/"), F.col(s) if isinstance(s, str) else s)
 
-    clash = good.where("concept not in ('source', 'finding', 'anchor')").groupBy("concept", "slug").agg(F.count_distinct("relpath").alias("n"), F.sort_array(F.collect_set("relpath")).alias("f"))
-    clash = clash.where("n > 1").orderBy("concept", "slug").take(1)
+    clash = collisions(good.where("concept not in ('source', 'finding', 'anchor')"), ["concept", "slug"], "relpath").orderBy("concept", "slug").take(1)
     if clash:
-        raise IngestError("slug_collision", f"{clash[0].concept} {clash[0].slug!r} is defined in {', '.join(clash[0].f)}")
+        raise IngestError("slug_collision", f"{clash[0].concept} {clash[0].slug!r} is defined in {', '.join(clash[0].places)}")
     for what, key in (("source name", "slug"), ("finding id", "id")):
         keys = ["slug"] if key == "slug" else ["relpath", "id"]
-        twice = of(what.split()[0]).groupBy(*keys).count().where("count > 1").orderBy(*keys).take(1)
+        twice = repeated(of(what.split()[0]), keys).orderBy(*keys).take(1)
         if twice:
             raise IngestError("research", f"duplicate {what} {twice[0][key]!r}")
 
     entities = good.where(F.col("concept").isin(list(KEYS))).withColumn("uri", F.concat(F.lit(base), F.col("concept"), F.lit("/"), F.col("slug")))
-    out: list[DataFrame] = []
+    said: list[tuple[DataFrame, list]] = []
     prov: list[DataFrame] = []
 
     def emit(df: DataFrame, s: Column, p: str, obj: dict) -> None:
-        out.append(triples(df, s, p, obj))
+        """Notes a triple of each row; those of one frame are made in one pass over it."""
+        mine = next((items for frame, items in said if frame is df), None)
+        if mine is None:
+            said.append((df, mine := []))
+        mine.append((s, p, obj))
 
     def derive(df: DataFrame, target: Column, attribute: Column, key: str | None) -> None:
         """Provenance: who says so, at the line of key where that is known."""
@@ -401,9 +454,9 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
 
     def resolve(refs: DataFrame, targets: DataFrame, field_: str) -> DataFrame:
         """refs (uri, relpath, lines, entity, name) with target; misses are noted."""
-        joined = refs.withColumn("ref_slug", slug("name")).join(targets, F.col("ref_slug") == F.col("target_slug"), "left")
-        unresolved.append(joined.where("target is null").select("relpath", F.lit(field_).alias("field"), "entity", "name").distinct())
-        return joined.where("target is not null")
+        found, missed = resolve_refs(refs, targets)
+        unresolved.append(missed.select("relpath", F.lit(field_).alias("field"), "entity", "name").distinct())
+        return found
 
     refs = lambda df, column: df.select("uri", "relpath", "lines", F.col("name").alias("entity"), F.explode(column).alias("name"))
     target = lambda df: df.select(F.col("slug").alias("target_slug"), F.col("uri").alias("target")).distinct()
@@ -448,16 +501,17 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
     used = units.select("uri", "relpath", "lines", F.posexplode("functions").alias("fpos", "label")).withColumn("fslug", slug("label")).withColumn("node", uri("narrative-function", "fslug"))
     emit(used, F.col("uri"), V.REFERS_TO, iri(F.col("node")))
     derive(used, F.col("uri"), F.col("node"), "functions")
-    minted = used.groupBy("fslug", "node").agg(F.min_by(F.struct("label", "relpath", "lines"), F.struct("relpath", "fpos")).alias("m")).select("fslug", "node", "m.*")
+    minted = first_wins(used, ["fslug", "node"], ["relpath", "fpos"], ["label", "relpath", "lines"])
     emit(minted, F.col("node"), TYPE, iri(V.CLASS["narrative-function"]))
     emit(minted, F.col("node"), LABEL, literal(F.col("label")))
     derive(minted, F.col("node"), F.col("node"), None)
     if (hit := typed(minted, "propp", "fslug", "label")) is not None:
         derive(hit, F.col("node"), F.col("term"), "functions")
     members = units.where("sequence is not null").withColumn("qslug", slug("sequence")).withColumn("seq", uri("narrative-sequence", "qslug"))
-    rank = F.row_number().over(Window.partitionBy("qslug").orderBy(F.col("ord").asc_nulls_last(), "slug"))
-    members = members.select("seq", "qslug", "sequence", "uri", "slug", "relpath", rank.alias("ordinal"))
-    heads = members.groupBy("seq").agg(F.min("relpath").alias("relpath")).withColumn("lines", F.lit(None).cast("map<string,int>"))
+    members = ranked(members, "qslug", "ord", "slug").select("seq", "qslug", "sequence", "uri", "slug", "relpath", "ordinal")
+    # a sequence is named as its first card in path order spells it, and its source is its first member's card
+    sequences = members.groupBy("seq", F.col("qslug").alias("slug")).agg(F.min_by("sequence", "relpath").alias("name"), F.min_by("relpath", "ordinal").alias("relpath"))
+    heads = sequences.select("seq", "relpath", F.lit(None).cast("map<string,int>").alias("lines"))
     emit(heads, F.col("seq"), TYPE, iri(V.CLASS["narrative-sequence"]))
     derive(heads, F.col("seq"), F.col("seq"), None)
     placed = members.select("seq", "uri", "ordinal").join(heads, "seq")
@@ -490,7 +544,7 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
 
     # narrative targets: of equal slugs the later pass counts; the timeline has a name of its own
     passes = F.create_map(*[F.lit(x) for i, c in enumerate(("character", "setting", "location", "object", "event")) for x in (c, i)])
-    targets = entities.where(passes[F.col("concept")].isNotNull()).groupBy("slug").agg(F.max_by("uri", passes[F.col("concept")]).alias("target"))
+    targets = last_pass_wins(entities.where(passes[F.col("concept")].isNotNull()), "slug", "uri", passes[F.col("concept")]).withColumnRenamed("uri", "target")
     targets = targets.where("slug <> 'timeline'").unionByName(spark.createDataFrame([("timeline", f"{base}timeline")], "slug string, target string")).withColumnRenamed("slug", "target_slug")
     warnings: list[DataFrame] = []
 
@@ -516,15 +570,10 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
     emit(spanned, F.col("node"), V.BEGIN, literal(gyear(F.col("begin")), XSD + "gYear"))
     emit(spanned, F.col("node"), V.END, literal(gyear(F.col("end")), XSD + "gYear"))
 
-    # one assertion node each; its id is a hash of what it says, so a rebuild gives the same graph
     assertions = prov[0]
     for more in prov[1:]:
         assertions = assertions.unionByName(more)
-    assertions = assertions.withColumn("uri", F.concat(F.lit(f"{base}assertion/"), F.sha2(F.concat_ws("|", "target", "attribute", "path", "key"), 256)))
-    emit(assertions, F.col("uri"), TYPE, iri(V.CLASS["assertion"]))
-    emit(assertions, F.col("uri"), V.ASSIGNED_TO, iri(F.col("target")))
-    emit(assertions, F.col("uri"), V.ASSIGNED, iri(F.col("attribute")))
-    emit(assertions, F.col("uri"), V.USED_OBJECT, literal(F.col("path"), XSD + "string"))
+    said.append((assertion_rows(assertions, base), assertion_triples()))
 
     def union(frames: list[DataFrame], schema: str) -> DataFrame:
         first = spark.createDataFrame([], schema)
@@ -538,7 +587,7 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
     notes = union([*warnings, soft.where("field = 'date'").select("relpath", "field", "name")], "relpath string, field string, name string")
     return Build(
         good,
-        store.save(graph_union(empty_graph(spark), *out)),
+        store.save(graph_union(empty_graph(spark), *[triple_rows(df, items) for df, items in said])),
         every.where("reject is not null").select("relpath", F.col("reject").alias("reason")),
         unknown,
         union(unresolved, "relpath string, field string, entity string, name string"),
@@ -547,4 +596,6 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
         findings.select("uri", "id", "relpath"),
         anchors.select("uri", F.col("promotes").alias("promotes_id"), F.col("constrains").alias("constrains_name"), "relpath"),
         config,
+        sequences.withColumnRenamed("seq", "uri"),
+        files.where(F.col("role").isin(ROLES)).count(),
     )

@@ -23,6 +23,7 @@ from ..functions import text as T
 from . import facts
 from .ingest import Build
 from .reach import cycles
+from .store import Store
 
 FINDING = "validator string, severity string, message string, source string, triples array<struct<s:string,p:string,o:string>>"
 
@@ -74,14 +75,26 @@ class Context:
         except UnicodeDecodeError:
             return None
 
+    @cached_property
+    def store(self) -> Store:
+        return Store(self.spark, "rules")
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df as a table, for what several findings of a rule read."""
+        return self.store.save(df)
+
+    @cached_property
+    def best_paths(self) -> DataFrame:
+        """(uri, source): the best provenance path of every node, made once for all rules."""
+        return self.kept(facts.best_path(facts.provenance(self.graph)))
+
     def names(self, concept: str) -> DataFrame:
         """(name, relpath) of a concept's records."""
         return self.build.records.where(F.col("concept") == concept).select("name", "relpath")
 
     def sourced(self, df: DataFrame, column: str) -> DataFrame:
         """df with ``source``: the best provenance path of a column, in one join."""
-        best = facts.best_path(facts.provenance(self.graph)).withColumnRenamed("uri", column)
-        return df.join(best, column, "left")
+        return df.join(self.best_paths.withColumnRenamed("uri", column), column, "left")
 
 
 def finding(df: DataFrame, validator: str, severity: str, message: Column, source: Column, triple: list[Column] | Column | None = None) -> DataFrame:
@@ -231,6 +244,22 @@ def contradictions(rel: DataFrame, spans: DataFrame) -> DataFrame:
     return both.select("a", "rel", "b", message.alias("message")).where("message is not null")
 
 
+def with_order(rel: DataFrame, before: DataFrame) -> DataFrame:
+    """The relations whose two events are also strictly ordered, either way."""
+    ordered = facts.unordered(before.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    return rel.join(ordered, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_semi")
+
+
+def ordered_overlaps(rel: DataFrame, before: DataFrame) -> DataFrame:
+    """(a, b), the least first, of events that overlap and are strictly ordered."""
+    return with_order(facts.unordered(rel.where("rel = 'overlaps'")), before)
+
+
+def ordered_containments(rel: DataFrame, before: DataFrame) -> DataFrame:
+    """(a, rel, b) of events of which one contains the other and that are strictly ordered."""
+    return with_order(rel.where(F.col("rel").isin("includes", "included_in")), before)
+
+
 @rule("temporal")
 def temporal(c: Context) -> DataFrame:
     rel, spans = facts.relations(c.graph), facts.intervals(c.graph)
@@ -244,17 +273,14 @@ def temporal(c: Context) -> DataFrame:
     rows = c.sourced(members.join(cited, F.col("component") == F.col("cx")), "component")
     message = F.format_string("temporal cycle: events {%s} are each asserted to come before another in the group (follows/precedes form a loop)", "names")
     out = [finding(rows, name, "error", message, F.col("source"), F.col("triples"))]
-    # a pair's order in either direction, to meet other relations between the two
-    ordered = facts.unordered(before.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
-    ends = (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi"))
     predicate = F.create_map(*[F.lit(v) for k, p in V.RELATIONS.items() for v in (k, p)])
     cite = [F.col("a"), predicate[F.col("rel")], F.col("b")]
-    over = facts.unordered(rel.where("rel = 'overlaps'")).withColumn("rel", F.lit("overlaps")).join(ordered, ends, "left_semi")
     a, b = T.label_of(F.col("a")), T.label_of(F.col("b"))
-    out.append(finding(c.sourced(over, "a"), name, "error", F.format_string("'%s' and '%s' are asserted to overlap, yet one is also strictly ordered before the other", a, b), F.col("source"), cite))
-    inside = rel.where(F.col("rel").isin("includes", "included_in")).join(ordered, ends, "left_semi")
-    out.append(finding(c.sourced(inside, "a"), name, "error", F.format_string("'%s' and '%s' are in a containment relation (%s), which is incompatible with a strict before/after order", a, b, "rel"), F.col("source"), cite))
-    out.append(finding(c.sourced(contradictions(rel, spans), "a"), name, "error", F.col("message"), F.col("source"), cite))
+    over = ordered_overlaps(rel, before).select("a", F.lit("overlaps").alias("rel"), "b", F.format_string("'%s' and '%s' are asserted to overlap, yet one is also strictly ordered before the other", a, b).alias("message"))
+    inside = ordered_containments(rel, before)
+    inside = inside.select("a", "rel", "b", F.format_string("'%s' and '%s' are in a containment relation (%s), which is incompatible with a strict before/after order", a, b, "rel").alias("message"))
+    pairs = over.unionByName(inside).unionByName(contradictions(rel, spans))
+    out.append(finding(c.sourced(pairs, "a"), name, "error", F.col("message"), F.col("source"), cite))
     return union(out)
 
 
@@ -263,7 +289,7 @@ def factual_anchor(c: Context) -> Result | DataFrame:
     if not c.config.research:
         return Result()
     graph, base = c.graph, c.config.uri_base
-    anchors = facts.anchors(graph).cache()
+    anchors = c.kept(facts.anchors(graph))
     known = c.build.anchors.select(F.col("uri").alias("anchor"), F.concat_ws(" -> ", "promotes_id", "constrains_name").alias("handle"), F.col("relpath").alias("source_file"))
     named = anchors.join(known, "anchor", "left").withColumn("handle", F.coalesce("handle", T.label_of(F.col("anchor"))))
     backed = facts.supports(graph, anchors)
@@ -330,9 +356,12 @@ class Report:
             out = out.where((path == scope) | F.startswith(path, F.lit(scope.rstrip("/") + "/")))
         return total_order(out)
 
+    @cached_property
+    def _counts(self) -> dict[str, int]:
+        return {r.severity: r.n for r in severity_counts(self.findings).collect()}
+
     def counts(self) -> dict[str, int]:
-        found = {r[0]: r[1] for r in self.findings.groupBy("severity").count().collect()}
-        return {s: found.get(s, 0) for s in ("error", "warning", "info")}
+        return {s: self._counts[s] for s in ("error", "warning", "info")}
 
     def failed(self) -> bool:
         """The gate: any error, whatever is shown."""
@@ -349,6 +378,12 @@ class Report:
         return {"status": "failed" if self.failed() else "ok", "green": self.green(), "counts": self.counts(), "validators": by, "ran": self.ran, "not_evaluated": [dict(zip(("validator", "reason", "kind", "code"), n, strict=True)) for n in self.not_evaluated], "errors": [list(e) for e in self.errors]}
 
 
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """(severity, n) of each severity, none left out."""
+    every = findings.sparkSession.createDataFrame([(s, 0) for s in V.SEVERITY], "severity string, one int")
+    return findings.select("severity", F.lit(1).alias("one")).union(every).groupBy("severity").agg(F.sum("one").cast("long").alias("n"))
+
+
 def rank(severity: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in V.SEVERITY.items() for x in kv])[severity]
 
@@ -391,9 +426,7 @@ def select(custom: dict[str, Callable], enabled: tuple[str, ...] = (), disabled:
 
 def run_rules(context: Context, active: dict[str, Callable] | None = None, errors: list | None = None) -> Report:
     """Runs each rule on its own; its findings are materialised here, so that its faults stay its own."""
-    from .store import Store
-
-    store = Store(context.spark, "rules")
+    store = context.store
     frames, notes, faults, ran = [], [], list(errors or []), []
     for name, f in sorted((RULES if active is None else active).items()):
         try:

@@ -14,17 +14,17 @@ from .ingest import Build
 from .rules import Report
 
 
-def open_questions(graph: DataFrame, findings: DataFrame) -> DataFrame:
-    """(id, text, file) of open findings, by file and id. findings: uri, id, relpath as authored."""
-    open_ = graph.where((F.col("p") == V.OPEN) & (F.col("o") == "true") & (F.col("o_kind") == "lit")).select(F.col("s").alias("uri")).distinct()
-    rows = open_.join(facts.of(graph, V.CLAIM, "uri", "text"), "uri", "left").join(findings, "uri")
+def open_questions(graph: DataFrame, findings: DataFrame, mark: str = V.OPEN, said: str = V.CLAIM) -> DataFrame:
+    """(id, text, file) of open findings, by file and id. findings: uri, id, relpath as authored; mark is true of open ones, said is their text."""
+    open_ = graph.where((F.col("p") == mark) & (F.col("o") == "true") & (F.col("o_kind") == "lit")).select(F.col("s").alias("uri")).distinct()
+    rows = open_.join(facts.of(graph, said, "uri", "text"), "uri", "left").join(findings, "uri")
     return rows.select("id", "text", F.col("relpath").alias("file")).orderBy("file", "id")
 
 
 def low_reliability(graph: DataFrame, findings: DataFrame, minimum: str) -> DataFrame:
     """(id, best_reliability, file) of findings with a source whose best is under the minimum; unrated is lowest."""
-    backed = facts.of(graph, V.SUPPORTED_BY, "uri", "source").join(facts.ratings(graph), "source", "left")
-    best = backed.groupBy("uri").agg(F.coalesce(F.max("rank"), F.lit(-1)).alias("best"))
+    best = facts.best_support(facts.of(graph, V.SUPPORTED_BY, "uri", "source"), facts.ratings(graph), "uri")
+    best = best.select("uri", F.coalesce("best", F.lit(-1)).alias("best"))
     names = F.create_map(*[F.lit(x) for i, r in enumerate(V.RELIABILITY) for x in (i, r)])
     rows = best.where(F.col("best") < V.RELIABILITY.index(minimum)).join(findings, "uri")
     return rows.select("id", F.try_element_at(names, F.col("best")).alias("best_reliability"), F.col("relpath").alias("file")).orderBy("file", "id")
@@ -37,7 +37,8 @@ def anchor_gaps(graph: DataFrame, identities: DataFrame, minimum: str, uri_base:
     aimed = facts.present(graph, anchors.select("constrains").where("constrains is not null").distinct(), uri_base, "constrains").withColumn("t", F.lit(True))
     said = facts.verdicts(anchors, facts.supports(graph, anchors), facts.ratings(graph), minimum)
     rows = anchors.join(found, "promotes", "left").join(aimed, "constrains", "left").join(said, "anchor", "left").fillna(False, ["f", "t"])
-    problems = F.array_sort(F.array_compact(F.array(F.when(~F.col("f"), "missing_finding"), F.when(F.col("f") & (F.col("sources") == 0), "unsourced"), F.col("verdict"), F.when(~F.col("t"), "missing_target"))))
+    verdict = F.col("verdict")
+    problems = facts.problem_set({"missing_finding": ~F.col("f"), "unsourced": F.col("f") & (F.col("sources") == 0), "unrated": verdict == "unrated", "under_reliable": verdict == "under_reliable", "missing_target": ~F.col("t")})
     rows = rows.select(F.col("promotes_id").alias("promotes"), F.col("constrains_name").alias("constrains"), F.col("relpath").alias("file"), problems.alias("problems"))
     return rows.where(F.size("problems") > 0).orderBy("file", "promotes", F.coalesce("constrains", F.lit("")))
 

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .functions import text as T
-from .operators import facts, rules
+from .operators import facts, ingest, rules, status
 from .operators.reach import cycles as find_cycles
+from .operators.store import Store
 from .plans.compiler import sparql
 from .plans.relational import DATA, MAPPING, PREFIXES, TERM, graph
-from .terms import RDFS, TYPE, XSD, empty_graph, graph_union, iri, literal, triples
+from .sources.project import Config, files_from
+from .terms import LABEL, RDFS, TYPE, XSD, empty_graph, graph_union, iri, literal, triple_rows, triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,56 +175,51 @@ def optional_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLUG = "nullif(trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', '-', 'g'), '-'), '')"
 
 
-@query(f"SELECT p_partkey AS id, {_SLUG.format('p_name')} AS slug FROM part UNION ALL SELECT doc_id, {_SLUG.format('''replace(substr(text, 1, 40), 'ß', 'ss')''')} FROM documents")
+@query(f"SELECT p_partkey AS id, {_SLUG.format('p_name')} AS slug FROM part UNION ALL SELECT doc_id, md5({_SLUG.format(chr(39).join(['replace(text, ', 'ß', ', ', 'ss', ')']))}) FROM documents")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.slug("p_name").alias("slug"))
-    return parts.union(table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 40))))
+    return parts.union(table(spark, sf_dir, "documents").select("doc_id", F.md5(T.slug("text").cast("binary"))))
 
 
 @query(f"SELECT {_SLUG.format('p_name')} AS slug, count(DISTINCT p_partkey) AS keys FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
 def slug_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "part").select("p_partkey", T.slug("p_name").alias("slug"))
-    return named.groupBy("slug").agg(F.count_distinct("p_partkey").alias("keys")).where("keys > 1")
+    return ingest.collisions(named, ["slug"], "p_partkey").select("slug", F.col("n").alias("keys"))
 
 
 @query(f"SELECT {_SLUG.format('p_name')} AS slug, min(p_partkey) AS first_key, arg_min(p_brand, p_partkey) AS brand FROM part GROUP BY 1")
 def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "part").select("p_partkey", "p_brand", T.slug("p_name").alias("slug"))
-    return named.groupBy("slug").agg(F.min("p_partkey").alias("first_key"), F.min_by("p_brand", "p_partkey").alias("brand"))
+    return ingest.first_wins(named, ["slug"], ["p_partkey"], ["p_partkey", "p_brand"]).toDF("slug", "first_key", "brand")
 
 
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Names said by lines, some with odd case and some unknown, and the nations by slug."""
     n = F.col("l_suppkey") % 30
     said = F.when(n < 25, F.concat(F.lit(" nation "), n.cast("string"))).otherwise(F.concat(F.lit("Atlantis "), n.cast("string")))
-    refs = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", said.alias("name"))
-    nations = table(spark, sf_dir, "nation").select(T.slug("n_name").alias("slug"), "n_nationkey")
-    return refs.withColumn("slug", T.slug("name")), nations
+    refs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", said.alias("name"))
+    return ingest.resolve_refs(refs, table(spark, sf_dir, "nation").select(T.slug("n_name").alias("target_slug"), F.col("n_nationkey").alias("target")))
 
 
-_REFS = f"""r AS (SELECT l_orderkey, CASE WHEN l_suppkey % 30 < 25 THEN ' nation ' || (l_suppkey % 30) ELSE 'Atlantis ' || (l_suppkey % 30) END AS name FROM lineitem WHERE l_linenumber = 1),
+_REFS = f"""r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 30 < 25 THEN ' nation ' || (l_suppkey % 30) ELSE 'Atlantis ' || (l_suppkey % 30) END AS name FROM lineitem),
  n AS (SELECT {_SLUG.format("n_name")} AS slug, n_nationkey FROM nation)"""
 
 
-@query(f"WITH {_REFS} SELECT l_orderkey, n_nationkey FROM r JOIN n ON {_SLUG.format('name')} = slug")
+@query(f"WITH {_REFS} SELECT l_orderkey, l_linenumber, n_nationkey FROM r JOIN n ON {_SLUG.format('name')} = slug")
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, nations = _references(spark, sf_dir)
-    return refs.join(nations, "slug").select("l_orderkey", "n_nationkey")
+    return _references(spark, sf_dir)[0].select("l_orderkey", "l_linenumber", F.col("target").alias("n_nationkey"))
 
 
 @query(f"WITH {_REFS} SELECT name, count(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.slug = {_SLUG.format('name')}) GROUP BY 1")
 def unresolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, nations = _references(spark, sf_dir)
-    return refs.join(nations, "slug", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
+    return _references(spark, sf_dir)[1].groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("""WITH v(slug, term) AS (VALUES ('click', 'v/click'), ('purchase', 'v/buy'), ('view', 'v/view')) SELECT e.event_type, term, count(*) AS n FROM events e LEFT JOIN v ON lower(e.event_type) = v.slug GROUP BY 1, 2""")
 def vocab_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = [("click", "Click"), ("buy", "purchase"), ("view", "VIEW")]
     g = spark.createDataFrame([("v/" + t, TYPE, V.CLASS["type"], "iri", None, None) for t, _ in terms] + [("v/" + t, RDFS + "label", label, "lit", None, "en") for t, label in terms], "s string, p string, o string, o_kind string, o_dt string, o_lang string")
-    from .operators.ingest import vocabulary_index
-
-    index = F.broadcast(vocabulary_index(g))  # three labels
+    index = F.broadcast(ingest.vocabulary_index(g))  # three labels
     typed = table(spark, sf_dir, "events").withColumn("slug", T.slug("event_type")).join(index, "slug", "left")
     return typed.groupBy("event_type", "term").agg(F.count("*").alias("n"))
 
@@ -232,14 +229,13 @@ def vocab_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_pass_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey")]
     frames = [table(spark, sf_dir, t).select(F.concat(F.lit("n"), F.col(k).cast("string")).alias("slug"), F.concat(F.lit(t + "/"), F.col(k).cast("string")).alias("uri"), F.lit(i).alias("pass")) for i, (t, k) in enumerate(parts)]
-    return frames[0].union(frames[1]).union(frames[2]).groupBy("slug").agg(F.max_by("uri", "pass").alias("uri"))
+    return ingest.last_pass_wins(frames[0].union(frames[1]).union(frames[2]), "slug", "uri", "pass")
 
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 10 - l_linenumber END ASC NULLS LAST, l_linenumber)::INTEGER AS ordinal FROM lineitem""")
 def sequence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.when(F.col("l_linenumber") % 3 != 0, 10 - F.col("l_linenumber"))
-    w = Window.partitionBy("l_orderkey").orderBy(order.asc_nulls_last(), "l_linenumber")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("ordinal"))
+    return ingest.ranked(table(spark, sf_dir, "lineitem"), "l_orderkey", order, "l_linenumber").select("l_orderkey", "l_linenumber", "ordinal")
 
 
 # --- prose
@@ -291,11 +287,10 @@ def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- time
 
 
-def _spans(spark: SparkSession, sf_dir: str, least: float = 60.0) -> DataFrame:
-    """(uri, begin, end): first and last day of each user's dear events of a type."""
-    e = table(spark, sf_dir, "events").where(F.col("value") > least)
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uri, begin, end): first and last day of each user's events of a type."""
     uri = F.concat(F.lit(f"{B}event/"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type"))
-    return e.groupBy(uri.alias("uri")).agg(F.min(F.dayofmonth("ts")).alias("begin"), F.max(F.dayofmonth("ts")).alias("end"))
+    return table(spark, sf_dir, "events").groupBy(uri.alias("uri")).agg(F.min(F.dayofmonth("ts")).alias("begin"), F.max(F.dayofmonth("ts")).alias("end"))
 
 
 def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +307,7 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_union(*out)
 
 
-_SPANS = f"""e AS (SELECT '{B}event/' || user_id || '-' || event_type AS uri, user_id AS k, event_type AS t, min(day(ts))::INTEGER AS b, max(day(ts))::INTEGER AS z FROM events WHERE value > 60 GROUP BY user_id, event_type),
+_SPANS = f"""e AS (SELECT '{B}event/' || user_id || '-' || event_type AS uri, user_id AS k, event_type AS t, min(day(ts))::INTEGER AS b, max(day(ts))::INTEGER AS z FROM events GROUP BY user_id, event_type),
  s AS (SELECT uri, k, t, CASE WHEN k % 5 <> 0 THEN b END AS begin, CASE WHEN k % 3 <> 0 THEN z END AS "end" FROM e)"""
 
 
@@ -363,8 +358,13 @@ def order_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RELATED} SELECT least(a, b) AS a, greatest(a, b) AS b FROM rel WHERE rel = 'overlaps' AND (EXISTS (SELECT 1 FROM bef WHERE x = a AND y = b) OR EXISTS (SELECT 1 FROM bef WHERE x = b AND y = a)) GROUP BY 1, 2")
 def order_vs_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = facts.relations(_related(spark, sf_dir))
-    ordered = facts.unordered(facts.strict_order(rel).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return facts.unordered(rel.where("rel = 'overlaps'")).join(ordered, ["a", "b"], "left_semi")
+    return rules.ordered_overlaps(rel, facts.strict_order(rel))
+
+
+@query(f"WITH {_RELATED} SELECT a, rel, b FROM rel WHERE rel IN ('includes', 'included_in') AND (EXISTS (SELECT 1 FROM bef WHERE x = a AND y = b) OR EXISTS (SELECT 1 FROM bef WHERE x = b AND y = a))")
+def order_vs_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = facts.relations(_related(spark, sf_dir))
+    return rules.ordered_containments(rel, facts.strict_order(rel))
 
 
 @query(
@@ -416,7 +416,10 @@ _SUPPORT = "q AS (SELECT source || '/' || (d.doc_id % 60) AS anchor, quality FRO
 
 @query(f"WITH {_SUPPORT} SELECT anchor, coalesce(max(quality), -1)::INTEGER AS best FROM q GROUP BY 1")
 def best_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _support(spark, sf_dir).groupBy("anchor").agg(F.coalesce(F.max("rank"), F.lit(-1)).cast("int").alias("best"))
+    rows = _support(spark, sf_dir)
+    rated = rows.where("rank is not null").select(F.col("doc_id").alias("source"), "rank")
+    best = facts.best_support(rows.select("anchor", F.col("doc_id").alias("source")), rated, "anchor")
+    return best.select("anchor", F.coalesce("best", F.lit(-1)).cast("int").alias("best"))
 
 
 @query(f"WITH {_SUPPORT} SELECT anchor, count(*) AS sources, CASE WHEN max(quality) IS NULL THEN 'unrated' WHEN max(quality) < 1 THEN 'under_reliable' END AS verdict FROM q GROUP BY 1")
@@ -432,11 +435,9 @@ def support_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mandatory predicates that a document's node lacks; ``toxic`` only for other languages than English."""
     g = graph(spark, sf_dir, "documents", "labels")
-    names = F.broadcast(spark.createDataFrame([("lang",), ("quality",), ("source",), ("toxic",)], "facet string"))  # four rows
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit(f"{D}documents/"), F.col("doc_id").cast("string")).alias("doc"), "lang")
-    grid = docs.join(names, F.lit(True)).where("facet <> 'toxic' or lang <> 'en'")
-    has = g.select(F.col("s").alias("doc"), F.element_at(F.split("p", "/"), -1).alias("facet"))
-    return grid.join(has, ["doc", "facet"], "left_anti").select("doc", "facet")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit(f"{D}documents/"), F.col("doc_id").cast("string")).alias("source"))
+    facets = [("lang", TERM + "lang", False), ("quality", TERM + "quality", False), ("source", TERM + "source", False), ("toxic", TERM + "toxic", True)]
+    return facts.missing_facets(g, docs.withColumn("anchor", F.col("source")), "en", facets, TERM + "lang").select(F.col("source").alias("doc"), "facet")
 
 
 @query(f"""SELECT DISTINCT u AS uri FROM (SELECT '{D}nation/' || (c_nationkey + 3) AS u, c_nationkey + 3 AS k FROM customer) WHERE k IN (SELECT n_nationkey FROM nation) UNION SELECT '{D}timeline'""")
@@ -451,16 +452,16 @@ def entity_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gap_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "lid")
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(labels, F.col("doc_id") == F.col("lid"), "left")
-    found = F.array_sort(F.array_compact(F.array(F.when(F.col("lid").isNull(), "unlabelled"), F.when(F.col("quality") == 0, "weak"), F.when(F.col("toxic") == 1, "flagged"), F.when(F.col("n_chars") < 500, "short"))))
+    found = facts.problem_set({"unlabelled": F.col("lid").isNull(), "weak": F.col("quality") == 0, "flagged": F.col("toxic") == 1, "short": F.col("n_chars") < 500})
     return rows.select("doc_id", F.array_join(found, ",").alias("problems")).where("problems <> ''")
 
 
 def _assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provenance triples of documents: one path with a line a label, one without a document."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri"), F.col("source").alias("path"))
-    labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri"), F.concat(F.lit("labels.md:"), (F.col("doc_id") % 9 + 1).cast("string")).alias("path"))
-    rows = docs.union(labels).withColumn("node", F.concat(F.lit("a/"), F.sha2(F.concat_ws("|", "uri", "path"), 256)))
-    return graph_union(triples(rows, F.col("node"), V.ASSIGNED_TO, iri(F.col("uri"))), triples(rows, F.col("node"), V.USED_OBJECT, literal(F.col("path"), XSD + "string")))
+    """Provenance triples of documents: one path a document, one with a line a label."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("target"), F.col("source").alias("path"))
+    labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("target"), F.concat(F.lit("labels.md:"), (F.col("doc_id") % 9 + 1).cast("string")).alias("path"))
+    rows = ingest.assertion_rows(docs.union(labels).select("target", F.col("target").alias("attribute"), "path", F.lit("").alias("key")), B)
+    return graph_union(triple_rows(rows, ingest.assertion_triples()))
 
 
 _PROV = "p AS (SELECT 'doc/' || doc_id AS uri, source AS path FROM documents UNION SELECT 'doc/' || doc_id, 'labels.md:' || (doc_id % 9 + 1) FROM labels)"
@@ -512,9 +513,7 @@ def findings_dedup_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FINDINGS} SELECT s AS severity, count(validator) AS n FROM (VALUES ('error'), ('warning'), ('info')) v(s) LEFT JOIN f ON severity = s GROUP BY 1")
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    domain = spark.createDataFrame([(s,) for s in V.SEVERITY], "severity string")
-    found = _findings(spark, sf_dir).findings.groupBy("severity").agg(F.count("*").alias("n"))
-    return domain.join(found, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
+    return rules.severity_counts(_findings(spark, sf_dir).findings)
 
 
 @query(f"WITH {_FINDINGS} SELECT validator, severity, message, source FROM f WHERE source LIKE 'src1/%' AND severity = 'error'")
@@ -525,8 +524,140 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT '{D}documents/' || d.doc_id AS id, lang AS text, source AS file FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes marked true, with an optional text and their authored place."""
-    rows = sparql(graph(spark, sf_dir, "documents", "labels"), "SELECT ?id ?text WHERE { ?id d:toxic true OPTIONAL { ?id d:lang ?text } }", PREFIXES)
-    place = table(spark, sf_dir, "documents").select(F.concat(F.lit(f"{D}documents/"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("file"))
-    return rows.join(place, "id")
+    uri = F.concat(F.lit(f"{D}documents/"), F.col("doc_id").cast("string"))
+    place = table(spark, sf_dir, "documents").select(uri.alias("uri"), uri.alias("id"), F.col("source").alias("relpath"))
+    return status.open_questions(graph(spark, sf_dir, "documents", "labels"), place, TERM + "toxic", TERM + "lang")
+
+
+# --- whole rules and status facts, over a research graph made of documents, labels and suppliers
+
+
+def _book(spark: SparkSession, sf_dir: str, **config: object) -> rules.Context:
+    """A project whose sources are suppliers, whose findings are documents and whose anchors are benchmark items.
+
+    A supplier's account decides its reliability and facets, a document's source its suppliers, an
+    item's number what it promotes, constrains and dates. Parts are units, by size in a sequence.
+    """
+    num = lambda c: F.col(c).cast("string")
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit(f"{B}source/"), num("s_suppkey")).alias("s"))
+    k = F.col("s_suppkey")
+    level = F.when(k % 4 == 0, "alta").when(k % 4 == 1, "media").when(k % 4 == 2, "baja")
+    text = lambda predicate, when: (F.col("s"), V.BW + predicate, literal(F.when(when, F.lit("x")), XSD + "string"))
+    language = (F.col("s"), V.BW + "originalLanguage", literal(F.when(k % 5 > 0, F.when(k % 2 == 0, "en").otherwise("fr")), XSD + "string"))
+    every = F.lit(True)
+    kind = (F.col("s"), V.HAS_TYPE, iri(F.concat(F.lit(f"{V.BW}source-type/"), num("s_suppkey"))))
+    sources = [kind, (F.col("s"), V.BW + "reliability", iri(F.concat(F.lit(f"{V.BW}reliability/"), level))), text("reference", every), text("author", k % 3 > 0), text("reliabilityJustification", every), text("originalQuote", k % 7 > 0), text("translation", k % 6 == 1), (F.col("s"), V.BW + "accessDate", literal(F.lit("2020-01-01"), XSD + "date")), language]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(f"{B}finding/"), num("doc_id")).alias("s"))
+    d = F.col("doc_id")
+    backed = docs.where("doc_id % 5 > 0").select("s", F.explode(F.array(d % 7 + 1, d % 10 + 1)).alias("k"))
+    findings = [(F.col("s"), TYPE, iri(V.CLASS["assertion"])), (F.col("s"), V.OPEN, literal(F.when(d % 9 == 0, F.lit("true")), XSD + "boolean")), (F.col("s"), V.CLAIM, literal(F.when(d % 2 == 0, F.concat(F.lit("claim "), num("doc_id"))), XSD + "string"))]
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(f"{B}anchor/"), num("item_id")).alias("s"))
+    i = F.col("item_id")
+    aim = F.when(i % 3 == 0, F.concat(F.lit(f"{B}event/"), num("item_id"))).when(i % 3 == 1, F.lit(f"{B}timeline")).otherwise(F.concat(F.lit(f"{B}event/none-"), num("item_id")))
+    span = F.concat("s", F.lit("/time-span"))
+    year = lambda c: literal(T.gyear(c.cast("int")), XSD + "gYear")
+    anchors = [(F.col("s"), TYPE, iri(V.CLASS["assertion"])), (F.col("s"), V.PROMOTES, iri(F.concat(F.lit(f"{B}finding/"), F.when(i % 8 == 0, F.lit("lost")).otherwise(num("item_id"))))), (F.col("s"), V.CONSTRAINS, iri(F.when(i % 11 > 0, aim))), (F.col("s"), V.HAS_TIME_SPAN, iri(span)), (span, V.BEGIN, year(1000 + i)), (span, V.END, year(F.when(i % 2 == 0, 1004 + i)))]
+    event = F.concat(F.lit(f"{B}event/"), num("item_id"))
+    ev, at, dim = F.concat(event, F.lit("/time-span")), F.concat(event, F.lit("/time-span/end")), F.concat(event, F.lit("/time-span/end/dimension"))
+    events = [(event, TYPE, iri(V.CLASS["event"])), (event, V.DURATION, iri(ev)), (ev, V.TEMPORAL_LOCATION, iri(at)), (at, V.HAS_DIMENSION, iri(dim)), (dim, V.HAS_VALUE, year(995 + i + i % 4 * 3))]
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", F.concat(F.lit(f"{B}narrative-unit/"), num("p_partkey")).alias("s"))
+    units = [(F.col("s"), TYPE, iri(V.CLASS["narrative-unit"])), (F.col("s"), LABEL, literal(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name"))))]
+    members = [(F.concat(F.lit(f"{B}narrative-sequence/"), num("p_size")), V.PROPER_PART, iri(F.col("s")))]
+    said = ingest.assertion_rows(parts.select(F.col("s").alias("target"), F.col("s").alias("attribute"), F.concat(F.lit("outline/units/"), num("p_partkey"), F.lit(".md")).alias("path"), F.lit("").alias("key")), B)
+    g = graph_union(
+        triple_rows(sup, sources), triple_rows(docs, findings), triples(backed, F.col("s"), V.SUPPORTED_BY, iri(F.concat(F.lit(f"{B}source/"), num("k")))), triple_rows(items, anchors),
+        triple_rows(items.where("item_id % 3 = 0"), events), triple_rows(parts, units), triple_rows(parts.where("p_size > 10"), members), triple_rows(said, ingest.assertion_triples()),
+    )
+    g = Store(spark, "book").save(g)
+    none = lambda schema: spark.createDataFrame([], schema)
+    records = parts.select(F.lit("narrative-unit").alias("concept"), F.col("p_name").alias("name"), F.concat(F.lit("outline/units/"), num("p_partkey"), F.lit(".md")).alias("relpath"), num("p_partkey").alias("slug"))
+    lost = parts.where("p_partkey % 13 = 0").select(F.concat(F.lit("outline/units/"), num("p_partkey"), F.lit(".md")).alias("relpath"), F.lit("roles").alias("field"), F.col("p_name").alias("entity"), F.lit("ghost").alias("name"))
+    other = spark.createDataFrame([("bible/timeline.md", "participants", "e", "n")], "relpath string, field string, entity string, name string")
+    built = ingest.Build(
+        records, g, none("relpath string, reason string"), none("relpath string, key string"), lost.union(other), none("vocabulary string, name string"), none("relpath string, field string, name string"),
+        docs.select(F.col("s").alias("uri"), F.concat(F.lit("f"), num("doc_id")).alias("id"), F.concat(F.lit("bible/research/t"), (d % 3).cast("string"), F.lit(".md")).alias("relpath")),
+        items.select(F.col("s").alias("uri"), F.concat(F.lit("f"), num("item_id")).alias("promotes_id"), F.when(i % 11 > 0, F.concat(F.lit("e"), num("item_id"))).alias("constrains_name"), F.concat(F.lit("bible/research/a"), (i % 2).cast("string"), F.lit(".md")).alias("relpath")),
+        Config(uri_base=B, **config),
+    )
+    return rules.Context(built, files_from(spark, {}, built.config))
+
+
+_BOOK = f"""rated AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS rank FROM supplier),
+ backed AS (SELECT DISTINCT doc_id, unnest([doc_id % 7 + 1, doc_id % 10 + 1]) AS k FROM documents WHERE doc_id % 5 > 0),
+ best AS (SELECT doc_id, count(*) AS n, max(rank) AS best FROM backed LEFT JOIN rated USING (k) GROUP BY 1),
+ anchor AS (SELECT item_id AS i, 'f' || item_id || CASE WHEN item_id % 11 > 0 THEN ' -> e' || item_id ELSE '' END AS handle, 'bible/research/a' || (item_id % 2) || '.md' AS file, item_id % 8 <> 0 AND d.doc_id IS NOT NULL AS found,
+  item_id % 11 > 0 AND item_id % 3 < 2 AS aimed, item_id % 11 > 0 AS aims, CASE WHEN item_id % 8 <> 0 THEN coalesce(b.n, 0) ELSE 0 END AS n, CASE WHEN item_id % 8 <> 0 THEN best END AS best
+  FROM benchmark LEFT JOIN documents d ON d.doc_id = item_id LEFT JOIN best b ON b.doc_id = item_id),
+ spans AS (SELECT item_id AS i, 995 + item_id + item_id % 4 * 3 AS z FROM benchmark WHERE item_id % 3 = 0)"""
+
+
+_UNTIL = "coalesce(z::VARCHAR, '?')"
+
+
+@query(
+    f"""WITH {_BOOK}, facet(name, lacks) AS (SELECT 'type', 0 UNION ALL SELECT 'reliability', 1 UNION ALL SELECT 'reliability justification', 2 UNION ALL SELECT 'reference', 3 UNION ALL SELECT 'author', 4
+  UNION ALL SELECT 'original language', 5 UNION ALL SELECT 'access date', 6 UNION ALL SELECT 'original quote', 7 UNION ALL SELECT 'translation', 8),
+ dated AS (SELECT a.*, 1000 + i AS y0, CASE WHEN i % 2 = 0 THEN 1004 + i END AS y1, CASE WHEN i % 3 = 0 THEN (SELECT z FROM spans WHERE spans.i = a.i) WHEN i % 3 = 1 THEN (SELECT max(z) FROM spans) END AS z FROM anchor a WHERE aims)
+ SELECT 'warning' AS severity, 'anchor ''' || handle || ''' promotes a finding with no supporting source' AS message, file AS source FROM anchor WHERE found AND n = 0
+ UNION ALL SELECT 'warning', 'anchor ''' || handle || ''' is backed only by sources below the minimum reliability ''media''', file FROM anchor WHERE n > 0 AND best < 1
+ UNION ALL SELECT 'warning', 'anchor ''' || handle || ''' is backed by sources but none carries a reliability rating (minimum required: ''media'')', file FROM anchor WHERE n > 0 AND best IS NULL
+ UNION ALL SELECT 'warning', 'anchor ''' || handle || ''' promotes a finding not present in the graph', file FROM anchor WHERE NOT found
+ UNION ALL SELECT 'warning', 'anchor ''' || handle || ''' constrains a narrative entity that is not present in the graph', file FROM anchor WHERE NOT aimed
+ UNION ALL SELECT 'warning', 'source ''' || b.k || ''' backing anchor ''' || handle || ''' is missing its ' || f.name, file FROM anchor a JOIN backed b ON b.doc_id = a.i AND a.i % 8 <> 0 LEFT JOIN rated r ON r.k = b.k CROSS JOIN facet f
+  WHERE CASE WHEN r.k IS NULL THEN lacks < 8 ELSE CASE lacks WHEN 1 THEN b.k % 4 = 3 WHEN 4 THEN b.k % 3 = 0 WHEN 5 THEN b.k % 5 = 0 WHEN 7 THEN b.k % 7 = 0 WHEN 8 THEN b.k % 5 > 0 AND b.k % 2 = 1 AND b.k % 6 <> 1 ELSE false END END
+ UNION ALL SELECT 'error', 'anchor ''' || handle || ''' (' || y0 || '-' || coalesce(y1::VARCHAR, '?') || ') constrains ''' || CASE WHEN i % 3 = 0 THEN i::VARCHAR ELSE 'timeline' END || ''' (?-' || {_UNTIL} || '), but their year ranges are disjoint (anachronism)', file FROM dated WHERE z < y0"""
+)
+def anchor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the anchor rule finds: support, facets, reliability, missing ends, anachronisms."""
+    return rules.factual_anchor(_book(spark, sf_dir)).select("severity", "message", "source")
+
+
+@query(
+    """SELECT 'narrative unit ''' || CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_partkey::VARCHAR END || ''' belongs to no narrative sequence (orphan beat)' AS message, 'outline/units/' || p_partkey || '.md' AS source FROM part WHERE p_size <= 10
+ UNION ALL SELECT 'narrative unit ''' || p_name || ''' references role ''ghost'' which resolves to no character role', 'outline/units/' || p_partkey || '.md' FROM part WHERE p_partkey % 13 = 0"""
+)
+def unit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the structure rule finds: units outside of sequences, roles that nobody has."""
+    return rules.narrative_structure(_book(spark, sf_dir)).select("message", "source")
+
+
+@query("SELECT 'f' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'claim ' || doc_id END AS text, 'bible/research/t' || (doc_id % 3) || '.md' AS file FROM documents WHERE doc_id % 9 = 0")
+def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _book(spark, sf_dir)
+    return status.open_questions(c.graph, c.build.findings)
+
 
+@query(f"WITH {_BOOK} SELECT 'f' || doc_id AS id, CASE best WHEN 0 THEN 'baja' WHEN 1 THEN 'media' END AS best_reliability, 'bible/research/t' || (doc_id % 3) || '.md' AS file FROM best WHERE best IS NULL OR best < 2")
+def low_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _book(spark, sf_dir)
+    return status.low_reliability(c.graph, c.build.findings, "alta")
 
+
+@query(
+    f"""WITH {_BOOK} SELECT 'f' || i AS promotes, CASE WHEN aims THEN 'e' || i END AS constrains, file, problems FROM (SELECT *, concat_ws(',', CASE WHEN NOT found THEN 'missing_finding' END, CASE WHEN NOT aimed THEN 'missing_target' END,
+ CASE WHEN n > 0 AND best < 1 THEN 'under_reliable' END, CASE WHEN n > 0 AND best IS NULL THEN 'unrated' END, CASE WHEN found AND n = 0 THEN 'unsourced' END) AS problems FROM anchor) WHERE problems <> ''"""
+)
+def anchor_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _book(spark, sf_dir)
+    return status.anchor_gaps(c.graph, c.build.anchors, "media", B).withColumn("problems", F.array_join("problems", ","))
+
+
+@query("SELECT 'manuscript/' || doc_id || '.md:2' AS source, 'first-person marker ''We'' outside dialogue, but the constitution declares a third-person narrative voice' AS message FROM documents WHERE doc_id % 10 = 0")
+def focalization_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-person markers outside of dialogue, in documents of which some get a line of dialogue and one of narration."""
+    said = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("— I said, we go.\nWe went.\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    c = _book(spark, sf_dir)
+    prose = table(spark, sf_dir, "documents").select(F.concat(F.lit("manuscript/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relpath"), F.lit("manuscript").alias("role"), said.cast("binary").alias("content"))
+    c.files = prose.union(files_from(spark, {"bible/constitution.md": "# Style\n\n- **Narrative voice**: third person, limited\n"}, c.config))
+    return rules.focalization(c).findings.select("source", "message")
+
+
+@query(
+    f"""WITH {_BOOK} SELECT handle, i::VARCHAR AS label, file FROM anchor WHERE found"""
+)
+def anchor_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors as people name them, of those whose finding is there."""
+    c = _book(spark, sf_dir)
+    named = facts.anchors(c.graph).join(c.build.anchors.withColumnRenamed("uri", "anchor"), "anchor")
+    there = facts.present(c.graph, named.select("promotes").distinct(), B, "promotes")
+    return named.join(there, "promotes", "left_semi").select(F.concat_ws(" -> ", "promotes_id", "constrains_name").alias("handle"), T.label_of(F.col("anchor")).alias("label"), F.col("relpath").alias("file"))

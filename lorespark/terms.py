@@ -45,6 +45,14 @@ def triples(df: DataFrame, s: Column, p: str, obj: dict[str, Column]) -> DataFra
     return out.where("s is not null and o is not null")
 
 
+def triple_rows(df: DataFrame, items: list[tuple[Column, str, dict[str, Column]]]) -> DataFrame:
+    """The triples (subject, predicate, object) of each row of df, in one pass over it."""
+    if len(items) == 1:
+        return triples(df, *items[0])
+    rows = [F.struct(s.alias("s"), F.lit(p).alias("p"), *[obj[k].cast("string").alias(k) for k in KEYS[2:]]) for s, p, obj in items]
+    return df.select(F.explode(F.array(*rows)).alias("t")).select("t.*").where("s is not null and o is not null")
+
+
 def empty_graph(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TRIPLE)
 
