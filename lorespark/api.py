@@ -12,13 +12,16 @@ from .operators.ingest import Build, build
 from .operators.rules import Context, Report, discover, run_rules, select
 from .operators.status import Action, State, aggregate, next_actions
 from .plans.compiler import sparql
-from .sources.project import Config, read_files
+from .sources.project import Config, ConfigError, missing_folder, read_files
+from .vocabularies import packaged
 from .vocabulary import PREFIXES
 
 
 def build_graph(spark: SparkSession, root: str, config: Config, vocabularies: dict[str, DataFrame] | None = None) -> Build:
-    """The graph of a project folder."""
-    return build(read_files(spark, root, config), config, vocabularies)
+    """The graph of a project folder, with the packaged vocabularies that are active unless others are given."""
+    if lost := missing_folder(root, config):
+        raise ConfigError(f"there is no {lost} folder at {config.paths[lost]}")
+    return build(read_files(spark, root, config), config, packaged(spark, config.vocabularies) if vocabularies is None else vocabularies)
 
 
 def query(graph: DataFrame, text: str) -> DataFrame:
@@ -33,15 +36,27 @@ def validate(built: Build, files: DataFrame, custom_folder: str | None = None) -
     return run_rules(Context(built, files), select(custom, c.enabled, c.disabled, c.custom), errors)
 
 
+class PartialCorpus(ValueError):
+    """Files were skipped, so a status would speak of a part only."""
+
+
 def status(built: Build, files: DataFrame, custom_folder: str | None = None) -> tuple[State, list]:
     """The state and the next actions. A build with skipped files is an error."""
     skipped = built.skipped.take(1)
     if skipped:
-        raise ValueError(f"partial corpus: {skipped[0].relpath}: {skipped[0].reason}")
+        raise PartialCorpus(f"partial corpus: {skipped[0].relpath}: {skipped[0].reason}")
     state = aggregate(built, validate(built, files, custom_folder))
     return state, next_actions(state)
 
 
+def project_status(spark: SparkSession, root: str, config: Config, custom_folder: str | None = None) -> tuple[State, list]:
+    """The same of a folder. Where there is nothing to build yet, that is the state, not an error."""
+    if missing_folder(root, config):
+        state = State(available=False, focus=config.focus is not None)
+        return state, next_actions(state)
+    return status(build_graph(spark, root, config), read_files(spark, root, config), custom_folder)
+
+
 def success(**fields: object) -> str:
     """A one-line JSON document of a result."""
     return json.dumps({"status": "ok", **fields}, ensure_ascii=False, separators=(",", ":"), default=str) + "\n"
@@ -53,10 +68,12 @@ def failure(code: str, message: str, details: object = None) -> str:
 
 
 def table(df: DataFrame, limit: int = 1000) -> str:
-    """Query rows as text in aligned columns; an unbound cell is empty. For reading, so at most limit rows."""
-    rows = [df.columns, *[["" if v is None else str(v) for v in r] for r in df.limit(limit).collect()]]
+    """Query rows as text in aligned columns; an unbound cell is empty. For reading: a last line tells of rows beyond limit."""
+    found = df.limit(limit + 1).collect()
+    rows = [df.columns, *[["" if v is None else str(v) for v in r] for r in found[:limit]]]
     wide = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in rows) + "\n"
+    more = f"... and more than these {limit} rows\n" if len(found) > limit else ""
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in rows) + "\n" + more
 
 
 def render(report: Report, scope: str | None = None, severity: str = "info") -> str:

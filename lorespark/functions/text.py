@@ -12,26 +12,38 @@ from pyspark.sql import functions as F
 SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i", "ħ": "h", "ŋ": "ng", "ĸ": "k", "ŀ": "l", "ŧ": "t", "ŉ": "n"}
 
 
+# Greek and Cyrillic letters in Latin ones, in the order of their alphabets.
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщыэюяіїєґўј", "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch y e iu ia i i ie g u j".split(), strict=True)) | {"ъ": "", "ь": ""}
+
+
 def _accents() -> dict[str, str]:
-    """Lower-case letters of Latin-1 and Latin Extended-A to their base letter, by decomposition."""
+    """Lower-case letters with marks, Latin, Greek and Cyrillic, to their base letter, by decomposition."""
     out = {}
-    for code in range(0xC0, 0x180):
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)):
         c = chr(code).lower()
         base = unicodedata.normalize("NFKD", c)[0]
-        if len(c) == 1 and c not in SPECIAL and base != c and base.isascii() and base.isalpha():
+        if len(c) == 1 and c not in SPECIAL and c not in CYRILLIC and base != c and ((base.isascii() and base.isalpha()) or base in GREEK or base in CYRILLIC):
             out[c] = base
     return out
 
 
 ACCENTS = _accents()
+SCRIPTS = SPECIAL | GREEK | CYRILLIC
 
 
 def slug(name: Column | str) -> Column:
     """Lower case, ASCII, runs of other characters as one hyphen, no hyphen at the ends; null where nothing is left."""
     c = F.lower(F.col(name) if isinstance(name, str) else name)
     c = F.translate(c, "".join(ACCENTS), "".join(ACCENTS.values()))
-    for letter, plain in SPECIAL.items():
-        c = F.replace(c, F.lit(letter), F.lit(plain))
+    single = {x: y for x, y in SCRIPTS.items() if len(y) == 1}
+    c = F.translate(c, "".join(single), "".join(single.values()))
+    # letters of several are rare: they are spelled out where there are any
+    several = {x: y for x, y in SCRIPTS.items() if len(y) != 1}
+    spelled = c
+    for letter, plain in several.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(plain))
+    c = F.when(c.rlike("[" + "".join(several) + "]"), spelled).otherwise(c)
     c = F.regexp_replace(c, r"\p{M}+", "")
     c = F.trim(F.regexp_replace(c, r"[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(c != "", c)
@@ -39,7 +51,8 @@ def slug(name: Column | str) -> Column:
 
 def make_slug(name: str) -> str | None:
     """The same in Python."""
-    out = "".join(SPECIAL.get(c, ACCENTS.get(c, c)) for c in name.lower())
+    out = (SPECIAL.get(c) or ACCENTS.get(c, c) for c in name.lower())
+    out = "".join(SCRIPTS.get(c, c) for c in out)
     out = "".join(c for c in out if not unicodedata.category(c).startswith("M"))
     return re.sub(r"[^a-z0-9]+", "-", out).strip("-") or None
 

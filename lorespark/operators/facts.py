@@ -14,6 +14,25 @@ def of(graph: DataFrame, p: str, s: str = "s", o: str = "o") -> DataFrame:
     return graph.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
 
 
+def terms(graph: DataFrame) -> DataFrame:
+    """(term) of every IRI that stands anywhere in a graph, such as an ontology."""
+    places = F.explode(F.array("s", "p", F.when(F.col("o_kind") == "iri", F.col("o"))))
+    return graph.select(places.alias("term")).where("term is not null and not startswith(term, '_:')").distinct()
+
+
+def undeclared(graph: DataFrame, ontology: DataFrame) -> DataFrame:
+    """(term) of the classes and predicates in use that the ontology neither defines nor mentions."""
+    used = graph.select("p", F.when((F.col("p") == TYPE) & (F.col("o_kind") == "iri"), F.col("o")).alias("c"))
+    used = used.select(F.explode(F.array("p", "c")).alias("term")).where("term is not null").distinct()
+    return used.join(terms(ontology), "term", "left_anti")
+
+
+def parity(every: DataFrame, fed: DataFrame, deferred: DataFrame) -> DataFrame:
+    """(name, fault) of names that are both fed and deferred, and of those that are neither. Frames of one column, name."""
+    both = fed.select("name").intersect(deferred.select("name")).withColumn("fault", F.lit("both"))
+    return both.union(every.select("name").subtract(fed.select("name")).subtract(deferred.select("name")).withColumn("fault", F.lit("neither")))
+
+
 def intervals(graph: DataFrame) -> DataFrame:
     """(uri, begin, end) of every event; a bound that is not given is null."""
     events = graph.where((F.col("p") == TYPE) & (F.col("o") == V.CLASS["event"])).select(F.col("s").alias("uri")).distinct()

@@ -1,4 +1,4 @@
-"""Reachability: transitive closure and strongly connected components by doubling joins."""
+"""Reachability: closure by doubling joins, search from seeds, strongly connected components by colouring."""
 
 from __future__ import annotations
 
@@ -27,12 +27,64 @@ def closure(edges: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError(f"the closure did not settle in {limit} rounds")
 
 
+def reach_from(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
+    """(b) of all nodes with a path of one or more edges (a, b) from a seed (a), without closing the rest of the graph."""
+    store = Store(edges.sparkSession, "reach")
+    edges = edges.select("a", "b").where("a is not null and b is not null")
+    known = store.save(edges.join(seeds, "a", "left_semi").select("b").distinct())
+    fresh = known
+    for _ in range(limit):
+        if not fresh.take(1):
+            return known
+        step = edges.join(fresh.withColumnRenamed("b", "a"), "a", "left_semi").select("b").distinct()
+        fresh = store.save(step.join(known, "b", "left_anti"))
+        known = store.save(known.union(fresh))
+    raise RuntimeError(f"the search did not settle in {limit} rounds")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of strongly connected components with at least two nodes; component: the least node.
 
-    A node alone, with a self-loop or not, is no cycle.
+    A node alone, with a self-loop or not, is no cycle. Edges that can't lie on a cycle are
+    trimmed; then the least label that reaches a node colours it, and what reaches a colour's
+    root backwards within that colour is its component. Those leave, and the rest goes on. Rows
+    of a round never outnumber the edges; nothing is closed.
     """
-    pairs = closure(edges.where("a <> b"))
-    mutual = pairs.alias("x").join(pairs.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a")))
-    mutual = mutual.where(F.col("x.a") != F.col("x.b")).select(F.col("x.a").alias("node"), F.col("x.b").alias("other"))
-    return mutual.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"))
+    spark = edges.sparkSession
+    store = Store(spark, "cycles")
+    left = store.save(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
+    found: list[DataFrame] = []
+    while True:
+        size = left.count()
+        while size:  # an edge lies on a cycle only if something leads to it and on from it
+            left = store.save(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+            before, size = size, left.count()
+            if size == before:
+                break
+        if not size:
+            break
+        nodes = left.select(F.col("a").alias("node")).distinct()  # each one left has an edge out
+        colour = store.save(nodes.select("node", F.col("node").alias("colour")))
+        while True:
+            came = left.join(colour.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("low"))
+            new = store.save(colour.join(came, "node", "left").select("node", F.least("colour", "low").alias("colour"), (F.col("low") < F.col("colour")).alias("changed")))
+            colour = new.select("node", "colour")
+            if not new.where("changed").take(1):
+                break
+        paint = lambda side: colour.select(F.col("node").alias(side), F.col("colour").alias(f"c{side}"))
+        inside = store.save(left.join(paint("a"), "a").join(paint("b"), "b").where("ca = cb").select("a", "b"))
+        member = fresh = store.save(colour.where("node = colour"))
+        while fresh.take(1):
+            back = inside.join(fresh.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "colour").distinct()
+            fresh = store.save(back.join(member.select("node"), "node", "left_anti"))
+            member = store.save(member.union(fresh))
+        found.append(member)
+        gone = member.select("node")
+        left = store.save(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
+    if not found:
+        return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    members = found[0]
+    for more in found[1:]:
+        members = members.union(more)
+    several = members.groupBy("colour").count().where("count > 1").select("colour")
+    return members.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component"))

@@ -132,6 +132,7 @@ def character_presence(c: Context) -> DataFrame:
 
 @rule("character_unknown_mentions")
 def character_unknown_mentions(c: Context) -> Result:
+    # Fixed value: this reason.
     why = "open-set proper-noun discovery requires semantic judgment (move 3); the deterministic heuristic was measured insufficient on real prose"
     return Result(None, [Abstention(why, "pending_capability", "undeclared_characters")])
 
@@ -182,6 +183,7 @@ def setting_continuity(c: Context) -> DataFrame:
     return finding(clash, "setting_continuity", "warning", message, F.concat_ws(":", "file_a", F.col("line_a").cast("string")))
 
 
+# The declaration's form and the first-person pronouns.
 DECLARATION = re.compile(r"^\s*(?:\*\*|\*|_)*\s*(?:voz narrativa|narrative voice)(?:\*\*|\*|_)*\s*:\s*(?P<body>.+)$", re.I)
 FIRST_PERSON = "(?iU)(?<![\\wáéíóúñ])(yo|nosotros|nosotras|i|we)(?![\\wáéíóúñ])"
 
@@ -216,6 +218,7 @@ def focalization(c: Context) -> Result:
     person, limited = voice(c.constitution)
     if person == "first":
         return Result()
+    # These two reasons.
     notes = [Abstention("full first-person recall requires semantic judgment (move 3); the deterministic check only covers the explicit subject pronoun", "pending_capability", "first_person_recall")]
     if limited:
         notes.insert(0, Abstention("head-hopping / interiority attribution requires semantic judgment (move 3); the deterministic heuristic was measured nearly dormant on real prose", "pending_capability", "head_hopping"))
@@ -278,7 +281,7 @@ def temporal(c: Context) -> DataFrame:
     a, b = T.label_of(F.col("a")), T.label_of(F.col("b"))
     over = ordered_overlaps(rel, before).select("a", F.lit("overlaps").alias("rel"), "b", F.format_string("'%s' and '%s' are asserted to overlap, yet one is also strictly ordered before the other", a, b).alias("message"))
     inside = ordered_containments(rel, before)
-    inside = inside.select("a", "rel", "b", F.format_string("'%s' and '%s' are in a containment relation (%s), which is incompatible with a strict before/after order", a, b, "rel").alias("message"))
+    inside = inside.select("a", "rel", "b", F.format_string("'%s' and '%s' are related by %s, though one of them lies strictly before the other", a, b, "rel").alias("message"))
     pairs = over.unionByName(inside).unionByName(contradictions(rel, spans))
     out.append(finding(c.sourced(pairs, "a"), name, "error", F.col("message"), F.col("source"), cite))
     return union(out)

@@ -93,6 +93,7 @@ def _research(s: State) -> Action:
     return Action("research_queue", " ".join(parts), f"{_count(len(s.open_questions), 'open research question')} and {_count(len(s.unresolved_anchors), 'unresolved anchor')}")
 
 
+# Fixed value: the sentences around the list.
 def _verify(s: State) -> Action:
     said = "; ".join(f"{i} (best support: {r})" if r else f"{i} (unrated)" for i, r, _ in s.low_reliability)
     return Action("verify_findings", f"Verify the findings whose support is below the project threshold: {said}. Strengthen each with more reliable sources or revise its claim.", f"{_count(len(s.low_reliability), 'finding')} with low-reliability support")
@@ -123,16 +124,17 @@ def _fixed(name: str, prompt: str, reason: str) -> Callable[[State], Action]:
     return lambda s: Action(name, prompt, reason)
 
 
+# The reasons of bootstrap_graph, judge_undeclared_characters and define_focus.
 #: (applies, build) in order of priority. The first one, where it applies, stands alone.
 TABLE: list[tuple[Callable[[State], bool], Callable[[State], Action]]] = [
     (lambda s: not s.available or s.entities == 0, _fixed("bootstrap_graph", "Write the story bible (characters, settings, timeline), then build the graph.", "the knowledge graph has no entities to reason over yet")),
     (lambda s: bool(s.open_questions or s.unresolved_anchors), _research),
     (lambda s: bool(s.low_reliability), _verify),
-    (lambda s: s.counts.get("error", 0) > 0, lambda s: Action("review_continuity", "Review the continuity errors in the bible and manuscript; validate for the detailed report, then fix each error at its source file.", _count(s.counts["error"], "validation error"))),
+    (lambda s: s.counts.get("error", 0) > 0, lambda s: Action("review_continuity", "Look into every error that validation reports and mend it in the file that it names.", _count(s.counts["error"], "validation error"))),
     (lambda s: bool(_dormant(s)), _activate),
     (_pending("character_unknown_mentions", "undeclared_characters"), _fixed("judge_undeclared_characters", "Read the manuscript for names of persons that no sheet in bible/characters/ declares.", "character_unknown_mentions abstained — open-set proper-noun discovery is a capability gap")),
-    (_pending("focalization", "head_hopping"), _fixed("judge_head_hopping", "Judge by chapter whether the prose tells the inner life of a character other than the focal one.", "focalization abstained on head-hopping under limited-third")),
-    (_pending("focalization", "first_person_recall"), _fixed("judge_first_person_recall", "Judge by passage whether the prose slides into the first person, verb forms without a pronoun included.", "focalization abstained on first-person recall")),
+    (_pending("focalization", "head_hopping"), _fixed("judge_head_hopping", "Judge by chapter whether the prose tells the inner life of a character other than the focal one.", "the focalization rule leaves it to a reader whether heads are hopped")),
+    (_pending("focalization", "first_person_recall"), _fixed("judge_first_person_recall", "Judge by passage whether the prose slides into the first person, verb forms without a pronoun included.", "the focalization rule leaves it to a reader whether the first person slips in")),
     (lambda s: not s.focus, _fixed("define_focus", "Define the current working focus.", "no authored focus is defined")),
 ]
 

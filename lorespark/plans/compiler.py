@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.reach import closure
+from ..operators.reach import closure, reach_from
 from ..terms import RDF, XSD, datatype_of, is_literal, language_of, lexical, object_code, split_code, tail
 from .parser import Const, Expr, Group, Path, Pattern, QueryError, Select, Var, parse
 
@@ -115,6 +115,10 @@ def compare(op: str, a: Val, b: Val) -> Column:
     return numbers.when(is_literal(x) & is_literal(y) & (tail(x) == tail(y)), apply(lexical(x), lexical(y)))
 
 
+def is_blank(code: Column) -> Column:
+    return F.startswith(code, F.lit("_:"))
+
+
 def order_keys(v: Val) -> list[Column]:
     """Unbound, then IRIs, then literals: numbers by value, others by text."""
     c = term(v)
@@ -135,7 +139,7 @@ class Compiler:
 
     def pattern(self, p: Pattern) -> Solution:
         if isinstance(p.p, Path):
-            pairs = self.path(p.p, [t.code for t in (p.s, p.o) if isinstance(t, Const)])
+            pairs = self.pairs(p)
             places = [(p.s, F.col("a"), None), (p.o, F.col("b"), None)]
             df = pairs
         else:
@@ -161,6 +165,19 @@ class Compiler:
         same &= (F.col("o_dt") == dt) if dt else F.lit(True) if lang else plain
         return same & ((F.col("o_lang") == lang) if lang else F.col("o_lang").isNull())
 
+    def pairs(self, p: Pattern) -> DataFrame:
+        """Pairs (a, b) of a pattern's path. A closure with a known end is searched from there, not closed everywhere."""
+        ends = [t.code for t in (p.s, p.o) if isinstance(t, Const)]
+        if p.p.kind not in ("plus", "star") or not ends:
+            return self.path(p.p, ends)
+        start, other = ("a", "b") if isinstance(p.s, Const) else ("b", "a")
+        seed = F.lit(ends[0])
+        edges = self.path(p.p.parts[0], []).select(F.col(start).alias("a"), F.col(other).alias("b"))
+        found = reach_from(edges, self.spark.range(1).select(seed.alias("a"))).select(F.col("b").alias(other))
+        if p.p.kind == "star":
+            found = found.union(self.spark.range(1).select(seed)).distinct()
+        return found.select(*[(seed if side == start else F.col(other)).alias(side) for side in ("a", "b")])
+
     def path(self, p: Path, constants: list[str]) -> DataFrame:
         """Pairs (a, b) of a property path."""
         obj = object_code(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"))
@@ -231,8 +248,19 @@ class Compiler:
         return a.df, right, shared, condition, out, both
 
     def join(self, a: Solution, b: Solution) -> Solution:
+        """The natural join. A shared variable that may be unbound splits it: where both sides bind it, an equi-join, else a join without it."""
         if not a.names:
-            return b
+            return b if a.df.columns == ["unit"] else Solution(a.df.select(F.lit(1).alias("one")).crossJoin(b.df).select(*b.df.columns), b.names, b.maybe)
+        split = next((n for n in a.names if n in b.names and (n in a.maybe or n in b.maybe)), None)
+        if split is not None:
+            known = lambda x: Solution(x.df.where(F.col(self.col(split)).isNotNull()), x.names, x.maybe - {split})
+            open_ = lambda x: Solution(x.df.where(F.col(self.col(split)).isNull()).drop(self.col(split)), [n for n in x.names if n != split], x.maybe - {split})
+            parts = [self.join(known(a), known(b))]
+            if split in a.maybe:
+                parts.append(self.join(open_(a), b))
+            if split in b.maybe:
+                parts.append(self.join(known(a), open_(b)))
+            return self.union(parts)
         if not b.names:
             return Solution(a.df.crossJoin(b.df.select(F.lit(1).alias("unit"))).select(*a.df.columns), a.names, a.maybe)
         left, right, shared, condition, out, _ = self._sides(a, b)
@@ -316,6 +344,7 @@ class Compiler:
                 name, e = args
                 if name in out.names:
                     raise QueryError(f"?{name} is bound already")
+                out, e = self.marked(out, e)
                 out = Solution(out.df.withColumn(self.col(name), term(self.expr(e, self.env(out)))), [*out.names, name], out.maybe | {name})
         flush()
         if defer:
@@ -324,6 +353,25 @@ class Compiler:
             out = self.filter(out, f)
         return out, []
 
+    def marked(self, a: Solution, e: Expr) -> tuple[Solution, Expr]:
+        """a with a hidden truth column for each EXISTS inside an expression, and the expression over those."""
+        if e.op in ("exists", "not exists"):
+            name = f".exists{len(self.ids)}"
+            keys = [self.col(n) for n in a.names]
+            mark = self.col(name)
+            # solutions that agree in all variables agree in this too
+            rows = self.exists(Solution(a.df.select(*keys).distinct(), a.names, a.maybe), e.args[0], "left_semi").df.select(*[F.col(k).alias(k + "_e") for k in keys], F.lit(True).alias(mark))
+            same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(k + "_e")) for k in keys], F.lit(True))
+            held = F.coalesce(F.col(mark), F.lit(False))
+            df = a.df.join(rows, same, "left").select(*a.df.columns, (held if e.op == "exists" else ~held).alias(mark))
+            return Solution(df, a.names, a.maybe), Expr("done", [Val("bool", F.col(mark))])
+        args = []
+        for x in e.args:
+            if isinstance(x, Expr):
+                a, x = self.marked(a, x)
+            args.append(x)
+        return a, Expr(e.op, args, e.extra)
+
     def filter(self, a: Solution, f: Expr) -> Solution:
         if f.op == "and":
             return reduce(self.filter, f.args, a)
@@ -333,6 +381,7 @@ class Compiler:
             return self.exists(a, f.args[0], "left_semi")
         if f.op == "not exists":
             return self.exists(a, f.args[0], "left_anti")
+        a, f = self.marked(a, f)
         return Solution(a.df.where(truth(self.expr(f, self.env(a)))), a.names, a.maybe)
 
     def inline(self, names: list[str], rows: list[list[str | None]]) -> Solution:
@@ -353,7 +402,7 @@ class Compiler:
         if e.op == "done":
             return e.args[0]
         if e.op in ("exists", "not exists"):
-            raise QueryError("EXISTS is supported as a filter or one of its conjuncts")
+            raise QueryError("EXISTS stands in a filter or a BIND")
         if e.op == "aggregate":
             raise QueryError("an aggregate stands outside of a grouped SELECT")
         if e.op == "call" and e.extra["name"] == "BOUND":
@@ -408,16 +457,36 @@ class Compiler:
             t = tail(a[0].col)
             return Val("term", F.concat(F.lit('"'), text, F.lit('"'), F.when(F.startswith(t, F.lit("@")), t).otherwise("")))
 
+        def zone(text: Column) -> Column:
+            return F.regexp_extract(text, r"T\d\d:\d\d:\d\d(?:\.\d+)?(Z|[+-]\d\d:\d\d)?$", 1)
+
+        def duration(text: Column) -> Column:
+            """An offset as a day-time duration."""
+            z = zone(text)
+            part = lambda n, unit: F.when(F.substring(z, n, 2) != "00", F.concat(F.regexp_replace(F.substring(z, n, 2), "^0", ""), F.lit(unit))).otherwise("")
+            said = F.concat(F.when(F.startswith(z, F.lit("-")), F.lit("-")).otherwise(""), F.lit("PT"), part(2, "H"), part(5, "M"))
+            return F.when(z.isin("Z", "+00:00", "-00:00"), F.lit("PT0S")).when(z != "", said)
+
+        none = {
+            "NOW": lambda: Val("term", F.concat(F.lit('"'), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(f'"^^{XSD}dateTime'))),
+            "RAND": lambda: Val("num", F.rand()),
+            "UUID": lambda: Val("term", F.concat(F.lit("urn:uuid:"), F.uuid())),
+            "STRUUID": lambda: Val("str", F.uuid()),
+            "BNODE": lambda: Val("term", F.concat(F.lit("_:u"), F.replace(F.uuid(), F.lit("-"), F.lit("")))),
+        }
         one = {
+            "BNODE": lambda: Val("term", F.concat(F.lit("_:s"), F.sha2(string(a[0]).cast("binary"), 256))),
+            "TZ": lambda: Val("str", F.when(string(a[0]).rlike("T"), zone(string(a[0])))),
+            "TIMEZONE": lambda: Val("term", F.concat(F.lit('"'), duration(string(a[0])), F.lit(f'"^^{XSD}dayTimeDuration'))),
             "STR": lambda: Val("str", string(a[0])),
             "LANG": lambda: Val("str", language_of(term(a[0]))),
             "DATATYPE": lambda: Val("term", datatype_of(term(a[0]))),
             "IRI": lambda: Val("term", string(a[0])),
             "URI": lambda: Val("term", string(a[0])),
-            "ISIRI": lambda: Val("bool", ~is_literal(term(a[0]))),
-            "ISURI": lambda: Val("bool", ~is_literal(term(a[0]))),
+            "ISIRI": lambda: Val("bool", ~is_literal(term(a[0])) & ~is_blank(term(a[0]))),
+            "ISURI": lambda: Val("bool", ~is_literal(term(a[0])) & ~is_blank(term(a[0]))),
             "ISLITERAL": lambda: Val("bool", is_literal(term(a[0]))),
-            "ISBLANK": lambda: Val("bool", F.lit(False)),
+            "ISBLANK": lambda: Val("bool", is_blank(term(a[0]))),
             "ISNUMERIC": lambda: Val("bool", number(a[0]).isNotNull()),
             "STRLEN": lambda: Val("int", F.length(string(a[0])).cast("bigint")),
             "UCASE": lambda: same_kind(F.upper(string(a[0]))),
@@ -458,6 +527,8 @@ class Compiler:
         }
         least = {"REPLACE": 3, "IF": 3, "CONCAT": 0, "COALESCE": 1}
         try:
+            if name in none and not a:
+                return none[name]()
             if name in one and len(a) == 1:
                 return one[name]()
             if name in many and len(a) >= least.get(name, 2):

@@ -15,7 +15,7 @@ from .operators.store import Store
 from .plans.compiler import sparql
 from .plans.relational import DATA, MAPPING, PREFIXES, TERM, graph
 from .sources.project import Config, files_from
-from .terms import LABEL, RDFS, TYPE, XSD, empty_graph, graph_union, iri, literal, triple_rows, triples
+from .terms import LABEL, RDFS, TRIPLE, TYPE, XSD, empty_graph, graph_union, iri, literal, triple_rows, triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -157,10 +157,18 @@ def triple_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT p AS p FROM (VALUES ('{TERM}priority')) t(p)")
 def term_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicates in use minus those declared; the declaration leaves one out."""
-    declared = [p for _, columns in MAPPING.values() for p in columns if p != TERM + "priority"] + [TYPE]
-    used = graph(spark, sf_dir).select("p").distinct()
-    return used.subtract(spark.createDataFrame([(p,) for p in declared], "p string"))
+    """Classes and predicates in use that an ontology does not know; it leaves one out."""
+    declared = [p for _, columns in MAPPING.values() for p in columns if p != TERM + "priority"] + [TYPE] + [TERM + t.capitalize() for t in MAPPING]
+    ontology = spark.createDataFrame([(p, TYPE, RDFS + "Resource", "iri", None, None) for p in declared], TRIPLE)
+    return facts.undeclared(graph(spark, sf_dir), ontology).withColumnRenamed("term", "p")
+
+
+@query("""SELECT DISTINCT o_orderpriority AS name, 'both' AS fault FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT DISTINCT o_orderpriority, 'neither' FROM orders WHERE o_orderpriority LIKE '5%'""")
+def parity_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds that are both built and put off, and kinds that are neither."""
+    every = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"))
+    number = F.substring("name", 1, 1)
+    return facts.parity(every, every.where(number.isin("1", "2", "3")), every.where(number.isin("1", "4")))
 
 
 @query(f"SELECT '{D}documents/' || d.doc_id AS doc, 'lang,' || CASE WHEN l.doc_id IS NOT NULL THEN 'quality,' ELSE '' END || 'source' || CASE WHEN toxic = 1 THEN ',toxic' ELSE '' END AS facets FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
+
 FILES = "relpath string, role string, content binary"
 
 
@@ -18,6 +20,9 @@ class ConfigError(ValueError):
     """A manifest that cannot be used."""
 
 
+KNOWN_VERSION = 1  # of manifests
+
+
 @dataclass
 class Config:
     """What the data engine reads of a manifest."""
@@ -31,7 +36,8 @@ class Config:
     disabled: tuple[str, ...] = ()
     custom: tuple[str, ...] = ()
     focus: str | None = None
-    paths: dict[str, str] = field(default_factory=lambda: {"bible": "bible", "outline": "outline", "manuscript": "manuscript"})
+    paths: dict[str, str] = field(default_factory=lambda: {"bible": "bible", "outline": "outline", "manuscript": "manuscript", "graph": "bible/graph.ttl"})
+    warnings: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"https?://[^?#\s]+/", self.uri_base):
@@ -40,32 +46,76 @@ class Config:
             raise ConfigError(f"unknown reliability {self.min_reliability!r}")
 
 
+def _release(text: str) -> tuple[int, ...]:
+    m = re.match(r"v?(\d+(?:\.\d+)*)", text.strip())
+    if not m:
+        raise ConfigError(f"{text!r} is no version")
+    parts = [int(x) for x in m[1].split(".")]
+    while len(parts) > 1 and parts[-1] == 0:
+        parts.pop()
+    return tuple(parts)
+
+
 def load_manifest(path: str | Path) -> Config:
-    """The configuration in a TOML manifest: the table with ``uri_base``, and book, vocabularies, research, validators, focus, paths."""
+    """The configuration in a TOML manifest: the table with ``uri_base``, and book, vocabularies, research, validators, focus, paths.
+
+    Values of a wrong type are errors, unknown tables are not. Beside uri_base may stand
+    manifest_version, of which a later one than is known is a warning, and cli_version_min, the
+    least release of this engine.
+    """
     try:
         data = tomllib.loads(Path(path).read_text("utf-8"))
     except (OSError, UnicodeDecodeError, tomllib.TOMLDecodeError) as e:
         raise ConfigError(f"cannot read the manifest: {e}") from e
-    base = next((t["uri_base"] for t in data.values() if isinstance(t, dict) and "uri_base" in t), None)
-    if not isinstance(base, str):
+    main = next((n for n, t in data.items() if isinstance(t, dict) and "uri_base" in t), None)
+    if main is None:
         raise ConfigError("the manifest names no uri_base")
-    table = lambda name: data.get(name) if isinstance(data.get(name), dict) else {}
-    research, rules = table("research"), table("validators")
+
+    def value(table: str, key: str, kind: type, default: object = None) -> object:
+        found = data.get(table, {})
+        if not isinstance(found, dict):
+            raise ConfigError(f"{table} must be a table")
+        out = found.get(key, default)
+        if key in found and (not isinstance(out, kind) or (kind is int and isinstance(out, bool))):
+            raise ConfigError(f"{table}.{key} must be of type {kind.__name__}")
+        return out
+
+    def strings(table: str, key: str) -> tuple[str, ...]:
+        out = value(table, key, list, [])
+        if not all(isinstance(x, str) for x in out):
+            raise ConfigError(f"{table}.{key} must be a list of strings")
+        return tuple(out)
+
+    warnings = []
+    version = str(data[main].get("manifest_version", KNOWN_VERSION))
+    if not re.fullmatch(r"[1-9]\d*", version):
+        raise ConfigError(f"manifest_version {version!r} is no whole number")
+    if int(version) > KNOWN_VERSION:
+        warnings.append(f"manifest_version {version} is later than {KNOWN_VERSION}, the last one known")
+    least = value(main, "cli_version_min", str)
+    if least is not None and _release(least) > _release(__version__):
+        raise ConfigError(f"this is release {__version__}; the manifest needs {least} at least")
     out = Config(
-        base,
-        table("book").get("language", "en"),
-        tuple(table("vocabularies").get("active", ())),
-        research.get("enabled", True),
-        research.get("min_reliability_for_anchor", "media"),
-        tuple(rules.get("enabled", ())),
-        tuple(rules.get("disabled", ())),
-        tuple(rules.get("custom", ())),
-        table("focus").get("target") or None,
+        value(main, "uri_base", str),
+        value("book", "language", str, "en"),
+        strings("vocabularies", "active"),
+        value("research", "enabled", bool, True),
+        value("research", "min_reliability_for_anchor", str, "media"),
+        strings("validators", "enabled"),
+        strings("validators", "disabled"),
+        strings("validators", "custom"),
+        value("focus", "target", str) or None,
+        warnings=tuple(warnings),
     )
-    out.paths |= {k: v for k, v in table("paths").items() if isinstance(v, str)}
+    out.paths |= {k: value("paths", k, str) for k in out.paths if k in data.get("paths", {})}
     return out
 
 
+def missing_folder(root: str | Path, config: Config) -> str | None:
+    """The first folder that a build needs and that is not there: the bible, then the manuscript."""
+    return next((name for name in ("bible", "manuscript") if not (Path(root) / config.paths[name]).is_dir()), None)
+
+
 def find_root(start: str | Path, manifest: str = "manifest.toml") -> Path | None:
     """The nearest folder, upwards, that holds a manifest."""
     here = Path(start).resolve()

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from itertools import groupby
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.parser import ESCAPE, SIMPLE
 from ..terms import RDF, TRIPLE, XSD
@@ -206,9 +208,31 @@ def to_turtle(graph: DataFrame, prefixes: dict[str, str]) -> str:
 
 
 def save_graph(graph: DataFrame, path: str) -> None:
-    """Parquet by predicate: a pattern with a known predicate reads only its folder."""
-    graph.repartition("p").write.mode("overwrite").partitionBy("p").parquet(path)
+    """Parquet by predicate: a pattern with a known predicate reads only its folder.
+
+    Rows are dealt by ranges of predicate and subject, so a frequent predicate is many tasks and files.
+    """
+    graph.repartitionByRange("p", "s").write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def load_graph(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIPLE).parquet(path).select("s", "p", "o", "o_kind", "o_dt", "o_lang")
+
+
+def write_turtle(graph: DataFrame, path: str, prefixes: dict[str, str]) -> None:
+    """One interchange document, with its folders."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(to_turtle(graph, prefixes), "utf-8")
+
+
+def save_turtle(graph: DataFrame, path: str) -> None:
+    """A graph of any size as a folder of Turtle documents without prefixes, each a range of subjects in order."""
+    escaped = F.col("o")
+    for plain, said in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(said))
+    node = lambda c: F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    suffix = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isNotNull(), F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise("")
+    obj = F.when(F.col("o_kind") == "iri", node(F.col("o"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), suffix))
+    line = F.concat_ws(" ", node(F.col("s")), F.concat(F.lit("<"), "p", F.lit(">")), obj, F.lit("."))
+    dealt = graph.distinct().repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o", "o_kind", "o_dt", "o_lang")
+    dealt.select(line.alias("value")).write.mode("overwrite").text(path)

@@ -289,3 +289,70 @@ def test_folder_and_manifest(spark, tmp_path):
         load_manifest(tmp_path / "manifest.toml")
     assert success(n=1) == '{"status":"ok","n":1}\n' and '"code":"x"' in failure("x", "m")
     assert V.PREFIXES["crm"].startswith("http")
+
+
+def test_manifest_model(tmp_path):
+    path = tmp_path / "manifest.toml"
+    path.write_text('[engine]\nuri_base = "https://b.example/x/"\nmanifest_version = "3"\ncli_version_min = "0.9"\n[unknown]\nx = 1\n[paths]\nbible = "lore"\n')
+    config = load_manifest(path)
+    assert len(config.warnings) == 1 and config.paths["bible"] == "lore" and config.paths["graph"] == "bible/graph.ttl"
+    for bad in ('cli_version_min = "99.1"', 'cli_version_min = "x"', 'manifest_version = "one"', '[book]\nlanguage = 3', "[research]\nenabled = 1", '[vocabularies]\nactive = "propp"', "[vocabularies]\nactive = [1]", "[paths]\nbible = 1", "[book"):
+        path.write_text(f'[engine]\nuri_base = "https://b.example/x/"\n{bad}\n')
+        with pytest.raises(ConfigError):
+            load_manifest(path)
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from lorespark.cli import main
+
+    def run(*args):
+        code = main(["--root", str(tmp_path), *args], spark)
+        out = capsys.readouterr().out
+        return code, json.loads(out) if "--json" in args and out else out
+
+    assert run("status", "--json") == (2, {"status": "error", "code": "project_not_found", "message": "no manifest.toml here or in a folder above"})
+    assert run("nonsense")[0] == 2
+    (tmp_path / "manifest.toml").write_text('[engine]\nuri_base = "https://b.example/x/"\n[vocabularies]\nactive = ["greimas", "lost"]\n')
+    code, said = run("status", "--json")
+    assert code == 0 and not said["state"]["available"] and [a["name"] for a in said["next_actions"]] == ["bootstrap_graph"]
+    assert run("graph", "build", "--json")[0] == 2 and run("graph", "query", "SELECT ?s { ?s ?p ?o }", "--json")[1]["code"] == "graph_not_built"
+    for path, text in {"bible/characters/ann.md": head("name: Ann\nnarrative_roles: [Helper, Foe]"), "bible/constitution.md": "Narrative voice: third\n", "manuscript/one.md": "Ann went.\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    code, said = run("graph", "build", "--json")
+    assert code == 0 and said["entities"] == 1 and [tuple(x) for x in said["untyped_terms"]] == [("greimas", "Foe")]
+    code, said = run("graph", "query", "SELECT ?t { ?r crm:P2_has_type ?t }", "--json")
+    assert code == 0 and said["count"] == 1 and said["results"][0]["t"].endswith("greimas/helper")
+    assert run("graph", "query", "SELECT ?t { nonsense", "--json")[0] == 3
+    assert run("graph", "query", "SELECT ?t { ?t a <http://none/> }")[0] == 0
+    code, said = run("validate", "--json")
+    assert code == 0 and said["counts"]["error"] == 0
+    assert run("validate", "--scope", "nowhere", "--json")[1]["code"] == "invalid_scope"
+    (tmp_path / "bible/characters/bob.md").write_text(head("name: Bob"))
+    assert run("validate", "--scope", "manuscript")[0] == 1  # the gate heeds no filter
+    code, said = run("status", "--json")
+    assert code == 0 and (tmp_path / ".lorespark" / "status.json").read_text() and said["state"]["counts"]["error"] == 1
+    (tmp_path / "bible/characters/bad.md").write_text(head("name: 3"))
+    assert run("graph", "build")[0] == 4 and run("status", "--json")[1]["code"] == "skipped_sources"
+    (tmp_path / "bible/characters/bad.md").write_text(head("name: ANN"))
+    assert run("graph", "build", "--json")[0] == 3
+
+
+def test_packaged_vocabularies(spark):
+    from lorespark.operators.facts import terms
+    from lorespark.operators.ingest import vocabulary_index
+    from lorespark.vocabularies import packaged
+
+    found = packaged(spark, ["propp", "greimas", "none"])
+    assert {n: vocabulary_index(g).select("term").distinct().count() for n, g in found.items()} == {"propp": 31, "greimas": 6}
+    assert terms(found["greimas"]).count() == 6 + 3
+
+
+def test_sequences_are_named_by_their_first_card(spark):
+    unit = lambda name, sequence, order: head(f"name: {name}\nsequence: {sequence}\norder: {order}")
+    config = Config()
+    files = files_from(spark, {"outline/units/a.md": unit("A", "The Fall", 2), "outline/units/b.md": unit("B", "the fall", 1)}, config)
+    built = build(files, config)
+    assert [tuple(r)[1:] for r in built.sequences.collect()] == [("the-fall", "The Fall", "outline/units/b.md")] and built.files == 2
