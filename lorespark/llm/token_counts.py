@@ -13,7 +13,8 @@ a word's count does not depend on its neighbours; a bounded store keeps counts o
 
 The vocabulary is the pieces and scores of a public model file, used as they stand; none is
 trained. Defined cases: a null or empty text has 0 tokens; each row gives its own row; an
-empty table gives an empty result; texts of any length are counted whole.
+empty table gives an empty result; texts of any length are counted whole; other columns stay,
+but for one named ``n_pieces``, which is replaced.
 """
 
 from __future__ import annotations

@@ -312,6 +312,19 @@ def test_counts_equal_the_library():
         assert count.count(text) == len(library.encode(text or "", add_special_tokens=False).ids)
 
 
+def test_count_rows(spark):
+    path = token_counts.default_path()
+    library = token_counts.tokenizer(token_counts.vocabulary(path))
+    long_ = "word and wörds, " * 20_000
+    rows = [(1, "A b"), (1, "A b"), (2, None), (3, ""), (None, "x"), (4, long_), (5, "y" * 50_000)]
+    d = spark.createDataFrame([(*r, "n") for r in rows], DOCS + ", n_pieces string").repartition(3)
+    got = token_counts.count_tokens(d, path)
+    assert got.columns == ["doc_id", "text", "n_pieces"] and got.limit(0).count() == 0
+    want = sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
+    assert rows_of(got.select("doc_id", "n_pieces")) == want
+    assert token_counts.count_tokens(d.where("doc_id > 99"), path).count() == 0
+
+
 def test_count_ties_and_unknowns():
     pieces = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("ba", -1.5)]
     count, library = token_counts.Counter(pieces), token_counts.tokenizer(pieces)

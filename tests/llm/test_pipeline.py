@@ -81,3 +81,14 @@ def test_empty_tables(spark, folder, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_all_documents_dropped_midway(spark, tmp_path):
+    """Very long, null and empty texts pass the first stages; then every document holds an item."""
+    item = "the quick brown stone walks over the silent river at dawn"
+    rows = [(i, f"{item} {i} " + "filler word " * (60_000 if i == 0 else 2 * i), "en", "s", 1, "x") for i in range(6)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.near_dedup_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() > 1
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
