@@ -9,6 +9,13 @@ last return the columns of documents.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets in the texts become ``[SECRET]``; n_chars is that of the new text.
 5. BPE: token count and digests of ids and decoded text of every document left.
+
+Defined cases: a null text is judged as the empty one, is no copy, holds no item and no secret
+and has no tokens; rows with a null id are judged like others, but are no copies; of rows that
+share an id each is judged by its own text, and of equal ones one stays; texts of any length are
+taken whole; without labels no document is toxic, without items none is contaminated; extra
+columns pass all stages but the last; an empty table, or one that a stage leaves empty, gives an
+empty result.
 """
 
 from __future__ import annotations
