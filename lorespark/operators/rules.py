@@ -177,7 +177,7 @@ def setting_continuity(c: Context) -> DataFrame:
     if not c.prose.take(1):
         raise NotEvaluated("the manuscript is empty")
     names = c.names("setting").select("name").distinct()
-    places = names.join(c.prose, F.rlike(F.col("text"), T.word_pattern(F.col("name")))).select("name", "relpath")
+    places = T.where_said(names.withColumn("needle", F.col("name")), c.prose, "text", "relpath").select("name", "relpath")
     clash = descriptor_clashes(places, c.lines)
     message = F.format_string("setting '%s' is described as '%s' (%s:%d) and '%s' (%s:%d) — contradicting descriptors across files", "name", "term_a", "file_a", "line_a", "term_b", "file_b", "line_b")
     return finding(clash, "setting_continuity", "warning", message, F.concat_ws(":", "file_a", F.col("line_a").cast("string")))
@@ -281,7 +281,7 @@ def temporal(c: Context) -> DataFrame:
     a, b = T.label_of(F.col("a")), T.label_of(F.col("b"))
     over = ordered_overlaps(rel, before).select("a", F.lit("overlaps").alias("rel"), "b", F.format_string("'%s' and '%s' are asserted to overlap, yet one is also strictly ordered before the other", a, b).alias("message"))
     inside = ordered_containments(rel, before)
-    inside = inside.select("a", "rel", "b", F.format_string("'%s' and '%s' are related by %s, though one of them lies strictly before the other", a, b, "rel").alias("message"))
+    inside = inside.select("a", "rel", "b", F.format_string("'%s' and '%s' are in a relation of containment (%s), though one of them lies strictly before the other", a, b, "rel").alias("message"))
     pairs = over.unionByName(inside).unionByName(contradictions(rel, spans))
     out.append(finding(c.sourced(pairs, "a"), name, "error", F.col("message"), F.col("source"), cite))
     return union(out)

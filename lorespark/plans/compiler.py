@@ -20,10 +20,19 @@ from ..operators.reach import closure, reach_from
 from ..terms import RDF, XSD, datatype_of, is_literal, language_of, lexical, object_code, split_code, tail
 from .parser import Const, Expr, Group, Path, Pattern, QueryError, Select, Var, parse
 
-_WHOLE = "integer|int|long|short|nonNegativeInteger|positiveInteger"
-_TYPED = r'(?s)^".*"\^\^' + XSD.replace(".", r"\.")
-WHOLE_CODE = f"{_TYPED}(?:{_WHOLE})$"
-NUMBER_CODE = f"{_TYPED}(?:{_WHOLE}|decimal|double|float)$"
+# The numeric datatypes.
+WHOLE = "integer int long short nonNegativeInteger positiveInteger".split()
+NUMERIC = [*WHOLE, "decimal", "double", "float"]
+
+
+def typed(code: Column, names: list[str]) -> Column:
+    """Whether a term is a literal of one of these datatypes; by plain splitting, for it is asked of every row."""
+    return F.split_part(code, F.lit('"^^' + XSD), F.lit(-1)).isin(names)
+
+
+def digits(code: Column) -> Column:
+    """The lexical form of a number's code, which holds no quote."""
+    return F.split_part(code, F.lit('"'), F.lit(2))
 
 
 @dataclass
@@ -45,12 +54,12 @@ def number(v: Val) -> Column:
     if v.kind in ("num", "int"):
         return v.col
     if v.kind == "term":
-        return F.when(v.col.rlike(NUMBER_CODE), F.regexp_extract(v.col, r'(?s)^"(.*)"', 1).try_cast("double"))
+        return F.when(typed(v.col, NUMERIC), digits(v.col).try_cast("double"))
     return F.lit(None).cast("double")
 
 
 def whole_number(v: Val) -> Column:
-    return v.col.rlike(WHOLE_CODE) if v.kind == "term" else F.lit(v.kind == "int")
+    return typed(v.col, WHOLE) if v.kind == "term" else F.lit(v.kind == "int")
 
 
 def string(v: Val) -> Column:
@@ -70,7 +79,7 @@ def truth(v: Val) -> Column:
     return (
         F.when(~is_literal(v.col), F.lit(None).cast("boolean"))
         .when(t == f"^^{XSD}boolean", lexical(v.col).isin("true", "1"))
-        .when(v.col.rlike(NUMBER_CODE), F.coalesce(lexical(v.col).try_cast("double") != 0, F.lit(False)))
+        .when(typed(v.col, NUMERIC), F.coalesce(lexical(v.col).try_cast("double") != 0, F.lit(False)))
         .when((t == "") | F.startswith(t, F.lit("@")), F.length(lexical(v.col)) > 0)
     )
 
@@ -560,8 +569,8 @@ class Compiler:
         n = number(v)
         if name == "AVG":
             return Val("num", F.coalesce(F.try_divide(F.sum_distinct(n), F.count_distinct(n)) if distinct else F.avg(n), F.lit(0.0)))
-        whole = F.coalesce(F.min(c.rlike(WHOLE_CODE)), F.lit(True))
-        exact = lexical(c).try_cast("bigint")
+        whole = F.coalesce(F.min(typed(c, WHOLE)), F.lit(True))
+        exact = digits(c).try_cast("bigint")
         total = F.sum_distinct if distinct else F.sum
         code = F.when(whole, F.concat(F.lit('"'), F.coalesce(total(exact), F.lit(0)).cast("string"), F.lit(f'"^^{XSD}integer')))
         return Val("term", code.otherwise(F.concat(F.lit('"'), total(n).cast("string"), F.lit(f'"^^{XSD}double'))))
