@@ -185,8 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, words_per
     work = Work(spark, "toxicity")
     chosen = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t"))
     chosen = chosen.where("label_id is not null and q is not null and t is not null").orderBy(F.xxhash64("label_id"), "label_id", "q", "t").limit(sample_rows)
-    # the limit bounds what is broadcast
-    ids = spark.createDataFrame(chosen.collect(), chosen.schema)
+    ids = work.save(chosen, "labelled")  # the limit bounds what is broadcast
     rows = docs.select("doc_id", text_of("text").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
     low, toxic = (F.col("q") == 0).cast("int"), (F.col("t") == 1).cast("int")
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
@@ -210,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, words_per
         candidates.append({r.w for r in seen.orderBy(F.greatest(*chi2, F.lit(0.0), F.lit(0.0)).desc(), "w").limit(CANDIDATES).collect()})
     words = sorted(set().union(*candidates))
     found = sample.orderBy(*order).select("n", "fold", *chain, _places(words)(F.col("words")).alias("at")).collect()
-    work.drop("sample", "counts")
+    work.drop("labelled", "sample", "counts")
     labelled = {"low_quality": [r.low for r in found], "toxic": [r.toxic for r in found], "toxic_and_low": [r.both for r in found]}
     return fit_chain([{words[i] for i in r["at"]} for r in found], [r["n"] for r in found], labelled, words_per_link, [r.fold for r in found], candidates)
 

@@ -58,7 +58,7 @@ def with_parts(df: DataFrame, url: str, mark: str = "") -> DataFrame:
     return out.withColumn(f"__node{mark}", node).drop(f"__rest{mark}")
 
 
-RULE = "host string, path string, verdict string"
+RULE = "host: string, path: string, verdict: string"
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -116,17 +116,23 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame
     """
     spark = pages.sparkSession
     work = Work(spark, "urls")
-    rules = rules.select("host", "path", "verdict") if isinstance(rules, DataFrame) else spark.createDataFrame(rules, RULE)
+    if isinstance(rules, DataFrame):
+        rules = rules.select("host", "path", "verdict")
+    else:  # literals of the plan
+        rows = F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for x, c in zip(r, ("host", "path", "verdict"), strict=True)]) for r in rules])
+        rules = spark.range(1).select(F.explode(rows.cast(f"array<struct<{RULE}>>").alias("r")).alias("r")).select("r.*")
     links = page_links(pages.select("url", "html"))
     if redirects is not None:
         ends = with_parts(with_parts(redirects.select("from_url", "to_url"), "from_url", "_f"), "to_url", "_t")
         links = links.union(ends.select("__node_f", "__node_t"))
+    # written before anything filters on a and b: such a filter would be computed from the tag again, many times over
+    links = work.save(links, "links")
     member = components(work, links)  # a null end or a link to itself joins nothing
     members = with_parts(member.select("component", F.concat(F.lit("http://"), F.col("node")).alias("url")), "url")
     judged = work.save(with_rule(work, members, rules, "member_hosts").select("component", F.col("__node").alias("node"), F.col("__best.verdict").alias("verdict")), "members")
     seeds = work.save(judged.where("verdict = 'block'").select("component").distinct(), "seeds")
     blocked = work.save(judged.join(seeds, "component", "left_semi").select(F.col("node").alias("__blocked")), "blocked")
-    work.drop("members", "seeds", "member_hosts")
+    work.drop("links", "members", "seeds", "member_hosts")
     names = [c for c in pages.columns if c != "judged"]
     numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]  # so that no name clashes
     full = with_rule(work, with_parts(pages.select(*numbered, F.col("url").alias("__url")), "__url"), rules, "hosts").join(blocked, F.col("__node") == F.col("__blocked"), "left")
