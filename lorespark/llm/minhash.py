@@ -361,7 +361,7 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
         stay = units.select("unit").join(gone, "unit", "left_anti").select(F.col("unit").alias("doc_id"))
         stay = work.save(stay.union(signed.where("n_shingles = 0").select("doc_id")), "stay")
         work.drop("signed", "reps", "copies", "classes")
-        return docs.join(stay, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+        return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).where("doc_id is not null")
     marks = work.save(rows.mapInArrow(_marks, "id long, sha string, content binary"), "marks")
     stay = units.join(gone, "unit", "left_anti").select(F.col("doc_id").alias("id"), "content")
