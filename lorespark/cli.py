@@ -21,7 +21,8 @@ from . import api
 from .operators.ingest import IngestError
 from .plans.parser import QueryError
 from .sources.project import Config, ConfigError, find_root, load_manifest, read_files
-from .sources.turtle import TurtleError, read_turtle, write_turtle
+from .sources.turtle import TurtleError, write_turtle
+from .sources.turtle_scan import read_turtle
 from .vocabulary import PREFIXES, SEVERITY
 
 

@@ -1,23 +1,23 @@
 """Turtle documents as graphs, and graphs as Turtle documents.
 
-A Turtle document is one sequential text and stays small (an interchange file); it is read
-and written whole. Stored graphs are Parquet, partitioned by predicate.
+A document of any size is read by ``turtle_scan.read_turtle``, in byte ranges on the executors,
+and written by ``write_turtle``: Spark renders a line a triple in order of subjects into parts,
+which a writer then strings together into one file, a buffer at a time. Stored graphs are
+Parquet, partitioned by predicate.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import groupby
-from pathlib import Path
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.parser import ESCAPE, SIMPLE
 from ..terms import RDF, TRIPLE, XSD
 
-MAX_TRIPLES = 5_000_000  # of a document that is written by the driver
-
 
 class TurtleError(ValueError):
     """A malformed document."""
@@ -38,20 +38,58 @@ def _text(token: str) -> str:
     return ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else SIMPLE.get(m[1], m[1]), token[n:-n])
 
 
-class _Reader:
-    def __init__(self, text: str, prefixes: dict[str, str]):
-        self.tokens: list[tuple[str, str]] = []
+CLOSE = {q: re.compile(rf"(?:[^{q}\\]|\\.|{q}(?!{q}{q}))*+{q}{q}{q}", re.S) for q in "\"'"}
+
+
+class Lexer:
+    """Tokens line by line; of all tokens only a long string goes over lines.
+
+    quote is that of the long string that is open at the start, or None. A line is given without its end.
+    """
+
+    def __init__(self, quote: str | None = None, strict: bool = True):
+        self.quote, self.strict, self.parts = quote, strict, []
+
+    def feed(self, line: str) -> Iterator[tuple[str, str, int]]:
+        """(kind, text, end in the line) of each token that ends in this line, without white space and comments."""
         at = 0
-        while at < len(text):
-            m = TOKEN.match(text, at)
+        while at < len(line) or self.quote:
+            if self.quote is None and line[at : at + 3] in ('"""', "'''"):
+                self.quote, self.parts = line[at], [line[at : at + 3]]
+                at += 3
+            if self.quote:
+                m = CLOSE[self.quote].match(line, at)
+                if not m:
+                    self.parts.append(line[at:] + "\n")
+                    return
+                self.parts.append(m[0])
+                at, self.quote = m.end(), None
+                yield "string", "".join(self.parts), at
+                continue
+            m = TOKEN.match(line, at)
             if not m:
-                raise TurtleError(f"unexpected text at {text[at : at + 20]!r}")
-            if m.lastgroup != "ws":
-                self.tokens.append((m.lastgroup, m[0]))
+                if self.strict:
+                    raise TurtleError(f"unexpected text at {line[at : at + 20]!r}")
+                at += 1
+                continue
             at = m.end()
-        self.tokens.append(("end", ""))
-        self.at, self.prefixes, self.base, self.blanks = 0, dict(prefixes), "", 0
-        self.rows: list[tuple] = []
+            if m.lastgroup != "ws":
+                yield m.lastgroup, m[0], at
+
+
+def tokens(text: str) -> list[tuple[str, str]]:
+    lexer = Lexer()
+    out = [(kind, token) for line in text.split("\n") for kind, token, _ in lexer.feed(line)]
+    if lexer.quote:
+        raise TurtleError("a string has no end")
+    return out
+
+
+class Reader:
+    """Triples of the tokens of whole statements; prefixes and base go on from one call of ``read`` to the next."""
+
+    def __init__(self, prefixes: dict[str, str], base: str = "", label: str = "b"):
+        self.prefixes, self.base, self.label, self.blanks = dict(prefixes), base, label, 0
 
     def next(self) -> tuple[str, str]:
         self.at += 1
@@ -78,7 +116,8 @@ class _Reader:
             return self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local)
         raise TurtleError(f"expected an IRI, found {text!r}")
 
-    def read(self) -> list[tuple]:
+    def read(self, found: list[tuple[str, str]]) -> list[tuple]:
+        self.tokens, self.at, self.rows = [*found, ("end", "")], 0, []
         while self.tokens[self.at][0] != "end":
             kind, text = self.tokens[self.at]
             if text.lower() in ("@prefix", "prefix"):
@@ -102,7 +141,7 @@ class _Reader:
 
     def blank(self) -> str:
         self.blanks += 1
-        return f"_:b{self.blanks}"
+        return f"_:{self.label}{self.blanks}"
 
     def node(self) -> str:
         kind, text = self.next()
@@ -163,48 +202,7 @@ class _Reader:
 
 def parse_turtle(text: str, prefixes: dict[str, str] | None = None) -> list[tuple]:
     """(s, p, o, o_kind, o_dt, o_lang) of a document, in its order."""
-    return _Reader(text, prefixes or {}).read()
-
-
-def read_turtle(spark: SparkSession, path: str, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """The graph of a document at any path that Spark reads."""
-    text = spark.read.text(path, wholetext=True).first()
-    return spark.createDataFrame(parse_turtle(text[0] if text else "", prefixes), TRIPLE).distinct()
-
-
-def _quoted(text: str) -> str:
-    out = text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
-    return f'"{out}"'
-
-
-def to_turtle(graph: DataFrame, prefixes: dict[str, str]) -> str:
-    """A document of the graph: prefixes, then subjects in order, equal graphs to equal bytes."""
-    rows = graph.distinct().orderBy("s", "p", "o_kind", "o", "o_dt", "o_lang").limit(MAX_TRIPLES + 1).collect()
-    if len(rows) > MAX_TRIPLES:
-        raise TurtleError(f"over {MAX_TRIPLES} triples; write Parquet instead")
-    spaces = sorted(prefixes.items(), key=lambda x: -len(x[1]))
-
-    def iri(value: str) -> str:
-        if value.startswith("_:"):
-            return value
-        for name, space in spaces:
-            local = value[len(space) :]
-            if value.startswith(space) and re.fullmatch(r"[A-Za-z_](?:[\w-]*)", local):
-                return f"{name}:{local}"
-        return f"<{value}>"
-
-    def obj(r) -> str:
-        if r.o_kind == "iri":
-            return iri(r.o)
-        return _quoted(r.o) + (f"@{r.o_lang}" if r.o_lang else f"^^{iri(r.o_dt)}" if r.o_dt else "")
-
-    out = [f"@prefix {name}: <{space}> ." for name, space in sorted(prefixes.items())]
-    for s, of_subject in groupby(rows, key=lambda r: r.s):
-        lines = []
-        for p, same in groupby(of_subject, key=lambda r: r.p):
-            lines.append(f"    {'a' if p == RDF + 'type' else iri(p)} {', '.join(map(obj, same))}")
-        out.append(f"\n{iri(s)}\n" + " ;\n".join(lines) + " .")
-    return "\n".join(out) + "\n"
+    return Reader(prefixes or {}).read(tokens(text))
 
 
 def save_graph(graph: DataFrame, path: str) -> None:
@@ -219,20 +217,94 @@ def load_graph(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIPLE).parquet(path).select("s", "p", "o", "o_kind", "o_dt", "o_lang")
 
 
+def _escaped(c: Column) -> Column:
+    for plain, said in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(plain), F.lit(said))
+    return c
+
+
+def _iri(c: Column, prefixes: dict[str, str]) -> Column:
+    """An IRI as a prefixed name where one fits, a blank node as it stands."""
+    out = F.when(F.startswith(c, F.lit("_:")), c)
+    for name, space in sorted(prefixes.items(), key=lambda x: (-len(x[1]), x[0])):
+        local = F.substr(c, F.lit(len(space) + 1))
+        out = out.when(F.startswith(c, F.lit(space)) & local.rlike("^[A-Za-z_][A-Za-z0-9_-]*$"), F.concat(F.lit(f"{name}:"), local))
+    return out.otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+
+
+def _object(prefixes: dict[str, str]) -> Column:
+    suffix = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isNotNull(), F.concat(F.lit("^^"), _iri(F.col("o_dt"), prefixes))).otherwise("")
+    return F.when(F.col("o_kind") == "iri", _iri(F.col("o"), prefixes)).otherwise(F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), suffix))
+
+
+def _header(prefixes: dict[str, str]) -> str:
+    return "".join(f"@prefix {name}: <{space}> .\n" for name, space in sorted(prefixes.items()))
+
+
+ORDER = ["s", "p", "o_kind", "o", "o_dt", "o_lang"]
+
+
+def turtle_lines(graph: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """(value): the document's lines in order, an object a line; equal graphs give equal lines.
+
+    Whether a triple is its subject's or predicate's first or last comes from grouped bounds, so a subject
+    of any number of triples may lie in several ranges.
+    """
+    g = graph.distinct().withColumn("t", F.struct(*ORDER[2:]))
+    one = g.groupBy("s", "p").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    whole = one.groupBy("s").agg(F.min("p").alias("first_p"), F.max("p").alias("last_p"))
+    marked = g.join(one.join(whole, "s"), ["s", "p"])
+    opens, closes = F.col("t").eqNullSafe(F.col("first_t")), F.col("t").eqNullSafe(F.col("last_t"))
+    predicate = F.when(F.col("p") == RDF + "type", "a").otherwise(_iri(F.col("p"), prefixes))
+    lead = F.when(opens & (F.col("p") == F.col("first_p")), F.concat(F.lit("\n"), _iri(F.col("s"), prefixes), F.lit("\n    "), predicate)).when(opens, F.concat(F.lit("    "), predicate)).otherwise("       ")
+    end = F.when(closes & (F.col("p") == F.col("last_p")), " .").when(closes, " ;").otherwise(" ,")
+    dealt = marked.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    return dealt.select(F.concat(lead, F.lit(" "), _object(prefixes), end).alias("value"))
+
+
+def to_turtle(graph: DataFrame, prefixes: dict[str, str]) -> str:
+    """The document as one string, for graphs that fit in one; its lines come a partition at a time."""
+    return _header(prefixes) + "".join(r.value + "\n" for r in turtle_lines(graph, prefixes).toLocalIterator())
+
+
 def write_turtle(graph: DataFrame, path: str, prefixes: dict[str, str]) -> None:
-    """One interchange document, with its folders."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(to_turtle(graph, prefixes), "utf-8")
+    """One document of any size at any path that Spark writes, with its folders.
+
+    Spark writes the lines in parts beside it; the parts are strung together in their order through a buffer
+    into a hidden file, which then takes the document's place.
+    """
+    jvm, conf = graph.sparkSession._jvm, graph.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    target = hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    parent = target.getParent()
+    fs.mkdirs(parent)
+    parts, whole = (hadoop.fs.Path(parent, f".{target.getName()}-{uuid.uuid4().hex}{end}") for end in ("-parts", ""))
+    try:
+        turtle_lines(graph, prefixes).write.text(parts.toString())
+        out = fs.create(whole)
+        try:
+            out.write(bytearray(_header(prefixes), "utf-8"))
+            listed = sorted((s.getPath().getName() for s in fs.listStatus(parts)))
+            for name in listed:
+                if name.startswith("part-"):
+                    part = fs.open(hadoop.fs.Path(parts, name))
+                    try:
+                        hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                    finally:
+                        part.close()
+        finally:
+            out.close()
+        fs.delete(target, False)
+        if not fs.rename(whole, target):
+            raise OSError(f"{path} could not be put in place")
+    finally:
+        fs.delete(parts, True)
+        fs.delete(whole, False)
 
 
 def save_turtle(graph: DataFrame, path: str) -> None:
     """A graph of any size as a folder of Turtle documents without prefixes, each a range of subjects in order."""
-    escaped = F.col("o")
-    for plain, said in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        escaped = F.replace(escaped, F.lit(plain), F.lit(said))
-    node = lambda c: F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
-    suffix = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt").isNotNull(), F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise("")
-    obj = F.when(F.col("o_kind") == "iri", node(F.col("o"))).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), suffix))
-    line = F.concat_ws(" ", node(F.col("s")), F.concat(F.lit("<"), "p", F.lit(">")), obj, F.lit("."))
-    dealt = graph.distinct().repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o", "o_kind", "o_dt", "o_lang")
-    dealt.select(line.alias("value")).write.mode("overwrite").text(path)
+    line = F.concat_ws(" ", _iri(F.col("s"), {}), _iri(F.col("p"), {}), _object({}), F.lit("."))
+    graph.distinct().repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(line.alias("value")).write.mode("overwrite").text(path)

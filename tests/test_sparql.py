@@ -181,7 +181,8 @@ def test_cycles_of_random_graphs(spark):
 
 
 def test_graph_sinks(g, spark, tmp_path):
-    from lorespark.sources.turtle import read_turtle, save_turtle, write_turtle
+    from lorespark.sources.turtle import save_turtle, write_turtle
+    from lorespark.sources.turtle_scan import read_turtle
 
     odd = spark.createDataFrame([("http://e/s", "http://e/p", 'a "q" \\ \n\t\r é', "lit", None, None), ("_:b1", "http://e/p", "_:b2", "iri", None, None)], TRIPLE)
     both = graph_union(g, odd)
