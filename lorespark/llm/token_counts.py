@@ -5,8 +5,9 @@ programming over end positions carries the best score and its piece count, and n
 else. Tie rule of the unigram tokenizer: starts are taken in order and a path replaces
 another only with a strictly greater score, so among equal scores the longest last piece
 stays. A character that no single-character piece covers is an unknown piece at the least
-score less 10; it becomes its bytes' pieces if the vocabulary has all of them (byte
-fallback), else neighbouring unknown pieces count as one.
+score less 10, and so is a match of the unknown piece's own text, at its score. Neighbouring
+unknown pieces are one stretch: it counts as one if its text is a piece, else as its bytes'
+pieces if the vocabulary has all of them (byte fallback), else as one.
 
 The text is split before white-space runs' marks as the tokenizer's word splitter does, so
 a word's count does not depend on its neighbours; a bounded store keeps counts of words.
@@ -52,41 +53,46 @@ def tokenizer(pieces: list[tuple[str, float]], unknown: int = 0):
 class Counter:
     """Piece counts of texts."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece and not self.automaton.exists(piece):
-                self.automaton.add_word(piece, (len(piece), score))
+                self.automaton.add_word(piece, (len(piece), score, piece == pieces[unknown][0]))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        known = {p for p, _ in pieces}
-        self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in known}
+        self.known = {p for p, _ in pieces}
+        self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in self.known}
         self.kept: dict[str, int] = {}
 
+    def stretch(self, text: str) -> int:
+        """Pieces of neighbouring unknown pieces."""
+        raw = text.encode("utf-8", "surrogatepass")
+        return 1 if text in self.known or not self.bytes.issuperset(raw) else len(raw)
+
     def word(self, word: str) -> int:
         """Pieces of one word, its mark included."""
         n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.automaton.iter(word):
-            ends[last + 1].append((last + 1 - length, score))
-        best, pieces = [0.0] * (n + 1), [0] * (n + 1)
-        unknown = [False] * (n + 1)  # the last piece of the best path is an unknown one
+        ends: list[list[tuple[int, float, bool]]] = [[] for _ in range(n + 1)]
+        for last, (length, score, unknown) in self.automaton.iter(word):
+            ends[last + 1].append((last + 1 - length, score, unknown))
+        # the best path to each end: its score, its pieces before the unknown stretch that it ends with, where that begins (-1: none)
+        best, pieces, begun = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         for end in range(1, n + 1):
-            top, single = None, False
-            for start, score in sorted(ends[end]):
+            top, at, odd, single = None, 0, False, False
+            for start, score, unknown in sorted(ends[end]):
                 single = single or start == end - 1
                 if top is None or best[start] + score > top:
-                    top, at = best[start] + score, start
+                    top, at, odd = best[start] + score, start, unknown
             if not single and (top is None or best[end - 1] + self.unknown > top):
-                best[end], unknown[end] = best[end - 1] + self.unknown, True
-                raw = word[end - 1].encode("utf-8", "surrogatepass")
-                fallback = all(b in self.bytes for b in raw)
-                pieces[end] = pieces[end - 1] + (len(raw) if fallback else not unknown[end - 1])
+                top, at, odd = best[end - 1] + self.unknown, end - 1, True
+            best[end] = top
+            if odd:
+                begun[end], pieces[end] = (begun[at], pieces[at]) if begun[at] >= 0 else (at, pieces[at])
             else:
-                best[end], pieces[end] = top, pieces[at] + 1
-        return pieces[n]
+                pieces[end] = pieces[at] + 1 + (self.stretch(word[begun[at] : at]) if begun[at] >= 0 else 0)
+        return pieces[n] + (self.stretch(word[begun[n] :]) if begun[n] >= 0 else 0)
 
     def count(self, text: str | None) -> int:
         """Pieces of a whole text."""
