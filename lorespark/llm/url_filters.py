@@ -7,8 +7,10 @@ links and refresh redirects of the pages (and any redirects given) are edges bet
 and a connected component that holds a blocked url is blocked, except for those members
 that a rule allows. All other urls are allowed.
 
-A url's node is its lower-cased host, its path (none: ``/``) and its query; scheme and
-fragment do not count, so such variants of one url are one node. Components come from
+A url's node is its lower-cased host, its path (none: ``/``) without dot segments and its
+query; scheme and fragment do not count, so such variants of one url are one node. Tags in
+comments, scripts and style sheets are no links; a tag may go over lines, ``rel`` may hold
+several words, and attributes may stand in any order, quotes and case. Components come from
 alternating-star rounds of joins (see ``common.components``); a hub is min-aggregated
 before it is joined, and AQE can split its rows.
 
@@ -48,13 +50,22 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + F.lit(3))).otherwise(F.lit(""))
 
 
+def _folded(path: Column) -> Column:
+    """The path without dot segments."""
+    parts = F.split(path, "/")
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.array_append(kept, x))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    folded = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), folded).otherwise(path)
+
+
 def with_parts(df: DataFrame, url: str, mark: str = "") -> DataFrame:
     """df with ``__host``, ``__path`` and ``__node`` of a url column, each computed once; the node is null where it has none."""
     rest, host, path = (F.col(f"__{x}{mark}") for x in ("rest", "host", "path"))
     out = df.withColumn(f"__rest{mark}", _rest(F.col(url)))
     out = out.withColumn(f"__host{mark}", F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.lit("")))
     out = out.withColumn(f"__path{mark}", F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")))
-    node = F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)))
+    node = F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(_folded(path)), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)))
     return out.withColumn(f"__node{mark}", node).drop(f"__rest{mark}")
 
 
@@ -84,17 +95,32 @@ def with_rule(work: Work, df: DataFrame, rules: DataFrame, name: str) -> DataFra
     return joined.withColumn("__best", F.array_max(fits)).drop("__rules")
 
 
+ATTRIBUTES = r"""[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of a name, without its quotes; empty where there is none."""
+    named = F.filter(attributes, lambda x: F.lower(F.regexp_extract(x, r"^[^\s=]+", 0)) == name)
+    raw = F.regexp_extract(F.coalesce(F.get(named, F.lit(0)), F.lit("")), r"(?s)^[^=]*=\s*(.*)$", 1)
+    return F.regexp_replace(raw, r"""^["']|["']$""", "")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): the nodes of every canonical link and refresh redirect. pages: url, html."""
-    tag, t, host, path = (F.col(x) for x in ("tag", "t", "__host_f", "__path_f"))
-    href = F.regexp_extract(tag, r"""(?i)[\s"'/]href\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(tag, r"""(?i)[\s"'/]content\s*=\s*["']?[\s\d.;,]*url\s*=\s*['"]?([^"'\s>]+)""", 1)
-    target = F.when(tag.rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?canonical\b"""), href).when(
-        tag.rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), refresh
+    tag, attributes, t, host, path = (F.col(x) for x in ("tag", "attributes", "t", "__host_f", "__path_f"))
+    words = F.split(F.lower(_value(attributes, "rel")), r"\s+")
+    refresh = F.regexp_extract(_value(attributes, "content"), r"""(?is)^[\s\d.;,]*url\s*=\s*['"]?([^"'\s>]+)""", 1)
+    target = F.when(tag.rlike("(?i)^<link") & F.array_contains(words, "canonical"), F.trim(_value(attributes, "href"))).when(
+        tag.rlike("(?i)^<meta") & (F.lower(F.trim(_value(attributes, "http-equiv"))) == "refresh"), refresh
     )
-    found = (
+    tags = (
         pages.where(F.col("html").rlike("(?i)canonical|refresh"))
-        .select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+        .select("url", F.explode(F.regexp_extract_all(F.regexp_replace("html", UNSEEN, " "), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+        .where(tag.rlike("(?i)canonical|refresh"))
+    )
+    found = (
+        tags.select("url", "tag", F.regexp_extract_all("tag", F.lit(ATTRIBUTES), F.lit(0)).alias("attributes"))
         .select("url", F.regexp_replace(F.replace(target, F.lit("&amp;"), F.lit("&")), r"\s", "").alias("t"))
         .where("t <> ''")
     )
@@ -147,10 +173,13 @@ def op7_url_filters(spark, sf_dir: str) -> DataFrame:
     return judge(pages, RULES).select("page_id", "judged.*")
 
 
+_PATH = "regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+_UP = """list_reduce(list_prepend('', string_split({p}, '/')[2:]), lambda kept, x: CASE x WHEN '..' THEN regexp_replace(kept, '/[^/]*$', '') WHEN '.' THEN kept ELSE kept || '/' || x END)"""
 _NODE = """CASE WHEN {u} LIKE '%://%' AND regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*') <> '' THEN
   translate(regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-  || CASE regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1) END
-  || regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^?#]*(\\?[^#]*)', 1) END"""
+  || CASE WHEN {p} = '' THEN '/' WHEN {p} LIKE '%/.' OR {p} LIKE '%/..' THEN {up} || '/' WHEN {up} = '' THEN '/' ELSE {up} END
+  || regexp_extract(substr({u}, instr({u}, '://') + 3), '^[^?#]*(\\?[^#]*)', 1) END""".replace("{up}", _UP).replace("{p}", _PATH)
+_ATTRIBUTE = """trim(regexp_extract(tag, '(?is)[\\s"''/]{n}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), '"''')"""
 _FITS = "((host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}'))"
 
 
@@ -166,13 +195,21 @@ parts AS (
   SELECT page_id, url, html, coalesce({_NODE.format(u="url")}, '') AS node,
     translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM base),
+bare AS (
+  SELECT url, host, path, array_to_string(list_transform(string_split(html, '<!--'), lambda x, i: CASE WHEN i = 1 THEN x WHEN contains(x, '-->') THEN ' ' || substr(x, instr(x, '-->') + 3) ELSE '' END), '') AS html
+  FROM parts WHERE lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%'),
+seen AS (
+  SELECT url, host, path, array_to_string(list_transform(string_split_regex(html, '(?i)<(?:script|style)\\b'),
+    lambda x, i: CASE WHEN i = 1 THEN x WHEN regexp_matches(x, '(?i)</(script|style)') THEN regexp_replace(x, '(?is)^.*?</(script|style)\\s*>', ' ') ELSE '' END), '') AS html FROM bare),
 tags AS (
-  SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM parts WHERE regexp_matches(html, '(?i)canonical|refresh')),
+  SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM seen),
+plain AS (  -- no other attribute's value may look like one of these
+  SELECT url, host, path, regexp_replace(tag, '(?is)[\\s"''/](title|alt|media)\\s*=\\s*("[^"]*"|''[^'']*'')', ' ', 'g') AS tag FROM tags),
 found AS (
   SELECT url, host, path, replace(CASE
-    WHEN regexp_matches(tag, '(?i)^<link\\b.*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)[\\s"''/]href\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)[\\s"''/]content\\s*=\\s*["'']?[\\s\\d.;,]*url\\s*=\\s*[''"]?([^"''\\s>]+)', 1)
-    END, '&amp;', '&') AS t FROM tags),
+    WHEN lower(tag) LIKE '<link%' AND list_contains(string_split_regex(lower({_ATTRIBUTE.replace("{n}", "rel")}), '\\s+'), 'canonical') THEN trim({_ATTRIBUTE.replace("{n}", "href")})
+    WHEN lower(tag) LIKE '<meta%' AND lower(trim({_ATTRIBUTE.replace("{n}", "http-equiv")}, E' \\t\\n')) = 'refresh' THEN regexp_extract({_ATTRIBUTE.replace("{n}", "content")}, '(?is)^[\\s\\d.;,]*url\\s*=\\s*[''"]?([^"''\\s>]+)', 1)
+    END, '&amp;', '&') AS t FROM plain),
 absolute AS (
   SELECT url AS f, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN 'http:' || t WHEN t LIKE '/%' THEN 'http://' || host || t
     WHEN t LIKE '#%' THEN url ELSE 'http://' || host || CASE path WHEN '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS g
