@@ -50,7 +50,8 @@ WHITE = re.compile(r"[ \t\n\r\f]+")
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg annotation annotation-xml datalist area base link meta param source track".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas annotation annotation-xml datalist area base link meta param source track".split())
+DRAWN_UNSEEN = frozenset("defs desc metadata symbol marker mask pattern clippath lineargradient radialgradient filter".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -86,10 +87,11 @@ LIMITS = frozenset("table td th caption html button object".split())
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "name")
+    __slots__ = ("attrs", "kids", "met", "name")
 
     def __init__(self, name: str, attrs: dict[str, str]):
         self.name, self.attrs, self.kids = name, attrs, []
+        self.met: tuple[int, int] | None = None  # the steps of selectors that end here, and those that end here or around; see Sheet
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -206,15 +208,22 @@ def parse(html: str) -> Node:
             close_at = html.find(">", stop_at)
             at = len(html) if end is None or close_at < 0 else close_at + 1
             continue
-        if not m[3].endswith("/") or name not in ("svg", "math", "path"):
-            push(node)  # a slash does not end an element of the format
+        if not m[3].endswith("/") or not (name in ("svg", "math", "path") or places.get("svg") or places.get("math")):
+            push(node)  # a slash does not end an element of the format, but one of a drawing or formula
 
 
 class Sheet:
-    """The rules of a page's style sheets on display and visibility."""
+    """The rules of a page's style sheets on display and visibility.
+
+    Selectors are matched from the outside in: an element keeps, as bits, the steps whose whole selector up to there
+    ends at it, and those that end at it or around it. A step looks at its parent's bits only, so an element costs
+    the steps that name its class, id or name, however deep it lies.
+    """
 
     def __init__(self, root: Node):
         self.by: dict[tuple[str, str], list[tuple]] = {}
+        self.inner: dict[tuple[str, str], list[tuple]] = {}  # steps before the last: (step, bit, bit of the one before)
+        self.bits = 0
         self.order = 0
         for text in _sheets(root):
             self._read(re.sub(r"/\*.*?(?:\*/|$)", " ", text, flags=re.S))
@@ -261,21 +270,42 @@ class Sheet:
         classes = sum(t[0] != "#" for _, tests, _ in steps for t in tests)
         self.order += 1
         weight = (ids, classes, sum(name != "*" for name, _, _ in steps), self.order)
-        name, tests, _ = steps[-1]
-        key = next(((k, v) for kind in "#." for k, v, *_ in tests if k == kind), ("", name))
-        self.by.setdefault(key, []).append((steps, weight, said))
+        before = 0
+        for i, step in enumerate(steps):
+            name, tests, _ = step
+            key = next(((k, v) for kind in "#." for k, v, *_ in tests if k == kind), ("", name))
+            if i == len(steps) - 1:
+                self.by.setdefault(key, []).append((step, before, weight, said))
+            else:
+                bit = 1 << self.bits
+                self.bits += 1
+                self.inner.setdefault(key, []).append((step, bit, before))
+                before = bit
+
+    def met(self, path: list[Node]) -> tuple[int, int]:
+        """The bits of the innermost element of a path, which are kept with each element."""
+        i = len(path)
+        while i and path[i - 1].met is None:
+            i -= 1
+        around = path[i - 1].met if i else (0, 0)
+        for node in path[i:]:
+            here = 0
+            for key in _keys(node):
+                for step, bit, before in self.inner.get(key, ()):
+                    if _follows(step, before, around) and _fits(step, node):
+                        here |= bit
+            node.met = around = here, around[1] | here
+        return around
 
     def of(self, node: Node, path: list[Node]) -> dict[str, str]:
         """The node's own display and visibility; path: the elements around it, outermost first."""
         best: dict[str, tuple] = {}
         attrs = node.attrs
         if self.by:
-            keys = [("", node.name), ("", "*")]
-            if attrs:
-                keys += [(".", c) for c in dict.fromkeys(attrs.get("class", "").split())] + [("#", attrs.get("id", ""))]
-            for key in keys:
-                for steps, weight, said in self.by.get(key, ()):
-                    if _matches(steps, node, path):
+            around = self.met(path) if self.bits else (0, 0)
+            for key in _keys(node):
+                for step, before, weight, said in self.by.get(key, ()):
+                    if _follows(step, before, around) and _fits(step, node):
                         for name, (value, important) in said.items():
                             best[name] = max(best.get(name, ((),)), ((important, 0, *weight), value))
         if style := attrs.get("style", ""):
@@ -339,22 +369,16 @@ def _fits(step: tuple, node: Node) -> bool:
     return True
 
 
-def _matches(steps: list[tuple], node: Node, path: list[Node]) -> bool:
-    """Whether the last step fits the node and the others the elements around it, tried from the innermost."""
-    if not _fits(steps[-1], node):
-        return False
-    tries = [(len(steps) - 2, len(path) - 1)]  # a step, and the innermost place it may take
-    while tries:
-        step, at = tries.pop()
-        if step < 0:
-            return True
-        if at < 0:
-            continue
-        if not steps[step + 1][2]:
-            tries.append((step, at - 1))
-        if _fits(steps[step], path[at]):
-            tries.append((step - 1, at - 1))
-    return False
+def _keys(node: Node) -> list[tuple[str, str]]:
+    keys = [("", node.name), ("", "*")]
+    if node.attrs:
+        keys += [(".", c) for c in dict.fromkeys(node.attrs.get("class", "").split())] + [("#", node.attrs.get("id", ""))]
+    return keys
+
+
+def _follows(step: tuple, before: int, around: tuple[int, int]) -> bool:
+    """Whether the step before is met by the parent, for a child, or by any element around."""
+    return not before or bool(around[0 if step[2] else 1] & before)
 
 
 def _sheets(root: Node) -> Iterator[str]:
@@ -561,6 +585,8 @@ class _Renderer:
             self.path.append(kid)
             if name == "table":
                 yield self.table(kid, lines, seen)
+            elif name == "svg":
+                yield self.drawing(kid.kids, lines, seen)
             elif name in ("ul", "ol", "menu", "dir"):
                 yield self.items(kid, lines, pre, seen)
             elif name in ("blockquote", "dd"):
@@ -580,6 +606,23 @@ class _Renderer:
             if block:
                 lines.block(spaced and not (name in ("ul", "ol") and lines.indent))
 
+    def drawing(self, kids: list, lines: _Lines, shown: bool) -> Generator:
+        """What a drawing says: its text elements, each a block, and the pages in it."""
+        for kid in kids:
+            if isinstance(kid, str) or kid.name in DRAWN_UNSEEN:
+                continue
+            there, seen, _ = self.look(kid, shown)
+            if not there:
+                continue
+            self.path.append(kid)
+            if kid.name in ("text", "foreignobject"):
+                lines.block(False)
+                yield self.walk(kid.kids, lines, False, seen)
+                lines.block(False)
+            else:
+                yield self.drawing(kid.kids, lines, seen)
+            self.path.pop()
+
     def items(self, node: Node, lines: _Lines, pre: bool, shown: bool) -> Generator:
         outer, n = lines.indent, _number(node.attrs, "start", 1)
         for item in node.kids:
