@@ -116,48 +116,7 @@ def is_dialogue(raw: Column) -> Column:
     return F.ltrim(raw).rlike(DIALOGUE)
 
 
-def word_pattern(name: Column) -> Column:
-    """A pattern of name as whole words in any case; name is taken literally."""
-    return F.concat(F.lit("(?iU)\\b\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b"))
-
-
 def needles(names: DataFrame, name: str = "name") -> DataFrame:
-    """(name, needle, simple): each name and its parts of at least three characters; simple ones are one run of word characters."""
+    """(name, needle): each name and its parts of at least three characters."""
     parts = F.concat(F.array(F.col(name)), F.filter(F.split(F.trim(F.col(name)), r"(?U)\s+"), lambda t: F.length(t) >= 3))
-    out = names.select(F.col(name).alias("name"), F.explode(F.array_distinct(parts)).alias("needle"))
-    return out.withColumn("simple", F.col("needle").rlike(r"(?U)^\w+$"))
-
-
-WORDS = r"(?U)(\w+)"
-
-
-def words_in(text: Column) -> Column:
-    """The distinct words of a text, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(1)))
-
-
-def where_said(needles: DataFrame, prose: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """(name, needle, keep...): each needle with each text that holds it, as words in any case.
-
-    A needle's longest word meets the texts' words in an equi-join; only the texts that have it
-    are searched by pattern. Needles without any word, few by nature, are searched everywhere.
-    """
-    keyed = prose.select(F.xxhash64(text).alias("k"), F.col(text).alias("t"), *keep)
-    words = keyed.select("k", F.explode(words_in(F.col("t"))).alias("w")).distinct()
-    longest = F.array_max(F.transform(words_in(F.col("needle")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = needles.select("name", "needle", longest.alias("longest"))
-    hit = asked.where("longest is not null").join(words, F.col("longest") == F.col("w")).select("name", "needle", "k").distinct().join(keyed, "k")
-    bare = asked.where("longest is null").select("name", "needle").join(keyed, F.lit(True))
-    out = [df.where(F.rlike(F.col("t"), word_pattern(F.col("needle")))).select("name", "needle", *keep) for df in (hit, bare)]
-    return out[0].union(out[1])
-
-
-def mentioned(names: DataFrame, prose: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
-    """Distinct names that stand in the prose, whole or by a part, as words in any case.
-
-    One-word needles need only the prose's distinct words; others are looked up by ``where_said``.
-    """
-    n = needles(names, name)
-    words = prose.select(F.explode(words_in(F.col(text))).alias("w")).distinct()
-    plain = n.where("simple").join(words, F.lower("needle") == F.col("w"), "left_semi").select("name")
-    return plain.union(where_said(n.where("not simple"), prose, text).select("name")).distinct()
+    return names.select(F.col(name).alias("name"), F.explode(F.array_distinct(parts)).alias("needle"))

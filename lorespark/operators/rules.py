@@ -22,6 +22,7 @@ from .. import vocabulary as V
 from ..functions import text as T
 from . import facts
 from .ingest import Build
+from .names import mentioned, where_said
 from .reach import cycles
 from .store import Store
 
@@ -126,7 +127,7 @@ def character_presence(c: Context) -> DataFrame:
     roster = c.names("character")
     if not roster.take(1) and not c.prose.take(1):
         raise NotEvaluated("there is no manuscript prose and no bible character roster to cross-check")
-    absent = roster.join(T.mentioned(roster.select("name").distinct(), c.prose), "name", "left_anti")
+    absent = roster.join(mentioned(roster.select("name").distinct(), c.prose), "name", "left_anti")
     return finding(absent, "character_presence", "error", F.format_string("character '%s' is defined in the bible but never mentioned in the manuscript", "name"), F.col("relpath"))
 
 
@@ -177,7 +178,7 @@ def setting_continuity(c: Context) -> DataFrame:
     if not c.prose.take(1):
         raise NotEvaluated("the manuscript is empty")
     names = c.names("setting").select("name").distinct()
-    places = T.where_said(names.withColumn("needle", F.col("name")), c.prose, "text", "relpath").select("name", "relpath")
+    places = where_said(names.withColumn("needle", F.col("name")), c.prose, "text", "relpath").select("name", "relpath")
     clash = descriptor_clashes(places, c.lines)
     message = F.format_string("setting '%s' is described as '%s' (%s:%d) and '%s' (%s:%d) — contradicting descriptors across files", "name", "term_a", "file_a", "line_a", "term_b", "file_b", "line_b")
     return finding(clash, "setting_continuity", "warning", message, F.concat_ws(":", "file_a", F.col("line_a").cast("string")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .functions import text as T
 from .operators import facts, ingest, rules, status
+from .operators.names import mentioned, where_said
+from .operators.reach import closure
 from .operators.reach import cycles as find_cycles
-from .operators.store import Store
+from .operators.store import Store, shared_dir
 from .plans.compiler import sparql
 from .plans.relational import DATA, MAPPING, PREFIXES, TERM, graph
 from .sources.project import Config, files_from
+from .sources.turtle import write_turtle
+from .sources.turtle_scan import read_turtle
 from .terms import LABEL, RDFS, TRIPLE, TYPE, XSD, empty_graph, graph_union, iri, literal, triple_rows, triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,7 +294,51 @@ _ROSTER = "r(name) AS (VALUES ('Theatre with'), ('Zyx'), ('of'), ('the-end'), ('
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a roster that no document mentions."""
     roster = spark.createDataFrame([("Theatre with",), ("Zyx",), ("of",), ("the-end",), ("Avec Plaisir",), ("qq ww",), ("in of",)], "name string")
-    return roster.join(T.mentioned(roster, table(spark, sf_dir, "documents")), "name", "left_anti")
+    return roster.join(mentioned(roster, table(spark, sf_dir, "documents")), "name", "left_anti")
+
+
+@query(
+    r"""WITH s AS (SELECT DISTINCT string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS name FROM benchmark WHERE len(string_split(text, ' ')) > 1),
+ r AS (FROM s WHERE regexp_matches(name, '^\p{L}+ \p{L}+$'))
+ SELECT name, count(*) AS documents FROM r, documents WHERE contains(lower(text), lower(name))
+ AND regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{Nd}\p{Pc}])' || lower(name) || '($|[^\p{L}\p{M}\p{Nd}\p{Pc}])') GROUP BY name"""
+)
+def name_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents say the first two words of a benchmark item."""
+    words = F.split("text", " ")
+    roster = table(spark, sf_dir, "benchmark").where(F.size(words) > 1).select(F.concat_ws(" ", words[0], words[1]).alias("name")).distinct()
+    roster = roster.where(F.rlike("name", F.lit(r"^\p{L}+ \p{L}+$")))
+    said = where_said(roster.withColumn("needle", F.col("name")), table(spark, sf_dir, "documents"))
+    return said.groupBy("name").agg(F.count("*").alias("documents"))
+
+
+# --- documents of a graph, and reachability without a known end
+
+@query(
+    f"""SELECT p, count(*) AS n, count(DISTINCT o) AS objects FROM (
+ SELECT 'label' AS p, n_name AS o FROM nation UNION ALL SELECT 'region', n_regionkey::VARCHAR FROM nation UNION ALL SELECT 'comment', text FROM benchmark WHERE text IS NOT NULL) GROUP BY p"""
+)
+def turtle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of nations and benchmark texts, written as one Turtle file and read back in ranges: triples and objects of each predicate."""
+    nation, item = table(spark, sf_dir, "nation"), table(spark, sf_dir, "benchmark")
+    at = F.concat(F.lit(f"{B}nation/"), F.col("n_nationkey").cast("string"))
+    g = triple_rows(nation, [(at, f"{B}label", literal(F.col("n_name"))), (at, f"{B}region", literal(F.col("n_regionkey").cast("string"), XSD + "integer"))])
+    g = g.union(triples(item, F.concat(F.lit(f"{B}item/"), F.col("item_id").cast("string")), f"{B}comment", literal(F.col("text"))))
+    path = f"{shared_dir(spark).rstrip('/')}/turtle-{uuid.uuid4().hex}.ttl"
+    write_turtle(g, path, {"b": B, "xsd": XSD})
+    back = read_turtle(spark, path)
+    return back.groupBy(F.replace("p", F.lit(B), F.lit("")).alias("p")).agg(F.count("*").alias("n"), F.count_distinct("o").alias("objects"))
+
+
+@query(
+    """WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders)
+ SELECT x.o_orderkey AS a, count(*) AS later, sum(y.o_orderkey)::BIGINT AS keys FROM e x JOIN e y ON x.o_custkey = y.o_custkey AND x.i < y.i GROUP BY 1"""
+)
+def order_succession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order, how many orders of its customer follow, by the closure of next-order edges."""
+    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(by_date).alias("b"))
+    return closure(edges).groupBy("a").agg(F.count("*").alias("later"), F.sum("b").alias("keys"))
 
 
 # --- time
