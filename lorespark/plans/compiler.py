@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.reach import closure, reach_from
+from ..operators.store import Store
 from ..terms import RDF, XSD, datatype_of, is_literal, language_of, lexical, object_code, split_code, tail
 from .parser import Const, Expr, Group, Path, Pattern, QueryError, Select, Var, parse
 
@@ -285,19 +286,48 @@ class Compiler:
             out[n] = F.coalesce(out[n], right) if n in a.maybe else out.get(n, right)
         return out
 
+    def rows_of(self, a: Solution) -> tuple[Solution, str]:
+        """a with a hidden variable that tells its rows apart; they are kept as a table, since a row's number must not change."""
+        row = f".row{len(self.ids)}"
+        kept = Store(self.spark, "solutions").save(a.df.withColumn(self.col(row), F.monotonically_increasing_id().cast("string")))
+        return Solution(kept, [*a.names, row], a.maybe), row
+
+    def matches(self, a: Solution, b: Solution, filters: list[Expr] = ()) -> Solution:
+        """The join of a and b that passes the filters."""
+        joined = self.join(a, b)
+        env = {n: F.col(self.col(n)) for n in joined.names}
+        df = joined.df
+        for f in filters:
+            df = df.where(truth(self.expr(f, env)))
+        return Solution(df, joined.names, joined.maybe)
+
+    def unsure(self, a: Solution, b: Solution) -> bool:
+        """Whether a variable that both have may be unbound: such a join is split by what is bound, and its rows are marked."""
+        return any(n in a.maybe or n in b.maybe for n in a.names if n in b.names)
+
     def optional(self, a: Solution, group: Group) -> Solution:
         inner, filters = self.group(group, defer=True)
+        new = [n for n in inner.names if n not in a.names]
+        maybe = frozenset(a.maybe | set(new))
+        if self.unsure(a, inner):
+            marked, row = self.rows_of(a)
+            found = self.matches(marked, inner, filters)
+            rest = marked.df.join(found.df.select(self.col(row)).distinct(), self.col(row), "left_anti")
+            both = self.union([Solution(found.df, found.names, found.maybe), Solution(rest, marked.names, a.maybe)])
+            return Solution(both.df.drop(self.col(row)), [*a.names, *new], maybe)
         left, right, _, condition, out, _ = self._sides(a, inner)
         for f in filters:
             test = truth(self.expr(f, self.merged(a, inner)))
             condition = test if condition is None else condition & test
-        new = [n for n in inner.names if n not in a.names]
         df = left.join(right, F.lit(True) if condition is None else condition, "left")
-        maybe = a.maybe | set(new)
-        return Solution(df.select(*out) if out else df, [*a.names, *new], frozenset(maybe))
+        return Solution(df.select(*out) if out else df, [*a.names, *new], maybe)
 
     def exists(self, a: Solution, group: Group, how: str) -> Solution:
         inner, filters = self.group(group, defer=True)
+        if self.unsure(a, inner):
+            marked, row = self.rows_of(a)
+            found = self.matches(marked, inner, filters).df.select(self.col(row)).distinct()
+            return Solution(marked.df.join(found, self.col(row), how).drop(self.col(row)), a.names, a.maybe)
         left, right, _, condition, _, _ = self._sides(a, inner)
         for f in filters:
             test = truth(self.expr(f, self.merged(a, inner)))
@@ -306,11 +336,17 @@ class Compiler:
 
     def minus(self, a: Solution, group: Group) -> Solution:
         b = self.group(group)[0]
-        left, right, shared, condition, _, both = self._sides(a, b)
+        shared = [n for n in a.names if n in b.names]
         if not shared:
             return a
-        if any(n in a.maybe or n in b.maybe for n in shared):
-            condition &= reduce(Column.__or__, both)
+        if self.unsure(a, b):  # what is taken away must be bound on both sides in one variable at least
+            flagged = lambda x, side: Solution(x.df.select("*", *[F.col(self.col(n)).isNotNull().cast("string").alias(self.col(f".{side}{n}")) for n in shared]), [*x.names, *[f".{side}{n}" for n in shared]], x.maybe)
+            marked, row = self.rows_of(a)
+            found = self.join(flagged(marked, "left"), flagged(b, "right")).df
+            both = reduce(Column.__or__, [(F.col(self.col(f".left{n}")) == "true") & (F.col(self.col(f".right{n}")) == "true") for n in shared])
+            gone = found.where(both).select(self.col(row)).distinct()
+            return Solution(marked.df.join(gone, self.col(row), "left_anti").drop(self.col(row)), a.names, a.maybe)
+        left, right, _, condition, _, _ = self._sides(a, b)
         return Solution(left.join(right, condition, "left_anti"), a.names, a.maybe)
 
     def union(self, branches: list[Solution]) -> Solution:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .functions import text as T
 from .operators import facts, ingest, rules, status
+from .operators.intervals import overlaps
 from .operators.names import mentioned, where_said
 from .operators.reach import closure
 from .operators.reach import cycles as find_cycles
@@ -129,6 +130,15 @@ asked(
     f"""SELECT '{D}documents/' || d.doc_id AS doc, coalesce(quality, v.q)::VARCHAR AS q, lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
     JOIN (VALUES (1, NULL), (0, 'en')) v(q, lg) ON (quality IS NULL OR quality = v.q) AND (v.lg IS NULL OR lang = v.lg)""",
 )
+asked(
+    "optional_unbound", "documents labels", 'SELECT ?doc ?q ?said WHERE { ?doc d:lang ?lang OPTIONAL { ?doc d:quality ?q } OPTIONAL { VALUES (?q ?said) { (1 "good") (1 "kept") (7 "none") } FILTER(?lang != "fr") } }',
+    f"""SELECT '{D}documents/' || d.doc_id AS doc, coalesce(quality, v.q)::VARCHAR AS q, said FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+    LEFT JOIN (VALUES (1, 'good'), (1, 'kept'), (7, 'none')) v(q, said) ON (quality IS NULL OR quality = v.q) AND lang <> 'fr' WHERE lang IS NOT NULL""",
+)
+asked(
+    "minus_unbound", "documents labels", 'SELECT ?doc ?q WHERE { ?doc d:lang ?lang OPTIONAL { ?doc d:quality ?q } MINUS { VALUES (?q ?lang) { (1 UNDEF) (UNDEF "fr") } } }',
+    f"""SELECT '{D}documents/' || d.doc_id AS doc, quality::VARCHAR AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang IS NOT NULL AND coalesce(quality, 0) <> 1 AND lang <> 'fr'""",
+)
 asked(
     "group_having", "nation customer orders lineitem",
     "SELECT ?name (COUNT(?l) AS ?n) (SUM(?q) AS ?total) (MAX(?q) AS ?most) (COUNT(DISTINCT ?c) AS ?customers) WHERE { ?l d:order/d:customer ?c ; d:quantity ?q . ?c d:nation/rdfs:label ?name } GROUP BY ?name HAVING (COUNT(?l) > 2000 && AVG(?q) > 25)",
@@ -330,6 +340,20 @@ def turtle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy(F.replace("p", F.lit(B), F.lit("")).alias("p")).agg(F.count("*").alias("n"), F.count_distinct("o").alias("objects"))
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS lo, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + o_orderkey % 30 END AS hi FROM orders),
+ c AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey * 7 % 4000 END AS begin_at, c_custkey * 7 % 4000 + c_custkey % 5 AS end_at FROM customer)
+ SELECT c_custkey, count(*) AS n, sum(k)::BIGINT AS keys FROM c JOIN o ON coalesce(lo <= end_at, true) AND coalesce(begin_at <= hi, true) GROUP BY 1"""
+)
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a window of days of each customer, the orders whose span of days overlaps it; some spans and windows are open."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    spans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), day.alias("lo"), F.when(F.col("o_orderkey") % 9 != 0, day + F.col("o_orderkey") % 30).alias("hi"))
+    at = F.col("c_custkey") * 7 % 4000
+    windows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 != 0, at).alias("begin_at"), (at + F.col("c_custkey") % 5).alias("end_at"))
+    return overlaps(windows, spans, ("begin_at", "end_at"), ("lo", "hi")).groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+
+
 @query(
     """WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders)
  SELECT x.o_orderkey AS a, count(*) AS later, sum(y.o_orderkey)::BIGINT AS keys FROM e x JOIN e y ON x.o_custkey = y.o_custkey AND x.i < y.i GROUP BY 1"""
