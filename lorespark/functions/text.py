@@ -35,18 +35,21 @@ SCRIPTS = SPECIAL | GREEK | CYRILLIC
 def slug(name: Column | str) -> Column:
     """Lower case, ASCII, runs of other characters as one hyphen, no hyphen at the ends; null where nothing is left."""
     c = F.lower(F.col(name) if isinstance(name, str) else name)
-    c = F.translate(c, "".join(ACCENTS), "".join(ACCENTS.values()))
     single = {x: y for x, y in SCRIPTS.items() if len(y) == 1}
+    single |= {x: single.get(y, y) for x, y in ACCENTS.items()}
     c = F.translate(c, "".join(single), "".join(single.values()))
-    # letters of several are rare: they are spelled out where there are any
+    # letters of several are rare: they are spelled out where there are any; the text so far is made once, as the item of an array
     several = {x: y for x, y in SCRIPTS.items() if len(y) != 1}
-    spelled = c
-    for letter, plain in several.items():
-        spelled = F.replace(spelled, F.lit(letter), F.lit(plain))
-    c = F.when(c.rlike("[" + "".join(several) + "]"), spelled).otherwise(c)
+
+    def spelled(x: Column) -> Column:
+        out = x
+        for letter, plain in several.items():
+            out = F.replace(out, F.lit(letter), F.lit(plain))
+        return F.when(x.rlike("[" + "".join(several) + "]"), out).otherwise(x)
+
+    c = F.get(F.transform(F.array(c), spelled), F.lit(0))
     c = F.regexp_replace(c, r"\p{M}+", "")
-    c = F.trim(F.regexp_replace(c, r"[^a-z0-9]+", "-"), F.lit("-"))
-    return F.when(c != "", c)
+    return F.nullif(F.trim(F.regexp_replace(c, r"[^a-z0-9]+", "-"), F.lit("-")), F.lit(""))
 
 
 def make_slug(name: str) -> str | None:
@@ -95,7 +98,7 @@ def locator(source: Column) -> tuple[Column, Column]:
 # Line ends: those of Python's splitlines.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BLOCK_PREFIX = "(?U)^(?:#{1,6}\\s+|\\s*[-*+>]\\s+|\\s*[—–―]\\s*)+"
-PLACEHOLDER = r"(?iU)^\s*\[pending\b[^\]]*\]\s*$"
+PLACEHOLDER = r"(?i)^\s*\[pending\b[^\]]*\]\s*$"  # of a declaration's body that nobody has written yet
 DIALOGUE = "^[—–\\-\"«“'‘]"
 
 

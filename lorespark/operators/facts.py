@@ -86,10 +86,10 @@ def best_path(paths: DataFrame) -> DataFrame:
 
 
 def orphan_units(graph: DataFrame) -> DataFrame:
-    """(uri, label) of units in no sequence."""
+    """(uri, label) of units in no sequence, by IRI."""
     units = graph.where((F.col("p") == TYPE) & (F.col("o") == V.CLASS["narrative-unit"])).select(F.col("s").alias("uri")).distinct()
     labels = of(graph, "http://www.w3.org/2000/01/rdf-schema#label", "uri", "label").groupBy("uri").agg(F.min("label").alias("label"))
-    return units.join(of(graph, V.PROPER_PART, "seq", "uri"), "uri", "left_anti").join(labels, "uri", "left")
+    return units.join(of(graph, V.PROPER_PART, "seq", "uri"), "uri", "left_anti").join(labels, "uri", "left").orderBy("uri")
 
 
 def present(graph: DataFrame, uris: DataFrame, uri_base: str, column: str = "uri") -> DataFrame:
@@ -99,13 +99,13 @@ def present(graph: DataFrame, uris: DataFrame, uri_base: str, column: str = "uri
 
 
 def anchors(graph: DataFrame) -> DataFrame:
-    """(anchor, promotes, constrains, begin, end), one row an anchor: of several, the least."""
+    """(anchor, promotes, constrains, begin, end), one row an anchor, by IRI: of several, the least."""
     node = of(graph, V.HAS_TIME_SPAN, "anchor", "ts")
     node = node.join(of(graph, V.BEGIN, "ts", "b"), "ts", "left").join(of(graph, V.END, "ts", "e"), "ts", "left")
     rows = of(graph, V.PROMOTES, "anchor", "promotes").join(of(graph, V.CONSTRAINS, "anchor", "constrains"), "anchor", "left").join(node, "anchor", "left")
     rows = rows.select("anchor", "promotes", "constrains", year_of(F.col("b")).alias("begin"), year_of(F.col("e")).alias("end"))
     order = Window.partitionBy("anchor").orderBy("promotes", F.col("constrains").asc_nulls_last(), "begin", "end")
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n").orderBy("anchor")
 
 
 def reliability_rank(name: Column) -> Column:

@@ -317,8 +317,13 @@ def vocabulary_index(graph: DataFrame) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, targets: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """(found, missed) of refs by the slug of their name. targets: target_slug, target."""
-    joined = refs.withColumn("ref_slug", slug(name)).join(targets, F.col("ref_slug") == F.col("target_slug"), "left")
+    """(found, missed) of refs by the slug of their name. targets: target_slug, target.
+
+    Each distinct name is slugged and looked up once, and the references meet their names.
+    """
+    # the slug is of an aggregate's result, so no filter on it is asked of every reference
+    names = refs.groupBy(F.col(name).alias("__said")).agg(F.max(name).alias("__name")).withColumn("ref_slug", slug("__name")).drop("__name").join(targets, F.col("ref_slug") == F.col("target_slug"), "left")
+    joined = refs.join(names, F.col(name).eqNullSafe(F.col("__said")), "left").drop("__said")
     return joined.where("target is not null"), joined.where("target is null")
 
 

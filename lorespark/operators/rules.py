@@ -204,7 +204,7 @@ def voice(text: str | None) -> tuple[str, bool]:
     found = next((m for line in bare if (m := DECLARATION.match(line))), None)
     if found is None:
         raise NotEvaluated("the constitution does not declare a narrative voice")
-    if re.match(r"\s*\[pending\b[^\]]*\]\s*$", found["body"], re.I):
+    if re.match(T.PLACEHOLDER, found["body"]):
         raise NotEvaluated("the narrative-voice declaration is still unanswered ([PENDING])")
     has = lambda words: re.search(rf"\b({words})\b", found["body"], re.I) is not None
     if has("tercera|third"):
