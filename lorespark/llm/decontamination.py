@@ -6,8 +6,9 @@ holds an exact copy of a piece at its place, give or take k. One Aho-Corasick au
 all pieces finds these hits in a single pass over a text, and Myers' bit-parallel distance
 verifies each place: the least edits between the item and any passage there.
 
-Both sides are compared in lower case with white-space runs as one space. An item of fewer
-than ``min_chars`` such characters matches letter by letter only, and between word bounds.
+Both sides are compared in lower case with white-space runs as one space; starts and ends of
+matches count characters of that form. Of an item of fewer than ``min_chars`` such characters, which
+could stand inside of other words, only passages between word bounds count, with the same budget.
 Every place of a text that holds an item is a match; places whose windows overlap are one,
 the nearest passage of them.
 
@@ -44,11 +45,6 @@ def _in_word(text: str, at: int) -> bool:
     return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_" or unicodedata.category(text[at])[0] == "M")
 
 
-def _whole(text: str, start: int, end: int) -> bool:
-    """Whether text[start:end] cuts no word."""
-    return not (_in_word(text, start - 1) and _in_word(text, start)) and not (_in_word(text, end - 1) and _in_word(text, end))
-
-
 def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     """(distance, end) of the passage of text nearest to pattern, the first such; None if over budget.
 
@@ -79,13 +75,29 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     return best
 
 
+def nearest_whole(pattern: str, text: str, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the nearest passage that begins from low to high, cuts no word and is within the budget; the first of equals."""
+    best = None
+    for start in range(max(low, 0), min(high, len(text) - 1) + 1):
+        if _in_word(text, start - 1) and _in_word(text, start):
+            continue
+        row = list(range(len(pattern) + 1))
+        for end in range(start, min(len(text), start + len(pattern) + budget)):
+            before, row = row, [end - start + 1]
+            for i, c in enumerate(pattern, 1):
+                row.append(min(before[i - 1] + (c != text[end]), before[i] + 1, row[-1] + 1))
+            if row[-1] <= budget and not (_in_word(text, end) and _in_word(text, end + 1)):
+                best = min(best or (budget + 1,), (row[-1], start, end + 1))
+    return best
+
+
 class Matcher:
-    """Finds the items that a text holds within their error budgets; those under min_chars whole and without errors."""
+    """Finds the items that a text holds within their error budgets; of those under min_chars the passages that cut no word."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int = 0):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * error_rate) if len(t) >= min_chars else 0) for i, t in items]
+        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items]
         self.min_chars = min_chars
         pieces: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text, budget) in enumerate(self.items):
@@ -109,12 +121,16 @@ class Matcher:
         out = []
         for at, starts in places.items():
             item, pattern, budget = self.items[at]
-            if len(pattern) < self.min_chars:  # its only piece is the item
-                end = 0
+            if len(pattern) < self.min_chars:
+                last = None
                 for start in sorted(starts):
-                    if start >= end and _whole(text, start, start + len(pattern)):
-                        end = start + len(pattern)
-                        out.append((item, 0, start, end))
+                    found = nearest_whole(pattern, text, start - budget, start + budget, budget)
+                    if found and (last is None or found[1] >= last[2]):
+                        last = found
+                        out.append((item, *found))
+                    elif found and found[0] < last[0]:  # of overlapping ones the nearest
+                        last = found
+                        out[-1] = (item, *found)
                 continue
             windows: list[list[int]] = []
             for start in sorted(starts):
