@@ -12,6 +12,7 @@ from .operators.ingest import Build, build
 from .operators.rules import Context, Report, discover, run_rules, select
 from .operators.status import Action, State, aggregate, next_actions
 from .plans.compiler import sparql
+from .plans.statistics import Statistics
 from .sources.project import Config, ConfigError, missing_folder, read_files
 from .vocabularies import packaged
 from .vocabulary import PREFIXES
@@ -24,9 +25,9 @@ def build_graph(spark: SparkSession, root: str, config: Config, vocabularies: di
     return build(read_files(spark, root, config), config, packaged(spark, config.vocabularies) if vocabularies is None else vocabularies)
 
 
-def query(graph: DataFrame, text: str) -> DataFrame:
-    """A SPARQL query with the ten prefixes declared."""
-    return sparql(graph, text, PREFIXES)
+def query(graph: DataFrame, text: str, known: Statistics | None = None) -> DataFrame:
+    """A SPARQL query with the ten prefixes declared; statistics of the graph, where there are any, order its joins."""
+    return sparql(graph, text, PREFIXES, known)
 
 
 def validate(built: Build, files: DataFrame, custom_folder: str | None = None) -> Report:

@@ -20,8 +20,9 @@ from pyspark.sql import SparkSession
 from . import api
 from .operators.ingest import IngestError
 from .plans.parser import QueryError
+from .plans.statistics import load_statistics
 from .sources.project import Config, ConfigError, find_root, load_manifest, read_files
-from .sources.turtle import TurtleError, write_turtle
+from .sources.turtle import TurtleError, load_graph, save_graph, write_turtle
 from .sources.turtle_scan import read_turtle
 from .vocabulary import PREFIXES, SEVERITY
 
@@ -59,9 +60,22 @@ def _project(start: str | None) -> tuple[Path, Config]:
     return root, load_manifest(root / "manifest.toml")
 
 
+#: The graph of the last build as Parquet, with its statistics, and the stamp of the Turtle file it equals.
+STORED = Path(".lorespark", "graph")
+
+
+def _stamp(path: Path) -> str:
+    found = path.stat()
+    return f"{found.st_mtime_ns} {found.st_size}"
+
+
 def _build(spark: SparkSession, root: Path, config: Config, args: argparse.Namespace) -> tuple[int, str]:
     built = api.build_graph(spark, str(root), config)
-    write_turtle(built.graph, str(root / config.paths["graph"]), PREFIXES)
+    path, kept = root / config.paths["graph"], root / STORED
+    (kept / "stamp").unlink(missing_ok=True)
+    write_turtle(built.graph, str(path), PREFIXES)
+    save_graph(built.graph, str(kept / "triples"))
+    (kept / "stamp").write_text(_stamp(path))
     report = built.report() | {"manifest_warnings": list(config.warnings)}
     code = report.pop("exit_code")
     if args.json:
@@ -74,7 +88,11 @@ def _query(spark: SparkSession, root: Path, config: Config, args: argparse.Names
     path = root / config.paths["graph"]
     if not path.is_file():
         raise Failure(2, "graph_not_built", f"there is no graph at {config.paths['graph']}; build it first")
-    found = api.query(read_turtle(spark, str(path)), args.sparql)
+    kept = root / STORED
+    if (kept / "stamp").is_file() and (kept / "stamp").read_text() == _stamp(path):
+        found = api.query(load_graph(spark, str(kept / "triples")), args.sparql, load_statistics(spark, str(kept / "triples")))
+    else:  # a file from elsewhere, or one that was edited
+        found = api.query(read_turtle(spark, str(path)), args.sparql)
     if not args.json:
         return 0, api.table(found)
     rows = [{k: v for k, v in r.asDict().items() if v is not None} for r in found.collect()]  # a person's or a tool's answer

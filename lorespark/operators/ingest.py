@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
@@ -284,19 +284,19 @@ class Build:
     config: Config
     sequences: DataFrame | None = None  # uri, slug, name, relpath
     files: int = 0  # those that carry data
+    counts: dict[str, int] = field(default_factory=dict)  # good records of each concept and the triples, seen while they were written
 
     def report(self) -> dict:
         """Counters and channels; exit code 4 where a file was skipped, else 0."""
-        count = {r[0]: r[1] for r in self.records.where("reject is null").groupBy("concept").count().collect()}
         skipped = [tuple(r) for r in self.skipped.orderBy("relpath", "reason").collect()]
         rows = lambda df: [tuple(r) for r in df.orderBy(*df.columns).collect()]
         return {
             "files": self.files,
-            "entities": sum(n for c, n in count.items() if c not in ("source", "finding", "anchor")),
-            "sources": count.get("source", 0),
-            "findings": count.get("finding", 0),
-            "anchors": count.get("anchor", 0),
-            "triples": self.graph.count(),
+            "entities": sum(self.counts[c] for c in KEYS),
+            "sources": self.counts["source"],
+            "findings": self.counts["finding"],
+            "anchors": self.counts["anchor"],
+            "triples": self.counts["triples"],
             "skipped": skipped,
             "unknown_keys": rows(self.unknown_keys),
             "unresolved_references": rows(self.unresolved),
@@ -376,7 +376,9 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
     if not config.research:
         files = files.where(~F.col("role").isin("sources", "topic", "index"))
     store = Store(spark, "ingest")
-    every = store.save(records(files, config.language))
+    files_seen = Observation(f"files-{store.root}")
+    read = files.observe(files_seen, F.count_if(F.col("role").isin(ROLES)).alias("files"))
+    every, counts = store.save_counted(records(read, config.language), **{c: F.count_if(F.expr("reject is null and fatal is null") & (F.col("concept") == c)) for c in (*KEYS, "source", "finding", "anchor")})
     fatal = every.where("fatal is not null").orderBy("relpath", "pos").select("fatal").take(1)
     if fatal:
         raise IngestError("research", fatal[0][0])
@@ -590,9 +592,10 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
     unknown = good.select("relpath", F.explode("unknown").alias("key"))
     unknown = unknown.union(soft.where("field = 'order'").select("relpath", F.col("field").alias("key"))).distinct()
     notes = union([*warnings, soft.where("field = 'date'").select("relpath", "field", "name")], "relpath string, field string, name string")
+    made, total = store.save_counted(graph_union(empty_graph(spark), *[triple_rows(df, items) for df, items in said]), triples=F.count(F.lit(1)))
     return Build(
         good,
-        store.save(graph_union(empty_graph(spark), *[triple_rows(df, items) for df, items in said])),
+        made,
         every.where("reject is not null").select("relpath", F.col("reject").alias("reason")),
         unknown,
         union(unresolved, "relpath string, field string, entity string, name string"),
@@ -602,5 +605,6 @@ def build(files: DataFrame, config: Config, vocabularies: dict[str, DataFrame] |
         anchors.select("uri", F.col("promotes").alias("promotes_id"), F.col("constrains").alias("constrains_name"), "relpath"),
         config,
         sequences.withColumnRenamed("seq", "uri"),
-        files.where(F.col("role").isin(ROLES)).count(),
+        files_seen.get["files"],
+        counts | total,
     )

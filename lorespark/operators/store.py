@@ -9,7 +9,7 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,3 +53,9 @@ class Store:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         return write_back(self.spark, df, f"{self.root}/{self.n}")
+
+    def save_counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """The table, and aggregates of its rows, taken while they are written."""
+        seen = Observation(f"counts-{uuid.uuid4().hex}")
+        kept = self.save(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+        return kept, seen.get

@@ -4,8 +4,9 @@ Each solution is a DataFrame of one string column a variable (see ``terms``), wi
 of variables that may be unbound. Joins on variables bound on both sides are plain equi-joins;
 where one may be unbound, the condition is compatibility and the output takes the bound side.
 Patterns of a group are joined most-bound first, connected ones before others, so Catalyst
-gets filters on the scans and no needless product. Nothing is made distinct but for
-DISTINCT, zero-or-more paths and graph union.
+gets filters on the scans and no needless product; where the graph's statistics are known they
+give the order, and patterns about one subject are read in one pass (see ``statistics``). Nothing
+is made distinct but for DISTINCT, zero-or-more paths and graph union.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..operators.reach import closure, reach_from
 from ..operators.store import Store
 from ..terms import RDF, XSD, datatype_of, is_literal, language_of, lexical, object_code, split_code, tail
 from .parser import Const, Expr, Group, Path, Pattern, QueryError, Select, Var, parse
+from .statistics import Statistics, ordered
 
 # The numeric datatypes.
 WHOLE = "integer int long short nonNegativeInteger positiveInteger".split()
@@ -137,8 +139,8 @@ def order_keys(v: Val) -> list[Column]:
 
 
 class Compiler:
-    def __init__(self, graph: DataFrame):
-        self.graph, self.ids = graph, {}
+    def __init__(self, graph: DataFrame, known: Statistics | None = None):
+        self.graph, self.known, self.ids = graph, known, {}
         self.spark = graph.sparkSession
 
     def col(self, name: str) -> str:
@@ -218,8 +220,23 @@ class Compiler:
         same = nodes.distinct().select("a", F.col("a").alias("b"))
         return same.union(closure(inner) if p.kind == "star" else inner).distinct()
 
+    def star(self, star: list[Pattern]) -> Solution:
+        """Patterns about one subject, each with a predicate of its own: one read, grouped by subject, the objects set out again."""
+        obj = object_code(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"))
+        tests = [(F.col("p") == p.p.code) & (self.is_object(p.o.code) if isinstance(p.o, Const) else F.lit(True)) for p in star]
+        read = self.graph.where(F.col("p").isin([p.p.code for p in star]) & reduce(Column.__or__, tests))
+        df = read.groupBy("s").agg(*[F.collect_list(F.when(t, obj)).alias(f"m{i}") for i, t in enumerate(tests)])
+        df = df.where(reduce(Column.__and__, [F.size(f"m{i}") > 0 for i in range(len(star))]))
+        for i in range(len(star)):
+            df = df.withColumn(f"m{i}", F.explode(f"m{i}"))
+        out = {star[0].s.name: F.col("s")} | {p.o.name: F.col(f"m{i}") for i, p in enumerate(star) if isinstance(p.o, Var)}
+        return Solution(df.select(*[c.alias(self.col(n)) for n, c in out.items()]), list(out))
+
     def basic(self, patterns: list[Pattern]) -> Solution:
-        """Joins patterns: most constants first, then those that share a variable."""
+        """Joins patterns in the order that the statistics give; without any, most constants first, then those that share a variable."""
+        if self.known is not None:
+            parts = [self.star(u) if len(u) > 1 else self.pattern(u[0]) for u in ordered(self.known, patterns)]
+            return reduce(self.join, parts)
         bound = lambda p: sum(isinstance(t, Const) for t in (p.s, p.p, p.o)) + isinstance(p.o, Const)
         names = lambda p: {t.name for t in (p.s, p.p, p.o) if isinstance(t, Var)}
         left, out, seen = list(patterns), None, set()
@@ -679,14 +696,14 @@ class Compiler:
         return Solution(df.select(*out), names, frozenset(n for n in names if n in a.maybe or n not in a.names))
 
 
-def sparql(graph: DataFrame, text: str, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """The rows of a SELECT: one string column a variable, null where unbound.
+def sparql(graph: DataFrame, text: str, prefixes: dict[str, str] | None = None, known: Statistics | None = None) -> DataFrame:
+    """The rows of a SELECT: one string column a variable, null where unbound. known: statistics of this very graph.
 
     The text is parsed and analysed before any row is made; an error is a QueryError. An ASK
     has no rows of this kind and gives an empty frame; other forms are errors.
     """
     query = parse(text, {"rdf": RDF, "xsd": XSD, **(prefixes or {})})
-    compiler = Compiler(graph)
+    compiler = Compiler(graph, known)
     if query.form == "ask":
         compiler.group(query.where)
         return graph.sparkSession.createDataFrame([], "ask string")

@@ -18,6 +18,7 @@ from .operators.reach import cycles as find_cycles
 from .operators.store import Store, shared_dir
 from .plans.compiler import sparql
 from .plans.relational import DATA, MAPPING, PREFIXES, TERM, graph
+from .plans.statistics import characteristic_sets, measure, predicates
 from .sources.project import Config, files_from
 from .sources.turtle import write_turtle
 from .sources.turtle_scan import read_turtle
@@ -261,6 +262,41 @@ def sequence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ranked(table(spark, sf_dir, "lineitem"), "l_orderkey", order, "l_linenumber").select("l_orderkey", "l_linenumber", "ordinal")
 
 
+# --- statistics of a graph, and joins in the order that they give
+
+
+@query(
+    f"""WITH t(p, s, k) AS (SELECT '{TYPE}', 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT '{TYPE}', 'c' || c_custkey, 1 FROM customer UNION ALL SELECT '{TYPE}', 'o' || o_orderkey, 1 FROM orders
+ UNION ALL SELECT '{LABEL}', 'n' || n_nationkey, 1 FROM nation WHERE n_name IS NOT NULL UNION ALL SELECT '{TERM}region', 'n' || n_nationkey, 1 FROM nation WHERE n_regionkey IS NOT NULL
+ UNION ALL SELECT '{TERM}next', 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT '{TERM}segment', 'c' || c_custkey, 1 FROM customer WHERE c_mktsegment IS NOT NULL
+ UNION ALL SELECT '{TERM}nation', 'c' || c_custkey, 1 FROM customer WHERE c_nationkey IS NOT NULL UNION ALL SELECT '{TERM}customer', 'o' || o_orderkey, 1 FROM orders WHERE o_custkey IS NOT NULL
+ UNION ALL SELECT '{TERM}priority', 'o' || o_orderkey, 1 FROM orders WHERE o_orderpriority IS NOT NULL UNION ALL SELECT '{TERM}year', 'o' || o_orderkey, 1 FROM orders WHERE o_orderdate IS NOT NULL)
+ SELECT p, sum(n)::BIGINT AS rows, count(*) AS subjects, max(n) AS most FROM (SELECT p, s, count(*) AS n FROM t GROUP BY 1, 2) GROUP BY 1"""
+)
+def predicate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicates(graph(spark, sf_dir, "nation", "customer", "orders")).select("p", "rows", "subjects", "most")
+
+
+@query(
+    f"""WITH t(s, p) AS (SELECT doc_id, '{TYPE}' FROM documents UNION ALL SELECT doc_id, '{TERM}lang' FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, '{TERM}source' FROM documents WHERE source IS NOT NULL
+ UNION ALL SELECT doc_id, '{TERM}quality' FROM labels WHERE quality IS NOT NULL UNION ALL SELECT doc_id, '{TERM}toxic' FROM labels WHERE toxic = 1)
+ SELECT predicates, count(*) AS subjects FROM (SELECT s, string_agg(DISTINCT p, ' ' ORDER BY p) AS predicates FROM t GROUP BY 1) GROUP BY 1"""
+)
+def predicate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = characteristic_sets(graph(spark, sf_dir, "documents", "labels"))
+    return found.select(F.array_join("predicates", " ").alias("predicates"), "subjects")
+
+
+@query(
+    """SELECT year(o_orderdate)::VARCHAR AS year, c_mktsegment AS segment, n_name AS nation, count(*)::VARCHAR AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ WHERE o_orderpriority = '1-URGENT' GROUP BY ALL"""
+)
+def star_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Store(spark, "stars").save(graph(spark, sf_dir, "nation", "customer", "orders"))
+    text = 'SELECT ?year ?segment ?nation (COUNT(*) AS ?n) { ?o d:priority "1-URGENT" ; d:year ?year ; d:customer ?c . ?c d:segment ?segment ; d:nation ?k . ?k rdfs:label ?nation } GROUP BY ?year ?segment ?nation'
+    return sparql(g, text, PREFIXES | {"rdfs": RDFS}, measure(g))
+
+
 # --- prose
 
 _LINES = """l AS (SELECT doc_id, source, pos AS number, x AS raw FROM (SELECT doc_id, source, unnest(p) AS x, generate_subscripts(p, 1) AS pos, len(p) AS k FROM

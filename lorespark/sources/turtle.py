@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.parser import ESCAPE, SIMPLE
+from ..plans.statistics import save_statistics
 from ..terms import RDF, TRIPLE, XSD
 
 
@@ -208,9 +209,11 @@ def parse_turtle(text: str, prefixes: dict[str, str] | None = None) -> list[tupl
 def save_graph(graph: DataFrame, path: str) -> None:
     """Parquet by predicate: a pattern with a known predicate reads only its folder.
 
-    Rows are dealt by ranges of predicate and subject, so a frequent predicate is many tasks and files.
+    Rows are dealt by ranges of predicate and subject, so a frequent predicate is many tasks and files. The
+    graph's statistics are kept beside it (``plans.statistics``).
     """
     graph.repartitionByRange("p", "s").write.mode("overwrite").partitionBy("p").parquet(path)
+    save_statistics(load_graph(graph.sparkSession, path), path)
 
 
 def load_graph(spark: SparkSession, path: str) -> DataFrame:
