@@ -8,6 +8,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scripts import FIRST, spell
+from .scripts import spelled as spelled_scripts
+
 # Letters that are more than a base letter with marks.
 SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i", "ħ": "h", "ŋ": "ng", "ĸ": "k", "ŀ": "l", "ŧ": "t", "ŉ": "n"}
 
@@ -45,7 +48,8 @@ def slug(name: Column | str) -> Column:
         out = x
         for letter, plain in several.items():
             out = F.replace(out, F.lit(letter), F.lit(plain))
-        return F.when(x.rlike("[" + "".join(several) + "]"), out).otherwise(x)
+        out = F.when(x.rlike("[" + "".join(several) + "]"), out).otherwise(x)
+        return F.when(F.octet_length(x) == F.length(x), x).otherwise(spelled_scripts(out))
 
     c = F.get(F.transform(F.array(c), spelled), F.lit(0))
     c = F.regexp_replace(c, r"\p{M}+", "")
@@ -56,6 +60,7 @@ def make_slug(name: str) -> str | None:
     """The same in Python."""
     out = (SPECIAL.get(c) or ACCENTS.get(c, c) for c in name.lower())
     out = "".join(SCRIPTS.get(c, c) for c in out)
+    out = "".join(c if ord(c) < FIRST else spell(c) for c in out)
     out = "".join(c for c in out if not unicodedata.category(c).startswith("M"))
     return re.sub(r"[^a-z0-9]+", "-", out).strip("-") or None
 

@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 from pathlib import Path
+from types import ModuleType
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,10 +100,10 @@ class Context:
         return df.join(self.best_paths.withColumnRenamed("uri", column), column, "left")
 
 
-def finding(df: DataFrame, validator: str, severity: str, message: Column, source: Column, triple: list[Column] | Column | None = None) -> DataFrame:
+def finding(df: DataFrame, validator: str, severity: str | Column, message: Column, source: Column, triple: list[Column] | Column | None = None) -> DataFrame:
     kind = "array<struct<s:string,p:string,o:string>>"
     t = F.array().cast(kind) if triple is None else triple.cast(kind) if isinstance(triple, Column) else F.array(F.struct(*[c.alias(n) for c, n in zip(triple, "spo", strict=True)])).cast(kind)
-    return df.select(F.lit(validator).alias("validator"), F.lit(severity).alias("severity"), message.alias("message"), source.alias("source"), t.alias("triples"))
+    return df.select(F.lit(validator).alias("validator"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), message.alias("message"), source.alias("source"), t.alias("triples"))
 
 
 def union(frames: Iterable[DataFrame]) -> DataFrame:
@@ -397,8 +399,38 @@ def total_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy("validator", rank(F.col("severity")).desc(), F.coalesce("source", F.lit("")), "message", F.col("triples").cast("string"))
 
 
+#: What a judge may read: the lines of the manuscript (relpath, number, raw, normalized) or the triples.
+ROWS: dict[str, Callable[[Context], DataFrame]] = {"lines": lambda c: c.lines, "triples": lambda c: c.graph}
+
+
+def judged(module: ModuleType) -> Callable[[Context], DataFrame]:
+    """A rule whose class ``Judge`` reads rows on the executors, as a table function.
+
+    The module names its ``ROWS``. ``Judge.eval(row)`` gets each row, ``Judge.terminate()`` the end; both may yield
+    (severity, message, source). With a ``KEY`` one judge sees all rows of a value, by ``ORDER`` if there is one; they stream
+    through it, so it holds what it chooses to keep. Without one the rows stay where they lie, and a judge sees some of them.
+    """
+    rows, key, order = ROWS[module.ROWS], getattr(module, "KEY", None), getattr(module, "ORDER", None)
+    if order and not key:
+        raise ValueError("ORDER needs a KEY")
+    register_pickle_by_value(module)  # executors cannot import it
+
+    def validate(c: Context) -> DataFrame:
+        dealt = rows(c).asTable()
+        if key:
+            dealt = dealt.partitionBy(key).orderBy(order) if order else dealt.partitionBy(key)
+        found = F.udtf(module.Judge, returnType="severity string, message string, source string")(dealt)
+        named = F.when(F.col("severity").isin(list(V.SEVERITY)), F.col("severity")).otherwise(F.raise_error(F.concat(F.lit("no severity: "), F.coalesce("severity", F.lit("null")))))
+        return finding(found.withColumn("severity", named), module.NAME, F.col("severity"), F.col("message"), F.col("source"))
+
+    return validate
+
+
 def discover(folder: str | Path | None) -> tuple[dict[str, Callable], list[tuple[str, str, str]]]:
-    """Custom rules: each ``*.py`` of a folder defines ``NAME`` and ``validate(context)``. A broken or colliding one is an error record."""
+    """Custom rules: each ``*.py`` of a folder defines ``NAME`` and ``validate(context)``, or ``NAME`` and a ``Judge`` of rows (see ``judged``).
+
+    A broken or colliding one is an error record.
+    """
     found: dict[str, Callable] = {}
     errors = []
     for path in sorted(Path(folder).glob("*.py")) if folder else []:
@@ -407,7 +439,7 @@ def discover(folder: str | Path | None) -> tuple[dict[str, Callable], list[tuple
             module = importlib.util.module_from_spec(spec)
             sys.modules[spec.name] = module
             spec.loader.exec_module(module)
-            name, f = module.NAME, module.validate
+            name, f = module.NAME, judged(module) if hasattr(module, "Judge") else module.validate
         except Exception as e:  # whatever a user's module raises is its record
             errors.append((path.stem, f"{type(e).__name__}: {e}", "load"))
             continue
