@@ -7,11 +7,16 @@ Patterns of a group are joined most-bound first, connected ones before others, s
 gets filters on the scans and no needless product; where the graph's statistics are known they
 give the order, and patterns about one subject are read in one pass (see ``statistics``). Nothing
 is made distinct but for DISTINCT, zero-or-more paths and graph union.
+
+A variable that stands in an expression and is bound by an object takes its number along in a
+hidden variable, made of the stored columns at the scan: comparing, adding up and sorting numbers
+read that and take no code apart. Hidden variables never join; where one side of a union or an
+OPTIONAL lacks it, it is dropped and the number is read off the code again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,17 +56,58 @@ class Val:
 
     kind: str
     col: Column
+    num: Column | None = None  # a term's number beside its code, null where the term is unbound
+
+
+NUM = "struct<value: double, whole: boolean, exact: bigint>"
+HIDDEN = ".num "  # no variable's name begins with a dot
+
+
+def stored_number(o: Column, dt: Column) -> Column:
+    """The number of a stored object: its value, whether it is a whole one, and that one exactly."""
+    whole = F.coalesce(dt.isin([XSD + t for t in WHOLE]), F.lit(False))
+    value = F.when(dt.isin([XSD + t for t in NUMERIC]), o.try_cast("double"))
+    return F.struct(value.alias("value"), whole.alias("whole"), F.when(whole, o.try_cast("bigint")).alias("exact"))
+
+
+def beside(v: Val) -> Column | None:
+    """The number that goes beside a value's code, where it has one."""
+    if v.kind in ("int", "num"):
+        whole = v.kind == "int"
+        exact = v.col.cast("bigint") if whole else F.lit(None).cast("bigint")
+        number_ = F.struct(v.col.cast("double").alias("value"), F.lit(whole).alias("whole"), exact.alias("exact"))
+        return F.when(v.col.isNotNull(), number_)
+    return v.num
+
+
+def asked(node: object) -> set[str]:
+    """The variables that stand in expressions of a query."""
+    if isinstance(node, Expr) and node.op == "var":
+        return {node.args[0]}
+    if is_dataclass(node):
+        node = [getattr(node, f.name) for f in fields(node)]
+    if isinstance(node, dict):
+        node = list(node.values())
+    return set().union(*map(asked, node)) if isinstance(node, (list, tuple)) else set()
+
+
+def shown(names: list[str]) -> list[str]:
+    return [n for n in names if not n.startswith(HIDDEN)]
 
 
 def number(v: Val) -> Column:
     if v.kind in ("num", "int"):
         return v.col
+    if v.num is not None:
+        return v.num["value"]
     if v.kind == "term":
         return F.when(typed(v.col, NUMERIC), digits(v.col).try_cast("double"))
     return F.lit(None).cast("double")
 
 
 def whole_number(v: Val) -> Column:
+    if v.num is not None:
+        return v.num["whole"]
     return typed(v.col, WHOLE) if v.kind == "term" else F.lit(v.kind == "int")
 
 
@@ -133,20 +179,39 @@ def is_blank(code: Column) -> Column:
 
 def order_keys(v: Val) -> list[Column]:
     """Unbound, then IRIs, then literals: numbers by value, others by text."""
-    c = term(v)
-    rank = F.when(c.isNull(), 0).when(~is_literal(c), 1).otherwise(2)
-    return [rank, F.coalesce(number(Val("term", c)), F.lit(float("inf"))), lexical(c)]
+    c, value = v.col, F.coalesce(number(v), F.lit(float("inf")))
+    if v.kind != "term":
+        return [F.when(c.isNull(), 0).otherwise(2), value, c.cast("string")]
+    return [F.when(c.isNull(), 0).when(~is_literal(c), 1).otherwise(2), value, lexical(c)]
 
 
 class Compiler:
     def __init__(self, graph: DataFrame, known: Statistics | None = None):
         self.graph, self.known, self.ids = graph, known, {}
+        self.asked: set[str] = set()  # variables whose numbers are taken along
         self.spark = graph.sparkSession
 
     def col(self, name: str) -> str:
         """A variable's column: variables are case-sensitive, columns are not."""
         return self.ids.setdefault(name, f"v{len(self.ids)}")
 
+    # numbers beside codes
+
+    def bare(self, a: Solution, names: list[str]) -> Solution:
+        """a without the numbers of these variables."""
+        gone = {HIDDEN + n for n in names} & set(a.names)
+        if not gone:
+            return a
+        return Solution(a.df.drop(*map(self.col, gone)), [n for n in a.names if n not in gone], a.maybe - gone)
+
+    def put(self, a: Solution, name: str, v: Val) -> Solution:
+        """a with a variable more, its number beside it where that is asked for."""
+        df, names, num = a.df.withColumn(self.col(name), term(v)), [*a.names, name], beside(v)
+        if num is not None and name in self.asked:
+            df = a.df.select("*", term(v).alias(self.col(name)), num.alias(self.col(HIDDEN + name)))
+            names.append(HIDDEN + name)
+        return Solution(df, names, a.maybe | {name})
+
     # patterns
 
     def pattern(self, p: Pattern) -> Solution:
@@ -165,6 +230,8 @@ class Compiler:
                 df = df.where(out[t.name] == c)
             else:
                 out[t.name] = c
+                if place == "o" and t.name in self.asked:
+                    out[HIDDEN + t.name] = stored_number(F.col("o"), F.col("o_dt"))
         return Solution(df.select(*[c.alias(self.col(n)) for n, c in out.items()]), list(out))
 
     def is_object(self, code: str) -> Column:
@@ -225,11 +292,19 @@ class Compiler:
         obj = object_code(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"))
         tests = [(F.col("p") == p.p.code) & (self.is_object(p.o.code) if isinstance(p.o, Const) else F.lit(True)) for p in star]
         read = self.graph.where(F.col("p").isin([p.p.code for p in star]) & reduce(Column.__or__, tests))
-        df = read.groupBy("s").agg(*[F.collect_list(F.when(t, obj)).alias(f"m{i}") for i, t in enumerate(tests)])
+        numbered = {i for i, p in enumerate(star) if isinstance(p.o, Var) and p.o.name in self.asked}
+        pair = F.struct(obj.alias("code"), stored_number(F.col("o"), F.col("o_dt")).alias("num"))
+        kept = [F.when(t, pair if i in numbered else obj) for i, t in enumerate(tests)]
+        df = read.groupBy("s").agg(*[F.collect_list(k).alias(f"m{i}") for i, k in enumerate(kept)])
         df = df.where(reduce(Column.__and__, [F.size(f"m{i}") > 0 for i in range(len(star))]))
         for i in range(len(star)):
             df = df.withColumn(f"m{i}", F.explode(f"m{i}"))
-        out = {star[0].s.name: F.col("s")} | {p.o.name: F.col(f"m{i}") for i, p in enumerate(star) if isinstance(p.o, Var)}
+        out = {star[0].s.name: F.col("s")}
+        for i, p in enumerate(star):
+            if isinstance(p.o, Var):
+                out[p.o.name] = F.col(f"m{i}.code" if i in numbered else f"m{i}")
+            if i in numbered:
+                out[HIDDEN + p.o.name] = F.col(f"m{i}.num")
         return Solution(df.select(*[c.alias(self.col(n)) for n, c in out.items()]), list(out))
 
     def basic(self, patterns: list[Pattern]) -> Solution:
@@ -255,6 +330,7 @@ class Compiler:
 
     def _sides(self, a: Solution, b: Solution) -> tuple[DataFrame, DataFrame, list[str], Column | None, list[Column], list[Column]]:
         """b's columns renamed, the shared names, the join condition, merged output, both-bound tests."""
+        b = self.bare(b, [n for n in shown(a.names) if HIDDEN + n in a.names])
         right = b.df.select(*[F.col(self.col(n)).alias(self.col(n) + "_r") for n in b.names])
         shared = [n for n in a.names if n in b.names]
         condition, both = None, []
@@ -278,10 +354,15 @@ class Compiler:
         """The natural join. A shared variable that may be unbound splits it: where both sides bind it, an equi-join, else a join without it."""
         if not a.names:
             return b if a.df.columns == ["unit"] else Solution(a.df.select(F.lit(1).alias("one")).crossJoin(b.df).select(*b.df.columns), b.names, b.maybe)
-        split = next((n for n in a.names if n in b.names and (n in a.maybe or n in b.maybe)), None)
+        split = next((n for n in shown(a.names) if n in b.names and (n in a.maybe or n in b.maybe)), None)
         if split is not None:
             known = lambda x: Solution(x.df.where(F.col(self.col(split)).isNotNull()), x.names, x.maybe - {split})
-            open_ = lambda x: Solution(x.df.where(F.col(self.col(split)).isNull()).drop(self.col(split)), [n for n in x.names if n != split], x.maybe - {split})
+
+            def open_(x: Solution) -> Solution:
+                x = self.bare(x, [split])
+                df = x.df.where(F.col(self.col(split)).isNull()).drop(self.col(split))
+                return Solution(df, [n for n in x.names if n != split], x.maybe - {split})
+
             parts = [self.join(known(a), known(b))]
             if split in a.maybe:
                 parts.append(self.join(open_(a), b))
@@ -290,6 +371,7 @@ class Compiler:
             return self.union(parts)
         if not b.names:
             return Solution(a.df.crossJoin(b.df.select(F.lit(1).alias("unit"))).select(*a.df.columns), a.names, a.maybe)
+        b = self.bare(b, [n for n in shown(a.names) if HIDDEN + n in a.names])
         left, right, shared, condition, out, _ = self._sides(a, b)
         df = left.crossJoin(right) if condition is None else left.join(right, condition)
         maybe = {n for n in a.maybe | b.maybe if n not in shared or (n in a.maybe and n in b.maybe)}
@@ -299,6 +381,8 @@ class Compiler:
         """Each variable's column in a join of a with b's renamed columns."""
         out = {n: F.col(self.col(n)) for n in a.names}
         for n in b.names:
+            if n in out and n.startswith(HIDDEN):
+                continue
             right = F.col(self.col(n) + "_r")
             out[n] = F.coalesce(out[n], right) if n in a.maybe else out.get(n, right)
         return out
@@ -320,10 +404,11 @@ class Compiler:
 
     def unsure(self, a: Solution, b: Solution) -> bool:
         """Whether a variable that both have may be unbound: such a join is split by what is bound, and its rows are marked."""
-        return any(n in a.maybe or n in b.maybe for n in a.names if n in b.names)
+        return any(n in a.maybe or n in b.maybe for n in shown(a.names) if n in b.names)
 
     def optional(self, a: Solution, group: Group) -> Solution:
         inner, filters = self.group(group, defer=True)
+        inner = self.bare(inner, a.names)
         new = [n for n in inner.names if n not in a.names]
         maybe = frozenset(a.maybe | set(new))
         if self.unsure(a, inner):
@@ -331,7 +416,7 @@ class Compiler:
             found = self.matches(marked, inner, filters)
             rest = marked.df.join(found.df.select(self.col(row)).distinct(), self.col(row), "left_anti")
             both = self.union([Solution(found.df, found.names, found.maybe), Solution(rest, marked.names, a.maybe)])
-            return Solution(both.df.drop(self.col(row)), [*a.names, *new], maybe)
+            return Solution(both.df.drop(self.col(row)), [n for n in both.names if n != row], maybe & frozenset(both.names))
         left, right, _, condition, out, _ = self._sides(a, inner)
         for f in filters:
             test = truth(self.expr(f, self.merged(a, inner)))
@@ -353,6 +438,7 @@ class Compiler:
 
     def minus(self, a: Solution, group: Group) -> Solution:
         b = self.group(group)[0]
+        b = self.bare(b, shown(b.names))
         shared = [n for n in a.names if n in b.names]
         if not shared:
             return a
@@ -368,7 +454,11 @@ class Compiler:
 
     def union(self, branches: list[Solution]) -> Solution:
         names = list(dict.fromkeys(n for b in branches for n in b.names))
-        frames = [b.df.select(*[(F.col(self.col(n)) if n in b.names else F.lit(None).cast("string")).alias(self.col(n)) for n in names] or [F.lit(1).alias("unit")]) for b in branches]
+        lost = [n for n in shown(names) if any(n in b.names and HIDDEN + n not in b.names for b in branches)]
+        branches = [self.bare(b, lost) for b in branches]
+        names = [n for n in names if n not in {HIDDEN + x for x in lost}]
+        none = lambda n: F.lit(None).cast(NUM if n.startswith(HIDDEN) else "string")
+        frames = [b.df.select(*[(F.col(self.col(n)) if n in b.names else none(n)).alias(self.col(n)) for n in names] or [F.lit(1).alias("unit")]) for b in branches]
         maybe = {n for n in names for b in branches if n not in b.names or n in b.maybe}
         return Solution(reduce(DataFrame.union, frames), names, frozenset(maybe))
 
@@ -407,7 +497,7 @@ class Compiler:
                 if name in out.names:
                     raise QueryError(f"?{name} is bound already")
                 out, e = self.marked(out, e)
-                out = Solution(out.df.withColumn(self.col(name), term(self.expr(e, self.env(out)))), [*out.names, name], out.maybe | {name})
+                out = self.put(out, name, self.expr(e, self.env(out)))
         flush()
         if defer:
             return out, filters
@@ -419,10 +509,10 @@ class Compiler:
         """a with a hidden truth column for each EXISTS inside an expression, and the expression over those."""
         if e.op in ("exists", "not exists"):
             name = f".exists{len(self.ids)}"
-            keys = [self.col(n) for n in a.names]
+            keys = [self.col(n) for n in shown(a.names)]
             mark = self.col(name)
             # solutions that agree in all variables agree in this too
-            rows = self.exists(Solution(a.df.select(*keys).distinct(), a.names, a.maybe), e.args[0], "left_semi").df.select(*[F.col(k).alias(k + "_e") for k in keys], F.lit(True).alias(mark))
+            rows = self.exists(Solution(a.df.select(*keys).distinct(), shown(a.names), a.maybe), e.args[0], "left_semi").df.select(*[F.col(k).alias(k + "_e") for k in keys], F.lit(True).alias(mark))
             same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(k + "_e")) for k in keys], F.lit(True))
             held = F.coalesce(F.col(mark), F.lit(False))
             df = a.df.join(rows, same, "left").select(*a.df.columns, (held if e.op == "exists" else ~held).alias(mark))
@@ -458,7 +548,7 @@ class Compiler:
 
     def expr(self, e: Expr, env: dict[str, Column]) -> Val:
         if e.op == "var":
-            return Val("term", env.get(e.args[0], F.lit(None).cast("string")))
+            return Val("term", env.get(e.args[0], F.lit(None).cast("string")), env.get(HIDDEN + e.args[0]))
         if e.op == "const":
             return constant(e.args[0])
         if e.op == "done":
@@ -491,7 +581,9 @@ class Compiler:
                 return Val("int" if {x.kind for x in args} == {"int"} else "num", made)
             # whole numbers stay whole; which they are shows only in the terms
             whole = whole_number(args[0]) & whole_number(args[1])
-            return Val("term", F.when(whole, term(Val("int", made.cast("bigint")))).otherwise(term(Val("num", made.cast("double")))))
+            num = F.struct(made.cast("double").alias("value"), whole.alias("whole"), F.when(whole, made.cast("bigint")).alias("exact"))
+            code = F.when(whole, term(Val("int", made.cast("bigint")))).otherwise(term(Val("num", made.cast("double"))))
+            return Val("term", code, F.when(made.isNotNull(), num))
         if e.op == "cast":
             return self.cast(e.extra["to"], args[0])
         return self.call(e.extra["name"], args)
@@ -606,14 +698,16 @@ class Compiler:
         if not e.args:
             if name != "COUNT":
                 raise QueryError(f"{name}(*) is not an aggregate")
-            return Val("int", F.count_distinct(F.struct(*env.values())) if distinct else F.count(F.lit(1)))
+            return Val("int", F.count_distinct(F.struct(*[env[n] for n in shown(list(env))])) if distinct else F.count(F.lit(1)))
         v = self.expr(e.args[0], env)
         c = term(v)
         if name == "COUNT":
             return Val("int", F.count_distinct(c) if distinct else F.count(c))
         if name in ("MIN", "MAX"):
-            key = F.when(c.isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order_keys(v))], c.alias("c")))
-            return Val("term", (F.min if name == "MIN" else F.max)(key)["c"])
+            num = [] if beside(v) is None else [beside(v).alias("num")]
+            key = F.when(c.isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order_keys(v))], c.alias("c"), *num))
+            best = (F.min if name == "MIN" else F.max)(key)
+            return Val("term", best["c"], best["num"] if num else None)
         if name == "SAMPLE":
             return Val("term", F.min(c))
         if name == "GROUP_CONCAT":
@@ -622,11 +716,14 @@ class Compiler:
         n = number(v)
         if name == "AVG":
             return Val("num", F.coalesce(F.try_divide(F.sum_distinct(n), F.count_distinct(n)) if distinct else F.avg(n), F.lit(0.0)))
-        whole = F.coalesce(F.min(typed(c, WHOLE)), F.lit(True))
-        exact = digits(c).try_cast("bigint")
+        num = beside(v)
+        whole = F.coalesce(F.min(typed(c, WHOLE) if num is None else num["whole"]), F.lit(True))
+        exact = digits(c).try_cast("bigint") if num is None else num["exact"]
         total = F.sum_distinct if distinct else F.sum
         code = F.when(whole, F.concat(F.lit('"'), F.coalesce(total(exact), F.lit(0)).cast("string"), F.lit(f'"^^{XSD}integer')))
-        return Val("term", code.otherwise(F.concat(F.lit('"'), total(n).cast("string"), F.lit(f'"^^{XSD}double'))))
+        code = code.otherwise(F.concat(F.lit('"'), total(n).cast("string"), F.lit(f'"^^{XSD}double')))
+        value = F.when(whole, F.coalesce(total(exact), F.lit(0)).cast("double")).otherwise(total(n))
+        return Val("term", code, F.struct(value.alias("value"), whole.alias("whole"), F.when(whole, F.coalesce(total(exact), F.lit(0))).alias("exact")))
 
     def select(self, q: Select) -> Solution:
         a = self.group(q.where)[0]
@@ -652,6 +749,7 @@ class Compiler:
             keys = [(n, term(self.expr(e, env)).alias(self.col(n))) for n, e in q.group_by]
             vals = [self.aggregate(e, env) for e in found]
             columns = [v.col.alias(f"agg{i}") for i, v in enumerate(vals)] or [F.count(F.lit(1)).alias("agg")]
+            columns += [v.num.alias(f"agg{i}_num") for i, v in enumerate(vals) if v.num is not None]
             df = a.df.groupBy(*[c for _, c in keys]).agg(*columns)
             grouped = [n for n, _ in keys]
             for n, e in items:
@@ -661,7 +759,9 @@ class Compiler:
 
             def settle(e: Expr) -> Expr:
                 if e.op == "lifted":
-                    return Expr("done", [Val(vals[e.args[0]].kind, F.col(f"agg{e.args[0]}"))])
+                    v = vals[e.args[0]]
+                    num = None if v.num is None else F.col(f"agg{e.args[0]}_num")
+                    return Expr("done", [Val(v.kind, F.col(f"agg{e.args[0]}"), num)])
                 return Expr(e.op, [settle(x) if isinstance(x, Expr) else x for x in e.args], e.extra)
 
             items = [(n, settle(e) if e is not None else None) for n, e in items]
@@ -673,7 +773,7 @@ class Compiler:
             if e is not None:
                 if n in a.names:
                     raise QueryError(f"?{n} is bound already")
-                a = Solution(a.df.withColumn(self.col(n), term(self.expr(e, self.env(a)))), [*a.names, n], a.maybe | {n})
+                a = self.put(a, n, self.expr(e, self.env(a)))
                 made.append(n)
         df = a.df
         keys = []
@@ -684,6 +784,8 @@ class Compiler:
         for n in names:
             if n not in a.names:  # selected but nowhere bound
                 df = df.withColumn(self.col(n), F.lit(None).cast("string"))
+        if not q.distinct:
+            names = names + [HIDDEN + n for n in names if HIDDEN + n in a.names]
         out = [self.col(n) for n in names]
         if q.distinct:
             df = df.groupBy(*out).agg(*[F.min(c).alias(c) for c in df.columns if c.startswith("sort")]) if keys else df.select(*out).distinct()
@@ -704,8 +806,9 @@ def sparql(graph: DataFrame, text: str, prefixes: dict[str, str] | None = None,
     """
     query = parse(text, {"rdf": RDF, "xsd": XSD, **(prefixes or {})})
     compiler = Compiler(graph, known)
+    compiler.asked = asked(query)
     if query.form == "ask":
         compiler.group(query.where)
         return graph.sparkSession.createDataFrame([], "ask string")
     found = compiler.select(query)
-    return found.df.select(*[lexical(F.col(compiler.col(n))).alias(n) for n in found.names])
+    return found.df.select(*[lexical(F.col(compiler.col(n))).alias(n) for n in shown(found.names)])
