@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -778,3 +778,83 @@ def anchor_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = facts.anchors(c.graph).join(c.build.anchors.withColumnRenamed("uri", "anchor"), "anchor")
     there = facts.present(c.graph, named.select("promotes").distinct(), B, "promotes")
     return named.join(there, "promotes", "left_semi").select(F.concat_ws(" -> ", "promotes_id", "constrains_name").alias("handle"), T.label_of(F.col("anchor")).alias("label"), F.col("relpath").alias("file"))
+
+
+# --- files made of rows, read as a project's files are
+
+
+def _files(rows: DataFrame, relpath: Column, role: str, *lines: Column) -> DataFrame:
+    """A file a row; lines that are null are left out of its head."""
+    head = F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.lit(""))
+    return rows.select(relpath.alias("relpath"), F.lit(role).alias("role"), head.cast("binary").alias("content"))
+
+
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, year(o_orderdate) AS y FROM orders)
+ SELECT 'bible/timeline/' || k || '.md' AS relpath, CASE k % 6 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE y END::INTEGER AS begin, CASE k % 6 WHEN 0 THEN y WHEN 1 THEN y + 1 WHEN 5 THEN y END::INTEGER AS "end",
+ CASE k % 6 WHEN 2 THEN 'date' WHEN 3 THEN NULL ELSE '' END AS soft, CASE k % 6 WHEN 3 THEN '`date` must be an integer year' END AS reject FROM o"""
+)
+def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of files: a date stands for both ends, gives way to either of them, and must be a year."""
+    k, y = F.col("o_orderkey"), F.year("o_orderdate")
+    begin = F.when(k % 6 == 5, _text("  begin: &year ", y)).when((k % 6).isin(1, 2), _text("  begin: ", y))
+    end = F.when(k % 6 == 5, "  end: *year").when(k % 6 == 1, _text("  end: ", y + 1))
+    date = F.when((k % 6).isin(0, 2), _text("  date: ", y)).when(k % 6 == 3, _text("  date: '", y, "'"))
+    files = _files(table(spark, sf_dir, "orders"), _text("bible/timeline/", k, ".md"), "timeline", F.lit("events:"), _text("- name: Order ", k), begin, end, date)
+    return ingest.records(files, "en").select("relpath", "begin", "end", F.array_join("soft", ",").alias("soft"), "reject")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_name AS name, 'bible/research/' || s_suppkey || '.md' AS relpath FROM supplier)
+ SELECT relpath, CASE WHEN k % 7 > 0 AND k % 11 > 0 AND k % 2 = 1 AND k % 3 = 0 THEN 'said' END AS translation, CASE WHEN k % 7 = 0 THEN 'source ''' || name || ''': source is missing required `author` in ' || relpath
+ WHEN k % 11 = 0 THEN 'source ''' || name || ''': unknown reliability ''alto'' in ' || relpath || '; one of: alta, media, baja'
+ WHEN k % 2 = 1 AND k % 3 > 0 THEN 'source ''' || name || ''': needs a translation (language ''fr'' ≠ book ''en'') in ' || relpath END AS fatal FROM s"""
+)
+def foreign_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of files: mandatory facets, known values, and a translation for foreign sources only."""
+    k = F.col("s_suppkey")
+    fixed = [F.lit(f"  {key}: x") for key in ("reference", "reliability_justification", "original_quote")]
+    files = _files(
+        table(spark, sf_dir, "supplier"), _text("bible/research/", k, ".md"), "sources", F.lit("sources:"), _text("- name: '", F.col("s_name"), "'"), *fixed,
+        F.when(k % 7 > 0, "  author: someone"), F.lit("  type: primaria"), F.lit("  access_date: 2020-01-01"), F.when(k % 11 == 0, "  reliability: alto").otherwise("  reliability: alta"),
+        F.when(k % 2 == 0, "  original_language: en").otherwise("  original_language: fr"), F.when(k % 3 == 0, "  translation: said"),
+    )
+    return ingest.records(files, "en").select("relpath", F.col("facets")["translation"].alias("translation"), "fatal")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_size, p_brand, p_type FROM part)
+ SELECT 'outline/units/' || k || '.md' AS relpath, CASE WHEN k % 5 IN (1, 3) THEN 'Size ' || p_size END AS sequence, CASE WHEN k % 5 = 1 THEN p_size END::INTEGER AS ord,
+ CASE WHEN k % 5 IN (0, 1, 3) THEN p_brand || '|' || p_type END AS functions, CASE k % 5 WHEN 0 THEN 'order' WHEN 1 THEN '' WHEN 3 THEN '' END AS soft, CASE WHEN k % 5 IN (0, 1, 3) THEN CASE WHEN k % 4 = 0 THEN 'colour' ELSE '' END END AS unknown,
+ CASE k % 5 WHEN 2 THEN '`order` must be an integer' WHEN 4 THEN '`sequence` ''...'' has no letters or digits to build an identifier from' END AS reject FROM p"""
+)
+def unit_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of files: functions by their first spelling, places in a sequence, keys that nobody knows."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    sequence = F.when((k % 5).isin(1, 2, 3), _text("sequence: Size ", F.col("p_size"))).when(k % 5 == 4, "sequence: '...'")
+    order = F.when((k % 5).isin(0, 1), _text("order: ", F.col("p_size"))).when(k % 5 == 2, "order: first")
+    functions = _text("functions: ['", brand, "', '", F.lower(brand), "', '...', '", F.col("p_type"), "']")
+    files = _files(table(spark, sf_dir, "part"), _text("outline/units/", k, ".md"), "unit", _text("name: Unit ", k), functions, sequence, order, F.when(k % 4 == 0, "colour: red"))
+    joined = [F.array_join(c, s).alias(c) for c, s in (("functions", "|"), ("soft", ","), ("unknown", ","))]
+    return ingest.records(files, "en").select("relpath", "sequence", "ord", *joined, "reject")
+
+
+@query("""WITH c AS (SELECT DISTINCT doc_id, unnest([doc_id % 7 + 1, doc_id % 5 + 1]) AS k FROM documents) SELECT s_name AS name, count(*) AS claims FROM c JOIN supplier ON s_suppkey = k GROUP BY 1""")
+def supported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole build over files of sources and findings: how many findings each source supports in the graph."""
+    k, d = F.col("s_suppkey"), F.col("doc_id")
+    fixed = [F.lit(f"  {key}: x") for key in ("reference", "author", "reliability_justification", "original_quote")]
+    kinds = [F.lit(x) for x in ("  type: primaria", "  access_date: 2020-01-01", "  reliability: media", "  original_language: en")]
+    supplier = table(spark, sf_dir, "supplier")
+    sources = _files(supplier, _text("bible/research/sources-", k, ".md"), "sources", F.lit("sources:"), _text("- name: '", F.col("s_name"), "'"), *fixed, *kinds)
+    cited = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.array(d % 7 + 1, d % 5 + 1))).alias("s_suppkey")).join(supplier.select("s_suppkey", "s_name"), "s_suppkey")
+    claims = cited.groupBy("doc_id").agg(F.array_join(F.collect_list(_text("'", F.col("s_name"), "'")), ", ").alias("names"))  # two at most
+    findings = _files(claims, _text("bible/research/topic-", d, ".md"), "topic", F.lit("findings:"), _text("- id: f", d), F.lit("  claim: said"), _text("  sources: [", F.col("names"), "]"))
+    built = ingest.build(sources.union(findings), Config(uri_base=B))
+    text = f"SELECT ?source (COUNT(*) AS ?claims) {{ ?finding <{V.SUPPORTED_BY}> ?source }} GROUP BY ?source"
+    found = sparql(built.graph, text).select(F.col("source").alias("at"), F.col("claims").cast("bigint").alias("claims"))
+    return found.join(supplier.select(_text(f"{B}source/", T.slug("s_name")).alias("at"), F.col("s_name").alias("name")), "at").select("name", "claims")
