@@ -29,8 +29,12 @@ def undeclared(graph: DataFrame, ontology: DataFrame) -> DataFrame:
 
 def parity(every: DataFrame, fed: DataFrame, deferred: DataFrame) -> DataFrame:
     """(name, fault) of names that are both fed and deferred, and of those that are neither. Frames of one column, name."""
-    both = fed.select("name").intersect(deferred.select("name")).withColumn("fault", F.lit("both"))
-    return both.union(every.select("name").subtract(fed.select("name")).subtract(deferred.select("name")).withColumn("fault", F.lit("neither")))
+    # one count of flags, so that a name in many rows is a few rows of partial results and no group
+    flag = lambda df, *said: df.select("name", *[F.lit(x in said).alias(x) for x in ("every", "fed", "deferred")])
+    names = flag(every, "every").union(flag(fed, "fed")).union(flag(deferred, "deferred"))
+    names = names.groupBy("name").agg(*[F.max(x).alias(x) for x in ("every", "fed", "deferred")])
+    fault = F.when(F.col("fed") & F.col("deferred"), "both").when(F.col("every") & ~F.col("fed") & ~F.col("deferred"), "neither")
+    return names.select("name", fault.alias("fault")).where("fault is not null")
 
 
 def intervals(graph: DataFrame) -> DataFrame:
