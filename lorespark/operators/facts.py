@@ -99,7 +99,9 @@ def orphan_units(graph: DataFrame) -> DataFrame:
 def present(graph: DataFrame, uris: DataFrame, uri_base: str, column: str = "uri") -> DataFrame:
     """The uris that are a subject of the graph, or the timeline."""
     timeline = graph.sparkSession.createDataFrame([(f"{uri_base}timeline",)], f"{column} string")
-    return uris.join(graph.select(F.col("s").alias(column)).union(timeline), column, "left_semi")
+    # the graph is the side that streams, so that its subjects are neither sorted nor held
+    there = graph.select(F.col("s").alias(column)).join(uris.select(column), column, "left_semi").distinct()
+    return uris.join(there.union(timeline), column, "left_semi")
 
 
 def anchors(graph: DataFrame) -> DataFrame:

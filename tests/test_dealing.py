@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lorespark.operators import facts
 from lorespark.terms import TRIPLE, graph_union
 
 
@@ -12,3 +13,9 @@ def test_a_large_graph_is_dealt_before_equal_triples_are_sought(spark):
     assert plan.index("Exchange") > plan.rindex("HashAggregate")  # no task that reads the one file counts triples
     held = g.groupBy(F.spark_partition_id()).count().collect()
     assert len(held) > 2 and sum(r["count"] for r in held) == 1000
+
+
+def test_present_keeps_the_rows_given(spark):
+    g = spark.createDataFrame([("a", "p", "x", "iri", None, None), ("a", "q", "y", "iri", None, None), ("b", "p", "x", "iri", None, None)], TRIPLE)
+    asked = spark.createDataFrame([("a",), ("a",), ("c",), ("base/timeline",), (None,)], "uri string")
+    assert sorted(r.uri for r in facts.present(g, asked, "base/").collect()) == ["a", "a", "base/timeline"]
