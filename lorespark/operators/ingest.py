@@ -255,7 +255,7 @@ ROLES = ["character", "setting", "location", "object", "timeline", "relationship
 
 
 def records(files: DataFrame, language: str) -> DataFrame:
-    """All records of the files that carry data."""
+    """All records of the files that carry data. Files are dealt over the tasks: a small table may hold very many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,7 +265,8 @@ def records(files: DataFrame, language: str) -> DataFrame:
                 out[k] = out[k].astype("Int32")
             yield out
 
-    return files.where(F.col("role").isin(ROLES)).mapInPandas(run, RECORD)
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.where(F.col("role").isin(ROLES)).repartition(tasks, "relpath").mapInPandas(run, RECORD)
 
 
 @dataclass
