@@ -90,3 +90,18 @@ def test_search_from_seeds(spark):
     seeds = spark.createDataFrame([(3,), (4,)], "a int")
     got = {r.b for r in reach.reach_from(spark.createDataFrame(edges, "a int, b int"), seeds).collect()}
     assert got == {b for a, b in every_pair(edges) if a in (3, 4)}
+
+
+def totals(spark, edges, small=0):
+    return sorted(tuple(r) for r in reach.closure_totals(spark.createDataFrame(edges, "a int, b int"), small=small).collect())
+
+
+def test_totals_are_those_of_the_pairs(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(38)] + [(None, 1), (2, None), (500, 500), (600, 601), (601, 600)]
+    for some in (edges, [(i, i + 1) for i in range(2500)] + [(7, 7), (9000, 9000)]):
+        met = every_pair(some)
+        n, total = Counter(a for a, _ in met), Counter()
+        for a, b in met:
+            total[a] += b
+        assert totals(spark, some) == sorted((a, n[a], total[a]) for a in n)
