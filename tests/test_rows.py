@@ -95,3 +95,10 @@ def test_lines_are_read_once_and_meet_orders_by_key(spark, odd):
     found = plan(spark, odd, "exists_big")
     assert found.count("FileScan parquet [l_orderkey") == 1
     assert "l_orderkey" in next(x for x in found.splitlines() if "Join" in x and "Inner" in x)
+
+
+def test_a_path_s_steps_are_rows_too(spark, odd):
+    found = plan(spark, odd, "group_having")
+    assert found.count("FileScan parquet [l_orderkey") == 1
+    joins = [x for x in found.splitlines() if "Join" in x]
+    assert len(joins) == 3 and all("key#" in x for x in joins)  # none compares IRIs
