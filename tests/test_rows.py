@@ -102,3 +102,4 @@ def test_a_path_s_steps_are_rows_too(spark, odd):
     assert found.count("FileScan parquet [l_orderkey") == 1
     joins = [x for x in found.splitlines() if "Join" in x]
     assert len(joins) == 3 and all("key#" in x for x in joins)  # none compares IRIs
+    assert sum("Exchange hashpartitioning" in x and "l_orderkey" in x for x in found.splitlines()) == 1  # distinct and joined where they are dealt
